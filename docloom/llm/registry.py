@@ -6,10 +6,12 @@ from importlib import import_module
 
 #: Module and query of each operator.
 OPERATORS = {
+    "op3_token_counts": "op3_token_counts",
     "op4_url_filter": "op4_url_filter",
     "op7_source_mix": "op7_source_mix",
     "op8_fingerprints": "op8_fingerprints",
     "op9_quality_rules": "op9_quality_rules",
+    "op10_packing": "op10_packing",
 }
 
 
