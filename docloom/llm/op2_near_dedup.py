@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.components import components
+from docloom.llm.runs import run_ends, runs_by
 from docloom.llm.scratch import Scratch, broadcast_if_small
 from docloom.llm.words import U, _splitmix, column_bytes, groups, mix, shingles, words
 
@@ -123,36 +124,15 @@ def _branch(threshold: float, trees: int | None = None):
     return run
 
 
-def _by_node(batches: Iterator[pa.RecordBatch], key: str = "node") -> Iterator[pa.Table]:
-    """Runs of equal keys of a sorted stream, each whole; many runs a table."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        keys = b.column(key).to_numpy()
-        cut = int(np.searchsorted(keys, keys[-1])) if keys[0] <= keys[-1] else 0
-        if cut:
-            yield pa.Table.from_batches([*held, b.slice(0, cut)])
-            held = [b.slice(cut)]
-        else:
-            if held and held[-1].column(key)[-1].as_py() != keys[0]:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(b)
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _leaf_pairs(cut: float, spanning: bool):
     """Pairs of the same node: spanning: a tree over estimates of `cut` or more; else all such pairs of different components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _by_node(batches):
+        for t in runs_by(batches, "node"):
             nodes, ids, sig = t.column("node").to_numpy(), t.column("id").to_numpy(), _matrix(t.column("sig"))
             comp = None if spanning else t.column("component").to_numpy()
-            edges = np.flatnonzero(np.append(True, nodes[1:] != nodes[:-1]))
             a, b = [], []
-            for lo, hi in zip(edges, np.append(edges[1:], len(nodes)), strict=True):
+            for lo, hi in run_ends(nodes):
                 m = hi - lo
                 if m < 2:
                     continue
@@ -191,10 +171,9 @@ def _block_pairs(cut: float):
     """Pairs of a block of rows not yet joined with a block of rows of the same node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _by_node(batches, "block"):
+        for t in runs_by(batches, "block"):
             key, ids, sig, comp, lone = t.column("block").to_numpy(), t.column("id").to_numpy(), _matrix(t.column("sig")), t.column("component").to_numpy(), t.column("lone").to_numpy(zero_copy_only=False)
-            edges = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            for lo, hi in zip(edges, np.append(edges[1:], len(key)), strict=True):
+            for lo, hi in run_ends(key):
                 rows = np.arange(lo, hi)
                 rest = rows[~lone[rows]]
                 for r in rows[lone[rows]]:

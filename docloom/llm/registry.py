@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Module and query of each operator.
 OPERATORS = {
+    "op1_substring_dedup": "op1_substring_dedup",
     "op2_near_dedup": "op2_near_dedup",
     "op3_token_counts": "op3_token_counts",
     "op4_url_filter": "op4_url_filter",
