@@ -10,6 +10,7 @@ OPERATORS = {
     "op2_near_dedup": "op2_near_dedup",
     "op3_token_counts": "op3_token_counts",
     "op4_url_filter": "op4_url_filter",
+    "op5_quality_classifier": "op5_quality_classifier",
     "op7_source_mix": "op7_source_mix",
     "op8_fingerprints": "op8_fingerprints",
     "op9_quality_rules": "op9_quality_rules",
