@@ -272,6 +272,18 @@ def _rest_pairs(large: DataFrame, centres: DataFrame, labels: DataFrame, reps: D
     return signed.repartition(_parts(spark), "block").sortWithinPartitions("block").select("block", "id", "component", "lone", "sig").mapInArrow(_block_pairs(cut), "a long, b long")
 
 
+def keep_one_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """docs without those that have a near duplicate of smaller doc_id; of repeated rows of one doc_id one stays. Rows without doc_id stay."""
+    scratch = Scratch(docs.sparkSession)
+    gone = scratch.keep(near_duplicates(docs, k, num, den).where("NOT kept").select("doc_id").distinct())
+    left = docs.join(broadcast_if_small(gone), "doc_id", "left_anti")
+    repeated = scratch.keep(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return left.select(*docs.columns)
+    many = broadcast_if_small(repeated)
+    return left.join(many, "doc_id", "left_anti").unionByName(left.join(many, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, num=85, den=100)
 

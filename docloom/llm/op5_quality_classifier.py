@@ -207,14 +207,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -
 
 
 def classify(docs: DataFrame, model: Trees, keep: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
-    """The kept columns and score."""
-    names = list(keep)
-    picked = docs.select(*[F.col(c) for c in names], F.col(text).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema) + ", score double"
+    """The kept columns and score, which stands for any column of that name."""
+    names = [c for c in keep if c.lower() != "score"]
+    picked = docs.select(*names) if text in names else docs.select(*names, text)
+    at = picked.columns.index(text)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[: len(names)]) + ", score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            score = model.score(statistics(column_bytes(b.column(len(names)))))
+            score = model.score(statistics(column_bytes(b.column(at))))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(score, pa.float64())], [*names, "score"])
 
     return picked.mapInArrow(run, schema)

@@ -11,6 +11,7 @@ OPERATORS = {
     "op3_token_counts": "op3_token_counts",
     "op4_url_filter": "op4_url_filter",
     "op5_quality_classifier": "op5_quality_classifier",
+    "op6_html_text": "op6_html_text",
     "op7_source_mix": "op7_source_mix",
     "op8_fingerprints": "op8_fingerprints",
     "op9_quality_rules": "op9_quality_rules",
