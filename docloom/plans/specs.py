@@ -70,7 +70,7 @@ def _content(name: str) -> frozenset[str]:
 def match_name(guess: str, entries: Sequence[tuple[int, str]]) -> NameMatch:
     """The driver's form of operators.names.match_names, for a handful of guesses. entries: (id, name)."""
     for method, same in (("exact", lambda n: n == guess), ("normalised", lambda n: _key(n) == _key(guess))):
-        if hit := next((i for i, n in entries if same(n)), None):
+        if (hit := next((i for i, n in entries if same(n)), None)) is not None:
             return NameMatch(hit, method)
     words = _content(guess)
     shared = sorted(((len(words & _content(n)), i, n) for i, n in entries if words & _content(n)), key=lambda x: -x[0])

@@ -63,7 +63,7 @@ class IndexStore:
         for name, df in tables.items():
             folder = f"{name}/{n:012d}"
             want = TABLES[name]
-            df.select(*[F.col(f.name).cast(f.dataType) for f in want.fields]).write.mode("overwrite").parquet(f"{self.path}/{folder}")
+            df.select(*[F.col(f.name).cast(f.dataType.simpleString()) for f in want.fields]).write.mode("overwrite").parquet(f"{self.path}/{folder}")
             names[name] = folder
         target = self._at("_commits", f"{n:012d}.json")
         self._fs.mkdirs(self._at("_commits"))
