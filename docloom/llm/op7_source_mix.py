@@ -99,23 +99,27 @@ def mix_sources(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sou
     last = last.groupBy("_src").agg(F.max(F.struct("q", F.col("doc_id").isNotNull().alias("_known"), "doc_id")).alias("_last"))
     # a source whose cut range takes nothing from that range still takes all ranks before it
     final = cut.select(F.col("_at").alias("_src"), (F.col("_cut").cast("double") / float(_RANGES * _RANGES)).alias("_floor")).join(last.withColumnRenamed("_src", "_of"), F.col("_src").eqNullSafe(F.col("_of")), "left").drop("_of")
-    final = broadcast_if_small(scratch.keep(targets.withColumnRenamed("source", "_s").join(final, F.col("_s").eqNullSafe(F.col("_src")), "left").drop("_src")), 100_000)
-
-    kept = [c for c in docs.columns if c.lower() not in ADDED]
-    own = docs.select(*[F.col(c) for c in kept], size_of(F.col(text)).alias("size"), F.col(doc_id).alias("_id"), F.col(source).alias("_source"), w.alias("_iw"))
-    out = own.join(final, F.col("_source").eqNullSafe(F.col("_s")))
-    p = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.col("rest") / F.greatest(F.col("source_size"), F.lit(1)) * F.col("_iw")))
-    q = _odds_rank(F.col("_id"), p)
-    before_cut = F.floor(q / (1 + q) * float(_RANGES * _RANGES)) < F.col("_floor") * float(_RANGES * _RANGES)
-    in_cut = F.struct(q.alias("q"), F.col("_id").isNotNull().alias("_known"), F.col("_id").alias("doc_id")) <= F.col("_last")
-    more = F.when((F.col("rest") > 0) & F.coalesce(before_cut | in_cut, before_cut, F.lit(False)), 1).otherwise(0)
-    return out.select(*kept, "size", "source_size", "target", (F.col("size") * (F.col("whole") + more)).cast("long").alias("taken"))
+    final = scratch.keep(targets.withColumnRenamed("source", "_s").join(final, F.col("_s").eqNullSafe(F.col("_src")), "left").drop("_src"))
+
+    # what the decision needs travels in two structs, so that no column of docs can clash with it
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ADDED]
+    row = F.struct(size_of(F.col(text)).alias("size"), F.col(doc_id).alias("id"), F.col(source).alias("source"), w.alias("iw")).alias("__row")
+    mixed = final.select(F.struct(*final.columns).alias("__mix"))
+    out = docs.select(*kept, row).join(broadcast_if_small(mixed, 100_000), F.col("__row.source").eqNullSafe(F.col("__mix._s")))
+    rest, whole = F.col("__mix.rest"), F.col("__mix.whole")
+    p = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), rest / F.greatest(F.col("__mix.source_size"), F.lit(1)) * F.col("__row.iw")))
+    q = _odds_rank(F.col("__row.id"), p)
+    cells = float(_RANGES * _RANGES)
+    before_cut = F.floor(q / (1 + q) * cells) < F.col("__mix._floor") * cells
+    in_cut = F.struct(q.alias("q"), F.col("__row.id").isNotNull().alias("_known"), F.col("__row.id").alias("doc_id")) <= F.col("__mix._last")
+    more = F.when((rest > 0) & F.coalesce(before_cut | in_cut, before_cut, F.lit(False)), 1).otherwise(0)
+    return out.select(*kept, F.col("__row.size").alias("size"), F.col("__mix.source_size").alias("source_size"), F.col("__mix.target").alias("target"), (F.col("__row.size") * (whole + more)).cast("long").alias("taken"))
 
 
 def copies(mixed: DataFrame) -> DataFrame:
     """One row for each time that a document is taken; the columns of mix_sources go."""
     n = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)
-    return mixed.where(n > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), n))).drop("_copy", *ADDED)
+    return mixed.where(n > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1), n))).drop("__copy", *ADDED)
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
