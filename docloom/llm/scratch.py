@@ -27,13 +27,26 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own[app]}"
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    try:
+        _delete(spark, path)
+    except Exception:  # noqa: BLE001  the JVM is gone already
+        return
+
+
 class Scratch:
-    """Tables written once and reread: lineage ends there, and a lost executor costs no recomputation."""
+    """Tables written once and reread: lineage ends there, and a lost executor costs no recomputation. They go when the driver ends."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/docloom-{uuid.uuid4().hex}"
         self._n = 0
+        atexit.register(_delete_at_exit, spark, self.root)
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write df and return the written table."""
@@ -46,8 +59,7 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table made by keep() that nothing reads any more."""
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)  # type: ignore[attr-defined]
-        hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        _delete(self.spark, df._scratch_path)  # type: ignore[attr-defined]
 
 
 #: Rows of (long) keys up to which a side may be broadcast: about 24 bytes a row, 12 MB at most.
