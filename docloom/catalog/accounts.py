@@ -85,9 +85,9 @@ def activity_cap(spark, sf_dir):
     return a.capped_activity(table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "event_type"), 500)
 
 
-@query("SELECT c_custkey AS id, sha256('sk-pls-' || c_name) AS hash, substr('sk-pls-' || c_name, 1, 12) AS prefix, CASE c_custkey % 3 WHEN 0 THEN 'api,admin' WHEN 1 THEN 'mcp' ELSE '' END AS scopes FROM customer")
+@query("SELECT c_custkey AS id, sha256('sk-doc-' || c_name) AS hash, substr('sk-doc-' || c_name, 1, 12) AS prefix, CASE c_custkey % 3 WHEN 0 THEN 'api,admin' WHEN 1 THEN 'mcp' ELSE '' END AS scopes FROM customer")
 def api_keys(spark, sf_dir):
-    key = F.concat(F.lit("sk-pls-"), "c_name")
+    key = F.concat(F.lit("sk-doc-"), "c_name")
     said = F.when(F.col("c_custkey") % 3 == 0, "admin, api,root").when(F.col("c_custkey") % 3 == 1, "mcp").otherwise("none")
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), identity.hash_key(key).alias("hash"), identity.display_prefix(key).alias("prefix"), identity.write_scopes(identity.parse_scopes(said)).alias("scopes"))
 
