@@ -21,6 +21,12 @@ def iso_date(text: Column) -> Column:
     return F.when(part.rlike(_ISO + "$"), F.try_to_date(part, "yyyy-MM-dd")).cast("string")
 
 
+def date_prefix(text: Column) -> Column:
+    """What stands before a `T`, trimmed, if it is a calendar date, else null."""
+    part = F.substring_index(F.trim(text), "T", 1)
+    return F.when(part.rlike(_ISO + "$"), F.try_to_date(part, "yyyy-MM-dd")).cast("string")
+
+
 def next_day(date_to: str) -> str | None:
     """The day after the first ten characters; None for anything but a date, which then bounds nothing."""
     try:
@@ -31,12 +37,12 @@ def next_day(date_to: str) -> str | None:
 
 def document_date(text: Column, today: dt.date) -> Column:
     """An ISO date from 1900 to a year and a day from today, else null."""
-    d = iso_date(text)
+    d = date_prefix(text)
     return F.when(d.between("1900-01-01", (today + dt.timedelta(days=366)).isoformat()), d)
 
 
 def date_for_tags(result: Column, existing: Column, today: dt.date) -> Column:
-    return F.coalesce(iso_date(result), iso_date(existing), F.lit(today.isoformat()))
+    return F.coalesce(date_prefix(result), date_prefix(existing), F.lit(today.isoformat()))
 
 
 def _range(first: Column, months: int) -> Column:
@@ -74,13 +80,14 @@ def date_range(text: Column, today: dt.date) -> Column:
 
 
 def utc_timestamp(text: Column) -> Column:
-    """An ISO timestamp, taken as UTC if it names no zone; null if it is none. For order, not for display."""
-    return F.try_to_timestamp(F.when(text.rlike(_ISO), text))
+    """An ISO timestamp, taken as UTC if it names no zone, whatever the session's zone; null if it is none."""
+    zoned = text.rlike(r"[T ].*(?:[Zz]|[+-]\d{2}:?\d{2})$")
+    return F.try_to_timestamp(F.when(text.rlike(_ISO), F.when(zoned, text).when(text.rlike(_ISO + "$"), F.concat(text, F.lit("T00:00:00Z"))).otherwise(F.concat(text, F.lit("Z")))))
 
 
 def normalise_timestamp(text: Column) -> Column:
     """`2024-06-01T12:00:00+00:00` for what is a timestamp; anything else as it is."""
-    t = utc_timestamp(text)
+    t = F.to_utc_timestamp(utc_timestamp(text), F.current_timezone())
     micros = F.date_format(t, "SSSSSS")
     shown = F.concat(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"), F.when(micros != "000000", F.concat(F.lit("."), micros)).otherwise(""), F.lit("+00:00"))
     return F.coalesce(shown, text)

@@ -48,7 +48,8 @@ def tally(outcomes: DataFrame) -> DataFrame:
 def next_watermark(page: DataFrame, current: str | None = None) -> DataFrame:
     """One row, watermark: the greatest readable modified less the overlap; the current one if none can be read."""
     latest = F.max(utc_timestamp(F.col("modified"))) - F.expr(f"INTERVAL {OVERLAP_SECONDS} SECONDS")
-    return page.agg(F.coalesce(F.date_format(latest, "yyyy-MM-dd'T'HH:mm:ss'+00:00'"), F.lit(current)).alias("watermark"))
+    shown = F.date_format(F.to_utc_timestamp(latest, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    return page.agg(F.coalesce(shown, F.lit(current)).alias("watermark"))
 
 
 def update_failures(failed: DataFrame, outcomes: DataFrame, most: int = MOST_FAILURES) -> DataFrame:

@@ -177,6 +177,21 @@ def test_periods(spark, text, want):
     assert (tuple(r) if r else (None, None)) == want
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_timestamps_are_utc_in_any_session_zone(spark, zone):
+    from docloom.functions import dates
+
+    want = {"2024-06-01": "2024-06-01T00:00:00+00:00", "2024-06-01T12:00:00": "2024-06-01T12:00:00+00:00", "2024-06-01T12:00:00+02:00": "2024-06-01T10:00:00+00:00", "2024-06-01T12:00:00.5Z": "2024-06-01T12:00:00.500000+00:00", "soon": "soon", "2024-13-01": "2024-13-01", None: None}
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        t = spark.createDataFrame([(k,) for k in want], "t string")
+        assert {r[0]: r[1] for r in t.select("t", dates.normalise_timestamp(F.col("t"))).collect()} == want
+        d = spark.createDataFrame([(" 2025-01-02T10:00",), ("2025-01-02 10:00",), ("1899-01-01",), ("9999-12-31",)], "t string")
+        assert [r[0] for r in d.select(dates.document_date(F.col("t"), TODAY)).collect()] == ["2025-01-02", None, None, None]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 @pytest.mark.parametrize(
     ("guess", "entries", "method", "hit"),
     [
