@@ -38,7 +38,7 @@ def _measured(docs: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
     # window hash in the high bits, position in the low ones: a plain sort of longs brings equal windows together
     packed = F.transform(
         F.sequence(F.lit(0), F.col("_n") - 3),
-        lambda i: F.coalesce(F.expr("0L") + F.call_function("shiftleft", F.call_function("shiftright", window(i), F.col("_bits")), F.col("_bits")).bitwiseOR(i.cast("long")), F.lit(0).cast("long")),
+        lambda i: F.coalesce(F.call_function("shiftleft", F.call_function("shiftright", window(i), F.col("_bits")), F.col("_bits")).bitwiseOR(i.cast("long")), F.lit(0).cast("long")),
     )
     d = d.withColumn("_s", F.when(F.col("_n") >= 3, F.sort_array(packed)))
     high = lambda x: F.call_function("shiftright", x, F.col("_bits"))
@@ -71,7 +71,7 @@ def quality_ledger(docs: DataFrame, keys: Sequence[str] = ("doc_id",), text: str
         F.col("n_words") < 50,
         100 * F.col("n_repeat_words") > 50 * F.col("n_words"),
         10 * F.col("n_symbols") > F.col("word_chars"),
-        10 * F.col("n_dup_lines") > 3 * F.col("n_lines"),
+        2 * F.col("n_dup_lines") > F.col("n_lines"),
         F.col("word_chars") > 40 * F.col("n_words"),
     )
     bits = [F.when(c, 1 << i).otherwise(0) for i, c in enumerate(failed)]
@@ -115,6 +115,6 @@ m AS (
   FROM w LEFT JOIN ln USING (rid) LEFT JOIN cov USING (rid)),
 f AS (
   SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END + CASE WHEN 10 * n_symbols > word_chars THEN 4 ELSE 0 END
-    + CASE WHEN 10 * n_dup_lines > 3 * n_lines THEN 8 ELSE 0 END + CASE WHEN word_chars > 40 * n_words THEN 16 ELSE 0 END)::INTEGER AS failed FROM m)
+    + CASE WHEN 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END + CASE WHEN word_chars > 40 * n_words THEN 16 ELSE 0 END)::INTEGER AS failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, failed, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept FROM f
 """

@@ -270,7 +270,7 @@ def test_ledger(spark):
         want = measured("no id at all" if r.doc_id is None else TEXTS[r.doc_id])
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_lines, r.n_dup_lines, r.n_repeat_words) == want
         n, chars, symbols, lines, dup, rep = want
-        assert r.failed == (n < 50) + 2 * (100 * rep > 50 * n) + 4 * (10 * symbols > chars) + 8 * (10 * dup > 3 * lines) + 16 * (chars > 40 * n)
+        assert r.failed == (n < 50) + 2 * (100 * rep > 50 * n) + 4 * (10 * symbols > chars) + 8 * (2 * dup > lines) + 16 * (chars > 40 * n)
     for version, names in op9.POLICIES.items():
         mask = sum(1 << op9.RULES.index(x) for x in names)
         assert all(r.kept == (r.failed & mask == 0) for r in op9.apply_policy(ledger, version).collect())
