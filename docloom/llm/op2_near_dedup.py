@@ -9,12 +9,14 @@ follows from the threshold and the target recall for a pair that is parted at ea
 levels with probability 1 - threshold.
 
 Links are confirmed on the full sets in two rounds. The first takes, in each leaf, a spanning tree
-by estimated similarity, and in nodes still large at MAX_DEPTH (groups of near copies that no
-coordinate splits) the pairs with the node's smallest class. The second takes all other pairs of a
-node whose classes are still in different components; pairs in one component can't change the
-result. In large nodes that is a comparison of those not yet joined with the rest in blocks of
-BLOCK. So no pair is dropped, and copies aren't expanded into all pairs. Estimates only pass on
-pairs: those under an estimate of threshold - 5 deviations are left out.
+by estimated similarity. Nodes still large at MAX_DEPTH (groups of near copies that no coordinate
+splits) are united into clusters where they share classes; each cluster's classes are compared with
+PIVOTS of its classes, those most like a bounded sample. The second round takes all other pairs of a
+leaf whose classes are still in different components; pairs in one component can't change the
+result. In clusters the classes not yet joined to the first pivot's component are compared with all
+others in blocks of BLOCK, on full sets, each until it has one link to a component. So no pair is
+dropped, and copies aren't expanded into all pairs. Estimates only pass on pairs: those under an
+estimate of threshold - 5 deviations are left out.
 
 Defined results: null or empty texts have 0 shingles and no link; fewer than k words are one
 shingle; rows that share a doc_id are one document: their classes are linked, and if several have
@@ -34,15 +36,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.components import components
-from docloom.llm.runs import run_ends, runs_by
+from docloom.llm.runs import run_ends, runs_by, trimmed
 from docloom.llm.scratch import Scratch, broadcast_if_small
 from docloom.llm.words import U, _splitmix, column_bytes, groups, mix, shingles, words
 
 SIZE = 64
 LEAF = 24
-MAX_DEPTH = 6
+MAX_DEPTH = 8
 PLAN_DEPTH = 4
 BLOCK = 256
+PIVOTS = 4
+SAMPLE = 32
 RECALL = 0.9999
 _FACTORS = _splitmix(11, SIZE) | U(1)
 
@@ -167,20 +171,47 @@ def _leaf_pairs(cut: float, spanning: bool):
     return run
 
 
-def _block_pairs(cut: float):
-    """Pairs of a block of rows not yet joined with a block of rows of the same node."""
+def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """cluster, id, sig of a bounded sample -> the PIVOTS of each cluster, best first."""
+    for t in runs_by(batches, "cluster"):
+        key, ids, sig = t.column("cluster").to_numpy(), t.column("id").to_numpy(), _matrix(t.column("sig"))
+        rows = []
+        for lo, hi in run_ends(key):
+            x = sig[lo:hi]
+            like = np.array([(x == r).mean() for r in x])
+            rows += [(key[lo], ids[lo + k], rank) for rank, k in enumerate(np.argsort(-like, kind="stable")[:PIVOTS].tolist())]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["cluster", "pivot", "rank"])
+
+
+def _block_links(num: int, den: int, cut: float):
+    """Links of a block of lone rows with a block of rows of the same cluster: for each lone row, one to each component that it has a link to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs_by(batches, "block"):
             key, ids, sig, comp, lone = t.column("block").to_numpy(), t.column("id").to_numpy(), _matrix(t.column("sig")), t.column("component").to_numpy(), t.column("lone").to_numpy(zero_copy_only=False)
+            held = t.column("shingles").combine_chunks()
+            flat, at = held.values.to_numpy(), held.offsets.to_numpy()
+            size = np.diff(at)
+            a, b = [], []
             for lo, hi in run_ends(key):
                 rows = np.arange(lo, hi)
                 rest = rows[~lone[rows]]
                 for r in rows[lone[rows]]:
-                    near = rest[((sig[rest] == sig[r]).mean(axis=1) >= cut) & (comp[rest] != comp[r])]
-                    if len(near):
-                        a = np.full(len(near), ids[r])
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, ids[near])), pa.array(np.maximum(a, ids[near]))], ["a", "b"])
+                    like = (sig[rest] == sig[r]).mean(axis=1)
+                    # |A & B| is the smaller size at most, |A | B| the larger at least
+                    near = (like >= cut) & (comp[rest] != comp[r]) & (den * np.minimum(size[rest], size[r]) >= num * np.maximum(size[rest], size[r]))
+                    mine, done = flat[at[r] : at[r + 1]], set()
+                    for x in rest[near][np.argsort(-like[near], kind="stable")]:
+                        if comp[x] in done:
+                            continue
+                        both = len(np.intersect1d(mine, flat[at[x] : at[x + 1]], assume_unique=True))
+                        if den * both >= num * (size[r] + size[x] - both):
+                            done.add(comp[x])
+                            a.append(ids[r])
+                            b.append(ids[x])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return run
 
@@ -189,12 +220,16 @@ def _parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _full_sets(docs: DataFrame, ids: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """doc_id, shingles of the documents with these ids."""
+    texts = docs.join(broadcast_if_small(scratch.keep(ids.distinct())), "doc_id", "left_semi").select("doc_id", "text")
+    return scratch.keep(texts.mapInArrow(trimmed(_sets(k)), "doc_id long, shingles array<long>").groupBy("doc_id").agg(F.first("shingles").alias("shingles")))
+
+
 def _confirm(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int, scratch: Scratch) -> DataFrame:
     """Pairs with den * intersection >= num * union on the full sets."""
     pairs = scratch.keep(pairs.distinct())
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.join(broadcast_if_small(scratch.keep(ids)), "doc_id", "left_semi").select("doc_id", "text")
-    sets = scratch.keep(texts.mapInArrow(_sets(k), "doc_id long, shingles array<long>").groupBy("doc_id").agg(F.first("shingles").alias("shingles")))
+    sets = _full_sets(docs, pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))), k, scratch)
     # the larger id first: of a star's pairs it occurs least
     joined = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
     both = F.size(F.array_intersect("sa", "sb"))
@@ -209,16 +244,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     threshold = num / den
     cut = threshold - 5 * math.sqrt(threshold * (1 - threshold) / SIZE)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = scratch.keep(docs.mapInArrow(_signatures(k), "doc_id long, n_shingles long, k1 long, k2 long, sig binary"))
+    rows = scratch.keep(docs.mapInArrow(trimmed(_signatures(k)), "doc_id long, n_shingles long, k1 long, k2 long, sig binary"))
     known = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = known.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("id"))
     members = scratch.keep(known.select("doc_id", "k1", "k2", "n_shingles").join(classes, ["k1", "k2", "n_shingles"]).select("doc_id", "id").distinct())
     # a doc_id that occurs with several texts belongs to several classes and links them
     reps = scratch.keep(known.join(classes.select("k1", "k2", "n_shingles", "id"), ["k1", "k2", "n_shingles"]).where("doc_id = id").groupBy("id", "k1", "k2").agg(F.first("sig").alias("sig")).groupBy("id").agg(F.first("sig").alias("sig")))
 
-    leaves, level = None, reps.mapInArrow(_branch(threshold, tree_count(threshold)), "node long, id long")
+    leaves, level = None, reps.mapInArrow(trimmed(_branch(threshold, tree_count(threshold))), "node long, id long")
     for depth in range(1, MAX_DEPTH + 1):
-        level = scratch.keep(level.distinct() if depth > 1 else level)
+        level = scratch.keep(level)
         sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         sized = scratch.keep(level.join(sizes, "node"))
         scratch.drop(level)
@@ -227,27 +262,35 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
         large = sized.where(F.col("n") > LEAF).select("node", "id")
         if depth == MAX_DEPTH or large.isEmpty():
             break
-        level = large.join(reps, "id").mapInArrow(_branch(threshold), "node long, id long")
+        level = large.join(reps, "id").mapInArrow(trimmed(_branch(threshold)), "node long, id long")
 
     def signed(d: DataFrame) -> DataFrame:
         n = _parts(spark)
         return d.join(reps, "id").repartition(n, "node").sortWithinPartitions("node", "id")
 
-    spanning = signed(leaves).select("node", "id", "sig").mapInArrow(_leaf_pairs(cut, True), "a long, b long")
-    centres = large.groupBy("node").agg(F.min("id").alias("centre"))
-    stars = large.join(centres, "node").where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b"))
+    spanning = signed(leaves).select("node", "id", "sig").mapInArrow(trimmed(_leaf_pairs(cut, True)), "a long, b long")
+    stuck = not large.isEmpty()
+    pairs = spanning
+    if stuck:
+        first = large.groupBy("node").agg(F.min("id").alias("first"))
+        united = components(large.join(first, "node").select(F.col("first").alias("a"), F.col("id").alias("b")), scratch)
+        clusters = scratch.keep(united.select("id", F.col("component").alias("cluster")).join(reps, "id"))
+        sample = clusters.groupBy("cluster", F.pmod(F.xxhash64("id"), F.lit(SAMPLE)).alias("_s")).agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id", "sig")).alias("x")).select("cluster", "x.id", "x.sig")
+        pivots = scratch.keep(sample.repartition(_parts(spark), "cluster").sortWithinPartitions("cluster", "id").mapInArrow(_pivots, "cluster long, pivot long, rank long"))
+        stars = clusters.select("cluster", "id").join(pivots, "cluster").where("id <> pivot")
+        pairs = pairs.unionByName(stars.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")))
     several = members.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("doc_id", "a")
     shared = members.join(several, "doc_id").where("id <> a").select("a", F.col("id").alias("b"))
-    links = _confirm(docs, spanning.unionByName(stars), k, num, den, scratch).unionByName(shared)
+    links = _confirm(docs, pairs, k, num, den, scratch).unionByName(shared)
     labels = scratch.keep(components(links, scratch))
 
     labelled = lambda d: d.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     apart = labelled(leaves)
     split = apart.groupBy("node").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("node")
-    more = signed(apart.join(split, "node", "left_semi")).select("node", "id", "component", "sig").mapInArrow(_leaf_pairs(cut, False), "a long, b long")
-    if not large.isEmpty():
-        more = more.unionByName(_rest_pairs(scratch.keep(labelled(large)), centres, labels, reps, cut, spark))
+    more = signed(apart.join(split, "node", "left_semi")).select("node", "id", "component", "sig").mapInArrow(trimmed(_leaf_pairs(cut, False)), "a long, b long")
     second = _confirm(docs, more, k, num, den, scratch)
+    if stuck:
+        second = scratch.keep(second.unionByName(_rest_links(docs, labelled(clusters), pivots, labels, k, num, den, cut, scratch)))
     if not second.isEmpty():
         labels = scratch.keep(components(links.unionByName(second), scratch))
 
@@ -257,19 +300,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
-def _rest_pairs(large: DataFrame, centres: DataFrame, labels: DataFrame, reps: DataFrame, cut: float, spark: SparkSession) -> DataFrame:
-    """In nodes that stayed large: pairs of a class that isn't in its centre's component with any class of the node, by blocks."""
-    centre = centres.join(labels.select(F.col("id").alias("centre"), "component"), "centre", "left").select("node", F.coalesce("component", "centre").alias("main"))
-    rows = large.join(centre, "node").withColumn("lone", F.col("component") != F.col("main"))
-    sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.count_if("lone").alias("u")).where("u > 0")
+def _rest_links(docs: DataFrame, clusters: DataFrame, pivots: DataFrame, labels: DataFrame, k: int, num: int, den: int, cut: float, scratch: Scratch) -> DataFrame:
+    """Links of classes that aren't in the component of their cluster's first pivot with any class of the cluster, by blocks. clusters: cluster, id, sig, component."""
+    main = pivots.where("rank = 0").join(labels.select(F.col("id").alias("pivot"), F.col("component").alias("_c")), "pivot", "left").select("cluster", F.coalesce("_c", "pivot").alias("main"))
+    rows = clusters.join(main, "cluster").withColumn("lone", F.col("component") != F.col("main"))
+    sizes = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.count_if("lone").alias("u")).where("u > 0")
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    rows = rows.join(sizes, "node").withColumn("nm", blocks("m")).withColumn("nu", blocks("u"))
+    rows = scratch.keep(rows.join(sizes, "cluster").select("cluster", "id", "component", "lone", "sig", blocks("m").alias("nm"), blocks("u").alias("nu")))
+    sets = _full_sets(docs, rows.select(F.col("id").alias("doc_id")), k, scratch).withColumnRenamed("doc_id", "id")
     mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    key = lambda i, j: F.xxhash64("node", i, j)
-    lone = rows.where("lone").select("id", "component", F.lit(True).alias("lone"), F.explode(F.transform(F.sequence(F.lit(0), F.col("nm") - 1), lambda j: key(mine("nu"), j))).alias("block"))
-    rest = rows.select("id", "component", F.lit(False).alias("lone"), F.explode(F.transform(F.sequence(F.lit(0), F.col("nu") - 1), lambda i: key(i, mine("nm")))).alias("block"))
-    signed = lone.unionByName(rest).join(reps, "id")
-    return signed.repartition(_parts(spark), "block").sortWithinPartitions("block").select("block", "id", "component", "lone", "sig").mapInArrow(_block_pairs(cut), "a long, b long")
+    key = lambda i, j: F.xxhash64("cluster", i, j)
+    lone = rows.where("lone").select("id", "component", "sig", F.lit(True).alias("lone"), F.explode(F.transform(F.sequence(F.lit(0), F.col("nm") - 1), lambda j: key(mine("nu"), j))).alias("block"))
+    rest = rows.select("id", "component", "sig", F.lit(False).alias("lone"), F.explode(F.transform(F.sequence(F.lit(0), F.col("nu") - 1), lambda i: key(i, mine("nm")))).alias("block"))
+    whole = lone.unionByName(rest).join(sets, "id").repartition(_parts(docs.sparkSession), "block").sortWithinPartitions("block", "lone", "id")
+    return whole.select("block", "id", "component", "lone", "sig", "shingles").mapInArrow(trimmed(_block_links(num, den, cut)), "a long, b long")
 
 
 def keep_one_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
