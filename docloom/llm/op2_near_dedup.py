@@ -9,8 +9,9 @@ follows from the threshold and the target recall for a pair that is parted at ea
 levels with probability 1 - threshold.
 
 Links are confirmed on the full sets in two rounds. The first takes, in each leaf, a spanning tree
-by estimated similarity. Nodes still large at MAX_DEPTH (groups of near copies that no coordinate
-splits) are united into clusters where they share classes; each cluster's classes are compared with
+by estimated similarity. Large nodes that keep at least threshold of their parent's classes (groups
+of near copies, which no coordinate splits), and those still large at MAX_DEPTH, branch no further.
+They are united into clusters where they share classes; each cluster's classes are compared with
 PIVOTS of its classes, those most like a bounded sample. The second round takes all other pairs of a
 leaf whose classes are still in different components; pairs in one component can't change the
 result. In clusters the classes not yet joined to the first pivot's component are compared with all
@@ -42,7 +43,7 @@ from docloom.llm.words import U, _splitmix, column_bytes, groups, mix, shingles,
 
 SIZE = 64
 LEAF = 24
-MAX_DEPTH = 8
+MAX_DEPTH = 10
 PLAN_DEPTH = 4
 BLOCK = 256
 PIVOTS = 4
@@ -104,7 +105,7 @@ def _matrix(column) -> np.ndarray:
 
 
 def _branch(threshold: float, trees: int | None = None):
-    """node, id, sig -> the child nodes of each row. With trees: the roots' children."""
+    """node, id, n, sig -> the child nodes of each row, with n as the parent's size. With trees: the roots' children, whose parent counts as too large to matter."""
     extra = U(int((1 / threshold - 1) * 2**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +124,9 @@ def _branch(threshold: float, trees: int | None = None):
                     value = sig[rows_of, c.astype(np.int64)].astype(U)
                     nodes.append(mix(mix(node[rows_of] + c + U(1)) + value))
                     rows.append(rows_of)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes).view(np.int64)), pa.array(ids[np.concatenate(rows)])], ["node", "id"])
+            rows = np.concatenate(rows)
+            parent = np.full(len(rows), 1 << 50) if trees else b.column("n").to_numpy()[rows]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes).view(np.int64)), pa.array(ids[rows]), pa.array(parent)], ["node", "id", "parent"])
 
     return run
 
@@ -251,29 +254,32 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     # a doc_id that occurs with several texts belongs to several classes and links them
     reps = scratch.keep(known.join(classes.select("k1", "k2", "n_shingles", "id"), ["k1", "k2", "n_shingles"]).where("doc_id = id").groupBy("id", "k1", "k2").agg(F.first("sig").alias("sig")).groupBy("id").agg(F.first("sig").alias("sig")))
 
-    leaves, level = None, reps.mapInArrow(trimmed(_branch(threshold, tree_count(threshold))), "node long, id long")
+    leaves, held, level = None, None, reps.mapInArrow(trimmed(_branch(threshold, tree_count(threshold))), "node long, id long, parent long")
     for depth in range(1, MAX_DEPTH + 1):
         level = scratch.keep(level)
         sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         sized = scratch.keep(level.join(sizes, "node"))
         scratch.drop(level)
-        small = sized.where(F.col("n") <= LEAF).select("node", "id")
+        small, large = sized.where(F.col("n") <= LEAF).select("node", "id"), sized.where(F.col("n") > LEAF)
+        whole = F.lit(depth == MAX_DEPTH) | (den * F.col("n") >= num * F.col("parent"))
+        kept = large.where(whole).select("node", "id")
         leaves = small if leaves is None else leaves.unionByName(small)
-        large = sized.where(F.col("n") > LEAF).select("node", "id")
-        if depth == MAX_DEPTH or large.isEmpty():
+        held = kept if held is None else held.unionByName(kept)
+        large = large.where(~whole).select("node", "id", "n")
+        if large.isEmpty():
             break
-        level = large.join(reps, "id").mapInArrow(trimmed(_branch(threshold)), "node long, id long")
+        level = large.join(reps, "id").mapInArrow(trimmed(_branch(threshold)), "node long, id long, parent long")
 
     def signed(d: DataFrame) -> DataFrame:
         n = _parts(spark)
         return d.join(reps, "id").repartition(n, "node").sortWithinPartitions("node", "id")
 
     spanning = signed(leaves).select("node", "id", "sig").mapInArrow(trimmed(_leaf_pairs(cut, True)), "a long, b long")
-    stuck = not large.isEmpty()
+    stuck = not held.isEmpty()
     pairs = spanning
     if stuck:
-        first = large.groupBy("node").agg(F.min("id").alias("first"))
-        united = components(large.join(first, "node").select(F.col("first").alias("a"), F.col("id").alias("b")), scratch)
+        first = held.groupBy("node").agg(F.min("id").alias("first"))
+        united = components(held.join(first, "node").select(F.col("first").alias("a"), F.col("id").alias("b")), scratch)
         clusters = scratch.keep(united.select("id", F.col("component").alias("cluster")).join(reps, "id"))
         sample = clusters.groupBy("cluster", F.pmod(F.xxhash64("id"), F.lit(SAMPLE)).alias("_s")).agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id", "sig")).alias("x")).select("cluster", "x.id", "x.sig")
         pivots = scratch.keep(sample.repartition(_parts(spark), "cluster").sortWithinPartitions("cluster", "id").mapInArrow(_pivots, "cluster long, pivot long, rank long"))
