@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.llm.runs import trimmed
 from docloom.llm.scratch import Scratch
 from docloom.llm.tokens import default_path, encoder
 
@@ -56,7 +57,7 @@ def token_pieces(docs: DataFrame, length: int = LENGTH, tokenizer: str | None =
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 1 else pa.int64()) for i, c in enumerate(rows)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, _PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(trimmed(run), _PIECES)
 
 
 class BestFit:
@@ -133,7 +134,7 @@ def pack(pieces: DataFrame, groups: int, length: int = LENGTH) -> DataFrame:
                 offsets.append(offset)
             yield pa.RecordBatch.from_arrays([*(b.column(at(c)) for c in columns), pa.array(ids, pa.int64()), pa.array(offsets, pa.int64())], names)
 
-    return ordered.mapInArrow(run, schema)
+    return ordered.mapInArrow(trimmed(run), schema)
 
 
 def pack_documents(docs: DataFrame, length: int = LENGTH, tokenizer: str | None = None, per_group: int = PACK_PIECES) -> DataFrame:

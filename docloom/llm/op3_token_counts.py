@@ -22,6 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.llm.runs import trimmed
 from docloom.llm.tokens import Encoder, default_path, encoder
 from docloom.llm.words import groups
 
@@ -117,7 +118,7 @@ def trees(texts: Sequence[str], enc: Encoder) -> Iterator[TokenTree]:
         lens = np.concatenate([[0], np.cumsum(enc.lens[slots])])
         return np.diff(lens[offsets]).tolist()
 
-    for i, j in groups(texts, 1 << 20):
+    for i, j in groups(texts, 1 << 19):
         part = texts[i:j]
         at, slots, offsets, chars = enc.pieces(part)
         upto = np.concatenate([[0], np.cumsum(enc.lens[slots])]).astype(np.int64)
@@ -154,7 +155,7 @@ def count_tokens(docs: DataFrame, edits=example_edits, tokenizer: str | None = N
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 3 else pa.int64()) for i, c in enumerate(zip(*rows, strict=True))], [x.split()[0] for x in _SCHEMA.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, _SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(trimmed(run), _SCHEMA)
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

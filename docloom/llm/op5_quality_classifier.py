@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.llm.runs import trimmed
 from docloom.llm.scratch import Scratch, broadcast_if_small
 from docloom.llm.words import SPACE, column_bytes, groups, run_hashes, shingles
 from docloom.llm.words import _TABLE_LOWER as BYTE_VALUES
@@ -201,7 +202,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -
             x = statistics(column_bytes(b.column(1))).astype(np.float64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2).cast(pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "y", "x"])
 
-    t = rows.mapInArrow(run, "doc_id long, y int, x binary").orderBy("doc_id", "y", "x").toArrow()  # bound rows, 200 bytes each
+    t = rows.mapInArrow(trimmed(run), "doc_id long, y int, x binary").orderBy("doc_id", "y", "x").toArrow()  # bound rows, 200 bytes each
     x = np.frombuffer(b"".join(t.column("x").to_pylist()), dtype=np.float64).reshape(-1, len(STATISTICS))
     return x, t.column("y").to_numpy().astype(np.float64)
 
@@ -218,7 +219,7 @@ def classify(docs: DataFrame, model: Trees, keep: Sequence[str] = ("doc_id",), t
             score = model.score(statistics(column_bytes(b.column(at))))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(names))), pa.array(score, pa.float64())], [*names, "score"])
 
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(trimmed(run), schema)
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

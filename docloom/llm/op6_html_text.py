@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.llm.runs import trimmed
 from docloom.llm.scratch import Scratch, broadcast_if_small
 
 SHARE = 0.85
@@ -244,7 +245,7 @@ def _host(url: Column) -> Column:
 
 def winning_paths(pages: DataFrame) -> DataFrame:
     """host, path, pages that voted for it. Votes are summed before they move, so a host of any size is a few rows a task."""
-    votes = pages.select(_host(F.col("url")).alias("host"), "html").mapInArrow(_votes, "host string, path string, chars long")
+    votes = pages.select(_host(F.col("url")).alias("host"), "html").mapInArrow(trimmed(_votes), "host string, path string, chars long")
     by = votes.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
     return by.groupBy("host").agg(F.min(F.struct((-F.col("n")).alias("n"), (-F.col("chars")).alias("chars"), "path")).alias("w")).select("host", F.col("w.path").alias("path"), (-F.col("w.n")).alias("votes"))
 
@@ -254,7 +255,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     winners = Scratch(pages.sparkSession).keep(winning_paths(pages))
     held = broadcast_if_small(winners.select(F.col("host").alias("_host"), "path"), 100_000)
     rows = pages.select("page_id", "url", "html").join(held, _host(F.col("url")) == F.col("_host"), "left").select("page_id", "url", "html", "path")
-    return rows.mapInArrow(_texts, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(trimmed(_texts), "page_id long, url string, text string, n_chars long")
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docloom.llm.runs import trimmed
 from docloom.llm.scratch import Scratch, broadcast_if_small
 
 
@@ -99,7 +100,7 @@ def collisions(docs: DataFrame, prints: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     members = scratch.keep(prints.join(shared, "fingerprint").select("doc_id", "fingerprint", "rep").distinct())
     ids = broadcast_if_small(members.select("doc_id").distinct())
-    texts = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_canonical_batches, "doc_id long, canon string")
+    texts = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(trimmed(_canonical_batches), "doc_id long, canon string")
     held = scratch.keep(members.join(texts, "doc_id"))
     firsts = held.where("doc_id = rep").groupBy("rep").agg(F.min("canon").alias("first_canon"))
     return held.where("doc_id <> rep").join(firsts, "rep").where("canon <> first_canon").groupBy("doc_id").agg(F.min(F.concat_ws(":", "fingerprint", F.sha2("canon", 256))).alias("own"))
@@ -113,11 +114,11 @@ def fingerprint_documents(docs: DataFrame, partitions: int | None = None) -> Dat
     order = F.col("doc_id").asc_nulls_last()
     scratch = Scratch(spark)
     ranged = docs.repartitionByRange(n, order).sortWithinPartitions(order, "text")
-    found = scratch.keep(ranged.mapInArrow(_in_order, f"{_SCHEMA}, part int, first string, last string"))
+    found = scratch.keep(ranged.mapInArrow(trimmed(_in_order), f"{_SCHEMA}, part int, first string, last string"))
     ends = found.where(F.col("part").isNotNull())  # a row for each range
     w = Window.orderBy("part")
     following = F.coalesce(F.lead("first").over(w), F.first("first").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    closed = ends.select("doc_id", F.col("last").alias("text"), following.alias("following")).mapInArrow(_ends, _SCHEMA)
+    closed = ends.select("doc_id", F.col("last").alias("text"), following.alias("following")).mapInArrow(trimmed(_ends), _SCHEMA)
     out = scratch.keep(found.where(F.col("part").isNull()).select(*_COLUMNS).unionByName(closed))
     other = broadcast_if_small(scratch.keep(collisions(docs, out.select("doc_id", "fingerprint"))))
     return out.join(other, "doc_id", "left").withColumn("fingerprint", F.coalesce("own", "fingerprint")).select(*_COLUMNS)

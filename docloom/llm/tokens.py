@@ -73,7 +73,7 @@ def split_starts(cps: np.ndarray, first: np.ndarray) -> np.ndarray:
 class Encoder:
     """One a worker and vocabulary file; get it by encoder()."""
 
-    def __init__(self, path: str, most: int = 1_000_000) -> None:
+    def __init__(self, path: str, most: int = 500_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -135,7 +135,7 @@ class Encoder:
 
     def encode(self, texts: Sequence[str]):
         """Yields each text's ids, as encode(text, add_special_tokens=False) of the tokenizer gives them."""
-        for i, j in groups(texts, 1 << 20):
+        for i, j in groups(texts, 1 << 19):
             part = texts[i:j]
             odd = {k for k, t in enumerate(part) if any(s in t for s in self.special)}
             ids, offsets = self._plain(["" if k in odd else t for k, t in enumerate(part)])

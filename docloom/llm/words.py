@@ -70,11 +70,12 @@ def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 
 
 #: Bytes of text that one numpy pass takes; about 60 times as much memory at the peak.
-PASS_BYTES = 1 << 21
+PASS_BYTES = 1 << 19
 
 
-def pieces(text: bytes, most: int = PASS_BYTES) -> Iterator[bytes]:
+def pieces(text: bytes, most: int | None = None) -> Iterator[bytes]:
     """text cut before single spaces between non-spaces, into pieces of about `most` bytes."""
+    most = most or PASS_BYTES
     at = 0
     while len(text) - at > most:
         cut = at + most
@@ -91,8 +92,9 @@ def pieces(text: bytes, most: int = PASS_BYTES) -> Iterator[bytes]:
     yield text[at:]
 
 
-def groups(texts: Sequence[bytes], most: int = PASS_BYTES) -> Iterator[tuple[int, int]]:
+def groups(texts: Sequence[bytes], most: int | None = None) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of `most` bytes or so together."""
+    most = most or PASS_BYTES
     at, size = 0, 0
     for i, t in enumerate(texts):
         size += len(t)
