@@ -147,6 +147,17 @@ def test_shared_passages(spark):
             assert a == b
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_a_passage_of_which_smaller_documents_hold_parts(spark, parts):
+    rng = random.Random(4)
+    around = lambda w: " ".join(prose(rng, 40, 10**6) + w + prose(rng, 40, 10**6))
+    passage = prose(rng, 60, 10**6)
+    rows = [(10, around(passage[:36])), (20, around(passage[25:])), (500, around(passage)), (900, around(passage))]
+    got = op1.shared_passages(frame(spark, rows).repartition(parts)).collect()
+    assert {(r.doc_id, r.partner_doc_id) for r in got} == {(900, 500)}
+    assert all((r.start_word, r.end_word, r.partner_start, r.partner_end, r.identity) == (40, 100, 40, 100, 1) for r in got)
+
+
 def test_passages_go_but_the_first_holder_keeps_them(spark):
     rows = shared()
     docs = frame(spark, rows)
