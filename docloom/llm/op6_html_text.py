@@ -5,7 +5,7 @@ forms, scripts, styles and reader comments are recognised by tag, role and class
 container is the deepest element that holds SHARE of its remaining text outside links, and its
 generalised path (tags with classes, digits removed) is the page's vote. Votes are counted per host
 in Spark; then every page is parsed again and the elements on its host's winning path are taken. A
-page where that path holds less than half of the text keeps its own container.
+page where that path leaves out any text, links aside, gives the deepest element that holds all of it.
 
 Blocks are what block elements delimit; character references are decoded, white space inside a
 block becomes one space, and blocks are joined by a newline in page order.
@@ -34,6 +34,7 @@ SHARE = 0.85
 _TAG = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*)([^<>]*)>)""", re.S)
 _CLASS = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
+_LETTER = re.compile(r"[^\W_]")
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes", "svg", "math")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -141,18 +142,18 @@ class Page:
                 self.chunks.append((stack[-1], block, rest))
 
     def sizes(self) -> list[int]:
-        """Characters of counted text in each element."""
+        """Characters of counted text in each element; marks between links don't count."""
         size = [0] * len(self.tag)
         for node, _, text in self.chunks:
-            if not self.skip[node] and not self.link[node]:
+            if not self.skip[node] and not self.link[node] and _LETTER.search(unescape(text) if "&" in text else text):
                 size[node] += len(text.strip())
         for i in range(len(size) - 1, 0, -1):
             size[self.parent[i]] += size[i]
         return size
 
-    def container(self, size: list[int]) -> int:
-        """The deepest container with SHARE of the text; 0, the whole page, if there is none."""
-        least, best = SHARE * size[0], 0
+    def container(self, size: list[int], share: float = SHARE) -> int:
+        """The deepest container with this share of the text; 0, the whole page, if there is none."""
+        least, best = share * size[0], 0
         if size[0]:
             for i, n in enumerate(size):
                 if n >= least and self.tag[i] in _CONTAINERS:
@@ -212,9 +213,9 @@ def extract(html: str, winning: str | None = None) -> str:
     size = page.sizes()
     if winning:
         nodes = page.on_path(path_hash(winning))
-        if nodes and 2 * sum(size[n] for n in nodes) >= size[0]:
+        if nodes and sum(size[n] for n in nodes) == size[0]:
             return page.text(nodes)
-    return page.text([page.container(size)])
+    return page.text([page.container(size, 1)])
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

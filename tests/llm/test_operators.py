@@ -171,6 +171,15 @@ def test_hosts_vote(spark):
     assert op6.extract_main_text(pages.limit(0)).count() == 0
 
 
+def test_no_article_text_outside_the_container_is_lost():
+    body = "<p>" + "word " * 60 + "</p>"
+    words = ("word " * 60).strip()
+    page = f"<body><nav>menu</nav><div><a href=/x>x</a> | <a href=/y>y</a></div><article><h1>Title</h1><p>lead</p><div class=body>{body}</div></article></body>"
+    assert op6.extract(page) == op6.extract(page, "body/article/div.body") == f"Title\nlead\n{words}"
+    page = f"<body><article><div class=body>{body}</div><div class=more>{body}</div><div class=ad>Buy</div></article></body>"
+    assert op6.extract(page) == op6.extract(page, "body/article/div.body") == f"{words}\n{words}"
+
+
 def test_all_pages_of_the_tables(spark):
     docs = {(r.text or "").strip() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = op6.op6_html_text(spark, SF).collect()
