@@ -158,6 +158,17 @@ def test_a_passage_of_which_smaller_documents_hold_parts(spark, parts):
     assert all((r.start_word, r.end_word, r.partner_start, r.partner_end, r.identity) == (40, 100, 40, 100, 1) for r in got)
 
 
+@pytest.mark.parametrize("every", [6, 7, 8])
+def test_passages_with_an_edit_in_every_few_words(spark, every):
+    rng = random.Random(every)
+    around = lambda w: " ".join(prose(rng, 40, 10**6) + w + prose(rng, 40, 10**6))
+    rows = []
+    for i in range(40):
+        passage = prose(rng, 59, 10**6)
+        rows += [(i, around(passage)), (100 + i, around([f"e{rng.randrange(10**6)}" if j % every == every - 1 else w for j, w in enumerate(passage)]))]
+    assert {(r.doc_id, r.partner_doc_id) for r in op1.shared_passages(frame(spark, rows)).collect()} == {(100 + i, i) for i in range(40)}
+
+
 def test_passages_go_but_the_first_holder_keeps_them(spark):
     rows = shared()
     docs = frame(spark, rows)
