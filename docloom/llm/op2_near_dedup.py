@@ -4,36 +4,42 @@ A document is the set of its k-word shingles; those with equal sets are one clas
 doc_id stands for it. Every class has SIZE minwise values. In each of several independent trees the
 classes of a node branch by minwise coordinates that the node's path chooses: one for certain and
 a second with probability 1 / threshold - 1, so that a pair at the threshold stays together in one
-node of each level on average. Nodes of at most LEAF classes are compared exhaustively. The number of trees
-follows from the threshold and the target recall for a pair that is parted at each of PLAN_DEPTH
-levels with probability 1 - threshold.
-
-Links are confirmed on the full sets in two rounds. The first takes, in each leaf, a spanning tree
-by estimated similarity. Large nodes that keep at least threshold of their parent's classes (groups
-of near copies, which no coordinate splits), and those still large at MAX_DEPTH, branch no further.
-They are united into clusters where they share classes; each cluster's classes are compared with
-PIVOTS of its classes, those most like a bounded sample. The second round takes all other pairs of a
-leaf whose classes are still in different components; pairs in one component can't change the
-result. In clusters the classes not yet joined to the first pivot's component are compared with all
-others in blocks of BLOCK, on full sets, each until it has one link to a component. So no pair is
-dropped, and copies aren't expanded into all pairs. Estimates only pass on pairs: those under an
-estimate of threshold - 5 deviations are left out.
+node of each level on average. Nodes of at most LEAF classes are compared exhaustively; equal nodes
+of several trees are compared once. `survival` gives the chance that a pair at the threshold is
+still together after PLAN_DEPTH levels of one tree; there are as many trees as make it RECALL over
+all of them.
+
+Groups of near copies aren't split by coordinates, so they leave the trees before these branch: in
+the first PEELS levels each large node gets a pivot, the class most like a bounded sample of it, and
+all of the node are compared with the pivot on full sets. Those linked with it branch no further.
+What else could be linked with one of them has, by the triangle inequality of Jaccard distances, a
+similarity of 2 * threshold - 1 or more with the pivot: these few are compared with all of the
+pivot's component, in blocks and on full sets. Nodes whose classes are all in one component branch
+no further either, for no link of theirs can change the result, and nodes that are still large at
+MAX_DEPTH are compared in blocks.
+
+Other links are confirmed on the full sets in two rounds. The first takes, in each leaf, a spanning
+tree by estimated similarity. The second takes all other pairs of a leaf whose classes are still in
+different components. So no pair is dropped, and copies aren't expanded into all pairs. Estimates
+only pass on pairs: those under an estimate of threshold - 4 deviations are left out.
 
 Defined results: null or empty texts have 0 shingles and no link; fewer than k words are one
-shingle; rows that share a doc_id are one document: their classes are linked, and if several have
-that doc_id as the smallest, one of them is compared with others; rows without doc_id are neither
-linked nor dropped (component null, kept true); ties can't arise, for the smallest doc_id
-decides; empty tables give empty results; extra columns aren't read.
+shingle; texts of any length are read whole, in pieces; rows that share a doc_id are one document:
+their classes are linked, and if several have that doc_id as the smallest, one of them is compared
+with others; rows without doc_id are neither linked nor dropped (component null, kept true); ties
+can't arise, for the smallest doc_id decides; empty tables give empty results; extra columns aren't
+read.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.components import components
@@ -42,18 +48,27 @@ from docloom.llm.scratch import Scratch, broadcast_if_small
 from docloom.llm.words import U, _splitmix, column_bytes, groups, mix, shingles, words
 
 SIZE = 64
-LEAF = 24
+LEAF = 64
 MAX_DEPTH = 10
-PLAN_DEPTH = 4
-BLOCK = 256
-PIVOTS = 4
+PLAN_DEPTH = 6
+PEELS = 2
+BLOCK = 512
 SAMPLE = 32
 RECALL = 0.9999
+DEVIATIONS = 4
 _FACTORS = _splitmix(11, SIZE) | U(1)
 
 
+def survival(threshold: float, depth: int) -> float:
+    """Chance that a pair with this similarity shares a node of that level of one tree."""
+    s = 1.0
+    for _ in range(depth):
+        s = 1 - (1 - threshold * s) * (1 - (1 - threshold) * s)
+    return s
+
+
 def tree_count(threshold: float, recall: float = RECALL) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - threshold**PLAN_DEPTH))
+    return math.ceil(math.log(1 - recall) / math.log(1 - survival(threshold, PLAN_DEPTH)))
 
 
 def _signatures(k: int):
@@ -105,7 +120,7 @@ def _matrix(column) -> np.ndarray:
 
 
 def _branch(threshold: float, trees: int | None = None):
-    """node, id, n, sig -> the child nodes of each row, with n as the parent's size. With trees: the roots' children, whose parent counts as too large to matter."""
+    """node, id, sig -> the child nodes of each row; with trees: id, sig -> the roots' children."""
     extra = U(int((1 / threshold - 1) * 2**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,9 +128,8 @@ def _branch(threshold: float, trees: int | None = None):
             sig, ids = _matrix(b.column("sig")), b.column("id").to_numpy()
             if not len(ids):
                 continue
-            roots = mix(np.arange(1, trees + 1, dtype=U)) if trees else None
             nodes, rows = [], []
-            for r in roots if trees else [None]:
+            for r in mix(np.arange(1, trees + 1, dtype=U)) if trees else [None]:
                 node = np.full(len(ids), r, dtype=U) if trees else b.column("node").to_numpy().view(U)
                 c1, c2 = mix(node ^ U(0xA5A5)) % U(SIZE), mix(node ^ U(0x5A5A)) % U(SIZE)
                 two = (mix(node ^ U(0x1234)) < extra) & (c1 != c2)
@@ -125,32 +139,29 @@ def _branch(threshold: float, trees: int | None = None):
                     nodes.append(mix(mix(node[rows_of] + c + U(1)) + value))
                     rows.append(rows_of)
             rows = np.concatenate(rows)
-            parent = np.full(len(rows), 1 << 50) if trees else b.column("n").to_numpy()[rows]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes).view(np.int64)), pa.array(ids[rows]), pa.array(parent)], ["node", "id", "parent"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes).view(np.int64)), pa.array(ids[rows])], ["node", "id"])
 
     return run
 
 
 def _leaf_pairs(cut: float, spanning: bool):
-    """Pairs of the same node: spanning: a tree over estimates of `cut` or more; else all such pairs of different components."""
+    """Pairs of one node and of different components: spanning: a tree over estimates of `cut` or more; else all such pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs_by(batches, "node"):
-            nodes, ids, sig = t.column("node").to_numpy(), t.column("id").to_numpy(), _matrix(t.column("sig"))
-            comp = None if spanning else t.column("component").to_numpy()
+            nodes, ids, sig, comp = t.column("node").to_numpy(), t.column("id").to_numpy(), _matrix(t.column("sig")), t.column("component").to_numpy()
             a, b = [], []
             for lo, hi in run_ends(nodes):
                 m = hi - lo
                 if m < 2:
                     continue
-                x = sig[lo:hi]
-                like = np.stack([(x == r).mean(axis=1) for r in x])
-                i, j = np.nonzero(np.triu(like >= cut, 1))
-                if not spanning:
-                    other = comp[lo + i] != comp[lo + j]
-                    i, j = i[other], j[other]
-                elif len(i) > 1:
-                    root = list(range(m))
+                x, c = sig[lo:hi], comp[lo:hi]
+                like = np.zeros((m, m), dtype=np.uint8)
+                for column in x.T:
+                    like += column[:, None] == column[None, :]
+                i, j = np.nonzero(np.triu((like >= cut * SIZE) & (c[:, None] != c[None, :]), 1))
+                if spanning and len(i) > 1:
+                    root = {v: v for v in c.tolist()}
 
                     def find(v: int, root=root) -> int:
                         while root[v] != v:
@@ -159,8 +170,8 @@ def _leaf_pairs(cut: float, spanning: bool):
                         return v
 
                     pick = []
-                    for e in np.argsort(-like[i, j], kind="stable"):
-                        p, q = find(int(i[e])), find(int(j[e]))
+                    for e in np.argsort(-like[i, j].astype(np.int16), kind="stable"):
+                        p, q = find(int(c[i[e]])), find(int(c[j[e]]))
                         if p != q:
                             root[p] = q
                             pick.append(e)
@@ -174,21 +185,32 @@ def _leaf_pairs(cut: float, spanning: bool):
     return run
 
 
-def _pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """cluster, id, sig of a bounded sample -> the PIVOTS of each cluster, best first."""
-    for t in runs_by(batches, "cluster"):
-        key, ids, sig = t.column("cluster").to_numpy(), t.column("id").to_numpy(), _matrix(t.column("sig"))
+def _medoids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, id, sig of a bounded sample -> each node's pivot, the one most like the others."""
+    for t in runs_by(batches, "node"):
+        key, ids, sig = t.column("node").to_numpy(), t.column("id").to_numpy(), _matrix(t.column("sig"))
         rows = []
         for lo, hi in run_ends(key):
             x = sig[lo:hi]
-            like = np.array([(x == r).mean() for r in x])
-            rows += [(key[lo], ids[lo + k], rank) for rank, k in enumerate(np.argsort(-like, kind="stable")[:PIVOTS].tolist())]
+            rows.append((key[lo], ids[lo + int(np.argmax([(x == r).mean() for r in x]))]))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["cluster", "pivot", "rank"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["node", "pivot"])
+
+
+def _alike(cut: float):
+    """id, pivot, sig, pivot_sig -> id, pivot of those whose estimate is `cut` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                near = (_matrix(b.column(2)) == _matrix(b.column(3))).mean(axis=1) >= cut
+                yield b.select([0, 1]).filter(pa.array(near))
+
+    return run
 
 
 def _block_links(num: int, den: int, cut: float):
-    """Links of a block of lone rows with a block of rows of the same cluster: for each lone row, one to each component that it has a link to."""
+    """Links of a block's lone rows with its other rows: for each lone row, one to each component that it has a link to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs_by(batches, "block"):
@@ -199,12 +221,19 @@ def _block_links(num: int, den: int, cut: float):
             a, b = [], []
             for lo, hi in run_ends(key):
                 rows = np.arange(lo, hi)
-                rest = rows[~lone[rows]]
-                for r in rows[lone[rows]]:
+                rest, ones = rows[~lone[rows]], rows[lone[rows]]
+                if not len(rest) or not len(ones):
+                    continue
+                there = np.unique(np.concatenate([flat[at[r] : at[r + 1]] for r in rest]))
+                for r in ones:
+                    mine, done = flat[at[r] : at[r + 1]], set()
+                    # of a set with a link at least the threshold's share of its own shingles stands in the other
+                    held_too = np.searchsorted(there, mine)
+                    if den * np.count_nonzero(there[np.minimum(held_too, len(there) - 1)] == mine) < num * len(mine):
+                        continue
                     like = (sig[rest] == sig[r]).mean(axis=1)
                     # |A & B| is the smaller size at most, |A | B| the larger at least
                     near = (like >= cut) & (comp[rest] != comp[r]) & (den * np.minimum(size[rest], size[r]) >= num * np.maximum(size[rest], size[r]))
-                    mine, done = flat[at[r] : at[r + 1]], set()
                     for x in rest[near][np.argsort(-like[near], kind="stable")]:
                         if comp[x] in done:
                             continue
@@ -219,109 +248,195 @@ def _block_links(num: int, den: int, cut: float):
     return run
 
 
-def _parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def _full_sets(docs: DataFrame, ids: DataFrame, k: int, scratch: Scratch) -> DataFrame:
     """doc_id, shingles of the documents with these ids."""
     texts = docs.join(broadcast_if_small(scratch.keep(ids.distinct())), "doc_id", "left_semi").select("doc_id", "text")
     return scratch.keep(texts.mapInArrow(trimmed(_sets(k)), "doc_id long, shingles array<long>").groupBy("doc_id").agg(F.first("shingles").alias("shingles")))
 
 
-def _confirm(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """Pairs with den * intersection >= num * union on the full sets."""
+def _compared(docs: DataFrame, pairs: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """Pairs with i, the size of the intersection, and u, that of the union of the full sets."""
     pairs = scratch.keep(pairs.distinct())
     sets = _full_sets(docs, pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))), k, scratch)
     # the larger id first: of a star's pairs it occurs least
     joined = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
     both = F.size(F.array_intersect("sa", "sb"))
-    joined = joined.select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb")).alias("n"))
-    return scratch.keep(joined.where(den * F.col("i") >= num * (F.col("n") - F.col("i"))).select("a", "b"))
+    out = scratch.keep(joined.select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb")).alias("n")))
+    scratch.drop(sets)
+    return out.select("a", "b", "i", (F.col("n") - F.col("i")).alias("u"))
+
+
+def _ordered(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+class _Search:
+    """Trees, pivots and links of one table's classes. reps: id, sig of each class."""
+
+    def __init__(self, docs: DataFrame, reps: DataFrame, k: int, num: int, den: int, scratch: Scratch) -> None:
+        self.docs, self.reps, self.k, self.num, self.den, self.scratch = docs, reps, k, num, den, scratch
+        self.threshold = num / den
+        self.cut = self._less(self.threshold)
+        self.parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    @staticmethod
+    def _less(similarity: float) -> float:
+        return similarity - DEVIATIONS * math.sqrt(similarity * (1 - similarity) / SIZE)
+
+    def _by(self, d: DataFrame, key: str) -> DataFrame:
+        return d.repartition(self.parts, key).sortWithinPartitions(key, "id")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Those pairs that the full sets confirm."""
+        return _compared(self.docs, pairs, self.k, self.scratch).where(self.den * F.col("i") >= self.num * F.col("u")).select("a", "b")
+
+    def labelled(self, d: DataFrame, labels: DataFrame | None) -> DataFrame:
+        if labels is None:
+            return d.withColumn("component", F.col("id"))
+        return d.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+    def peel(self, large: DataFrame, seen: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """large (node, id) without the classes linked with their node's pivot, and all pairs compared so far: a, b, i, u."""
+        keep, join = self.scratch.keep, broadcast_if_small
+        sample = large.groupBy("node", F.pmod(F.xxhash64("id"), F.lit(SAMPLE)).alias("_s")).agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("x")).select("node", "x.id")
+        pivots = keep(self._by(sample.join(self.reps, "id"), "node").mapInArrow(trimmed(_medoids), "node long, pivot long"))
+        held = keep(large.join(join(pivots), "node"))
+        pairs = held.where("id <> pivot").select("id", "pivot").distinct()
+        if seen is not None:
+            known = seen.select(F.col("a").alias("id"), F.col("b").alias("pivot")).unionByName(seen.select(F.col("b").alias("id"), F.col("a").alias("pivot")))
+            pairs = pairs.join(known, ["id", "pivot"], "left_anti")
+        of_pivots = keep(self.reps.join(join(pivots.select(F.col("pivot").alias("id")).distinct()), "id", "left_semi").select(F.col("id").alias("pivot"), F.col("sig").alias("pivot_sig")))
+        signed = pairs.join(self.reps, "id").join(join(of_pivots, 20_000), "pivot").select("id", "pivot", "sig", "pivot_sig")
+        alike = keep(signed.mapInArrow(trimmed(_alike(max(0.0, self._less(2 * self.threshold - 1)))), "id long, pivot long"))
+        found = _compared(self.docs, alike.select(*_ordered("id", "pivot")), self.k, self.scratch)
+        if seen is not None:
+            found = found.unionByName(seen)
+        linked = found.where(self.den * F.col("i") >= self.num * F.col("u"))
+        gone = linked.select(F.col("a").alias("id"), F.col("b").alias("pivot")).unionByName(linked.select(F.col("b").alias("id"), F.col("a").alias("pivot")))
+        left = held.where("id <> pivot").join(gone, ["id", "pivot"], "left_anti").select("node", "id")
+        return keep(left), found
+
+    def leaves(self, small: DataFrame) -> DataFrame:
+        """Rows (node, id) of nodes of two or more classes, equal nodes once."""
+        held = small.groupBy("node").agg(F.sort_array(F.collect_list("id")).alias("ids")).where(F.size("ids") > 1)
+        return self.scratch.keep(held.select("ids").distinct().select(F.xxhash64("ids").alias("node"), F.explode("ids").alias("id")))
+
+    def leaf_pairs(self, rows: DataFrame, spanning: bool) -> DataFrame:
+        """rows: node, id, component."""
+        return self._by(rows.join(self.reps, "id"), "node").select("node", "id", "component", "sig").mapInArrow(trimmed(_leaf_pairs(self.cut, spanning)), "a long, b long")
+
+    def blocks(self, lone: DataFrame, rest: DataFrame) -> DataFrame:
+        """Links of lone rows with others of the same group and of another component; lone, rest: group, id, component.
+
+        Either side is dealt into blocks of about BLOCK rows and each block meets each of the other side."""
+        keep = self.scratch.keep
+        count = lambda d, n: d.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(n))
+        sizes = broadcast_if_small(keep(count(lone, "nu").join(count(rest, "nm"), "group")))
+        lone, rest = keep(lone.join(sizes, "group")), keep(rest.join(sizes, "group"))
+        sets = _full_sets(self.docs, lone.select(F.col("id").alias("doc_id")).unionByName(rest.select(F.col("id").alias("doc_id"))), self.k, self.scratch).withColumnRenamed("doc_id", "id")
+        mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+        key = lambda i, j: F.xxhash64("group", i, j)
+        one = lone.select("id", "component", F.lit(True).alias("lone"), F.explode(F.transform(F.sequence(F.lit(0), F.col("nm") - 1), lambda j: key(mine("nu"), j))).alias("block"))
+        other = rest.select("id", "component", F.lit(False).alias("lone"), F.explode(F.transform(F.sequence(F.lit(0), F.col("nu") - 1), lambda i: key(i, mine("nm")))).alias("block"))
+        whole = self._by(one.unionByName(other).join(sets, "id").join(self.reps, "id"), "block")
+        return keep(whole.select("block", "id", "component", "lone", "sig", "shingles").mapInArrow(trimmed(_block_links(self.num, self.den, self.cut)), "a long, b long"))
+
+    def fringe_links(self, found: DataFrame, labels: DataFrame) -> DataFrame:
+        """Links of classes near a pivot, but of another component, with that pivot's component. found: pairs with a pivot, a, b, i, u."""
+        close = found.where(self.den * F.col("i") >= (2 * self.num - self.den) * F.col("u"))
+        ends = self.labelled(close.select(F.col("a").alias("id"), "b"), labels).select(F.col("id").alias("a"), F.col("component").alias("ca"), F.col("b").alias("id"))
+        ends = self.scratch.keep(self.labelled(ends, labels).where("component <> ca").select("a", "ca", F.col("id").alias("b"), F.col("component").alias("cb")))
+        # either may be the pivot: each is held against the other's component
+        lone = ends.select(F.col("cb").alias("group"), F.col("a").alias("id"), F.col("ca").alias("component")).unionByName(ends.select(F.col("ca").alias("group"), F.col("b").alias("id"), F.col("cb").alias("component"))).distinct()
+        rest = labels.select(F.col("component").alias("group"), "id", "component").join(broadcast_if_small(self.scratch.keep(lone.select("group").distinct())), "group", "left_semi")
+        return self.blocks(lone, rest)
+
+    def run(self, shared: DataFrame) -> DataFrame | None:
+        """id and component of the classes with links. shared: a, b of classes that one doc_id links."""
+        keep = self.scratch.keep
+        level = self.reps.mapInArrow(trimmed(_branch(self.threshold, tree_count(self.threshold))), "node long, id long")
+        leaves, stuck, seen, labels, links = [], None, None, None, [keep(shared)]
+        for depth in range(1, MAX_DEPTH + 1):
+            level = keep(level)
+            sizes = keep(level.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LEAF).select("node"))
+            if sizes.isEmpty():
+                leaves.append(self.leaves(level))
+                break
+            held = broadcast_if_small(sizes)
+            leaves.append(self.leaves(level.join(held, "node", "left_anti")))
+            large = keep(level.join(held, "node", "left_semi"))
+            self.scratch.drop(level)
+            if depth <= PEELS:
+                large, seen = self.peel(large, seen)
+            if depth == PEELS:
+                star = keep(seen.where(self.den * F.col("i") >= self.num * F.col("u")).select("a", "b"))
+                labels = keep(components(star.unionByName(links[0]), self.scratch))
+            if labels is not None:
+                # large nodes of one component alone are done, and others may be small by now
+                by = self.labelled(large, labels).groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("x"), F.max("component").alias("y"))
+                mixed = broadcast_if_small(keep(by.where("x <> y").select("node", (F.col("n") > LEAF).alias("branches"))))
+                rest = keep(large.join(mixed, "node"))
+                leaves.append(self.leaves(rest.where("NOT branches").select("node", "id")))
+                large = rest.where("branches").select("node", "id")
+            if large.isEmpty():
+                break
+            if depth == MAX_DEPTH:
+                stuck = large
+                break
+            level = large.join(self.reps, "id").select("node", "id", "sig").mapInArrow(trimmed(_branch(self.threshold)), "node long, id long")
+        if seen is not None:
+            if labels is None:
+                star = keep(seen.where(self.den * F.col("i") >= self.num * F.col("u")).select("a", "b"))
+                labels = keep(components(star.unionByName(links[0]), self.scratch))
+            fringe = self.fringe_links(seen, labels)
+            links += [star, fringe]
+        rows = keep(reduce(DataFrame.unionByName, leaves).distinct())
+
+        def united() -> DataFrame:
+            return keep(components(reduce(DataFrame.unionByName, links), self.scratch))
+
+        if seen is not None and not fringe.isEmpty():
+            labels = united()
+        links.append(self.links(self.leaf_pairs(self._apart(rows, labels), True)))
+        labels = united()
+        second = self.links(self.leaf_pairs(self._apart(rows, labels), False))
+        if stuck is not None:
+            side = self.labelled(stuck, labels).select(F.col("node").alias("group"), "id", "component")
+            second = keep(second.unionByName(self.blocks(side, side)))
+        if not second.isEmpty():
+            links.append(second)
+            labels = united()
+        return labels
+
+    def _apart(self, rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+        """Labelled rows of leaves that hold several components."""
+        if labels is None:
+            return self.labelled(rows, None)
+        rows = self.scratch.keep(self.labelled(rows, labels))
+        split = rows.groupBy("node").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("node")
+        return rows.join(split, "node", "left_semi")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs (doc_id, text). Linked: den * intersection >= num * union."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    threshold = num / den
-    cut = threshold - 5 * math.sqrt(threshold * (1 - threshold) / SIZE)
+    scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = scratch.keep(docs.mapInArrow(trimmed(_signatures(k)), "doc_id long, n_shingles long, k1 long, k2 long, sig binary"))
     known = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = known.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("id"))
     members = scratch.keep(known.select("doc_id", "k1", "k2", "n_shingles").join(classes, ["k1", "k2", "n_shingles"]).select("doc_id", "id").distinct())
-    # a doc_id that occurs with several texts belongs to several classes and links them
     reps = scratch.keep(known.join(classes.select("k1", "k2", "n_shingles", "id"), ["k1", "k2", "n_shingles"]).where("doc_id = id").groupBy("id", "k1", "k2").agg(F.first("sig").alias("sig")).groupBy("id").agg(F.first("sig").alias("sig")))
-
-    leaves, held, level = None, None, reps.mapInArrow(trimmed(_branch(threshold, tree_count(threshold))), "node long, id long, parent long")
-    for depth in range(1, MAX_DEPTH + 1):
-        level = scratch.keep(level)
-        sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        sized = scratch.keep(level.join(sizes, "node"))
-        scratch.drop(level)
-        small, large = sized.where(F.col("n") <= LEAF).select("node", "id"), sized.where(F.col("n") > LEAF)
-        whole = F.lit(depth == MAX_DEPTH) | (den * F.col("n") >= num * F.col("parent"))
-        kept = large.where(whole).select("node", "id")
-        leaves = small if leaves is None else leaves.unionByName(small)
-        held = kept if held is None else held.unionByName(kept)
-        large = large.where(~whole).select("node", "id", "n")
-        if large.isEmpty():
-            break
-        level = large.join(reps, "id").mapInArrow(trimmed(_branch(threshold)), "node long, id long, parent long")
-
-    def signed(d: DataFrame) -> DataFrame:
-        n = _parts(spark)
-        return d.join(reps, "id").repartition(n, "node").sortWithinPartitions("node", "id")
-
-    spanning = signed(leaves).select("node", "id", "sig").mapInArrow(trimmed(_leaf_pairs(cut, True)), "a long, b long")
-    stuck = not held.isEmpty()
-    pairs = spanning
-    if stuck:
-        first = held.groupBy("node").agg(F.min("id").alias("first"))
-        united = components(held.join(first, "node").select(F.col("first").alias("a"), F.col("id").alias("b")), scratch)
-        clusters = scratch.keep(united.select("id", F.col("component").alias("cluster")).join(reps, "id"))
-        sample = clusters.groupBy("cluster", F.pmod(F.xxhash64("id"), F.lit(SAMPLE)).alias("_s")).agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id", "sig")).alias("x")).select("cluster", "x.id", "x.sig")
-        pivots = scratch.keep(sample.repartition(_parts(spark), "cluster").sortWithinPartitions("cluster", "id").mapInArrow(_pivots, "cluster long, pivot long, rank long"))
-        stars = clusters.select("cluster", "id").join(pivots, "cluster").where("id <> pivot")
-        pairs = pairs.unionByName(stars.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")))
+    # a doc_id that occurs with several texts belongs to several classes and links them
     several = members.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("doc_id", "a")
     shared = members.join(several, "doc_id").where("id <> a").select("a", F.col("id").alias("b"))
-    links = _confirm(docs, pairs, k, num, den, scratch).unionByName(shared)
-    labels = scratch.keep(components(links, scratch))
-
-    labelled = lambda d: d.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    apart = labelled(leaves)
-    split = apart.groupBy("node").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("node")
-    more = signed(apart.join(split, "node", "left_semi")).select("node", "id", "component", "sig").mapInArrow(trimmed(_leaf_pairs(cut, False)), "a long, b long")
-    second = _confirm(docs, more, k, num, den, scratch)
-    if stuck:
-        second = scratch.keep(second.unionByName(_rest_links(docs, labelled(clusters), pivots, labels, k, num, den, cut, scratch)))
-    if not second.isEmpty():
-        labels = scratch.keep(components(links.unionByName(second), scratch))
-
+    labels = _Search(docs, reps, k, num, den, scratch).run(shared)
     final = scratch.keep(members.join(labels, "id", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "id")).alias("component_id")))
+    scratch.only(rows, final)
     out = rows.select("doc_id", "n_shingles").join(final, "doc_id", "left")
     own = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
-def _rest_links(docs: DataFrame, clusters: DataFrame, pivots: DataFrame, labels: DataFrame, k: int, num: int, den: int, cut: float, scratch: Scratch) -> DataFrame:
-    """Links of classes that aren't in the component of their cluster's first pivot with any class of the cluster, by blocks. clusters: cluster, id, sig, component."""
-    main = pivots.where("rank = 0").join(labels.select(F.col("id").alias("pivot"), F.col("component").alias("_c")), "pivot", "left").select("cluster", F.coalesce("_c", "pivot").alias("main"))
-    rows = clusters.join(main, "cluster").withColumn("lone", F.col("component") != F.col("main"))
-    sizes = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"), F.count_if("lone").alias("u")).where("u > 0")
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    rows = scratch.keep(rows.join(sizes, "cluster").select("cluster", "id", "component", "lone", "sig", blocks("m").alias("nm"), blocks("u").alias("nu")))
-    sets = _full_sets(docs, rows.select(F.col("id").alias("doc_id")), k, scratch).withColumnRenamed("doc_id", "id")
-    mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    key = lambda i, j: F.xxhash64("cluster", i, j)
-    lone = rows.where("lone").select("id", "component", "sig", F.lit(True).alias("lone"), F.explode(F.transform(F.sequence(F.lit(0), F.col("nm") - 1), lambda j: key(mine("nu"), j))).alias("block"))
-    rest = rows.select("id", "component", "sig", F.lit(False).alias("lone"), F.explode(F.transform(F.sequence(F.lit(0), F.col("nu") - 1), lambda i: key(i, mine("nm")))).alias("block"))
-    whole = lone.unionByName(rest).join(sets, "id").repartition(_parts(docs.sparkSession), "block").sortWithinPartitions("block", "lone", "id")
-    return whole.select("block", "id", "component", "lone", "sig", "shingles").mapInArrow(trimmed(_block_links(num, den, cut)), "a long, b long")
-
-
 def keep_one_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs without those that have a near duplicate of smaller doc_id; of repeated rows of one doc_id one stays. Rows without doc_id stay."""
     scratch = Scratch(docs.sparkSession)

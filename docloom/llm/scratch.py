@@ -6,9 +6,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from functools import reduce
+from operator import add
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 _own: dict[str, str] = {}
 
@@ -40,19 +43,21 @@ def _delete_at_exit(spark: SparkSession, path: str) -> None:
 
 
 class Scratch:
-    """Tables written once and reread: lineage ends there, and a lost executor costs no recomputation. They go when the driver ends."""
+    """Tables written once and reread: lineage ends there, and a lost executor costs no recomputation.
+
+    An operator drops what its result doesn't read before it returns; the rest goes when the driver ends."""
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/docloom-{uuid.uuid4().hex}"
-        self._n = 0
+        self._paths: list[str] = []
         atexit.register(_delete_at_exit, spark, self.root)
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write df and return the written table."""
-        self._n += 1
-        path = f"{self.root}/{self._n}"
+        path = f"{self.root}/{len(self._paths) + 1}"
         df.write.parquet(path)
+        self._paths.append(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path  # type: ignore[attr-defined]
         return out
@@ -61,11 +66,30 @@ class Scratch:
         """Delete a table made by keep() that nothing reads any more."""
         _delete(self.spark, df._scratch_path)  # type: ignore[attr-defined]
 
+    def only(self, *tables: DataFrame) -> None:
+        """Delete all tables but these."""
+        held = {t._scratch_path for t in tables}  # type: ignore[attr-defined]
+        for path in self._paths:
+            if path not in held:
+                _delete(self.spark, path)
+
 
-#: Rows of (long) keys up to which a side may be broadcast: about 24 bytes a row, 12 MB at most.
+#: A side may be broadcast up to so many rows and, by the sizes of its values, so many bytes.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 24 << 20
+
+
+def _value_bytes(name: str, kind: DataType) -> Column:
+    c = F.col(f"`{name}`")
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, (ArrayType, MapType, StructType)):
+        return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + 16
+    return F.lit(8)
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a count proves it small; else df as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """df with a broadcast hint if a count of rows and bytes proves it small; else df as it is, for a shuffled join."""
+    size = reduce(add, (_value_bytes(f.name, f.dataType) for f in df.schema))
+    n, held = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held <= BROADCAST_BYTES else df

@@ -71,7 +71,7 @@ def linked(rows, k, num, den):
 def test_near_duplicates_are_those_of_all_pairs(spark, k, num, monkeypatch):
     monkeypatch.setattr(op2, "MAX_DEPTH", 3)
     monkeypatch.setattr(op2, "BLOCK", 16)
-    monkeypatch.setattr(op2, "PIVOTS", 1)
+    monkeypatch.setattr(op2, "LEAF", 24)
     rows = documents()
     got = op2.near_duplicates(frame(spark, rows), k, num, 100).collect()
     assert len(got) == len(rows)
@@ -83,6 +83,35 @@ def test_near_duplicates_are_those_of_all_pairs(spark, k, num, monkeypatch):
             assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.doc_id == r.component_id)
 
 
+@pytest.mark.parametrize(("k", "num", "depth"), [(3, 85, 10), (5, 80, 2)])
+def test_a_large_group_of_near_copies(spark, k, num, depth, monkeypatch):
+    """500 copies with ever more edits: a core that is linked, and a fringe of which few are."""
+    monkeypatch.setattr(op2, "MAX_DEPTH", depth)
+    rng = random.Random(17)
+    base = prose(rng, 120)
+    rows = [(i, " ".join(near(rng, base, rng.randrange(1, 18)))) for i in range(500)] + [(5000 + i, " ".join(prose(rng, 40))) for i in range(50)]
+    want = linked(rows, k, num, 100)
+    assert 100 < len({c for _, c in want.values()}) < 500
+    got = op2.near_duplicates(frame(spark, rows), k, num, 100).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_as_many_trees_as_the_recall_needs():
+    rng = random.Random(3)
+
+    def together(t, depth, n=4000):
+        """Simulated share of pairs that one tree keeps together."""
+        def alive(d):
+            return d == 0 or any(rng.random() < t and alive(d - 1) for _ in range(1 + (rng.random() < 1 / t - 1)))
+
+        return sum(alive(depth) for _ in range(n)) / n
+
+    for t in (0.8, 0.85):
+        s = op2.survival(t, op2.PLAN_DEPTH)
+        assert abs(together(t, op2.PLAN_DEPTH) - s) < 0.04
+        assert 1 - (1 - s) ** op2.tree_count(t) >= 0.9999
+
+
 def test_one_of_each_group_stays(spark):
     rows = documents()
     left = op2.keep_one_each(frame(spark, rows)).collect()
