@@ -8,8 +8,12 @@ boundary, and the sums above are updated. The rest of the text is never read aga
 The split looks at most one character past a piece and never back, so a piece that ends two or more
 characters before an edit stays as it is, and from a boundary that both splits share they agree.
 
-Null texts are empty: 0 tokens, and inserted text alone counts; repeated rows are counted each; an
-empty table gives no rows; other columns of the input aren't read.
+The edits of a batch's documents go in rounds, the first of each, then the second, so that the
+pieces of a round are counted in one pass.
+
+Null texts are empty: 0 tokens, and inserted text alone counts; texts of any length are counted
+whole, 512 kB of text a pass; ties can't arise; repeated rows are counted each; an empty table gives
+no rows; other columns of the input aren't read.
 """
 
 from __future__ import annotations
@@ -73,6 +77,11 @@ class TokenTree:
 
     def edit(self, at: int, delete: int, insert: str) -> None:
         """Replace `delete` characters from `at` on by `insert`."""
+        lo, hi, pieces = self.touched(at, delete, insert)
+        self.update(lo, hi, pieces, self.count(pieces))
+
+    def touched(self, at: int, delete: int, insert: str) -> tuple[int, int, list[str]]:
+        """The leaves that an edit changes, first and last, and their new pieces."""
         at = max(0, min(at, self.length()))
         delete = max(0, min(delete, self.length() - at))
         lo, place = self._leaf(at)
@@ -83,9 +92,11 @@ class TokenTree:
             context += len(self.texts[lo])
             place += len(self.texts[lo])
         last = len(self.texts) - 1
+        held = sum(len(t) for t in self.texts[lo : hi + 1])
         while True:
-            while hi < last and sum(len(t) for t in self.texts[lo : hi + 1]) < place + delete + 2:
+            while hi < last and held < place + delete + 2:
                 hi += 1
+                held += len(self.texts[hi])
             old = "".join(self.texts[lo : hi + 1])
             new = old[:place] + insert + old[place + delete :]
             ahead, k = "", hi + 1
@@ -101,22 +112,31 @@ class TokenTree:
             if hi >= last and not ahead or upto == len(new):
                 break
             hi += 1
+            held += len(self.texts[hi])
         self.read += len(new)
-        counts = self.count(pieces)
+        return lo, hi, pieces
+
+    def update(self, lo: int, hi: int, pieces: list[str], counts: Sequence[int]) -> None:
+        """Deal new pieces and their counts to leaves and update the sums above."""
         share = -(-len(pieces) // (hi - lo + 1)) or 1
         for j, leaf in enumerate(range(lo, hi + 1)):
             self._set(leaf, "".join(pieces[j * share : (j + 1) * share]), sum(counts[j * share : (j + 1) * share]))
 
 
+def piece_counts(pieces: Sequence[str], enc: Encoder) -> list[int]:
+    """Tokens of each piece."""
+    if not pieces:
+        return []
+    _, slots, offsets, _ = enc.pieces(pieces)
+    lens = np.concatenate([[0], np.cumsum(enc.lens[slots])])
+    return np.diff(lens[offsets]).tolist()
+
+
 def trees(texts: Sequence[str], enc: Encoder) -> Iterator[TokenTree]:
     """A tree for each text."""
 
     def count(pieces: Sequence[str]) -> list[int]:
-        if not pieces:
-            return []
-        _, slots, offsets, _ = enc.pieces(pieces)
-        lens = np.concatenate([[0], np.cumsum(enc.lens[slots])])
-        return np.diff(lens[offsets]).tolist()
+        return piece_counts(pieces, enc)
 
     for i, j in groups(texts, 1 << 19):
         part = texts[i:j]
@@ -146,12 +166,19 @@ def count_tokens(docs: DataFrame, edits=example_edits, tokenizer: str | None = N
         for b in batches:
             ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
             rows = []
-            for doc_id, tree in zip(ids, trees(texts, enc), strict=True):
-                n, before = tree.length(), tree.total()
-                made = edits(doc_id, n)
-                for e in made:
-                    tree.edit(*e)
-                rows.append((doc_id, n, before, len(made), tree.length(), tree.total(), tree.read))
+            for i, j in groups(texts, 1 << 19):
+                grown = list(trees(texts[i:j], enc))
+                first = [(tree.length(), tree.total()) for tree in grown]
+                made = [edits(doc_id, n) for doc_id, (n, _) in zip(ids[i:j], first, strict=True)]
+                for r in range(max(map(len, made), default=0)):
+                    at = [k for k, e in enumerate(made) if len(e) > r]
+                    todo = [grown[k].touched(*made[k][r]) for k in at]
+                    counts = piece_counts([p for _, _, pieces in todo for p in pieces], enc)
+                    upto = 0
+                    for k, (lo, hi, pieces) in zip(at, todo, strict=True):
+                        grown[k].update(lo, hi, pieces, counts[upto : upto + len(pieces)])
+                        upto += len(pieces)
+                rows += [(d, n, before, len(e), t.length(), t.total(), t.read) for d, (n, before), e, t in zip(ids[i:j], first, made, grown, strict=True)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 3 else pa.int64()) for i, c in enumerate(zip(*rows, strict=True))], [x.split()[0] for x in _SCHEMA.split(", ")])
 
