@@ -236,15 +236,72 @@ def test_chain_is_the_best_ordered_one():
 
 def test_edit_distance():
     assert op1.edits([1, 2, 3], [1, 3]) == 1 and op1.edits([], [1, 2]) == 2 and op1.edits([1, 2], [2, 1]) == 2
+    rng = random.Random(6)
+    for _ in range(200):
+        x, y = ([rng.randrange(4) for _ in range(rng.randrange(1, 90))] for _ in range(2))
+        row = list(range(len(y) + 1))
+        for i, u in enumerate(x, 1):
+            row = _next_row(row, i, u, y)
+        assert op1.edits(x, y) == row[-1]
 
 
-def test_seeds_cover_every_window():
+def _next_row(row, i, u, y):
+    out = [i]
+    for j, v in enumerate(y, 1):
+        out.append(min(row[j] + 1, out[j - 1] + 1, row[j - 1] + (u != v)))
+    return out
+
+
+def test_key_minima_cover_every_window():
     rng = np.random.default_rng(1)
     s = rng.integers(0, 2**63, 300).astype(np.uint64)
     o = np.array([0, 5, 5, 120, 300])
-    m = op1.seed_mask(s, o)
-    for a, b in zip(o, o[1:], strict=False):
-        for i in range(a, max(a, b - op1.WINDOW) + 1):
-            if b > a:
-                w = slice(i, min(b, i + op1.WINDOW))
-                assert m[w][s[w].argmin()]
+    for size in (1, 4, 8):
+        m = op1.seed_mask(s, o, size)
+        for a, b in zip(o, o[1:], strict=False):
+            for i in range(a, max(a, b - size) + 1):
+                if b > a:
+                    w = slice(i, min(b, i + size))
+                    assert m[w][s[w].argmin()]
+
+
+def test_ties_of_few_and_of_many_holders():
+    rows = sorted([(7, d, p) for d in range(3) for p in (1, 5)] + [(9, d, 2) for d in range(op1.HOLDERS + 1)] + [(11, 4, 0)])
+    key, doc, pos = (np.array(x) for x in zip(*rows, strict=True))
+    few, hot, many, first = op1._ties(key.astype(np.uint64), doc)
+    pairs = {(rows[x], rows[y]) for x, y in few.T.tolist()}
+    assert pairs == {((7, d, p), (7, e, 1)) for d in range(3) for p in (1, 5) for e in range(d)}
+    assert {(rows[x], rows[y]) for x, y in hot.T.tolist()} == {((9, d, 2), (9, 0, 2)) for d in range(1, op1.HOLDERS + 1)}
+    assert many.tolist() == [r[0] == 9 for r in rows] and first.tolist() == [r[:2] in ((7, 0), (9, 0), (11, 4)) for r in rows]
+
+
+@pytest.mark.parametrize("edited", [0, 12])
+@pytest.mark.parametrize(("size", "step"), [(16, 4), (24, 12), (40, 28)])
+def test_a_passage_whose_parts_stand_in_many_earlier_documents(spark, edited, size, step):
+    rng = random.Random(4)
+    around = lambda w: " ".join(prose(rng, 40, 10**6) + w + prose(rng, 40, 10**6))
+    passage = prose(rng, 120, 10**6)
+    other = [f"e{rng.randrange(10**6)}" if edited and j % edited == edited - 1 else w for j, w in enumerate(passage)]
+    rows = [(i, around(passage[at : at + size])) for i, at in enumerate(range(0, 120 - size + 1, step))] + [(1000, around(passage)), (1001, around(other))]
+    found = [sorted(map(tuple, op1.shared_passages(frame(spark, rows).repartition(parts)).collect())) for parts in (1, 5)]
+    assert found[0] == found[1]
+    assert [(r[0], r[1], r[3]) for r in found[0]] == [(1001, 40, 1000)] and found[0][0][6] >= 119
+
+
+def test_a_document_needed_by_many_windows(spark, monkeypatch):
+    monkeypatch.setattr(op1, "CUTS", 3)
+    rng = random.Random(12)
+    passage = prose(rng, 70, 10**6)
+    rows = [(i, " ".join(prose(rng, 30, 10**6) + passage + prose(rng, 30, 10**6))) for i in range(40)]
+    got = op1.shared_passages(frame(spark, rows)).collect()
+    assert {(r.doc_id, r.partner_doc_id, r.start_word, r.n_words) for r in got} == {(i, 0, 30, 70) for i in range(1, 40)}
+
+
+def test_removal_with_clashing_columns_and_nulls(spark):
+    rng = random.Random(13)
+    passage = " ".join(prose(rng, 60, 10**6))
+    rows = [(1, f"a {passage}", 0), (2, f"{passage} b", 1), (None, passage, 2), (3, None, 3), (2, f"{passage} b", 4)]
+    docs = spark.createDataFrame([(*r, "x", 5, "y") for r in rows], "doc_id long, text string, n int, __id string, __spans int, __text string")
+    left = {r.n: r for r in op1.remove_passages(docs, op1.shared_passages(docs)).collect()}
+    assert [left[i].text for i in range(5)] == [f"a {passage}", "b", passage, None, "b"]
+    assert left[0].asDict().keys() == {"doc_id", "text", "n", "__id", "__spans", "__text"} and all((r["__id"], r["__spans"]) == ("x", 5) for r in left.values())
