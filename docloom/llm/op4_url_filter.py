@@ -9,7 +9,7 @@ A url's keys are all suffixes of its host at dots, each followed by the prefixes
 lengths that occur among the listed paths. Null urls and urls without `://` have the empty host and
 path, match no rule and get the default verdict. Repeated rows are judged alike; of rules of equal
 length that fit one url, a block wins, then the smaller string; an empty table or rule list is fine;
-the input's other columns pass through, unless the output has a column of that name: then its own
+urls of any length are judged whole; the input's other columns pass through, unless the output has a column of that name: then its own
 value stands.
 """
 
@@ -21,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.llm.scratch import Scratch, broadcast_if_small
+
 #: Fixed by contract: action, host and path.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 
@@ -86,8 +88,9 @@ def _filter_words(keys: DataFrame, count: int, level: int) -> list[int]:
 
 
 def build_cascade(listed: DataFrame, universe: DataFrame, max_levels: int = 40) -> Cascade:
-    """listed, universe: column key. The universe is read once; later levels read the small sets of wrong passes."""
-    inside = listed.select("key").where(F.col("key").isNotNull()).distinct()
+    """listed, universe: column key. The universe is read once; each level's wrong passes are written, and later levels read these small sets."""
+    scratch = Scratch(listed.sparkSession)
+    inside = scratch.keep(listed.select("key").where(F.col("key").isNotNull()).distinct())
     levels: list[list[int]] = []
     encode, other = inside, universe.select("key").where(F.col("key").isNotNull())
     for level in range(max_levels):
@@ -95,8 +98,10 @@ def build_cascade(listed: DataFrame, universe: DataFrame, max_levels: int = 40)
         levels.append(_filter_words(encode, count, level))
         wrong = other.where(Cascade(levels)._passes(F.col("key"), level)).distinct()
         if level == 0:
-            wrong = wrong.join(inside, "key", "left_anti")
+            wrong = wrong.join(broadcast_if_small(inside), "key", "left_anti")
+        wrong = scratch.keep(wrong)
         if wrong.isEmpty():
+            scratch.only()
             return Cascade(levels)
         encode, other = wrong, encode
     raise RuntimeError("the cascade doesn't end")

@@ -6,7 +6,8 @@ TRAIN_ROWS of them by least hash (the documented bound), and runs on the driver
 statistics. The model is a few flat arrays, which a numpy traversal applies to a batch at a time,
 a level of all trees' nodes together.
 
-Null and empty texts have statistics of zero and are scored; repeated rows get equal scores;
+Null and empty texts have statistics of zero and are scored; texts of any length are measured whole,
+in pieces; documents with equal statistics get equal scores; repeated rows get equal scores;
 labelled rows without a document, documents without a label and null labels don't train, and of
 several labels of a document all count; with no label of either kind the score is 1; an empty table
 gives no rows; extra columns aren't read.
@@ -20,12 +21,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.runs import trimmed
 from docloom.llm.scratch import Scratch, broadcast_if_small
-from docloom.llm.words import SPACE, column_bytes, groups, run_hashes, shingles
+from docloom.llm.words import PASS_BYTES, SPACE, column_bytes, groups, pieces, run_hashes, shingles
 from docloom.llm.words import _TABLE_LOWER as BYTE_VALUES
 
 TRAIN_ROWS = 20_000
@@ -37,7 +39,8 @@ STATISTICS = (
     "comma_share", "stop_share", "distinct_words", "distinct_triples", "repeats_next", "repeated_lines", "upper_words", "ends_in_symbol", "longest_word", "capital_after_stop", "short_words",
 )
 
-_UPPER, _DIGIT, _LOWER_LETTER, _CONT, _HIGH, _SYMBOL = (np.zeros(256, dtype=bool) for _ in range(6))
+_UPPER, _DIGIT, _LOWER_LETTER, _CONT, _HIGH, _SYMBOL, _STOP = (np.zeros(256, dtype=bool) for _ in range(7))
+_STOP[[46, 63]] = True
 _UPPER[65:91] = True
 _DIGIT[48:58] = True
 _LOWER_LETTER[97:123] = True
@@ -46,8 +49,12 @@ _HIGH[128:] = True
 _SYMBOL[[ord(c) for c in "#*$%&<>=@^~{}[]\\_/+"]] = True
 
 
-def _statistics(texts: Sequence[bytes]) -> np.ndarray:
-    """One row of STATISTICS for each text of a group."""
+#: What a pass counts, by text. Distinct things travel as hashes beside them.
+_COUNTS = ("chars", "solid", "words", "upper", "digit", "high", "symbol", "bar", "exclaim", "comma", "stop", "same", "upper_words", "ends_in_symbol", "capital", "short", "lines", "triples")
+
+
+def _measured(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Of a group of texts: counts by _COUNTS, longest words, (hashes, offsets) of words, of triples of words and of lines that hold anything, and each word's marks: ends in a stop, starts with a capital."""
     m = len(texts)
     buf = b"\n".join(texts) + b"\n"
     a = np.frombuffer(buf, dtype=np.uint8)
@@ -64,56 +71,95 @@ def _statistics(texts: Sequence[bytes]) -> np.ndarray:
     np.not_equal(space[1:], space[:-1], out=edge[1:])
     at = np.flatnonzero(edge)
     starts, ends = at[::2], at[1::2]
-    offsets = np.searchsorted(starts, begins)
+    offsets = np.searchsorted(starts, begins).astype(np.int64)
     which = np.repeat(np.arange(m), np.diff(offsets))
     h = run_hashes(BYTE_VALUES[a], starts, ends)
-    n_words = np.diff(offsets).astype(np.float64)
 
     def per_word(mask: np.ndarray) -> np.ndarray:
         return np.bincount(which[mask], minlength=m).astype(np.float64)
 
-    def distinct(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
-        order = np.lexsort((keys, of))
-        k, o = keys[order], of[order]
-        new = np.ones(len(k), dtype=bool)
-        new[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
-        return np.bincount(o[new], minlength=m).astype(np.float64)
-
-    chars = per_text(~_CONT[a]) - 1
-    solid = np.maximum(per_text(~space & ~_CONT[a]), 1)
-    words = np.maximum(n_words, 1)
-    s, so = shingles(h, offsets.astype(np.int64), 3)
-    s_which = np.repeat(np.arange(m), np.diff(so))
+    s, so = shingles(h, offsets, 3)
     newline = np.flatnonzero(a == 10)
     line_lo = np.concatenate([[0], newline[:-1] + 1])
-    line_h = run_hashes(BYTE_VALUES[a], line_lo, newline)
-    line_which = np.searchsorted(begins, line_lo, side="right") - 1
     filled = newline > line_lo
-    n_lines = np.maximum(np.bincount(line_which[filled], minlength=m), 1).astype(np.float64)
+    line_lo, line_hi = line_lo[filled], newline[filled]
+    lines = run_hashes(BYTE_VALUES[a], line_lo, line_hi), np.searchsorted(line_lo, begins).astype(np.int64)
     size = ends - starts
     upper_upto = np.concatenate([[0], np.cumsum(_UPPER[a], dtype=np.int64)])
     letters_upto = np.concatenate([[0], np.cumsum(_UPPER[a] | _LOWER_LETTER[a], dtype=np.int64)])
     uppers, letters = upper_upto[ends] - upper_upto[starts], letters_upto[ends] - letters_upto[starts]
-    same = np.zeros(len(h), dtype=bool)
-    same[1:] = (h[1:] == h[:-1]) & (which[1:] == which[:-1])
+    same, capital = np.zeros(len(h), dtype=bool), np.zeros(len(h), dtype=bool)
+    neighbours = which[1:] == which[:-1]
+    same[1:] = (h[1:] == h[:-1]) & neighbours
     longest = np.zeros(m)
     np.maximum.at(longest, which, size)
-    stop = np.isin(a, [ord(c) for c in ".?"])
-    ended = stop[ends - 1]
-    capital = np.zeros(len(h), dtype=bool)
-    capital[1:] = ended[:-1] & _UPPER[a[starts[1:]]] & (which[1:] == which[:-1])
+    stop = _STOP[a]
+    ended, opens = stop[ends - 1], _UPPER[a[starts]]
+    capital[1:] = ended[:-1] & opens[1:] & neighbours
+    columns = (
+        per_text(~_CONT[a]) - 1, per_text(~space & ~_CONT[a]), np.diff(offsets), per_text(_UPPER[a]), per_text(_DIGIT[a]), per_text(_HIGH[a] & ~_CONT[a]), per_text(_SYMBOL[a]), per_text(a == 124), per_text(a == 33), per_text(a == 44), per_text(stop),
+        per_word(same), per_word((uppers > 1) & (uppers == letters)), per_word(_SYMBOL[a[ends - 1]] | (a[ends - 1] == 33)), per_word(capital), per_word(size <= 2), np.diff(lines[1]), np.diff(so),
+    )
+    return np.stack(columns, axis=1).astype(np.float64), longest, [(h, offsets), (s, so), lines], np.stack([ended, opens])
+
+
+def _distinct(keys: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Distinct keys of each text."""
+    of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    order = np.lexsort((keys, of))
+    k, o = keys[order], of[order]
+    new = np.ones(len(k), dtype=bool)
+    new[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
+    return np.bincount(o[new], minlength=len(offsets) - 1).astype(np.float64)
+
+
+def _rows(counts: np.ndarray, longest: np.ndarray, distinct_words: np.ndarray, distinct_triples: np.ndarray, distinct_lines: np.ndarray) -> np.ndarray:
+    c = dict(zip(_COUNTS, counts.T, strict=True))
+    words, solid, lines = np.maximum(c["words"], 1), np.maximum(c["solid"], 1), np.maximum(c["lines"], 1)
     columns = (
-        np.log1p(np.maximum(chars, 0)), np.log1p(n_words), np.log1p(n_lines), solid / words, n_words / n_lines, per_text(_UPPER[a]) / solid, per_text(_DIGIT[a]) / solid, per_text(_HIGH[a] & ~_CONT[a]) / solid,
-        per_text(_SYMBOL[a]) / solid, per_text(a == 124) / words, per_text(a == 33) / words, per_text(a == 44) / words, per_text(stop) / words, distinct(h, which) / words,
-        distinct(s, s_which) / np.maximum(np.diff(so), 1), per_word(same) / words, 1 - distinct(line_h[filled], line_which[filled]) / n_lines, per_word((uppers > 1) & (uppers == letters)) / words,
-        per_word(_SYMBOL[a[ends - 1]] | (a[ends - 1] == 33)) / words, longest, per_word(capital) / words, per_word(size <= 2) / words,
+        np.log1p(np.maximum(c["chars"], 0)), np.log1p(c["words"]), np.log1p(lines), solid / words, c["words"] / lines, c["upper"] / solid, c["digit"] / solid, c["high"] / solid, c["symbol"] / solid, c["bar"] / words, c["exclaim"] / words,
+        c["comma"] / words, c["stop"] / words, distinct_words / words, distinct_triples / np.maximum(c["triples"], 1), c["same"] / words, 1 - distinct_lines / lines, c["upper_words"] / words, c["ends_in_symbol"] / words, longest, c["capital"] / words, c["short"] / words,
     )
     return np.stack(columns, axis=1)
 
 
+def _long_statistics(text: bytes) -> np.ndarray:
+    """The statistics of one text, measured piece by piece; what lies between pieces is mended after."""
+    counts, longest = np.zeros(len(_COUNTS)), 0.0
+    hashes: list[np.ndarray] = []
+    words = marks = None
+    for piece in pieces(text):
+        c, most, ((h, _), _, _), m = _measured([piece])
+        longest = max(longest, float(most[0]))
+        counts += c[0]
+        hashes.append(h)
+        if words is not None and len(words) and len(h):
+            counts[_COUNTS.index("same")] += h[0] == words[-1]
+            counts[_COUNTS.index("capital")] += marks[0, -1] and m[1, 0]
+        if len(h):
+            words, marks = h, m
+    h = np.concatenate(hashes)
+    s, so = shingles(h, np.array([0, len(h)]), 3)
+    lines = _line_hashes(text)
+    counts[_COUNTS.index("lines")], counts[_COUNTS.index("triples")] = len(lines), len(s)
+    one = [np.array([float(len(np.unique(x)))]) for x in (h, s, lines)]
+    return _rows(counts[None, :], np.array([longest]), *one)
+
+
+def _line_hashes(text: bytes) -> np.ndarray:
+    """Digests of the lines that hold anything, with A-Z lower-cased."""
+    return np.fromiter((xxhash.xxh64_intdigest(x.lower()) for x in text.split(b"\n") if x), dtype=np.uint64)
+
+
 def statistics(texts: Sequence[bytes]) -> np.ndarray:
-    """Rows of STATISTICS; whole texts, a group at a time."""
-    parts = [_statistics(texts[i:j]) for i, j in groups(texts)]
+    """Rows of STATISTICS; whole texts, a group at a time and long ones by themselves."""
+    parts = []
+    for i, j in groups(texts):
+        if j == i + 1 and len(texts[i]) > 2 * PASS_BYTES:
+            parts.append(_long_statistics(texts[i]))
+            continue
+        counts, longest, kinds, _ = _measured(texts[i:j])
+        parts.append(_rows(counts, longest, *(_distinct(*x) for x in kinds)))
     return np.concatenate(parts) if parts else np.zeros((0, len(STATISTICS)))
 
 

@@ -1,25 +1,33 @@
-"""HTML extraction by consensus host paths.
+"""HTML extraction: consensus host paths.
 
 Each page is parsed leniently into elements; menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles and reader comments are recognised by tag, role and class words. The page's
-container is the deepest element that holds SHARE of its remaining text outside links, and its
-generalised path (tags with classes, digits removed) is the page's vote. Votes are counted per host
-in Spark; then every page is parsed again and the elements on its host's winning path are taken. A
-page where that path leaves out any text, links aside, gives the deepest element that holds all of it.
+forms, scripts, styles and reader comments are recognised by tag, role and class words. Words that
+article markup uses as well (header, form, share and the like) count only as whole classes; in
+compounds such as `section-header` the host's pages decide: what holds the same text on all of the
+host's pages that have it, three or more, is no article text.
+
+The page's container is the deepest element that holds SHARE of its remaining text outside links,
+and its generalised path (tags with classes, digits removed) is the page's vote. Votes are counted
+per host in Spark; then every page is parsed again and the elements on its host's winning path are
+taken. A page where that path leaves out any text, links aside, gives the deepest element that holds
+all of it.
 
 Blocks are what block elements delimit; character references are decoded, white space inside a
 block becomes one space, and blocks are joined by a newline in page order.
 
-Null and empty html give the empty text; a null url, or one without `://`, votes with others of no
-host; repeated rows are extracted each; of paths with equal votes the one with more text, then the
-smaller, wins; markup cut off anywhere is read as far as it goes; an empty table gives no rows;
-extra columns aren't read.
+Null and empty html give the empty text; pages without a host neither vote nor follow votes;
+repeated rows are extracted each; of paths with equal votes the one with more text, then the
+smaller, wins; markup cut off anywhere is read as far as it goes, and html of any length in time in
+proportion to it: elements deeper than DEPTH count as their ancestor there, and once a tag isn't
+closed to the end of the page, quoted `>` end tags as well; an empty table gives no rows; extra
+columns aren't read.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from html import unescape
 
 import pyarrow as pa
@@ -31,16 +39,26 @@ from docloom.llm.runs import trimmed
 from docloom.llm.scratch import Scratch, broadcast_if_small
 
 SHARE = 0.85
-_TAG = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*)([^<>]*)>)""", re.S)
+DEPTH = 512
+#: Pages of a host that must agree on a doubtful element.
+AGREE = 3
+_REST = r"<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*(?:>|\Z)|"
+_TAG = re.compile(_REST + r"""(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|(\Z))|(/?)([a-zA-Z][^\s/>]*)([^<>]*)>)""", re.S)
+_SIMPLE_TAG = re.compile(_REST + r"(/?)([a-zA-Z][^\s/>]*)([^<>]*)>)", re.S)
+_CUT = re.compile(r"<(?:[/!?]?[a-zA-Z]|[!/?]?\Z)")
 _CLASS = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _LETTER = re.compile(r"[^\W_]")
-_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes", "svg", "math")}
+_RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe", "noembed", "noframes")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 _CONTAINERS = frozenset("html body div article section main td center".split())
-_SKIPPED = frozenset("head nav header footer aside form menu dialog button select datalist audio video canvas object map".split())
-_SKIPPED_WORDS = frozenset("nav navbar navigation menu header footer sidebar aside ad ads advert adverts advertisement sponsor sponsored banner promo notice notices alert cookie cookies consent popup modal overlay breadcrumb breadcrumbs related recommended share sharing social comment comments respond reply replies disqus newsletter subscribe signup login search form widget toolbar pagination pager skip copyright masthead".split())
+_SKIPPED = frozenset("head nav header footer aside form menu dialog button select datalist audio video canvas".split())
+_SKIPPED_WORDS = frozenset("nav navbar navigation menu footer sidebar ad ads advert adverts advertisement sponsor sponsored cookie cookies consent popup modal breadcrumb breadcrumbs comment comments disqus newsletter subscribe signup login pagination pager copyright masthead".split())
+#: Words that count as whole classes only; elsewhere the host's pages decide.
+_DOUBTFUL_WORDS = frozenset("header aside banner promo notice notices alert overlay related recommended share sharing social respond reply replies search form widget toolbar skip".split())
+#: Parts that leave the meaning of a doubtful word as it is.
+_PLACE_WORDS = frozenset("site page top bottom left right bar box block area main global wrap wrapper container inner outer post posts list links buttons button contact search email widget notice social share form system".split())
 _SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 _KEPT_TAGS = frozenset(("html", "body", "article", "main"))
 #: A start tag ends open elements of these kinds, up to the nearest of the stops.
@@ -53,15 +71,16 @@ _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
 class Page:
-    """Elements in page order: parent, tag, generalised label, whether skipped and whether in a link; and text chunks: element, block, raw text."""
+    """Elements in page order: parent, tag, generalised label, whether skipped and whether in a link; those that the host's pages decide on; and text chunks: element, block, raw text."""
 
     def __init__(self, html: str) -> None:
         self.parent, self.tag, self.label, self.skip, self.link = [-1], ["#"], [""], [False], [False]
+        self.doubtful: list[int] = []
         self.chunks: list[tuple[int, int, str]] = []
         self._parse(html)
 
     def _open(self, parent: int, tag: str, attributes: str) -> int:
-        skip, label = self.skip[parent] or tag in _SKIPPED, tag
+        skip, label, doubt = self.skip[parent] or tag in _SKIPPED, tag, False
         if attributes and not attributes.isspace():
             classes: list[str] = []
             for m in _CLASS.finditer(attributes):
@@ -71,8 +90,13 @@ class Page:
                 elif name == "role":
                     skip = skip or value in _SKIPPED_ROLES
                 elif name != "aria-hidden":
-                    if tag not in _KEPT_TAGS and not skip and not _SKIPPED_WORDS.isdisjoint(_WORD.findall(value)):
-                        skip = True
+                    if tag not in _KEPT_TAGS and not skip:
+                        words = _WORD.findall(value)
+                        skip = not _SKIPPED_WORDS.isdisjoint(words)
+                        if not skip and not _DOUBTFUL_WORDS.isdisjoint(words):
+                            parts = [set(_WORD.findall(c)) for c in value.split()]
+                            skip = any(x & _DOUBTFUL_WORDS and x <= _DOUBTFUL_WORDS | _PLACE_WORDS for x in parts)
+                            doubt = not skip
                     if name == "class":
                         classes += value.split()
             if classes:
@@ -82,24 +106,37 @@ class Page:
         self.label.append(label)
         self.skip.append(skip)
         self.link.append(self.link[parent] or tag == "a")
+        if doubt and not skip:
+            self.doubtful.append(len(self.tag) - 1)
         return len(self.tag) - 1
 
     def _parse(self, html: str) -> None:
         at, block, stack, tags = 0, 0, [0], self.tag
-        for_tag = _TAG.search
+        opened: Counter[str] = Counter()
+
+        def close(i: int) -> None:
+            for k in stack[i:]:
+                opened[tags[k]] -= 1
+            del stack[i:]
+
+        for_tag, simple = _TAG.search, False
         while m := for_tag(html, at):
+            if not simple and m[4] is not None:  # a tag that nothing closes to the end
+                for_tag, simple = _SIMPLE_TAG.search, True
+                continue
             if m.start() > at:
                 self.chunks.append((stack[-1], block, html[at : m.start()]))
             at = m.end()
-            tag = m[2] or m[5]
+            ends, tag, attributes = (m[1], m[2], m[3]) if simple or m[2] else (m[5], m[6], m[7])
             if not tag:
                 continue
             tag = tag.lower()
-            if m[1] or m[4]:
-                for i in range(len(stack) - 1, 0, -1):
-                    if tags[stack[i]] == tag:
-                        del stack[i:]
-                        break
+            if ends:
+                if opened[tag] > 0:
+                    for i in range(len(stack) - 1, 0, -1):
+                        if tags[stack[i]] == tag:
+                            close(i)
+                            break
                 if tag in _BLOCK:
                     block += 1
                 continue
@@ -114,17 +151,17 @@ class Page:
                         if tags[stack[i]] in stops:
                             break
                         if tags[stack[i]] in kinds:
-                            del stack[i:]
+                            close(i)
                             break
                 else:
                     for i in range(len(stack) - 1, 0, -1):
                         t = tags[stack[i]]
                         if t == "p" or t in _HEADINGS and tag in _HEADINGS:
-                            del stack[i:]
+                            close(i)
                             break
                         if t in _STOPS_P:
                             break
-            attributes = m[3] or m[6] or ""
+            attributes = attributes or ""
             if tag in _VOID:
                 continue
             if tag in _RAW:
@@ -132,11 +169,12 @@ class Page:
                 at = end.end() if end else len(html)
                 continue
             node = self._open(stack[-1], tag, attributes)
-            if not attributes.endswith("/") or tag in _BLOCK:
+            if (not attributes.endswith("/") or tag in _BLOCK) and len(stack) < DEPTH:
                 stack.append(node)
+                opened[tag] += 1
         if at < len(html):
             rest = html[at:]
-            cut = re.search(r"<(?:[/!?]?[a-zA-Z][^>]*|[!/?]?)\Z", rest)  # a tag that the end cuts off
+            cut = _CUT.search(rest, rest.rfind(">") + 1)  # a tag that the end cuts off
             rest = rest[: cut.start()] if cut else rest
             if rest:
                 self.chunks.append((stack[-1], block, rest))
@@ -167,6 +205,18 @@ class Page:
             node = self.parent[node]
         return "/".join(reversed(labels))
 
+    def drop(self, paths: Sequence[int]) -> None:
+        """Skip the doubtful elements whose path has one of these hashes."""
+        if not self.doubtful or not paths:
+            return
+        gone, held = {i for i in self.doubtful if path_hash(self.path(i)) in paths}, self.skip
+        for i in range(1, len(held)):
+            held[i] = held[i] or i in gone or held[self.parent[i]]
+
+    def doubts(self) -> list[tuple[str, int]]:
+        """Path and hash of the text of each doubtful element."""
+        return [(self.path(i), xxhash.xxh64_intdigest(self.text([i])) >> 1) for i in self.doubtful]
+
     def on_path(self, path: int) -> list[int]:
         """Elements whose path has this hash, outermost first."""
         hashes = [0] * len(self.tag)
@@ -207,9 +257,10 @@ def path_hash(path: str) -> int:
     return h
 
 
-def extract(html: str, winning: str | None = None) -> str:
-    """The main text of one page, given its host's winning path."""
+def extract(html: str, winning: str | None = None, dropped: Sequence[int] = ()) -> str:
+    """The main text of one page, given its host's winning path and the hashes of its paths that hold no article text."""
     page = Page(html)
+    page.drop(dropped)
     size = page.sizes()
     if winning:
         nodes = page.on_path(path_hash(winning))
@@ -219,23 +270,25 @@ def extract(html: str, winning: str | None = None) -> str:
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, html -> a row for the page's container (no text) and one for each doubtful element (with its text's hash)."""
     for b in batches:
-        hosts, paths, chars = [], [], []
+        rows: list[tuple] = []
         for host, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             if html:
                 page = Page(html)
                 size = page.sizes()
                 node = page.container(size)
                 if node:
-                    hosts.append(host)
-                    paths.append(page.path(node))
-                    chars.append(size[node])
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(chars, pa.int64())], ["host", "path", "chars"])
+                    rows.append((host, page.path(node), size[node], None, None))
+                rows += [(host, path, 0, path_hash(path) - (1 << 63), text) for path, text in page.doubts()]
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+        columns = zip(*rows, strict=True) if rows else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["host", "path", "chars", "doubt", "text"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts = [extract(html, path) if html else "" for html, path in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+        texts = [extract(html, path, {x + (1 << 63) for x in dropped or ()}) if html else "" for html, path, dropped in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
@@ -245,17 +298,19 @@ def _host(url: Column) -> Column:
 
 
 def winning_paths(pages: DataFrame) -> DataFrame:
-    """host, path, pages that voted for it. Votes are summed before they move, so a host of any size is a few rows a task."""
-    votes = pages.select(_host(F.col("url")).alias("host"), "html").mapInArrow(trimmed(_votes), "host string, path string, chars long")
-    by = votes.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"))
-    return by.groupBy("host").agg(F.min(F.struct((-F.col("n")).alias("n"), (-F.col("chars")).alias("chars"), "path")).alias("w")).select("host", F.col("w.path").alias("path"), (-F.col("w.n")).alias("votes"))
+    """host, path, pages that voted for it, and dropped: hashes of doubtful paths with one text on AGREE pages or more. Votes are summed before they move, so a host of any size is a few rows a task."""
+    named = pages.select(_host(F.col("url")).alias("host"), "html").where("host <> ''")
+    votes = Scratch(pages.sparkSession).keep(named.mapInArrow(trimmed(_votes), "host string, path string, chars long, doubt long, text long").groupBy("host", "path", "doubt").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.min("text").alias("low"), F.max("text").alias("high")))
+    by = votes.where("doubt IS NULL").groupBy("host").agg(F.min(F.struct((-F.col("n")).alias("n"), (-F.col("chars")).alias("chars"), "path")).alias("w"))
+    same = votes.where(F.col("doubt").isNotNull() & (F.col("n") >= AGREE) & (F.col("low") == F.col("high"))).groupBy("host").agg(F.sort_array(F.collect_set("doubt")).alias("dropped"))
+    return by.join(same, "host", "full").select("host", F.col("w.path").alias("path"), (-F.col("w.n")).alias("votes"), "dropped")
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page; pages: page_id, url, html."""
     winners = Scratch(pages.sparkSession).keep(winning_paths(pages))
-    held = broadcast_if_small(winners.select(F.col("host").alias("_host"), "path"), 100_000)
-    rows = pages.select("page_id", "url", "html").join(held, _host(F.col("url")) == F.col("_host"), "left").select("page_id", "url", "html", "path")
+    held = broadcast_if_small(winners.select(F.col("host").alias("_host"), "path", "dropped"), 100_000)
+    rows = pages.select("page_id", "url", "html").join(held, _host(F.col("url")) == F.col("_host"), "left").select("page_id", "url", "html", "path", "dropped")
     return rows.mapInArrow(trimmed(_texts), "page_id long, url string, text string, n_chars long")
 
 

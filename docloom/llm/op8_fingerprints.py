@@ -5,9 +5,9 @@ and the ends trimmed; its fingerprint is the 128-bit xxh3 of that form. Rows wit
 compared byte for byte with the smallest doc_id's canonical text; one that differs gets a longer
 fingerprint of its own, so equal fingerprints mean equal canonical texts.
 
-Null texts count as empty; repeated rows get equal fingerprints and follow each other in an order
-that doesn't matter; null doc_ids come last; an empty table gives an empty result; other columns of
-the input aren't read.
+Null texts count as empty; texts of any length are read whole, a batch of rows at a time; repeated
+rows get equal fingerprints; rows that share a doc_id follow each other by their texts; null doc_ids
+come last; an empty table gives an empty result; other columns of the input aren't read.
 """
 
 from __future__ import annotations
@@ -26,6 +26,10 @@ from docloom.llm.runs import trimmed
 from docloom.llm.scratch import Scratch, broadcast_if_small
 
 
+#: Documents of one bucket that are compared in one part.
+PART = 256
+
+
 def canonical(text: str) -> str:
     if text.isascii():
         return " ".join(text.lower().split())
@@ -94,16 +98,20 @@ def _canonical_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 def collisions(docs: DataFrame, prints: DataFrame) -> DataFrame:
     """doc_id and fingerprint of documents that share a digest with a smaller doc_id but not its canonical bytes; as a rule none.
 
-    prints: doc_id, fingerprint. Only texts of documents in buckets of two or more are moved, and
-    each is compared with its bucket's first one by a join, which splits large buckets."""
-    shared = prints.where(F.col("doc_id").isNotNull()).groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("rep")).where("n > 1")
+    prints: doc_id, fingerprint. Only texts of documents in buckets of two or more are moved. A bucket
+    is dealt into parts of about PART documents, and its first text goes along once a part."""
     scratch = Scratch(docs.sparkSession)
-    members = scratch.keep(prints.join(shared, "fingerprint").select("doc_id", "fingerprint", "rep").distinct())
-    ids = broadcast_if_small(members.select("doc_id").distinct())
+    shared = scratch.keep(prints.where(F.col("doc_id").isNotNull()).groupBy("fingerprint").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts"), F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    members = scratch.keep(prints.join(broadcast_if_small(shared), "fingerprint").select("doc_id", "fingerprint", "rep", "parts").distinct())
+    ids = broadcast_if_small(scratch.keep(members.select("doc_id").distinct()))
     texts = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(trimmed(_canonical_batches), "doc_id long, canon string")
     held = scratch.keep(members.join(texts, "doc_id"))
-    firsts = held.where("doc_id = rep").groupBy("rep").agg(F.min("canon").alias("first_canon"))
-    return held.where("doc_id <> rep").join(firsts, "rep").where("canon <> first_canon").groupBy("doc_id").agg(F.min(F.concat_ws(":", "fingerprint", F.sha2("canon", 256))).alias("own"))
+    firsts = held.where("doc_id = rep").groupBy("rep", "parts").agg(F.min("canon").alias("first_canon"))
+    firsts = firsts.select("rep", "first_canon", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    others = held.where("doc_id <> rep").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+    out = scratch.keep(others.join(firsts, ["rep", "part"]).where("canon <> first_canon").groupBy("doc_id").agg(F.min(F.concat_ws(":", "fingerprint", F.sha2("canon", 256))).alias("own")))
+    scratch.only(out)
+    return out
 
 
 def fingerprint_documents(docs: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -120,7 +128,8 @@ def fingerprint_documents(docs: DataFrame, partitions: int | None = None) -> Dat
     following = F.coalesce(F.lead("first").over(w), F.first("first").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     closed = ends.select("doc_id", F.col("last").alias("text"), following.alias("following")).mapInArrow(trimmed(_ends), _SCHEMA)
     out = scratch.keep(found.where(F.col("part").isNull()).select(*_COLUMNS).unionByName(closed))
-    other = broadcast_if_small(scratch.keep(collisions(docs, out.select("doc_id", "fingerprint"))))
+    scratch.drop(found)
+    other = broadcast_if_small(collisions(docs, out.select("doc_id", "fingerprint")))
     return out.join(other, "doc_id", "left").withColumn("fingerprint", F.coalesce("own", "fingerprint")).select(*_COLUMNS)
 
 

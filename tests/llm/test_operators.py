@@ -153,6 +153,39 @@ def test_quality_edges(spark):
     assert np.isfinite(op5.statistics([b"", b"x", b"\n\n", "é".encode()])).all()
 
 
+def plain_statistics(raw):
+    """All statistics of a text, character by character."""
+    t = (raw or "").encode()
+    w = re.findall(rb"[^\x20\x09-\x0D]+", t)
+    low = [x.lower() for x in w]
+    lines = [x.lower() for x in t.split(b"\n") if x]
+    triples = [tuple(low[i : i + 3]) for i in range(len(low) - 2)] if len(low) >= 3 else [tuple(low)] if low else []
+    text = raw or ""
+    solid = sum(c not in " \t\n\x0b\x0c\r" for c in text)
+    n, m, k = max(len(w), 1), max(solid, 1), max(len(lines), 1)
+    symbols = set(b"#*$%&<>=@^~{}[]\\_/+")
+    letters = lambda x: [c for c in x if 65 <= c <= 90 or 97 <= c <= 122]
+    upper = lambda x: [c for c in x if 65 <= c <= 90]
+    share = lambda f, of: sum(map(f, of))
+    return (
+        np.log1p(len(text)), np.log1p(len(w)), np.log1p(k), m / n, len(w) / k, share(lambda c: "A" <= c <= "Z", text) / m, share(lambda c: "0" <= c <= "9", text) / m, share(lambda c: ord(c) > 127, text) / m,
+        share(lambda c: ord(c) in symbols, text) / m, text.count("|") / n, text.count("!") / n, text.count(",") / n, (text.count(".") + text.count("?")) / n, len(set(low)) / n,
+        len(set(triples)) / max(len(triples), 1), sum(a == b for a, b in zip(low, low[1:], strict=False)) / n, 1 - len(set(lines)) / k, sum(len(upper(x)) > 1 and upper(x) == letters(x) for x in w) / n,
+        sum(x[-1] in symbols or x[-1:] == b"!" for x in w) / n, max(map(len, w), default=0), sum(a[-1:] in (b".", b"?") and bool(upper(b[:1])) for a, b in zip(w, w[1:], strict=False)) / n, sum(len(x) <= 2 for x in w) / n,
+    )
+
+
+def test_statistics_are_the_plain_ones(monkeypatch):
+    rng = random.Random(2)
+    texts = [*TEXTS, *(r for r in ("x", "\n\n", "A b. C? D!\nA b. C? D!", "ÀB ab|c || é")), *("".join(rng.choice(["Ab. ", "c! ", "EFG ", "h|", "12 ", "é, ", "\n", "Line y\n", "y ", "  "]) for _ in range(rng.randrange(1, 200))) for _ in range(60))]
+    raw = [(t or "").encode() for t in texts]
+    want = np.array([plain_statistics(t) for t in texts])
+    assert np.allclose(op5.statistics(raw), want)
+    monkeypatch.setattr("docloom.llm.words.PASS_BYTES", 64)
+    monkeypatch.setattr(op5, "PASS_BYTES", 64)
+    assert sum(len(t) > 128 for t in raw) > 20 and np.allclose(op5.statistics(raw), want)
+
+
 # op6
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a = "</p>";</script></head><body class=x>
@@ -177,7 +210,7 @@ def test_hosts_vote(spark):
     rows = [(i, f"http://h.org/{i}", body("word ", f"box{i}")) for i in range(5)] + [(9, None, PAGE), (10, "http://h.org/z", None), (11, "http://h.org/y", ""), (0, "http://h.org/0", body("word ", "box0"))]
     pages = spark.createDataFrame([(*r, "x", 3) for r in rows], "page_id long, url string, html string, text string, host int")
     w = op6.winning_paths(pages).collect()
-    assert {(r.host, r.path) for r in w} == {("h.org", "html/body/div.box"), ("", "html/body.x/article.post-")}
+    assert {(r.host, r.path, r.votes) for r in w} == {("h.org", "html/body/div.box", 6)}  # a page without host has no vote
     got = op6.extract_main_text(pages).collect()
     assert len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got)
     assert {r.text for r in got if r.page_id == 9} == {MAIN} and {r.text for r in got if r.page_id in (10, 11)} == {""}
@@ -193,6 +226,74 @@ def test_no_article_text_outside_the_container_is_lost():
     assert op6.extract(page) == op6.extract(page, "body/article/div.body") == f"{words}\n{words}"
 
 
+def made_page(rng, host, number):
+    """A page as html, and by construction its main text and the path of its container."""
+    lines, body = [], []
+    say = lambda n=12: " ".join(rng.choice(["alpha", "béta", "gamma", "delta", "omega"]) + str(rng.randrange(99)) for _ in range(n))
+
+    def block(tag, shown=None):
+        t = say(rng.randrange(4, 20)) if shown is None else shown
+        lines.append(t + " & <x>")
+        i = rng.randrange(len(t))
+        body.append(f"<{tag}>{t[:i]}<b>{t[i:]}</b> &amp;\n\t&lt;x&gt; </{tag}>")
+
+    for _ in range(rng.randrange(2, 6)):
+        block(rng.choice(["p", "h2", "blockquote", "pre"]))
+        pick = rng.randrange(8)
+        if pick == 0:
+            body.append(f"<div class='ad-{number}'>{say()}</div>")
+        elif pick == 1:
+            body.append(f"<form class=x><input value=1>{say()}</form>")
+        elif pick == 2:
+            t = say()
+            lines.append(t)
+            body.append(f"<div class='section-header'>{t}</div>")  # a heading of the article
+        elif pick == 3:
+            t = say(3)
+            lines.append(f"{t} sum")
+            body.append(f"<div>{t} <math><mi>sum</mi></math></div>")
+        elif pick == 4:
+            body.append(f"<ul class=menu><li>{say(2)}</ul><script>x('<p>{say()}</p>')</script><style>p{{}}</style>")
+        elif pick == 5:
+            lines.append("one\ntwo".replace("\n", f" {number}\n"))
+            body.append(f"<ul><li>one {number}<li>two</ul>")
+    strip = "<div class='story-share'>Tell your friends</div>"  # the same on all pages
+    side = f"<nav><a href=/>{say(3)}</a></nav><header>{say(4)}</header>"
+    after = f"<section id=comments><p>{say(40)}</p></section><aside>{say(30)}</aside><footer>{say(5)}</footer>"
+    # every fifth page of a host has another layout
+    box, path = (f"<main><div class='entry e{number}'>", "html/body/main/div.e.entry") if number % 5 else (f"<article class='post-{number}'>", "html/body/article.post-")
+    close = "</div></main>" if number % 5 else "</article>"
+    return f"<!doctype html><html><head><title>{say()}</title></head><body>{side}{box}{strip}{''.join(body)}{close}{after}</body></html>", "\n".join(lines), path
+
+
+def test_pages_made_of_known_parts(spark):
+    rng = random.Random(9)
+    rows, texts, votes = [], {}, Counter()
+    for h in range(4):
+        for i in range(12):
+            html, text, path = made_page(rng, h, i)
+            rows.append((100 * h + i, f"https://H{h}.org:80/a/{i}?q", html))
+            texts[100 * h + i] = text
+            votes[f"h{h}.org:80", path] += 1
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    won = {r.host: (r.path, r.votes) for r in op6.winning_paths(pages).collect()}
+    assert won == {h: max(((p, n) for (g, p), n in votes.items() if g == h), key=lambda x: x[1]) for h, _ in votes}
+    got = {r.page_id: r.text for r in op6.extract_main_text(pages).collect()}
+    assert got == texts
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a "', '<a =">" ', "<b>", "</i>", "<b><h1></h1>", "<!", "<a href='", "<li>", "<p title='", "&", "<div>"])
+def test_broken_markup_takes_time_in_proportion(part):
+    import time
+
+    took = []
+    for size in (1 << 17, 1 << 19):
+        began = time.process_time()
+        assert op6.extract("<article><p>x</p>" + part * (size // len(part))).startswith("x")
+        took.append(time.process_time() - began)
+    assert took[1] < 20 and took[1] < 12 * max(took[0], 0.05)
+
+
 def test_all_pages_of_the_tables(spark):
     docs = {(r.text or "").strip() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = op6.op6_html_text(spark, SF).collect()
@@ -283,6 +384,13 @@ def test_equal_digests_are_compared_by_bytes(spark):
     assert [r.doc_id for r in op8.collisions(docs, same).collect()] == [2]
 
 
+def test_a_bucket_of_many_documents(spark, monkeypatch):
+    monkeypatch.setattr(op8, "PART", 4)
+    docs = spark.createDataFrame([(i, "same" if i != 33 else "odd") for i in range(60)], "doc_id long, text string")
+    prints = docs.select("doc_id", F.lit("p").alias("fingerprint"))
+    assert [(r.doc_id, r.own) for r in op8.collisions(docs, prints).collect()] == [(33, "p:" + hashlib.sha256(b"odd").hexdigest())]
+
+
 # op9
 
 
