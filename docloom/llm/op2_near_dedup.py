@@ -13,15 +13,15 @@ Groups of near copies aren't split by coordinates, so they leave the trees befor
 the first PEELS levels each large node gets a pivot, the class most like a bounded sample of it, and
 all of the node are compared with the pivot on full sets. Those linked with it branch no further.
 What else could be linked with one of them has, by the triangle inequality of Jaccard distances, a
-similarity of 2 * threshold - 1 or more with the pivot: these few are compared with all of the
-pivot's component, in blocks and on full sets. Nodes whose classes are all in one component branch
-no further either, for no link of theirs can change the result, and nodes that are still large at
-MAX_DEPTH are compared in blocks.
+similarity of 2 * threshold - 1 or more with the pivot: these few are compared with all that are
+linked with the pivot, in blocks and on full sets. Nodes that are still large at MAX_DEPTH are compared in
+blocks as well.
 
-Other links are confirmed on the full sets in two rounds. The first takes, in each leaf, a spanning
-tree by estimated similarity. The second takes all other pairs of a leaf whose classes are still in
-different components. So no pair is dropped, and copies aren't expanded into all pairs. Estimates
-only pass on pairs: those under an estimate of threshold - 4 deviations are left out.
+In a leaf, classes are joined by estimates of their similarity to groups of candidates; equal groups
+of several leaves are taken once, with their full sets, and their pairs are compared in order of
+estimates until all are in one component or no pair of different components is left. So no pair is
+dropped, and copies aren't expanded into all pairs. Estimates only pass on pairs: those under an
+estimate of threshold - DEVIATIONS deviations are left out.
 
 Defined results: null or empty texts have 0 shingles and no link; fewer than k words are one
 shingle; texts of any length are read whole, in pieces; rows that share a doc_id are one document:
@@ -51,7 +51,7 @@ SIZE = 64
 LEAF = 64
 MAX_DEPTH = 10
 PLAN_DEPTH = 6
-PEELS = 2
+PEELS = 1
 BLOCK = 512
 SAMPLE = 32
 RECALL = 0.9999
@@ -144,42 +144,72 @@ def _branch(threshold: float, trees: int | None = None):
     return run
 
 
-def _leaf_pairs(cut: float, spanning: bool):
-    """Pairs of one node and of different components: spanning: a tree over estimates of `cut` or more; else all such pairs."""
+def _estimates(x: np.ndarray) -> np.ndarray:
+    """How many minwise values each two rows share."""
+    like = np.zeros((len(x), len(x)), dtype=np.uint8)
+    for column in x.T:
+        like += column[:, None] == column[None, :]
+    return like
+
+
+def _root(root: dict | list, v: int) -> int:
+    while root[v] != v:
+        root[v] = root[root[v]]
+        v = root[v]
+    return v
+
+
+def _candidates(cut: float):
+    """Rows of nodes -> groups of ids that estimates of `cut` or more join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs_by(batches, "node"):
-            nodes, ids, sig, comp = t.column("node").to_numpy(), t.column("id").to_numpy(), _matrix(t.column("sig")), t.column("component").to_numpy()
-            a, b = [], []
+            nodes, ids, sig = t.column("node").to_numpy(), t.column("id").to_numpy(), _matrix(t.column("sig"))
+            out: list[list[int]] = []
             for lo, hi in run_ends(nodes):
-                m = hi - lo
-                if m < 2:
+                if hi - lo < 2:
                     continue
-                x, c = sig[lo:hi], comp[lo:hi]
-                like = np.zeros((m, m), dtype=np.uint8)
-                for column in x.T:
-                    like += column[:, None] == column[None, :]
-                i, j = np.nonzero(np.triu((like >= cut * SIZE) & (c[:, None] != c[None, :]), 1))
-                if spanning and len(i) > 1:
-                    root = {v: v for v in c.tolist()}
-
-                    def find(v: int, root=root) -> int:
-                        while root[v] != v:
-                            root[v] = root[root[v]]
-                            v = root[v]
-                        return v
-
-                    pick = []
-                    for e in np.argsort(-like[i, j].astype(np.int16), kind="stable"):
-                        p, q = find(int(c[i[e]])), find(int(c[j[e]]))
-                        if p != q:
-                            root[p] = q
-                            pick.append(e)
-                    i, j = i[pick], j[pick]
-                a.append(ids[lo + i])
-                b.append(ids[lo + j])
+                i, j = np.nonzero(np.triu(_estimates(sig[lo:hi]) >= cut * SIZE, 1))
+                root = list(range(hi - lo))
+                for p, q in zip(i.tolist(), j.tolist(), strict=True):
+                    root[_root(root, p)] = _root(root, q)
+                by: dict[int, list[int]] = {}
+                for v in {*i.tolist(), *j.tolist()}:
+                    by.setdefault(_root(root, v), []).append(int(ids[lo + v]))
+                out += [sorted(x) for x in by.values()]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], ["ids"])
+
+    return run
+
+
+def _group_links(num: int, den: int, cut: float):
+    """Links within each group that join its components, on full sets; pairs of one component aren't compared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs_by(batches, "node"):
+            key, ids, sig = t.column("node").to_numpy(), t.column("id").to_numpy(), _matrix(t.column("sig"))
+            held = t.column("shingles").combine_chunks()
+            flat, at = held.values.to_numpy(), held.offsets.to_numpy()
+            size = np.diff(at)
+            a, b = [], []
+            for lo, hi in run_ends(key):
+                n, like = size[lo:hi], _estimates(sig[lo:hi])
+                near = (like >= cut * SIZE) & (den * np.minimum(n[:, None], n[None, :]) >= num * np.maximum(n[:, None], n[None, :]))
+                i, j = np.nonzero(np.triu(near, 1))
+                root = list(range(hi - lo))
+                order = np.argsort(-like[i, j].astype(np.int16), kind="stable")
+                for p, q in zip(i[order].tolist(), j[order].tolist(), strict=True):
+                    u, v = _root(root, p), _root(root, q)
+                    if u == v:
+                        continue
+                    x, y = lo + p, lo + q
+                    both = len(np.intersect1d(flat[at[x] : at[x + 1]], flat[at[y] : at[y + 1]], assume_unique=True))
+                    if den * both >= num * (size[x] + size[y] - both):
+                        root[u] = v
+                        a.append(ids[x])
+                        b.append(ids[y])
             if a:
-                a, b = np.concatenate(a), np.concatenate(b)
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return run
@@ -210,7 +240,7 @@ def _alike(cut: float):
 
 
 def _block_links(num: int, den: int, cut: float):
-    """Links of a block's lone rows with its other rows: for each lone row, one to each component that it has a link to."""
+    """Links of a block's lone rows with its other rows that join components; pairs of one component aren't compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs_by(batches, "block"):
@@ -225,8 +255,9 @@ def _block_links(num: int, den: int, cut: float):
                 if not len(rest) or not len(ones):
                     continue
                 there = np.unique(np.concatenate([flat[at[r] : at[r + 1]] for r in rest]))
+                root = {c: c for c in comp[rows].tolist()}
                 for r in ones:
-                    mine, done = flat[at[r] : at[r + 1]], set()
+                    mine, own = flat[at[r] : at[r + 1]], int(comp[r])
                     # of a set with a link at least the threshold's share of its own shingles stands in the other
                     held_too = np.searchsorted(there, mine)
                     if den * np.count_nonzero(there[np.minimum(held_too, len(there) - 1)] == mine) < num * len(mine):
@@ -235,11 +266,12 @@ def _block_links(num: int, den: int, cut: float):
                     # |A & B| is the smaller size at most, |A | B| the larger at least
                     near = (like >= cut) & (comp[rest] != comp[r]) & (den * np.minimum(size[rest], size[r]) >= num * np.maximum(size[rest], size[r]))
                     for x in rest[near][np.argsort(-like[near], kind="stable")]:
-                        if comp[x] in done:
+                        u, v = _root(root, own), _root(root, int(comp[x]))
+                        if u == v:
                             continue
                         both = len(np.intersect1d(mine, flat[at[x] : at[x + 1]], assume_unique=True))
                         if den * both >= num * (size[r] + size[x] - both):
-                            done.add(comp[x])
+                            root[u] = v
                             a.append(ids[r])
                             b.append(ids[x])
             if a:
@@ -258,7 +290,7 @@ def _compared(docs: DataFrame, pairs: DataFrame, k: int, scratch: Scratch) -> Da
     """Pairs with i, the size of the intersection, and u, that of the union of the full sets."""
     pairs = scratch.keep(pairs.distinct())
     sets = _full_sets(docs, pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))), k, scratch)
-    # the larger id first: of a star's pairs it occurs least
+    # b first: in stars it is the class that occurs least
     joined = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
     both = F.size(F.array_intersect("sa", "sb"))
     out = scratch.keep(joined.select("a", "b", both.alias("i"), (F.size("sa") + F.size("sb")).alias("n")))
@@ -286,44 +318,31 @@ class _Search:
     def _by(self, d: DataFrame, key: str) -> DataFrame:
         return d.repartition(self.parts, key).sortWithinPartitions(key, "id")
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """Those pairs that the full sets confirm."""
-        return _compared(self.docs, pairs, self.k, self.scratch).where(self.den * F.col("i") >= self.num * F.col("u")).select("a", "b")
-
-    def labelled(self, d: DataFrame, labels: DataFrame | None) -> DataFrame:
-        if labels is None:
-            return d.withColumn("component", F.col("id"))
-        return d.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-
-    def peel(self, large: DataFrame, seen: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """large (node, id) without the classes linked with their node's pivot, and all pairs compared so far: a, b, i, u."""
+    def peel(self, large: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """large (node, id) without the classes linked with their node's pivot, and all pairs compared: id, pivot, i, u."""
         keep, join = self.scratch.keep, broadcast_if_small
         sample = large.groupBy("node", F.pmod(F.xxhash64("id"), F.lit(SAMPLE)).alias("_s")).agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("x")).select("node", "x.id")
         pivots = keep(self._by(sample.join(self.reps, "id"), "node").mapInArrow(trimmed(_medoids), "node long, pivot long"))
         held = keep(large.join(join(pivots), "node"))
-        pairs = held.where("id <> pivot").select("id", "pivot").distinct()
-        if seen is not None:
-            known = seen.select(F.col("a").alias("id"), F.col("b").alias("pivot")).unionByName(seen.select(F.col("b").alias("id"), F.col("a").alias("pivot")))
-            pairs = pairs.join(known, ["id", "pivot"], "left_anti")
         of_pivots = keep(self.reps.join(join(pivots.select(F.col("pivot").alias("id")).distinct()), "id", "left_semi").select(F.col("id").alias("pivot"), F.col("sig").alias("pivot_sig")))
-        signed = pairs.join(self.reps, "id").join(join(of_pivots, 20_000), "pivot").select("id", "pivot", "sig", "pivot_sig")
+        pairs = held.where("id <> pivot").select("id", "pivot").distinct()
+        signed = pairs.join(self.reps, "id").join(join(of_pivots), "pivot").select("id", "pivot", "sig", "pivot_sig")
         alike = keep(signed.mapInArrow(trimmed(_alike(max(0.0, self._less(2 * self.threshold - 1)))), "id long, pivot long"))
-        found = _compared(self.docs, alike.select(*_ordered("id", "pivot")), self.k, self.scratch)
-        if seen is not None:
-            found = found.unionByName(seen)
-        linked = found.where(self.den * F.col("i") >= self.num * F.col("u"))
-        gone = linked.select(F.col("a").alias("id"), F.col("b").alias("pivot")).unionByName(linked.select(F.col("b").alias("id"), F.col("a").alias("pivot")))
-        left = held.where("id <> pivot").join(gone, ["id", "pivot"], "left_anti").select("node", "id")
-        return keep(left), found
-
-    def leaves(self, small: DataFrame) -> DataFrame:
-        """Rows (node, id) of nodes of two or more classes, equal nodes once."""
-        held = small.groupBy("node").agg(F.sort_array(F.collect_list("id")).alias("ids")).where(F.size("ids") > 1)
-        return self.scratch.keep(held.select("ids").distinct().select(F.xxhash64("ids").alias("node"), F.explode("ids").alias("id")))
-
-    def leaf_pairs(self, rows: DataFrame, spanning: bool) -> DataFrame:
-        """rows: node, id, component."""
-        return self._by(rows.join(self.reps, "id"), "node").select("node", "id", "component", "sig").mapInArrow(trimmed(_leaf_pairs(self.cut, spanning)), "a long, b long")
+        found = _compared(self.docs, alike.select(F.col("pivot").alias("a"), F.col("id").alias("b")), self.k, self.scratch).select(F.col("b").alias("id"), F.col("a").alias("pivot"), "i", "u")
+        gone = found.where(self.den * F.col("i") >= self.num * F.col("u")).select("id", "pivot")
+        return keep(held.where("id <> pivot").join(join(gone), ["id", "pivot"], "left_anti").select("node", "id")), found
+
+    def leaf_links(self, small: DataFrame) -> DataFrame:
+        """Links within leaves; small: node, id."""
+        keep = self.scratch.keep
+        sets_of = lambda rows, column: rows.select(F.xxhash64(column).alias("node"), F.explode(column).alias("id"))
+        leaves = small.groupBy("node").agg(F.sort_array(F.collect_list("id")).alias("ids")).where(F.size("ids") > 1).select("ids").distinct()
+        rows = self._by(sets_of(leaves, "ids").join(self.reps, "id"), "node").select("node", "id", "sig")
+        found = keep(rows.mapInArrow(trimmed(_candidates(self.cut)), "ids array<long>").distinct())
+        rows = keep(sets_of(found, "ids"))
+        sets = _full_sets(self.docs, rows.select(F.col("id").alias("doc_id")), self.k, self.scratch).withColumnRenamed("doc_id", "id")
+        whole = self._by(rows.join(sets.join(self.reps, "id"), "id"), "node").select("node", "id", "sig", "shingles")
+        return keep(whole.mapInArrow(trimmed(_group_links(self.num, self.den, self.cut)), "a long, b long"))
 
     def blocks(self, lone: DataFrame, rest: DataFrame) -> DataFrame:
         """Links of lone rows with others of the same group and of another component; lone, rest: group, id, component.
@@ -341,80 +360,40 @@ class _Search:
         whole = self._by(one.unionByName(other).join(sets, "id").join(self.reps, "id"), "block")
         return keep(whole.select("block", "id", "component", "lone", "sig", "shingles").mapInArrow(trimmed(_block_links(self.num, self.den, self.cut)), "a long, b long"))
 
-    def fringe_links(self, found: DataFrame, labels: DataFrame) -> DataFrame:
-        """Links of classes near a pivot, but of another component, with that pivot's component. found: pairs with a pivot, a, b, i, u."""
-        close = found.where(self.den * F.col("i") >= (2 * self.num - self.den) * F.col("u"))
-        ends = self.labelled(close.select(F.col("a").alias("id"), "b"), labels).select(F.col("id").alias("a"), F.col("component").alias("ca"), F.col("b").alias("id"))
-        ends = self.scratch.keep(self.labelled(ends, labels).where("component <> ca").select("a", "ca", F.col("id").alias("b"), F.col("component").alias("cb")))
-        # either may be the pivot: each is held against the other's component
-        lone = ends.select(F.col("cb").alias("group"), F.col("a").alias("id"), F.col("ca").alias("component")).unionByName(ends.select(F.col("ca").alias("group"), F.col("b").alias("id"), F.col("cb").alias("component"))).distinct()
-        rest = labels.select(F.col("component").alias("group"), "id", "component").join(broadcast_if_small(self.scratch.keep(lone.select("group").distinct())), "group", "left_semi")
-        return self.blocks(lone, rest)
-
-    def run(self, shared: DataFrame) -> DataFrame | None:
+    def fringe_links(self, found: DataFrame) -> DataFrame:
+        """Links of classes near a pivot with those linked with it. found: pairs id, pivot, i, u."""
+        linked = self.den * F.col("i") >= self.num * F.col("u")
+        star = self.scratch.keep(found.where(linked).select(F.col("pivot").alias("group"), "id", F.col("pivot").alias("component")))
+        # what one link joins with a pivot's component isn't compared again; a class stands for the least pivot that it is linked with
+        own = star.groupBy("id").agg(F.min("component").alias("component"))
+        close = found.where(~linked & (self.den * F.col("i") >= (2 * self.num - self.den) * F.col("u"))).select(F.col("pivot").alias("group"), "id")
+        lone = self.scratch.keep(close.join(own, "id", "left").withColumn("component", F.coalesce("component", "id")))
+        return self.blocks(lone, star)
+
+    def run(self, shared: DataFrame) -> DataFrame:
         """id and component of the classes with links. shared: a, b of classes that one doc_id links."""
         keep = self.scratch.keep
         level = self.reps.mapInArrow(trimmed(_branch(self.threshold, tree_count(self.threshold))), "node long, id long")
-        leaves, stuck, seen, labels, links = [], None, None, None, [keep(shared)]
+        small, links = [], [keep(shared)]
         for depth in range(1, MAX_DEPTH + 1):
             level = keep(level)
             sizes = keep(level.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LEAF).select("node"))
             if sizes.isEmpty():
-                leaves.append(self.leaves(level))
+                small.append(level)
                 break
             held = broadcast_if_small(sizes)
-            leaves.append(self.leaves(level.join(held, "node", "left_anti")))
-            large = keep(level.join(held, "node", "left_semi"))
-            self.scratch.drop(level)
+            small.append(level.join(held, "node", "left_anti"))
+            large = level.join(held, "node", "left_semi")
             if depth <= PEELS:
-                large, seen = self.peel(large, seen)
-            if depth == PEELS:
-                star = keep(seen.where(self.den * F.col("i") >= self.num * F.col("u")).select("a", "b"))
-                labels = keep(components(star.unionByName(links[0]), self.scratch))
-            if labels is not None:
-                # large nodes of one component alone are done, and others may be small by now
-                by = self.labelled(large, labels).groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("x"), F.max("component").alias("y"))
-                mixed = broadcast_if_small(keep(by.where("x <> y").select("node", (F.col("n") > LEAF).alias("branches"))))
-                rest = keep(large.join(mixed, "node"))
-                leaves.append(self.leaves(rest.where("NOT branches").select("node", "id")))
-                large = rest.where("branches").select("node", "id")
-            if large.isEmpty():
-                break
+                large, found = self.peel(keep(large))
+                links += [found.where(self.den * F.col("i") >= self.num * F.col("u")).select(*_ordered("id", "pivot")), self.fringe_links(found)]
             if depth == MAX_DEPTH:
-                stuck = large
+                side = keep(large.select(F.col("node").alias("group"), "id", F.col("id").alias("component")))
+                links.append(self.blocks(side, side))
                 break
             level = large.join(self.reps, "id").select("node", "id", "sig").mapInArrow(trimmed(_branch(self.threshold)), "node long, id long")
-        if seen is not None:
-            if labels is None:
-                star = keep(seen.where(self.den * F.col("i") >= self.num * F.col("u")).select("a", "b"))
-                labels = keep(components(star.unionByName(links[0]), self.scratch))
-            fringe = self.fringe_links(seen, labels)
-            links += [star, fringe]
-        rows = keep(reduce(DataFrame.unionByName, leaves).distinct())
-
-        def united() -> DataFrame:
-            return keep(components(reduce(DataFrame.unionByName, links), self.scratch))
-
-        if seen is not None and not fringe.isEmpty():
-            labels = united()
-        links.append(self.links(self.leaf_pairs(self._apart(rows, labels), True)))
-        labels = united()
-        second = self.links(self.leaf_pairs(self._apart(rows, labels), False))
-        if stuck is not None:
-            side = self.labelled(stuck, labels).select(F.col("node").alias("group"), "id", "component")
-            second = keep(second.unionByName(self.blocks(side, side)))
-        if not second.isEmpty():
-            links.append(second)
-            labels = united()
-        return labels
-
-    def _apart(self, rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-        """Labelled rows of leaves that hold several components."""
-        if labels is None:
-            return self.labelled(rows, None)
-        rows = self.scratch.keep(self.labelled(rows, labels))
-        split = rows.groupBy("node").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("node")
-        return rows.join(split, "node", "left_semi")
+        links.append(self.leaf_links(reduce(DataFrame.unionByName, small)))
+        return components(reduce(DataFrame.unionByName, links), self.scratch)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
