@@ -6,12 +6,11 @@ from pyspark.sql import functions as F
 
 from docloom.catalog import query
 from docloom.operators import browse as b
-from docloom.operators import fts, pages
+from docloom.operators import pages
 from docloom.operators.filters import document_filter, pipeline_filter
-from docloom.operators.fts import postings
 from docloom.schemas import SearchFilters
 from docloom.sources import readers
-from docloom.sources.driver_tables import MODEL_SQL, chunks, documents, table, taxonomy
+from docloom.sources.driver_tables import MODEL_SQL, chunks, documents, served_index, table, taxonomy
 
 _NAMED = """named AS (
   SELECT d.*, c.name AS correspondent, t.name AS document_type FROM docs d LEFT JOIN (SELECT id AS cid, name FROM taxonomy WHERE kind = 'correspondent') c ON cid = correspondent_id
@@ -101,14 +100,14 @@ def fetch_truncate(spark, sf_dir):
 def integrity_check(spark, sf_dir):
     c = chunks(spark, sf_dir)
     d = documents(spark, sf_dir).join(c.groupBy(F.col("document_id").alias("id")).agg(F.count(F.lit(1)).alias("chunk_count")), "id", "left")
-    return b.integrity(d, c, postings(c))
+    return b.integrity(d, c, served_index(spark, sf_dir).postings)
 
 
 @query(rf"""WITH {MODEL_SQL}, t AS (SELECT chunk_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}\p{{M}}]+')) AS term FROM chunks)
-SELECT term, count(DISTINCT chunk_id) AS chunks, count(*) AS tf FROM t GROUP BY term HAVING count(*) >= 20""")
+SELECT term, count(DISTINCT chunk_id) AS chunks, count(*) AS tf FROM t GROUP BY term""")
 def postings_terms(spark, sf_dir):
-    p = fts.postings(chunks(spark, sf_dir))
-    return p.groupBy("term").agg(F.count(F.lit(1)).alias("chunks"), F.sum("tf").alias("tf")).where("tf >= 20")
+    p = served_index(spark, sf_dir).postings
+    return p.groupBy("term").agg(F.count(F.lit(1)).alias("chunks"), F.sum("tf").alias("tf"))
 
 
 @query("SELECT o_orderstatus, c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderdate >= TIMESTAMP '1995-01-01' GROUP BY ALL")

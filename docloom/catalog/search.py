@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docloom.catalog import query
 from docloom.operators import filters, fts, fusion, ranked, vectors
 from docloom.schemas import SearchFilters
-from docloom.sources.driver_tables import MODEL_SQL, chunks, documents, fts_sql, query_vector
+from docloom.sources.driver_tables import MODEL_SQL, chunks, documents, fts_sql, query_vector, served_index
 from docloom.sources.driver_tables import vectors as vector_table
 
 WORDS, PHRASE = "ereer thion", "the of"
@@ -33,7 +33,7 @@ def vector_topk_filtered(spark, sf_dir):
 
 
 def _keyword(spark, sf_dir, text, k=20, f=None):
-    return ranked.keyword_search(chunks(spark, sf_dir), documents(spark, sf_dir), text, k, f).select("chunk_id", "document_id", F.round("bm25", 6).alias("bm25"))
+    return ranked.keyword_search(served_index(spark, sf_dir), documents(spark, sf_dir), text, k, f).select("chunk_id", "document_id", F.round("bm25", 6).alias("bm25"))
 
 
 @query(f"WITH {MODEL_SQL}, {fts_sql(['the'])} SELECT * FROM kw ORDER BY bm25, chunk_id LIMIT 20")
@@ -57,10 +57,9 @@ def bm25_filtered(spark, sf_dir):
 
 
 @query(f"WITH {MODEL_SQL}, {fts_sql(['that', 'for'])} SELECT * FROM kw ORDER BY bm25, chunk_id LIMIT 15")
-def bm25_postings(spark, sf_dir):
-    c = chunks(spark, sf_dir)
-    scores = fts.posting_scores(fts.postings(c), fts.token_counts(c), "that for").join(c.select("chunk_id", "document_id"), "chunk_id")
-    return scores.select("chunk_id", "document_id", F.round("bm25", 6).alias("bm25")).orderBy("bm25", "chunk_id").limit(15)
+def bm25_unindexed(spark, sf_dir):
+    """The same without a stored index: texts are tokenised as they are read."""
+    return fts.keyword_scores(chunks(spark, sf_dir), "that for").select("chunk_id", "document_id", F.round("bm25", 6).alias("bm25")).orderBy("bm25", "chunk_id").limit(15)
 
 
 _BEST = "best AS (SELECT document_id, chunk_id, bm25 FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY bm25, chunk_id) AS n FROM kw) WHERE n = 1)"
@@ -68,12 +67,12 @@ _BEST = "best AS (SELECT document_id, chunk_id, bm25 FROM (SELECT *, row_number(
 
 @query(f"WITH {MODEL_SQL}, {fts_sql(['the'])}, {_BEST} SELECT * FROM best ORDER BY bm25, chunk_id LIMIT 10 OFFSET 10")
 def keyword_document_page(spark, sf_dir):
-    return ranked.keyword_documents(chunks(spark, sf_dir), documents(spark, sf_dir), "the", 10, 10)
+    return ranked.keyword_documents(served_index(spark, sf_dir), documents(spark, sf_dir), "the", 10, 10)
 
 
 @query(f"WITH {MODEL_SQL}, {fts_sql(['the'])} SELECT count(DISTINCT document_id) AS total FROM kw WHERE document_id IN (SELECT id FROM docs WHERE {_ON_TYPE_SQL})")
 def keyword_document_total(spark, sf_dir):
-    return ranked.keyword_document_count(chunks(spark, sf_dir), documents(spark, sf_dir), "the", ON_TYPE)
+    return ranked.keyword_document_count(served_index(spark, sf_dir), documents(spark, sf_dir), "the", ON_TYPE)
 
 
 # chunk ids of the vector table count pairs per document; for fusion both lists speak of chunk 0 of a document

@@ -119,12 +119,12 @@ def page_assembly(spark, sf_dir):
     return pages.assemble_pages(p, True).select("document_id", "text", F.array_join("models", ", ").alias("models"))
 
 
-@query("""WITH p AS (SELECT DISTINCT o_custkey AS k, extract(day FROM o_orderdate) AS p FROM orders WHERE o_custkey < 200), g AS (SELECT k, p, p - row_number() OVER (PARTITION BY k ORDER BY p) AS island FROM p),
+@query("""WITH p AS (SELECT DISTINCT o_custkey AS k, extract(day FROM o_orderdate) AS p FROM orders), g AS (SELECT k, p, p - row_number() OVER (PARTITION BY k ORDER BY p) AS island FROM p),
 r AS (SELECT k, min(p) AS a, max(p) AS b FROM g GROUP BY k, island) SELECT k AS customer, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ', ' ORDER BY a) AS pages FROM r GROUP BY k""")
 def page_ranges(spark, sf_dir):
     from docloom.functions.text import page_ranges as shown
 
-    o = table(spark, sf_dir, "orders").where("o_custkey < 200").groupBy(F.col("o_custkey").alias("customer")).agg(F.collect_set(F.dayofmonth("o_orderdate")).alias("p"))
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("customer")).agg(F.collect_set(F.dayofmonth("o_orderdate")).alias("p"))
     return o.select("customer", shown(F.col("p")).alias("pages"))
 
 

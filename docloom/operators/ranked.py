@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.operators.filters import document_filter
-from docloom.operators.fts import keyword_scores
+from docloom.operators.fts import StoredIndex, scores
 from docloom.schemas import SearchFilters
 
 
@@ -16,25 +16,24 @@ def _allowed(documents: DataFrame, filters: SearchFilters | None) -> DataFrame |
     return documents.where(document_filter(filters)).select(F.col("id").alias("document_id"))
 
 
-def keyword_search(chunks: DataFrame, documents: DataFrame, query: str, k: int, filters: SearchFilters | None = None) -> DataFrame:
-    """The k best chunks: chunk_id, document_id, bm25."""
-    scores = keyword_scores(chunks, query, _allowed(documents, filters))
-    return scores.orderBy(F.round("bm25", 6), "chunk_id").limit(max(0, k))
+def keyword_search(source: DataFrame | StoredIndex, documents: DataFrame, query: str, k: int, filters: SearchFilters | None = None) -> DataFrame:
+    """The k best chunks of a stored index or of chunks with texts: chunk_id, document_id, bm25."""
+    return scores(source, query, _allowed(documents, filters)).orderBy(F.round("bm25", 6), "chunk_id").limit(max(0, k))
 
 
-def best_chunk_each(scores: DataFrame) -> DataFrame:
+def best_chunk_each(scored: DataFrame) -> DataFrame:
     """Each document's best chunk; a sum-like aggregate, so a document of any number of chunks costs one row a task."""
-    return scores.groupBy("document_id").agg(F.min(F.struct(F.round("bm25", 6).alias("bm25"), "chunk_id")).alias("b")).select("document_id", F.col("b.chunk_id").alias("chunk_id"), F.col("b.bm25").alias("bm25"))
+    return scored.groupBy("document_id").agg(F.min(F.struct(F.round("bm25", 6).alias("bm25"), "chunk_id")).alias("b")).select("document_id", F.col("b.chunk_id").alias("chunk_id"), F.col("b.bm25").alias("bm25"))
 
 
-def keyword_documents(chunks: DataFrame, documents: DataFrame, query: str, limit: int, offset: int = 0, filters: SearchFilters | None = None) -> DataFrame:
+def keyword_documents(source: DataFrame | StoredIndex, documents: DataFrame, query: str, limit: int, offset: int = 0, filters: SearchFilters | None = None) -> DataFrame:
     """A page of documents by their best chunk."""
-    best = best_chunk_each(keyword_scores(chunks, query, _allowed(documents, filters)))
+    best = best_chunk_each(scores(source, query, _allowed(documents, filters)))
     return best.orderBy("bm25", "chunk_id").offset(max(0, offset)).limit(max(0, limit))
 
 
-def keyword_document_count(chunks: DataFrame, documents: DataFrame, query: str, filters: SearchFilters | None = None) -> DataFrame:
-    return keyword_scores(chunks, query, _allowed(documents, filters)).agg(F.countDistinct("document_id").alias("total"))
+def keyword_document_count(source: DataFrame | StoredIndex, documents: DataFrame, query: str, filters: SearchFilters | None = None) -> DataFrame:
+    return scores(source, query, _allowed(documents, filters)).agg(F.countDistinct("document_id").alias("total"))
 
 
 def page(df: DataFrame, number: int, size: int, most: int = 100) -> DataFrame:

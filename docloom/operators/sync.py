@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,19 +15,33 @@ MOST_FAILURES = 5
 
 
 def scan_since(source: DataFrame, watermark: str | None, columns: list[str] | None = None) -> DataFrame:
-    """Rows modified after the watermark; columns and filter reach the scan."""
-    rows = source if watermark is None else source.where(F.col("modified") > watermark)
+    """Rows modified after the watermark, as times whatever their zones, and those whose time can't be read; columns reach the scan, and a filter by days on the text."""
+    rows = source
+    if watermark is not None:
+        time, since = utc_timestamp(F.col("modified")), utc_timestamp(F.lit(watermark))
+        day = F.col("modified") >= (dt.date.fromisoformat(watermark[:10]) - dt.timedelta(days=1)).isoformat()  # zones differ by less than a day
+        rows = source.where(F.col("modified").isNull() | (day & F.coalesce(time > since, F.lit(True))))
     return rows.select(*columns) if columns else rows
 
 
+def latest_each(rows: DataFrame) -> DataFrame:
+    """Of several rows of one id the last modified, or else the greatest."""
+    best = F.max(F.struct(utc_timestamp(F.col("modified")).alias("_time"), *[c for c in rows.columns if c != "id"])).alias("_best")
+    return rows.groupBy("id").agg(best).select(*["id" if c == "id" else F.col(f"_best.{c}").alias(c) for c in rows.columns])
+
+
 def content_hash(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
-def light_diff(light: DataFrame, state: DataFrame) -> DataFrame:
-    """id, change of each listed document: new, unchanged (same normalised time), or changed. light: id, modified; state: id, modified of the index."""
+def light_diff(light: DataFrame, state: DataFrame, out_of_order: bool = False) -> DataFrame:
+    """id, change of each listed document: new, unchanged (same normalised time), or changed. light: id, modified; state: id, modified of the index.
+
+    out_of_order: rows may come late; one that is older than the index's is unchanged."""
     known = state.select("id", F.col("modified").alias("_old"))
     change = F.when(F.col("_old").isNull(), "new").when(normalise_timestamp(F.col("modified")) == normalise_timestamp(F.col("_old")), "unchanged").otherwise("changed")
+    if out_of_order:
+        change = F.when(utc_timestamp(F.col("modified")) < utc_timestamp(F.col("_old")), "unchanged").otherwise(change)
     return light.join(known, "id", "left").select("id", change.alias("change"))
 
 

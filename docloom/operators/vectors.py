@@ -36,17 +36,19 @@ def vector_search(chunks: DataFrame, documents: DataFrame | None, query: Sequenc
 
 
 def embed(chunks: DataFrame, embedder, batch: int = 96) -> DataFrame:
-    """chunks with embeddings from an injected embedder (texts -> vectors), `batch` texts a call; a failing batch gives null vectors."""
+    """chunks with embeddings from an injected embedder (texts -> vectors), `batch` texts a call. The texts of a failing batch are tried one by one; those that fail get null vectors."""
+
+    def vectors(texts: list[str]) -> list:
+        try:
+            return [[float(x) for x in v] for v in embedder(texts)]
+        except Exception:  # noqa: BLE001  any provider error: keyword search still works
+            return [None] if len(texts) == 1 else [v for t in texts for v in vectors([t])]
 
     def run(frames):
         for pdf in frames:
             out = []
             for i in range(0, len(pdf), batch):
-                texts = pdf["text"].iloc[i : i + batch].tolist()
-                try:
-                    out += [[float(x) for x in v] for v in embedder(texts)]
-                except Exception:  # noqa: BLE001  any provider error: keyword search still works
-                    out += [None] * len(texts)
+                out += vectors(pdf["text"].iloc[i : i + batch].tolist())
             yield pdf.assign(embedding=out)
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chunks.schema if f.name != "embedding")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from docloom import schemas
 from docloom.functions.dates import normalise_timestamp
 from docloom.operators.chunking import chunk_documents, chunk_key
-from docloom.operators.sync import content_hash, deletion_candidates, index_outcomes, light_diff, next_watermark, scan_since
+from docloom.operators.fts import postings, token_counts
+from docloom.operators.sync import MOST_FAILURES, content_hash, deletion_candidates, index_outcomes, latest_each, light_diff, next_watermark, retry_documents, scan_since, update_failures
 from docloom.operators.vectors import embed
 from docloom.sources.store import IndexStore, merged_metadata
 
@@ -23,56 +24,80 @@ class Report:
     unchanged: int
     deleted: int
     watermark: str | None
+    failed: int = 0
 
 
-def index_rows(source: DataFrame, embedder, now: str, size: int = 2000, overlap: int = 256) -> tuple[DataFrame, DataFrame]:
-    """Document rows and chunk rows of source documents (id, title, ..., modified, text)."""
+#: Segments of a table at which a cycle compacts the store.
+MOST_SEGMENTS = 24
+
+
+def chunk_rows(source: DataFrame, embedder, size: int = 2000, overlap: int = 256) -> DataFrame:
+    """Chunk rows, with vectors, of source documents (id, text)."""
     chunks = chunk_documents(source, size, overlap, "id").withColumn("chunk_id", chunk_key(F.col("document_id"), F.col("chunk_index")))
-    chunks = embed(chunks.select("chunk_id", "document_id", "chunk_index", "text", "page_hint"), embedder)
+    return embed(chunks.select("chunk_id", "document_id", "chunk_index", "text", "page_hint"), embedder)
+
+
+def document_rows(source: DataFrame, chunks: DataFrame, now: str) -> DataFrame:
+    """Document rows of source documents (id, title, ..., modified, text) and their chunks."""
     counts = chunks.groupBy(F.col("document_id").alias("id")).agg(F.count(F.lit(1)).cast("int").alias("chunk_count"), F.max("page_hint").alias("page_count"))
-    docs = source.join(counts, "id", "left").select("id", "title", "correspondent_id", "document_type_id", "tag_ids", "created", normalise_timestamp(F.col("modified")).alias("modified"), content_hash(F.col("text")).alias("content_hash"), "page_count", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.lit(now).alias("indexed_at"))
-    return docs, chunks
+    return source.join(counts, "id", "left").select("id", "title", "correspondent_id", "document_type_id", "tag_ids", "created", normalise_timestamp(F.col("modified")).alias("modified"), content_hash(F.col("text")).alias("content_hash"), "page_count", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.lit(now).alias("indexed_at"))
 
 
-def run_cycle(store: IndexStore, source: DataFrame, embedder, now: str, error_tag: int | None = None, sweep: bool = True, expected: int | None = None) -> Report:
+def run_cycle(store: IndexStore, source: DataFrame, embedder, now: str, error_tag: int | None = None, sweep: bool = True, expected: int | None = None, stream: bool = False, most_segments: int = MOST_SEGMENTS) -> Report:
     """source: id, title, correspondent_id, document_type_id, tag_ids, created, modified, text.
 
     Rows since the watermark less its overlap are read again; those unchanged are left out, so a
-    repeated cycle does nothing. All changes of a cycle are one commit."""
-    state = store.index_state()
-    page = scan_since(source, store.meta("watermark"))
-    change = light_diff(page.select("id", "modified"), state).cache()
-    todo = page.join(change.where("change <> 'unchanged'").select("id"), "id", "left_semi")
+    repeated cycle does nothing. A new store reads all. Documents that failed before are tried again
+    until they have failed MOST_FAILURES times in a row. A document whose text can't be embedded
+    fails alone: it isn't written, and keeps what the index has of it. All changes of a cycle are one
+    generation, which adds the changed rows; the store is compacted at most_segments.
+
+    stream: the rows come in any order and are all there is, so no watermark leaves any out, and what is
+    older than the index stays out."""
+    base, state, failed = store._manifest(), store.index_state(), store.read("failures")
+    page = source if stream else scan_since(source, store.meta("watermark"))
+    retried = retry_documents(failed.where(F.col("failures") < MOST_FAILURES), page, source)
+    page = latest_each(page).cache()
+    change = light_diff(page.select("id", "modified"), state, stream).cache()
+    todo = page.join(change.where("change <> 'unchanged'").select("id"), "id", "left_semi").unionByName(latest_each(retried)).cache()
     outcomes = index_outcomes(todo.select("id", "text", "tag_ids"), state, error_tag).cache()
-    by = {r.outcome: r.n for r in outcomes.groupBy("outcome").agg(F.count(F.lit(1)).alias("n")).collect()}
     unchanged = change.where("change = 'unchanged'").count()
-    documents, chunks = index_rows(todo.join(outcomes.where("outcome = 'indexed'").select("id"), "id", "left_semi"), embedder, now)
-    moved = todo.join(outcomes.where("outcome = 'metadata_only'").select("id"), "id", "left_semi").withColumn("indexed_at", F.lit(now)).withColumn("modified", normalise_timestamp(F.col("modified")))
-    gone = outcomes.where("outcome = 'pruned'").select("id")
-    swept = deletion_candidates(store.document_ids(), source, expected) if sweep else gone.limit(0)
-    gone = gone.unionByName(swept).distinct().cache()
+
+    fresh = todo.join(outcomes.where("outcome = 'indexed'").select("id"), "id", "left_semi")
+    folder = store.stage("chunks", chunk_rows(fresh, embedder))
+    chunks = store.staged("chunks", folder)
+    lost = chunks.where("embedding IS NULL").select(F.col("document_id").alias("id")).distinct().cache()
+    if not lost.isEmpty():
+        folder = store.stage("chunks", chunks.join(lost, F.col("document_id") == F.col("id"), "left_anti"))
+        chunks = store.staged("chunks", folder)
+    tried = outcomes.join(lost.withColumn("_lost", F.lit(True)), "id", "left").select("id", F.when(F.col("_lost").isNull(), F.col("outcome")).alias("outcome")).cache()
+    by = {r.outcome: r.n for r in tried.groupBy("outcome").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    documents = document_rows(fresh.join(lost, "id", "left_anti"), chunks, now)
+    moved = todo.join(tried.where("outcome = 'metadata_only'").select("id"), "id", "left_semi").withColumn("indexed_at", F.lit(now)).withColumn("modified", normalise_timestamp(F.col("modified")))
+    gone = tried.where("outcome = 'pruned'").select("id")
+    if sweep:
+        gone = gone.unionByName(deletion_candidates(store.document_ids(), source, expected)).distinct()
+    gone = gone.cache()
     deleted = gone.count()
     watermark = next_watermark(page.select("modified"), store.meta("watermark")).first().watermark
+    if stream and (known := store.meta("watermark")) and known > watermark:
+        watermark = known
     meta = store.read("meta").where("key NOT IN ('watermark', 'last_reconcile_at')").unionByName(store.spark.createDataFrame([("watermark", watermark), ("last_reconcile_at", now)], schemas.META))
-    if by or deleted:
-        kept = store.read("documents")
-        if by.get("metadata_only"):
-            kept = merged_metadata(kept, moved)
-        old_chunks = store.read("chunks")
-        replaced = documents.select("id").unionByName(gone).distinct().cache()
-        stale = old_chunks.join(replaced.select(F.col("id").alias("document_id")), "document_id", "left_semi").select("chunk_id")
-        from docloom.operators.fts import postings, token_counts
-
-        store.commit(
-            documents=kept.join(replaced, "id", "left_anti").unionByName(documents),
-            chunks=old_chunks.join(stale, "chunk_id", "left_anti").unionByName(chunks),
-            postings=store.read("postings").join(stale, "chunk_id", "left_anti").unionByName(postings(chunks.select("chunk_id", "text"))),
-            fts_stats=store.read("fts_stats").join(stale, "chunk_id", "left_anti").unionByName(token_counts(chunks.select("chunk_id", "text"))),
-            meta=meta,
-        )
-        replaced.unpersist()
-    else:
-        store.commit(meta=meta)
-    for held in (change, outcomes, gone):
+    failures = update_failures(failed.join(gone.select(F.col("id").alias("document_id")), "document_id", "left_anti"), tried).select("document_id", "failures")
+    replaced = {"meta": store.stage("meta", meta), "failures": store.stage("failures", failures)}
+    added, dead = {}, {}
+    if by.get("indexed") or by.get("metadata_only") or deleted:
+        held = store.read("documents").join(moved.select("id"), "id", "left_semi")
+        added["documents"] = store.stage("documents", documents.unionByName(merged_metadata(held, moved)))
+        written = store.staged("documents", added["documents"])
+        keys = documents.select("id").unionByName(gone).select(F.col("id").alias("key"))
+        dead = dict.fromkeys(("chunks", "postings", "fts_stats"), keys) | {"documents": written.select(F.col("id").alias("key")).unionByName(gone.select(F.col("id").alias("key")))}
+    if by.get("indexed"):
+        added |= {"chunks": folder, "postings": store.stage("postings", postings(chunks)), "fts_stats": store.stage("fts_stats", token_counts(chunks))}
+    store.publish(base, replaced, added, dead)
+    for held in (page, change, todo, outcomes, lost, tried, gone):
         held.unpersist()
-    return Report(by.get("indexed", 0), by.get("metadata_only", 0), by.get("skipped", 0) + by.get("pruned", 0), unchanged, deleted, watermark)
+    if store.segments() > most_segments:
+        store.compact()
+    return Report(by.get("indexed", 0), by.get("metadata_only", 0), by.get("skipped", 0) + by.get("pruned", 0), unchanged, deleted, watermark, by.get(None, 0))

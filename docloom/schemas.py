@@ -16,8 +16,11 @@ CHUNKS = StructType([
     StructField("chunk_id", LongType(), False), StructField("document_id", LongType(), False), StructField("chunk_index", IntegerType(), False), StructField("text", StringType(), False),
     StructField("page_hint", IntegerType()), StructField("embedding", ArrayType(FloatType(), False)),
 ])
-POSTINGS = StructType([StructField("term", StringType(), False), StructField("chunk_id", LongType(), False), StructField("tf", IntegerType(), False), StructField("positions", ArrayType(IntegerType(), False), False)])
-FTS_STATS = StructType([StructField("chunk_id", LongType(), False), StructField("dl", IntegerType(), False)])
+POSTINGS = StructType([
+    StructField("term", StringType(), False), StructField("chunk_id", LongType(), False), StructField("document_id", LongType(), False), StructField("tf", IntegerType(), False), StructField("dl", IntegerType(), False),
+    StructField("positions", ArrayType(IntegerType(), False), False),
+])
+FTS_STATS = StructType([StructField("chunk_id", LongType(), False), StructField("document_id", LongType(), False), StructField("dl", IntegerType(), False)])
 META = StructType([StructField("key", StringType(), False), StructField("value", StringType())])
 FAILED = StructType([StructField("document_id", LongType(), False), StructField("failures", IntegerType(), False)])
 PRICES = StructType([StructField("model", StringType(), False), StructField("input_per_mtok", DoubleType(), False), StructField("output_per_mtok", DoubleType(), False)])

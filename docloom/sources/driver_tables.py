@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom import schemas
 from docloom.operators.chunking import hard_cap
+from docloom.operators.fts import StoredIndex, by_term, postings, token_counts
+from docloom.sources.workspace import new_dir
 
 CHUNK_CHARS = 2000
 TYPES = (("en", 200, "English"), ("de", 201, "German"), ("fr", 202, "French"), ("es", 203, "Spanish"))
@@ -47,7 +50,23 @@ def taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chunk_id, document_id, chunk_index, text."""
     cut = hard_cap(table(spark, sf_dir, "documents"), CHUNK_CHARS, "doc_id")
-    return cut.select((F.col("document_id") * 1000 + F.col("chunk_index")).alias("chunk_id"), "document_id", "chunk_index", "text")
+    # ids as in the SQL below: up to 1000 chunks a document, which assert_true checks
+    number = F.when(F.assert_true(F.col("chunk_index") < 1000, "a document of more than 1000 chunks").isNull(), F.col("document_id") * 1000 + F.col("chunk_index"))
+    return cut.select(number.alias("chunk_id"), "document_id", "chunk_index", "text")
+
+
+_served: dict[tuple[str, str], StoredIndex] = {}
+
+
+def served_index(spark: SparkSession, sf_dir: str) -> StoredIndex:
+    """The full-text index of the chunks: written once a session and folder, as an index store keeps it, and read by every query from then on."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _served:
+        path, c = new_dir(spark, "fts"), chunks(spark, sf_dir)
+        by_term(postings(c)).write.parquet(f"{path}/postings")
+        token_counts(c).write.parquet(f"{path}/lengths")
+        _served[key] = StoredIndex(spark.read.schema(schemas.POSTINGS).parquet(f"{path}/postings"), spark.read.schema(schemas.FTS_STATS).parquet(f"{path}/lengths"))
+    return _served[key]
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

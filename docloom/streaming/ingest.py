@@ -18,10 +18,10 @@ def stream_source(spark: SparkSession, path: str, schema: StructType, files: int
 
 
 def start_indexing(source: DataFrame, store_path: str, embedder, checkpoint: str, once: bool = True, interval: str = "60 seconds") -> StreamingQuery:
-    """A row that comes again is unchanged the second time, so a repeated batch does no harm. Deletions need a full listing and aren't done here."""
+    """A row that comes again is unchanged the second time, so a repeated batch does no harm, and rows may come in any order. Deletions need a full listing and aren't done here."""
 
     def cycle(batch: DataFrame, _: int) -> None:
-        run_cycle(IndexStore(batch.sparkSession, store_path), batch, embedder, dt.datetime.now(dt.UTC).isoformat(timespec="seconds"), sweep=False)
+        run_cycle(IndexStore(batch.sparkSession, store_path), batch, embedder, dt.datetime.now(dt.UTC).isoformat(timespec="seconds"), sweep=False, stream=True)
 
     w = source.writeStream.foreachBatch(cycle).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime=interval)).start()

@@ -337,10 +337,87 @@ def test_store_and_cycles(spark, tmp_path):
         other.commit(taxonomy=spark.createDataFrame([], schemas.TAXONOMY))
     assert store.check_model("m1") is False and store.check_model("m2") is True and store.reembed_scope() == (0, 0)
     assert store.meta("watermark") is None
-    store.vacuum()
+    store.vacuum(0)
     assert store.read("documents").count() == 0
 
 
+def test_a_slower_writer_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "store")
+    names = lambda *rows: spark.createDataFrame(list(rows), schemas.TAXONOMY)
+    winner, loser = IndexStore(spark, path), IndexStore(spark, path)
+    winner.refresh_taxonomy(names(("tag", 1, "old")))
+    base = loser._manifest()
+    folder = loser.stage("taxonomy", names(("tag", 1, "loser")))
+    winner.refresh_taxonomy(names(("tag", 1, "winner")))
+    with pytest.raises(StaleWriter):
+        loser.publish(base, {"taxonomy": folder})
+    assert [r.name for r in winner.read("taxonomy").collect()] == ["winner"] == [r.name for r in loser.read("taxonomy").collect()]
+    # a claim without a generation: that of a writer at work, or long dead
+    (tmp_path / "store" / "_commits" / f"{winner.generation() + 1:012d}.claim").touch()
+    with pytest.raises(StaleWriter):
+        winner.write_meta(a="1")
+    winner._commits_of = winner._commits
+    winner._commits = lambda: [(n, k, t - 10_000) for n, k, t in winner._commits_of()]
+    winner.write_meta(a="1")
+    assert loser.meta("a") == "1"
+    winner.vacuum()
+    assert (tmp_path / "store" / folder).exists()  # it may be of a writer at work
+
+
+def source_row(i, modified, text="some text"):
+    return (i, f"t{i}", 10, None, [], "2024-01-15", modified, text)
+
+
+def test_writes_add_segments_and_compaction_merges_them(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "store"))
+    for n in range(4):
+        rows = [source_row(i, f"2024-06-0{n + 1}T12:00:00+00:00", f"word{n} of {i}") for i in range(n, n + 3)]
+        run_cycle(store, spark.createDataFrame(rows, SOURCE), HashEmbedder(8), "now", sweep=False)
+    want = {0: "word0 of 0", 1: "word1 of 1", 2: "word2 of 2", 3: "word3 of 3", 4: "word3 of 4", 5: "word3 of 5"}
+    assert store.segments() > 4
+    for _ in range(2):
+        assert {r.document_id: r.text for r in store.read("chunks").collect()} == want and sorted(ids(store.document_ids(), "id")) == sorted(want)
+        assert browse.integrity(store.read("documents"), store.read("chunks"), store.read("postings")).count() == 0
+        assert {r.document_id for r in fts.scores(store.index(), "word3").collect()} == {3, 4, 5} and store.read("fts_stats").count() == 6
+        store.compact()
+    assert store.segments() == 1
+    store.delete(spark.createDataFrame([(3,)], "id long"))
+    assert sorted(ids(store.document_ids(), "id")) == [0, 1, 2, 4, 5] and {r.document_id for r in fts.scores(store.index(), "word3").collect()} == {4, 5}
+    run_cycle(store, spark.createDataFrame([source_row(3, "2024-07-01T00:00:00Z")], SOURCE), HashEmbedder(8), "now", sweep=False, most_segments=1)
+    assert store.segments() == 1 and sorted(ids(store.document_ids(), "id")) == [0, 1, 2, 3, 4, 5]
+
+
+def test_failed_documents_are_tried_again_and_given_up(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "store"))
+    good = HashEmbedder(8)
+
+    def failing(texts):
+        if any("poison" in t for t in texts):
+            raise RuntimeError
+        return good(texts)
+
+    rows = [source_row(1, "2024-06-01T12:00:00+00:00"), source_row(2, "2024-06-01T12:00:00+00:00", "poison"), source_row(3, "2024-06-20T12:00:00+00:00")]
+    source = spark.createDataFrame(rows, SOURCE)
+    left = lambda: {r.document_id: r.failures for r in store.read("failures").collect()}
+    for n in range(1, sync.MOST_FAILURES + 1):
+        report = run_cycle(store, source, failing, "now")
+        assert report.failed == 1 and left() == {2: n} and sorted(ids(store.document_ids(), "id")) == [1, 3]
+    assert run_cycle(store, source, failing, "now").failed == 0 and left() == {2: sync.MOST_FAILURES}  # given up
+    mended = spark.createDataFrame([rows[0], source_row(2, "2024-06-21T00:00:00+00:00", "well"), rows[2]], SOURCE)
+    assert run_cycle(store, mended, failing, "now").indexed == 1 and left() == {} and sorted(ids(store.document_ids(), "id")) == [1, 2, 3]
+    # one that had failed is mended by the provider, not by a newer text
+    worse = spark.createDataFrame([rows[0], rows[2], source_row(4, "2024-06-21T00:00:00+00:00", "poison")], SOURCE)
+    assert run_cycle(store, worse, failing, "now", sweep=False).failed == 1
+    assert run_cycle(store, worse, good, "now", sweep=False).indexed == 1 and left() == {}
+
+
+def test_scan_compares_times_not_texts(spark):
+    rows = [(1, "2024-06-01T13:00:00+02:00"), (2, "2024-06-01T10:30:00-08:00"), (3, "2024-06-01T12:00:01Z"), (4, "2024-06-01T12:00:00.5+00:00"), (5, None), (6, "unknown"), (7, "2024-05-31T23:00:00-13:30"), (8, "2024-05-31")]
+    frame = spark.createDataFrame(rows, "id long, modified string")
+    assert sorted(ids(sync.scan_since(frame, "2024-06-01T12:00:00+00:00"), "id")) == [2, 3, 4, 5, 6, 7]
+    assert sorted(ids(sync.scan_since(frame, None), "id")) == [1, 2, 3, 4, 5, 6, 7, 8]
+
+
 def test_streamed_indexing(spark, tmp_path):
     from docloom.streaming.ingest import start_indexing, stream_source
 
@@ -352,5 +429,22 @@ def test_streamed_indexing(spark, tmp_path):
     assert sorted(ids(IndexStore(spark, str(tmp_path / "store")).document_ids(), "id")) == [1, 2]
 
 
+def test_a_stream_keeps_rows_that_come_late(spark, tmp_path):
+    from docloom.streaming.ingest import start_indexing, stream_source
+
+    batches = [
+        [source_row(1, "2024-06-10T12:00:00+00:00"), source_row(3, "2024-06-10T13:00:00+00:00", "third")],
+        [source_row(2, "2024-06-01T12:00:00+00:00"), source_row(3, "2024-06-09T12:00:00+00:00", "older third")],
+        [source_row(4, "2024-06-11T00:00:00+02:00"), source_row(4, "2024-06-10T23:30:00+00:00", "newer fourth")],
+    ]
+    for n, rows in enumerate(batches):
+        frame = spark.createDataFrame(rows, SOURCE)
+        frame.write.parquet(str(tmp_path / "in" / str(n)))
+        start_indexing(stream_source(spark, str(tmp_path / "in" / "*"), frame.schema), str(tmp_path / "store"), HashEmbedder(8), str(tmp_path / "cp")).awaitTermination()
+    store = IndexStore(spark, str(tmp_path / "store"))
+    assert {r.document_id: r.text for r in store.read("chunks").collect()} == {1: "some text", 2: "some text", 3: "third", 4: "newer fourth"}
+    assert store.meta("watermark") == "2024-06-10T23:29:50+00:00"
+
+
 def test_raw_plan_is_one_semantic_and_one_keyword_search():
     assert [(s.mode, s.semantic, s.keywords) for s in raw_rag_plan("gas bill").specs] == [("semantic", "gas bill", ()), ("keyword", None, ("gas", "bill"))]
