@@ -48,12 +48,12 @@ from docloom.llm.scratch import Scratch, broadcast_if_small
 from docloom.llm.words import U, _splitmix, column_bytes, groups, mix, shingles, words
 
 SIZE = 64
-LEAF = 64
+LEAF = 256
 MAX_DEPTH = 10
 PLAN_DEPTH = 6
 PEELS = 1
 BLOCK = 512
-SAMPLE = 32
+SAMPLE = 256
 RECALL = 0.9999
 DEVIATIONS = 4
 _FACTORS = _splitmix(11, SIZE) | U(1)
@@ -183,6 +183,24 @@ def _candidates(cut: float):
     return run
 
 
+def _intersections(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, by products of their incidence over some thousand members at a time."""
+    which = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    _, member, held_by = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = held_by[member] > 1
+    which, member = which[shared], np.unique(member[shared], return_inverse=True)[1]
+    order = np.argsort(member, kind="stable")
+    which, member = which[order], member[order]
+    out = np.zeros((len(at) - 1, len(at) - 1), dtype=np.float64)
+    step = 4096
+    for first in range(0, int(member[-1]) + 1 if len(member) else 0, step):
+        lo, hi = np.searchsorted(member, (first, first + step))
+        x = np.zeros((len(at) - 1, step), dtype=np.float32)
+        x[which[lo:hi], member[lo:hi] - first] = 1
+        out += x @ x.T
+    return out
+
+
 def _group_links(num: int, den: int, cut: float):
     """Links within each group that join its components, on full sets; pairs of one component aren't compared."""
 
@@ -194,9 +212,11 @@ def _group_links(num: int, den: int, cut: float):
             size = np.diff(at)
             a, b = [], []
             for lo, hi in run_ends(key):
-                n, like = size[lo:hi], _estimates(sig[lo:hi])
+                n, like, together = size[lo:hi], _estimates(sig[lo:hi]), None
                 near = (like >= cut * SIZE) & (den * np.minimum(n[:, None], n[None, :]) >= num * np.maximum(n[:, None], n[None, :]))
                 i, j = np.nonzero(np.triu(near, 1))
+                if len(i) > 4 * (hi - lo):  # one product of all sets is cheaper than so many intersections
+                    together = _intersections(flat[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
                 root = list(range(hi - lo))
                 order = np.argsort(-like[i, j].astype(np.int16), kind="stable")
                 for p, q in zip(i[order].tolist(), j[order].tolist(), strict=True):
@@ -204,7 +224,7 @@ def _group_links(num: int, den: int, cut: float):
                     if u == v:
                         continue
                     x, y = lo + p, lo + q
-                    both = len(np.intersect1d(flat[at[x] : at[x + 1]], flat[at[y] : at[y + 1]], assume_unique=True))
+                    both = int(together[p, q]) if together is not None else len(np.intersect1d(flat[at[x] : at[x + 1]], flat[at[y] : at[y + 1]], assume_unique=True))
                     if den * both >= num * (size[x] + size[y] - both):
                         root[u] = v
                         a.append(ids[x])
@@ -215,16 +235,21 @@ def _group_links(num: int, den: int, cut: float):
     return run
 
 
-def _medoids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """node, id, sig of a bounded sample -> each node's pivot, the one most like the others."""
-    for t in runs_by(batches, "node"):
-        key, ids, sig = t.column("node").to_numpy(), t.column("id").to_numpy(), _matrix(t.column("sig"))
-        rows = []
-        for lo, hi in run_ends(key):
-            x = sig[lo:hi]
-            rows.append((key[lo], ids[lo + int(np.argmax([(x == r).mean() for r in x]))]))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["node", "pivot"])
+def _medoids(threshold: float):
+    """node, id, sig of a bounded sample -> each node's pivot: the one with most estimates at the threshold or above, and of these the one most like the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs_by(batches, "node"):
+            key, ids, sig = t.column("node").to_numpy(), t.column("id").to_numpy(), _matrix(t.column("sig"))
+            rows = []
+            for lo, hi in run_ends(key):
+                like = _estimates(sig[lo:hi])
+                best = (like >= threshold * SIZE).sum(axis=1) * (hi - lo) * SIZE + like.sum(axis=1, dtype=np.int64)
+                rows.append((key[lo], ids[lo + int(best.argmax())]))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["node", "pivot"])
+
+    return run
 
 
 def _alike(cut: float):
@@ -322,7 +347,7 @@ class _Search:
         """large (node, id) without the classes linked with their node's pivot, and all pairs compared: id, pivot, i, u."""
         keep, join = self.scratch.keep, broadcast_if_small
         sample = large.groupBy("node", F.pmod(F.xxhash64("id"), F.lit(SAMPLE)).alias("_s")).agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("x")).select("node", "x.id")
-        pivots = keep(self._by(sample.join(self.reps, "id"), "node").mapInArrow(trimmed(_medoids), "node long, pivot long"))
+        pivots = keep(self._by(sample.join(self.reps, "id"), "node").mapInArrow(trimmed(_medoids(self.threshold)), "node long, pivot long"))
         held = keep(large.join(join(pivots), "node"))
         of_pivots = keep(self.reps.join(join(pivots.select(F.col("pivot").alias("id")).distinct()), "id", "left_semi").select(F.col("id").alias("pivot"), F.col("sig").alias("pivot_sig")))
         pairs = held.where("id <> pivot").select("id", "pivot").distinct()
@@ -340,9 +365,11 @@ class _Search:
         rows = self._by(sets_of(leaves, "ids").join(self.reps, "id"), "node").select("node", "id", "sig")
         found = keep(rows.mapInArrow(trimmed(_candidates(self.cut)), "ids array<long>").distinct())
         rows = keep(sets_of(found, "ids"))
-        sets = _full_sets(self.docs, rows.select(F.col("id").alias("doc_id")), self.k, self.scratch).withColumnRenamed("doc_id", "id")
-        whole = self._by(rows.join(sets.join(self.reps, "id"), "id"), "node").select("node", "id", "sig", "shingles")
-        return keep(whole.mapInArrow(trimmed(_group_links(self.num, self.den, self.cut)), "a long, b long"))
+        sets = _full_sets(self.docs, rows.select(F.col("id").alias("doc_id")), self.k, self.scratch)
+        whole = self._by(rows.join(sets.withColumnRenamed("doc_id", "id").join(self.reps, "id"), "id"), "node").select("node", "id", "sig", "shingles")
+        out = keep(whole.mapInArrow(trimmed(_group_links(self.num, self.den, self.cut)), "a long, b long"))
+        self.scratch.drop(sets)
+        return out
 
     def blocks(self, lone: DataFrame, rest: DataFrame) -> DataFrame:
         """Links of lone rows with others of the same group and of another component; lone, rest: group, id, component.
@@ -352,13 +379,15 @@ class _Search:
         count = lambda d, n: d.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(n))
         sizes = broadcast_if_small(keep(count(lone, "nu").join(count(rest, "nm"), "group")))
         lone, rest = keep(lone.join(sizes, "group")), keep(rest.join(sizes, "group"))
-        sets = _full_sets(self.docs, lone.select(F.col("id").alias("doc_id")).unionByName(rest.select(F.col("id").alias("doc_id"))), self.k, self.scratch).withColumnRenamed("doc_id", "id")
+        sets = _full_sets(self.docs, lone.select(F.col("id").alias("doc_id")).unionByName(rest.select(F.col("id").alias("doc_id"))), self.k, self.scratch)
         mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
         key = lambda i, j: F.xxhash64("group", i, j)
         one = lone.select("id", "component", F.lit(True).alias("lone"), F.explode(F.transform(F.sequence(F.lit(0), F.col("nm") - 1), lambda j: key(mine("nu"), j))).alias("block"))
         other = rest.select("id", "component", F.lit(False).alias("lone"), F.explode(F.transform(F.sequence(F.lit(0), F.col("nu") - 1), lambda i: key(i, mine("nm")))).alias("block"))
-        whole = self._by(one.unionByName(other).join(sets, "id").join(self.reps, "id"), "block")
-        return keep(whole.select("block", "id", "component", "lone", "sig", "shingles").mapInArrow(trimmed(_block_links(self.num, self.den, self.cut)), "a long, b long"))
+        whole = self._by(one.unionByName(other).join(sets.withColumnRenamed("doc_id", "id"), "id").join(self.reps, "id"), "block")
+        out = keep(whole.select("block", "id", "component", "lone", "sig", "shingles").mapInArrow(trimmed(_block_links(self.num, self.den, self.cut)), "a long, b long"))
+        self.scratch.drop(sets)
+        return out
 
     def fringe_links(self, found: DataFrame) -> DataFrame:
         """Links of classes near a pivot with those linked with it. found: pairs id, pivot, i, u."""
@@ -374,7 +403,7 @@ class _Search:
         """id and component of the classes with links. shared: a, b of classes that one doc_id links."""
         keep = self.scratch.keep
         level = self.reps.mapInArrow(trimmed(_branch(self.threshold, tree_count(self.threshold))), "node long, id long")
-        small, links = [], [keep(shared)]
+        small, links, compared = [], [keep(shared)], []
         for depth in range(1, MAX_DEPTH + 1):
             level = keep(level)
             sizes = keep(level.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LEAF).select("node"))
@@ -386,12 +415,15 @@ class _Search:
             large = level.join(held, "node", "left_semi")
             if depth <= PEELS:
                 large, found = self.peel(keep(large))
-                links += [found.where(self.den * F.col("i") >= self.num * F.col("u")).select(*_ordered("id", "pivot")), self.fringe_links(found)]
+                compared.append(found)
             if depth == MAX_DEPTH:
                 side = keep(large.select(F.col("node").alias("group"), "id", F.col("id").alias("component")))
                 links.append(self.blocks(side, side))
                 break
             level = large.join(self.reps, "id").select("node", "id", "sig").mapInArrow(trimmed(_branch(self.threshold)), "node long, id long")
+        if compared:
+            found = reduce(DataFrame.unionByName, compared).distinct()
+            links += [found.where(self.den * F.col("i") >= self.num * F.col("u")).select(*_ordered("id", "pivot")), self.fringe_links(found)]
         links.append(self.leaf_links(reduce(DataFrame.unionByName, small)))
         return components(reduce(DataFrame.unionByName, links), self.scratch)
 
@@ -402,7 +434,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = scratch.keep(docs.mapInArrow(trimmed(_signatures(k)), "doc_id long, n_shingles long, k1 long, k2 long, sig binary"))
     known = rows.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = known.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("id"))
+    # written, so that the joins deal it anew and large classes can be split
+    classes = scratch.keep(known.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("id")))
     members = scratch.keep(known.select("doc_id", "k1", "k2", "n_shingles").join(classes, ["k1", "k2", "n_shingles"]).select("doc_id", "id").distinct())
     reps = scratch.keep(known.join(classes.select("k1", "k2", "n_shingles", "id"), ["k1", "k2", "n_shingles"]).where("doc_id = id").groupBy("id", "k1", "k2").agg(F.first("sig").alias("sig")).groupBy("id").agg(F.first("sig").alias("sig")))
     # a doc_id that occurs with several texts belongs to several classes and links them
