@@ -105,3 +105,38 @@ def live_keys(spark, sf_dir):
 def event_types(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
     return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"), F.max("k").alias("most"))
+
+
+_USERS_SQL = """users AS (SELECT c_custkey AS id, c_name AS username, CASE WHEN c_custkey % 10 = 0 THEN 'admin' ELSE 'member' END AS role, CASE WHEN c_acctbal < 0 THEN 'suspended' ELSE 'active' END AS status FROM customer)"""
+
+
+def users(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    return c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("username"), F.when(F.col("c_custkey") % 10 == 0, "admin").otherwise("member").alias("role"), F.when(F.col("c_acctbal") < 0, "suspended").otherwise("active").alias("status"))
+
+
+@query(f"WITH {_USERS_SQL} SELECT count(*) AS users, count(*) FILTER (WHERE role = 'admin' AND status = 'active') AS admins FROM users")
+def user_counts(spark, sf_dir):
+    return a.user_counts(users(spark, sf_dir))
+
+
+@query(f"WITH {_USERS_SQL} SELECT id, username, role, status FROM users WHERE lower(username) = 'customer#000000012' OR lower(username) = 'customer#12'")
+def user_by_name(spark, sf_dir):
+    u = users(spark, sf_dir)
+    return a.by_username(u, "CUSTOMER#000000012").unionByName(a.by_username(u, "Customer#12"))
+
+
+_REPLIES_SQL = """r AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Sure: ```json {"title": " T' || doc_id || ' ", "tags": ["a ", "", "b"], "language": "en", "person": null}```' WHEN 1 THEN '{"title": false, "tags": " one ", "document_date": "2024-01-01"}'
+  WHEN 2 THEN '{"tags": ["  "], "title": "  "}' WHEN 3 THEN 'no object' WHEN 4 THEN NULL ELSE '[1, 2]' END AS reply FROM documents)"""
+
+
+@query(f"""WITH {_REPLIES_SQL} SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'T' || doc_id WHEN 1 THEN '' WHEN 2 THEN '' END AS title, CASE doc_id % 6 WHEN 0 THEN 'a|b' WHEN 1 THEN 'one' WHEN 2 THEN '' END AS tags,
+  CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN '2024-01-01' WHEN 2 THEN '' END AS document_date, CASE WHEN doc_id % 6 < 3 THEN doc_id % 6 = 2 END AS empty FROM r""")
+def classification_replies(spark, sf_dir):
+    from docloom.functions.classification import is_empty_classification, parse_classification
+
+    n, d = F.col("doc_id") % 6, table(spark, sf_dir, "documents")
+    reply = F.when(n == 0, F.concat(F.lit('Sure: ```json {"title": " T'), F.col("doc_id").cast("string"), F.lit(' ", "tags": ["a ", "", "b"], "language": "en", "person": null}```')))
+    reply = reply.when(n == 1, '{"title": false, "tags": " one ", "document_date": "2024-01-01"}').when(n == 2, '{"tags": ["  "], "title": "  "}').when(n == 3, "no object").when(n == 4, None).otherwise("[1, 2]")
+    p = d.select("doc_id", parse_classification(reply).alias("p"))
+    return p.select("doc_id", "p.title", F.array_join("p.tags", "|").alias("tags"), "p.document_date", F.when(F.col("p").isNotNull(), is_empty_classification(F.col("p"))).alias("empty"))

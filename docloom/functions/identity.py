@@ -34,6 +34,11 @@ def should_touch(last_used: Column, now: Column, seconds: int = 60) -> Column:
     return F.coalesce(F.unix_timestamp(now) - F.unix_timestamp(F.try_to_timestamp(last_used)) >= seconds, F.lit(True))
 
 
+def attempt_key(client_ip: Column, username: Column) -> Column:
+    """struct(client_ip, username) that login attempts are counted by: no address is empty, and case doesn't matter."""
+    return F.struct(F.coalesce(client_ip, F.lit("")).alias("client_ip"), F.replace(F.lower(username), F.lit("ß"), F.lit("ss")).alias("username"))
+
+
 def valid_username(name: Column) -> Column:
     return F.coalesce(name.rlike(r"^[A-Za-z0-9._-]{3,64}$"), F.lit(False))
 

@@ -127,7 +127,13 @@ def name_tokens(text: Column, without: Sequence[str] = ("of", "the", "and", "for
 _COMPATIBLE = [(chr(c), unicodedata.normalize("NFKC", chr(c))) for c in (*range(0xFF01, 0xFF5F), *range(0x2460, 0x2500)) if len(unicodedata.normalize("NFKC", chr(c))) == 1]
 
 
+#: Ligatures of several letters.
+_LIGATURES = [(chr(c), unicodedata.normalize("NFKC", chr(c))) for c in range(0xFB00, 0xFB07)]
+
+
 def fold_compatible(text: Column) -> Column:
+    for a, b in _LIGATURES:
+        text = F.replace(text, F.lit(a), F.lit(b))
     return F.lower(F.translate(text, "".join(a for a, _ in _COMPATIBLE), "".join(b for _, b in _COMPATIBLE)))
 
 

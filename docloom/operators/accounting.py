@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.functions.text import ascii_lower
+
 # fixed values: US dollars a million tokens, in and out
 MODEL_PRICES = (
     ("gpt-5.6-sol", 5.0, 30.0),
@@ -29,6 +31,27 @@ def price_calls(calls: DataFrame, prices: DataFrame) -> DataFrame:
     return calls.join(prices, "model", "left").select(*calls.columns, F.when(local, 0.0).otherwise(cost).alias("usd"), local.alias("local"))
 
 
+def price_table(payload: object) -> tuple[list[tuple[str, float, float]], str]:
+    """Rows of prices and the date of a price list {currency, as_of, models: {name: {input_per_mtok, output_per_mtok}}}; ValueError names what is wrong."""
+    if not isinstance(payload, dict) or payload.get("currency") != "USD":
+        raise ValueError("a price list is an object with prices in USD")
+    as_of, models = payload.get("as_of"), payload.get("models")
+    if not isinstance(as_of, str) or not as_of.strip():
+        raise ValueError("as_of must be a date")
+    if not isinstance(models, dict) or not models:
+        raise ValueError("models must have entries")
+    rows = []
+    for model, entry in models.items():
+        prices = []
+        for name in ("input_per_mtok", "output_per_mtok"):
+            value = entry.get(name) if isinstance(entry, dict) else None
+            if isinstance(value, bool) or not isinstance(value, (int, float)) or not 0 <= value < float("inf"):
+                raise ValueError(f"{model}: {name} must be a finite number of 0 or more")
+            prices.append(float(value))
+        rows.append((model, *prices))
+    return rows, as_of
+
+
 def roll_up_costs(priced: DataFrame, *keys: str) -> DataFrame:
     """Per key: calls, tokens, usd (none if any call has none) and local (all are)."""
     return priced.groupBy(*keys).agg(
@@ -100,6 +123,21 @@ def capped_activity(log: DataFrame, most: int = 500) -> DataFrame:
     return log.join(F.broadcast(top)).where(F.col("id") > F.col("_top") - most).drop("_top")
 
 
+def user_counts(users: DataFrame) -> DataFrame:
+    """One row: users, and admins among the active ones. users: id, role, status."""
+    return users.agg(F.count(F.lit(1)).alias("users"), F.count_if((F.col("role") == "admin") & (F.col("status") == "active")).alias("admins"))
+
+
+def by_username(users: DataFrame, username: str) -> DataFrame:
+    """The user of that name, ASCII case aside."""
+    return users.where(ascii_lower(F.col("username")) == ascii_lower(F.lit(username)))
+
+
+def keys_of(keys: DataFrame, owner_id: int | None = None) -> DataFrame:
+    """All keys, or those of one owner, by id."""
+    return (keys if owner_id is None else keys.where(F.col("owner_id") == owner_id)).orderBy("id")
+
+
 def live_keys(keys: DataFrame, users: DataFrame, now: Column) -> DataFrame:
     """Keys that may be used: not revoked, not expired, of an active owner. keys: id, owner_id, revoked, expires_at; users: id, active."""
     from docloom.functions.identity import is_expired

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import name_key, name_tokens
@@ -27,15 +27,32 @@ def match_names(guesses: DataFrame, entries: DataFrame) -> DataFrame:
     return all_.withColumn("method", method).select("guess", found.alias("id"), "method", F.when(F.col("method") == "ambiguous", F.col("equal")).when(F.col("method") == "near_miss", F.col("near")).otherwise(F.array().cast("array<string>")).alias("candidates"))
 
 
+#: Characters by which names that may hold each other are brought together.
+ANCHOR = 3
+
+
+def _anchor(key: Column) -> Column:
+    return F.substring(key, 1, ANCHOR)
+
+
+def _substrings(key: Column) -> Column:
+    """Distinct substrings of 1 to ANCHOR characters."""
+    of = lambda n: F.when(F.length(key) >= n, F.transform(F.sequence(F.lit(1), F.length(key) - n + 1), lambda i: key.substr(i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.flatten(F.array(*[of(n) for n in range(1, ANCHOR + 1)])))
+
+
 def match_items(guesses: DataFrame, items: DataFrame, key) -> DataFrame:
     """guess, id: equal after `key` (a column function), else the first item whose key holds the guess's or lies in it.
 
-    The fallback compares what is left with a dimension of names, which is small: never with documents."""
+    Of two keys the one that lies in the other shares its first ANCHOR characters with it, so candidates
+    come by an equi-join of these with all substrings of that length."""
     g = guesses.select("guess", key(F.col("guess")).alias("k")).where("k <> ''")
     i = items.select("id", key(F.col("name")).alias("k")).where("k <> ''")
     equal = g.join(i, "k").groupBy("guess").agg(F.min("id").alias("id"))
     rest = g.join(equal, "guess", "left_anti").withColumnRenamed("k", "gk")
-    part = rest.join(i, F.contains(F.col("k"), F.col("gk")) | F.contains(F.col("gk"), F.col("k"))).groupBy("guess").agg(F.min("id").alias("id"))
+    inside = rest.withColumn("a", _anchor(F.col("gk"))).join(i.withColumn("a", F.explode(_substrings(F.col("k")))), "a").where(F.contains(F.col("k"), F.col("gk"))).select("guess", "id")
+    around = i.withColumn("a", _anchor(F.col("k"))).join(rest.withColumn("a", F.explode(_substrings(F.col("gk")))), "a").where(F.contains(F.col("gk"), F.col("k"))).select("guess", "id")
+    part = inside.unionByName(around).groupBy("guess").agg(F.min("id").alias("id"))
     return guesses.select("guess").distinct().join(equal.unionByName(part), "guess", "left")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators.browse import browse, browse_page, date_bounds, facet_counts, index_stats
 from docloom.operators.filters import document_filter
+from docloom.operators.fts import StoredIndex
 from docloom.operators.fusion import best_sources, capped_chunks, fuse, merge_chunks, merge_verdicts
 from docloom.operators.pages import fetch_documents
 from docloom.operators.ranked import keyword_document_count, keyword_documents, keyword_search, rank_in
@@ -68,20 +69,23 @@ class ResultCache:
 
 
 class Search:
-    """Tables: documents (with text), chunks, vectors (chunk_id, document_id, embedding) and taxonomy."""
+    """Tables: documents (with text), chunks, vectors (chunk_id, document_id, embedding) and taxonomy; with a stored full-text index keyword searches read that. A Search reads one state of the tables."""
 
-    def __init__(self, documents: DataFrame, chunks: DataFrame, vectors: DataFrame, taxonomy: DataFrame, embedder: Embedder, planner: Planner | None = None, judge: Judge | None = None, synthesizer: Synthesizer | None = None, settings: SearchSettings = SearchSettings()) -> None:  # noqa: B008
+    def __init__(self, documents: DataFrame, chunks: DataFrame, vectors: DataFrame, taxonomy: DataFrame, embedder: Embedder, planner: Planner | None = None, judge: Judge | None = None, synthesizer: Synthesizer | None = None, settings: SearchSettings = SearchSettings(), index: StoredIndex | None = None) -> None:  # noqa: B008
+        self.index = index
+        self._names: dict[str, list[tuple[int, str]]] | None = None
         self.documents, self.chunks, self.vectors, self.taxonomy = documents, chunks, vectors, taxonomy
         self.embedder, self.planner, self.judge, self.synthesizer = embedder, planner or RawPlanner(), judge or KeepAllJudge(), synthesizer or QuotingSynthesizer()
         self.settings = settings
         self.cache = ResultCache(settings.cache_entries, settings.cache_seconds)
 
     def names(self) -> dict[str, list[tuple[int, str]]]:
-        """The taxonomy on the driver: a dimension of names."""
-        out: dict[str, list[tuple[int, str]]] = {}
-        for r in self.taxonomy.orderBy("kind", "id").collect():
-            out.setdefault(r.kind, []).append((r.id, r.name))
-        return out
+        """The taxonomy on the driver: a dimension of names, read once."""
+        if self._names is None:
+            self._names = {}
+            for r in self.taxonomy.orderBy("kind", "id").collect():
+                self._names.setdefault(r.kind, []).append((r.id, r.name))
+        return self._names
 
     # operators
 
@@ -99,7 +103,7 @@ class Search:
             lists.append(rank_in(hits, len(lists), F.round("distance", 6), "chunk_id").join(hits.select("chunk_id", "distance"), "chunk_id").withColumn("keyword", F.lit(False)))
         for s in specs:
             if s.mode == "keyword" and s.keywords:
-                hits = keyword_search(self.chunks, self.documents, " ".join(s.keywords), k, s.filters)
+                hits = keyword_search(self.index or self.chunks, self.documents, " ".join(s.keywords), k, s.filters)
                 lists.append(rank_in(hits, len(lists), F.round("bm25", 6), "chunk_id").withColumn("distance", F.lit(None).cast("double")).withColumn("keyword", F.lit(True)))
         return lists
 
@@ -118,11 +122,15 @@ class Search:
 
     def retrieve_plan(self, plan: RetrievalPlan, query: str, ui: SearchFilters | None = None, today: dt.date | None = None) -> DataFrame | None:
         """One pass; if it finds nothing, one more without any filter."""
-        found = self.retrieve_specs(self._bind(plan, ui, today or dt.date.today(), query))
+        found = self._held(self.retrieve_specs(self._bind(plan, ui, today or dt.date.today(), query)))
         if found is None or found.isEmpty():
-            found = self.retrieve_specs(self._bind(broaden(plan), ui if self.settings.strict_filters else None, today or dt.date.today(), "", False))
+            found = self._held(self.retrieve_specs(self._bind(broaden(plan), ui if self.settings.strict_filters else None, today or dt.date.today(), "", False)))
         return found
 
+    def _held(self, found: DataFrame | None) -> DataFrame | None:
+        """The chosen rows, at most top_k * per_document, as a table of their own, so that gate, judge and sources don't search again."""
+        return None if found is None else found.sparkSession.createDataFrame(found.collect(), found.schema)
+
     # entry points
 
     def retrieve(self, query: str, ui: SearchFilters | None = None, today: dt.date | None = None) -> DataFrame | None:
@@ -182,7 +190,8 @@ class Search:
     def keyword(self, query: str, limit: int = 10, offset: int = 0, filters: SearchFilters | None = None) -> tuple[DataFrame, DataFrame]:
         """A page of documents (1 to 50 rows) and their number; filters hold here."""
         limit, offset = min(max(1, limit), 50), max(0, offset)
-        return keyword_documents(self.chunks, self.documents, query, limit, offset, filters), keyword_document_count(self.chunks, self.documents, query, filters)
+        source = self.index or self.chunks
+        return keyword_documents(source, self.documents, query, limit, offset, filters), keyword_document_count(source, self.documents, query, filters)
 
     def fetch(self, ids: Sequence[int]) -> DataFrame:
         """Texts of one to five documents."""

@@ -5,9 +5,12 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Sequence
+import time
+from collections.abc import Callable, Sequence
 from typing import Any, Protocol
 
+from pyspark.sql import DataFrame
+
 from docloom.plans.specs import MAX_SPECS, broad_plan, raw_rag_plan
 from docloom.schemas import FilterGuess, PlannedSpec, RetrievalPlan
 
@@ -113,3 +116,58 @@ def parse_verdicts(reply: str, asked: Sequence[int]) -> list[dict]:
 def fence(text: str, nonce: str) -> str:
     """Untrusted text between marks that it can't contain."""
     return f"<<<DATA {nonce}>>>\n{text.replace('<<<', '').replace('>>>', '')}\n<<<END {nonce}>>>"
+
+
+class Unsupported(Exception):
+    """A model refused a parameter; `parameter` is its name."""
+
+    def __init__(self, parameter: str) -> None:
+        super().__init__(parameter)
+        self.parameter = parameter
+
+
+def with_fallbacks(call: Callable[..., str], models: Sequence[str], tries: int = 3, wait: Callable[[float], None] = time.sleep, **parameters: Any) -> str:
+    """The reply of the first model that gives one. A model that refuses a parameter is asked without it; any other error is tried again after 1, 2, 4 ... seconds; then the next model's turn comes."""
+    last: Exception | None = None
+    for model in models:
+        left, asked = dict(parameters), 0
+        while asked < tries:
+            try:
+                return call(model, **left)
+            except Unsupported as e:
+                last = e
+                if left.pop(e.parameter, None) is None:
+                    break
+            except Exception as e:  # noqa: BLE001  any provider error
+                last, asked = e, asked + 1
+                if asked < tries:
+                    wait(2.0 ** (asked - 1))
+    raise RuntimeError("no model gave a reply") from last
+
+
+def classify(documents: DataFrame, classifier: Callable[[str], str]) -> DataFrame:
+    """documents (with text) and `reply`, that of an injected classifier; null where it fails. parse_classification reads replies."""
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for text in pdf["text"]:
+                try:
+                    out.append(classifier(text or ""))
+                except Exception:  # noqa: BLE001  one document's failure is its own
+                    out.append(None)
+            yield pdf.assign(reply=out)
+
+    return documents.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema) + ", reply string")
+
+
+MOST_QUERY_CHARS = 4000
+
+
+def normalise_query(query: str) -> str:
+    """The question without outer white space, of 1 to MOST_QUERY_CHARS characters."""
+    if len(query) > MOST_QUERY_CHARS:
+        raise ValueError(f"a question has at most {MOST_QUERY_CHARS} characters")
+    if not query.strip():
+        raise ValueError("a question must not be blank")
+    return query.strip()

@@ -49,11 +49,17 @@ def throttle_stream(attempts: DataFrame, limit: int = PAIR_LIMIT, output: str =
 
 
 def throttle_batch(attempts: DataFrame, limit: int = PAIR_LIMIT) -> DataFrame:
-    """The same for a finished log; a key's attempts within one log are one group."""
+    """The same for a finished log. Keys are sorted by time and replayed as they stream by, so an attacked key of any length takes the memory of one batch."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        _, _, out = replay([], 0.0, zip(pdf["ts"], pdf["success"], strict=True), limit)
-        return pd.DataFrame([(pdf["key"].iloc[0], *r) for r in out], columns=["key", "ts", "allowed", "locked_until"])
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, times, locked = None, [], 0.0
+        for pdf in frames:
+            rows = []
+            for k, part in pdf.groupby("key", sort=False):
+                if k != key:
+                    key, times, locked = k, [], 0.0
+                times, locked, out = replay(times, locked, zip(part["ts"], part["success"], strict=True), limit)
+                rows += [(k, *r) for r in out]
+            yield pd.DataFrame(rows, columns=["key", "ts", "allowed", "locked_until"])
 
-    return attempts.groupBy("key").applyInPandas(run, OUT)
+    return attempts.select("key", "ts", "success").repartition("key").sortWithinPartitions("key", "ts").mapInPandas(run, OUT)

@@ -448,3 +448,71 @@ def test_a_stream_keeps_rows_that_come_late(spark, tmp_path):
 
 def test_raw_plan_is_one_semantic_and_one_keyword_search():
     assert [(s.mode, s.semantic, s.keywords) for s in raw_rag_plan("gas bill").specs] == [("semantic", "gas bill", ()), ("keyword", None, ("gas", "bill"))]
+
+
+def test_settings():
+    from docloom import settings
+
+    given = {"a": " 5 ", "blank": "  ", "b": "Yes", "c": "x, ,y", "n": "-1", "bad": "z", "f": "0.5"}
+    assert settings.integer(given, "a") == 5 and settings.integer(given, "blank", 7) == 7 and settings.positive(given, "n") is None and settings.number(given, "f", 1.0) == 0.5
+    assert settings.flag(given, "b", False) is True and settings.flag(given, "blank", True) is True and settings.names(given, "c") == ["x", "y"] and settings.names(given, "none", ["d", ""]) == ["d"]
+    for call in (lambda: settings.integer(given, "bad"), lambda: settings.flag(given, "bad", True), lambda: settings.number(given, "bad", 1.0), lambda: settings.required(given, "blank"), lambda: settings.names(given, "blank", some=True)):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_price_lists():
+    good = {"currency": "USD", "as_of": "2025-01-01", "models": {"m": {"input_per_mtok": 1, "output_per_mtok": 2.5}}}
+    assert accounting.price_table(good) == ([("m", 1.0, 2.5)], "2025-01-01")
+    worse = [[], {}, {**good, "currency": "EUR"}, {**good, "as_of": " "}, {**good, "models": {}}, *({**good, "models": {"m": {"input_per_mtok": x, "output_per_mtok": 1}}} for x in (True, "1", -1, float("nan"), float("inf"), None))]
+    for payload in worse:
+        with pytest.raises(ValueError):
+            accounting.price_table(payload)
+
+
+def test_models_take_turns():
+    from docloom.plans.providers import Unsupported, normalise_query, with_fallbacks
+
+    seen, waits = [], []
+
+    def call(model, **parameters):
+        seen.append((model, tuple(parameters)))
+        if model == "a":
+            raise OSError
+        if "effort" in parameters:
+            raise Unsupported("effort")
+        return "ok"
+
+    assert with_fallbacks(call, ["a", "b"], 2, waits.append, effort=1, top=2) == "ok"
+    assert seen == [("a", ("effort", "top"))] * 2 + [("b", ("effort", "top")), ("b", ("top",))] and waits == [1.0]
+    with pytest.raises(RuntimeError):
+        with_fallbacks(call, ["a"], 1, waits.append)
+    assert normalise_query("  x ") == "x"
+    for bad in (" ", "y" * 4001):
+        with pytest.raises(ValueError):
+            normalise_query(bad)
+
+
+def test_keys_classifiers_and_ligatures(spark):
+    from docloom.functions.classification import parse_classification
+    from docloom.functions.identity import attempt_key
+    from docloom.functions.text import name_key
+    from docloom.plans.providers import classify
+
+    frame = spark.createDataFrame([(1, "Straße", None), (2, "ALICE", "1.2.3.4")], "id long, text string, ip string")
+    got = frame.select(attempt_key(F.col("ip"), F.col("text")).alias("k")).collect()
+    assert [tuple(r.k) for r in got] == [("", "strasse"), ("1.2.3.4", "alice")]
+    assert spark.createDataFrame([("ﬁnance oﬃce",)], "t string").select(name_key(F.col("t"))).first()[0] == "financeoffice"
+    replies = classify(frame, lambda t: 'so {"title": "T", "tags": [1, "x"]}' if t == "ALICE" else 1 / 0).select("id", parse_classification(F.col("reply")).alias("p")).collect()
+    assert {r.id: r.p and (r.p.title, r.p.tags, r.p.person) for r in replies} == {1: None, 2: ("T", ["1", "x"], "")}
+
+
+def test_long_logs_are_replayed_as_they_stream_by(spark):
+    rows = [(k, float(t), t % 7 == 6) for k in ("a", "b") for t in range(0, 3000, 3)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        got = sorted((r.key, r.ts, r.allowed, r.locked_until) for r in throttle_batch(spark.createDataFrame(rows, "key string, ts double, success boolean").repartition(3)).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = [(k, *r) for k in ("a", "b") for r in replay([], 0.0, [(t, s) for x, t, s in rows if x == k], 5)[2]]
+    assert got == want and any(not r[2] for r in got)
