@@ -2,6 +2,7 @@
 
 import glob
 import os
+import random
 
 import duckdb
 import pytest
@@ -46,6 +47,45 @@ def test_stages(spark):
     assert corpus_pipeline.ORACLE_SQL is None
 
 
+AWKWARD = "text string, doc_id long, source string, lang string, n_chars long, score string, taken string, size string, component_id int, kept string, __id string"
+
+
+def awkward(spark, rows):
+    return spark.createDataFrame([(t, i, s, None, None if t is None else len(t), "own", "own", "own", 7, "own", "own") for i, t, s in rows], AWKWARD)
+
+
+def awkward_rows():
+    rng = random.Random(21)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage, long = say(60), say(60_000)
+    return [(1, f"{say(30)} {passage}", "a"), (2, f"{passage} {say(30)}", "a"), (3, None, "b"), (4, "", None), (None, passage, None), (5, long, "a"), (6, long + " end", "b"), (7, say(40), "c"), (7, say(40), "c"), (8, "same", "a"), (9, "same", "a")]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_awkward_rows_in_each_stage(spark, name):
+    """Nulls in any column, empty and very long texts, repeated ids and rows, ties, clashing columns, empty tables."""
+    stage, rows = dict(corpus_pipeline.STAGES)[name], awkward_rows()
+    docs = awkward(spark, rows).repartition(3)
+    out = stage(spark, docs, SF)
+    if name == "packing":
+        got = out.collect()
+        assert len({(r.doc_id, r.piece, r.ids_crc32) for r in got}) <= len(got) and {r.doc_id for r in got} == {i for i, _, _ in rows} and stage(spark, docs.limit(0), SF).count() == 0
+        return
+    assert out.columns == docs.columns and stage(spark, docs.limit(0), SF).columns == docs.columns and stage(spark, docs.limit(0), SF).count() == 0
+    got = out.collect()
+    assert all((r.score, r.taken, r.component_id, r["__id"]) == ("own", "own", 7, "own") for r in got if name != "mix")
+    texts = [(r.doc_id, r.text) for r in got]
+    if name == "quality":
+        assert set(texts) <= {(i, t) for i, t, _ in rows}
+    elif name == "near_dedup":
+        assert sorted(i for i, _ in texts if i is not None) == [1, 2, 3, 4, 5, 7, 8] and sum(i is None for i, _ in texts) == 1
+    elif name == "substring_dedup":
+        by = dict(texts)
+        assert len(texts) == len(rows) and by[2] and len(by[2].split()) == 30 and by[6] == "end" and by[5] == rows[5][1] and by[3] is None and by[4] == "" and by[None] == rows[4][1]
+    else:
+        assert {i for i, _ in texts} <= {1, 2, None, 5, 6, 7, 8, 9} and len(texts) <= 3 * len(rows)
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
