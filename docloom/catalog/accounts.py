@@ -53,11 +53,11 @@ def recent_searches(spark, sf_dir):
     return a.recent_searches(e.select("user_id", F.concat("event_type", (F.col("event_id") % 40).cast("string")).alias("query"), F.col("event_id").alias("id"), F.col("ts").alias("created")))
 
 
-@query("""WITH f AS (SELECT user_id % 2 AS user_id, event_id, ts, epoch(date_trunc('second', ts))::BIGINT AS t FROM events WHERE event_type = 'click' OR event_id % 2 = 0)
-SELECT user_id, event_id, in_window FROM (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN 899 PRECEDING AND CURRENT ROW) AS in_window FROM f) WHERE in_window >= 3""")
+@query("""WITH f AS (SELECT user_id, event_id, epoch(date_trunc('second', ts))::BIGINT AS t FROM events)
+SELECT user_id, event_id, in_window FROM (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW) AS in_window FROM f) WHERE in_window >= 3""")
 def throttle_lockouts(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_type = 'click' OR event_id % 2 = 0").select((F.col("user_id") % 2).alias("user_id"), "event_id", "ts")
-    return a.lockouts(e, ["user_id"], 3).select("user_id", "event_id", "in_window")
+    """Three events of a user within a day."""
+    return a.lockouts(table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), ["user_id"], 3, 86_400).select("user_id", "event_id", "in_window")
 
 
 _NOW = "(SELECT max(ts) FROM events)"
