@@ -6,8 +6,9 @@ PACK_PIECES; each group is packed by itself, longest piece first, into the open
 least room that still suffices. That sequence comes from a segment tree over the remaining
 capacities. Groups of this size leave one sequence or so unfilled each.
 
-Null texts are a closing id only; repeated rows are packed each; null doc_ids are packed too; an
-empty table gives no rows; other columns of the input aren't read.
+Null texts are a closing id only; texts of any length are encoded whole, in passes of 512 kB of
+text; pieces of equal length follow doc_id, piece and checksum; repeated rows are packed each; null
+doc_ids are packed too; an empty table gives no rows; other columns of the input aren't read.
 """
 
 from __future__ import annotations

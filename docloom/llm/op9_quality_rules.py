@@ -3,8 +3,9 @@ measurements and one bit per failed rule, and versioned policies and ablations a
 on the stored ledger, so the texts are never read again.
 
 Words are runs of characters outside space and 0x09-0x0D. Null and empty texts have no words and
-no symbols and fail `few_words`; repeated rows are judged alike, each on its own; an empty table
-gives an empty ledger; other columns of the input never enter the expressions.
+no symbols and fail `few_words`; a text of any length is measured whole, as one row of arrays of its
+words; ties can't arise; repeated rows are judged alike, each on its own; an empty table gives an
+empty ledger; other columns of the input never enter the expressions.
 """
 
 from __future__ import annotations
@@ -87,11 +88,16 @@ def apply_policy(ledger: DataFrame, version: int) -> DataFrame:
 
 
 def ablations(ledger: DataFrame, version: int) -> DataFrame:
-    """For each rule of the policy: rule, n_failed, and n_only_this: rows that would be kept without it."""
-    mask, names = policy_mask(version), POLICIES[version]
-    under = F.col("failed").bitwiseAND(mask)
-    one = ledger.agg(*[F.struct(F.sum(F.when(under.bitwiseAND(1 << RULES.index(r)) != 0, 1).otherwise(0)).alias("n_failed"), F.sum(F.when(under == (1 << RULES.index(r)), 1).otherwise(0)).alias("n_only_this")).alias(r) for r in names])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.coalesce(F.col(r)["n_failed"], F.lit(0)).alias("n_failed"), F.coalesce(F.col(r)["n_only_this"], F.lit(0)).alias("n_only_this")) for r in names])).alias("x")).select("x.*")
+    """For each rule of the policy: rule, n_failed, and n_only_this: rows that would be kept without it.
+
+    Rows are counted by their bits under the policy first, which leaves one row for each pattern."""
+    names = POLICIES[version]
+    patterns = ledger.groupBy(F.col("failed").bitwiseAND(policy_mask(version)).alias("bits")).agg(F.count(F.lit(1)).alias("n"))
+    has = [F.struct(F.lit(r).alias("rule"), (F.col("bits").bitwiseAND(1 << RULES.index(r)) != 0).alias("fails")) for r in names]
+    rules = ledger.sparkSession.createDataFrame([(r,) for r in names], "rule string")
+    counted = patterns.select("n", F.bit_count("bits").alias("rules"), F.explode(F.array(*has)).alias("x")).where("x.fails").groupBy("x.rule").agg(F.sum("n").alias("n_failed"), F.sum(F.when(F.col("rules") == 1, F.col("n"))).alias("n_only_this"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return rules.join(counted, "rule", "left").select("rule", zero("n_failed"), zero("n_only_this"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
