@@ -16,6 +16,9 @@ OPERATORS = {
     "op8_fingerprints": "op8_fingerprints",
     "op9_quality_rules": "op9_quality_rules",
     "op10_packing": "op10_packing",
+    "op11_license_scan": "op11_license_scan",
+    "op12_source_audit": "op12_source_audit",
+    "op13_spelling_variants": "op13_spelling_variants",
 }
 
 
