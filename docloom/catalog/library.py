@@ -100,13 +100,13 @@ def fetch_truncate(spark, sf_dir):
 def integrity_check(spark, sf_dir):
     c = chunks(spark, sf_dir)
     d = documents(spark, sf_dir).join(c.groupBy(F.col("document_id").alias("id")).agg(F.count(F.lit(1)).alias("chunk_count")), "id", "left")
-    return b.integrity(d, c, served_index(spark, sf_dir).postings)
+    return b.integrity(d, c, served_index(spark, sf_dir).postings())
 
 
 @query(rf"""WITH {MODEL_SQL}, t AS (SELECT chunk_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}\p{{M}}]+')) AS term FROM chunks)
 SELECT term, count(DISTINCT chunk_id) AS chunks, count(*) AS tf FROM t GROUP BY term""")
 def postings_terms(spark, sf_dir):
-    p = served_index(spark, sf_dir).postings
+    p = served_index(spark, sf_dir).postings()
     return p.groupBy("term").agg(F.count(F.lit(1)).alias("chunks"), F.sum("tf").alias("tf"))
 
 

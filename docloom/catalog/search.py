@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.catalog import query
 from docloom.operators import filters, fts, fusion, ranked, vectors
+from docloom.operators.chunking import chunk_key
 from docloom.schemas import SearchFilters
 from docloom.sources.driver_tables import MODEL_SQL, chunks, documents, fts_sql, query_vector, served_index
 from docloom.sources.driver_tables import vectors as vector_table
@@ -32,6 +33,31 @@ def vector_topk_filtered(spark, sf_dir):
     return _distance(vectors.vector_search(vector_table(spark, sf_dir), documents(spark, sf_dir), query_vector(spark, sf_dir), 10, filters.document_filter(ON_TYPE)))
 
 
+_BATCH_SQL = """
+, qs AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 50 = 0),
+pairs AS (SELECT query_id, e.vec_id AS chunk_id, e.vec_id // 2 AS document_id,
+    round(1 - list_dot_product(e.embedding::DOUBLE[], qv) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(qv, qv))), 6) AS distance FROM embeddings e, qs),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id)::INTEGER AS rank FROM pairs{where})
+SELECT query_id, chunk_id, document_id, distance + 0.0 AS distance, rank FROM ranked WHERE rank <= 10"""
+
+
+def _batch(spark, sf_dir, where=None):
+    queries = vector_table(spark, sf_dir).where("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    found = vectors.vector_search_batch(vector_table(spark, sf_dir), documents(spark, sf_dir), queries, 10, where)
+    return found.withColumn("distance", F.col("distance") + 0.0)
+
+
+@query(f"WITH {MODEL_SQL}{_BATCH_SQL.format(where='')}")
+def vector_topk_batch(spark, sf_dir):
+    """Every fiftieth vector asks for its ten nearest of all."""
+    return _batch(spark, sf_dir)
+
+
+@query(f"WITH {MODEL_SQL}{_BATCH_SQL.format(where=f' WHERE document_id IN (SELECT id FROM docs WHERE {_ON_TYPE_SQL})')}")
+def vector_topk_batch_filtered(spark, sf_dir):
+    return _batch(spark, sf_dir, filters.document_filter(ON_TYPE))
+
+
 def _keyword(spark, sf_dir, text, k=20, f=None):
     return ranked.keyword_search(served_index(spark, sf_dir), documents(spark, sf_dir), text, k, f).select("chunk_id", "document_id", F.round("bm25", 6).alias("bm25"))
 
@@ -77,7 +103,7 @@ def keyword_document_total(spark, sf_dir):
 
 # chunk ids of the vector table count pairs per document; for fusion both lists speak of chunk 0 of a document
 _LISTS_SQL = f"""WITH {MODEL_SQL}, {fts_sql(['the'])},
-v AS (SELECT document_id * 1000 AS chunk_id, document_id, min(distance) AS distance FROM vec GROUP BY document_id),
+v AS (SELECT document_id * 1048576 AS chunk_id, document_id, min(distance) AS distance FROM vec GROUP BY document_id),
 lists AS (
   SELECT chunk_id, document_id, 0 AS list_no, row_number() OVER (ORDER BY distance, chunk_id) AS pos, distance FROM (SELECT * FROM v ORDER BY v.distance, chunk_id LIMIT 25)
   UNION ALL SELECT chunk_id, document_id, 1, row_number() OVER (ORDER BY bm25, chunk_id), NULL FROM (SELECT * FROM kw ORDER BY bm25, chunk_id LIMIT 25)),
@@ -88,7 +114,7 @@ top AS (SELECT document_id, max(rrf) AS best FROM fused GROUP BY document_id ORD
 
 def ranked_lists(spark, sf_dir) -> DataFrame:
     """The 25 nearest and the 25 best by keyword: chunk_id, document_id, list_no, pos, distance."""
-    v = vector_table(spark, sf_dir).select((F.col("document_id") * 1000).alias("chunk_id"), "document_id", F.round(vectors.cosine_distance(F.col("embedding"), vectors.vector_literal(query_vector(spark, sf_dir))), 6).alias("distance"))
+    v = vector_table(spark, sf_dir).select(chunk_key(F.col("document_id"), F.lit(0)).alias("chunk_id"), "document_id", F.round(vectors.cosine_distance(F.col("embedding"), vectors.vector_literal(query_vector(spark, sf_dir))), 6).alias("distance"))
     v = v.groupBy("chunk_id", "document_id").agg(F.min("distance").alias("distance")).orderBy("distance", "chunk_id").limit(25)
     near = ranked.rank_in(v, 0, "distance", "chunk_id").join(v.select("chunk_id", "distance"), "chunk_id")
     by_word = ranked.rank_in(_keyword(spark, sf_dir, "the", 25), 1, "bm25", "chunk_id").withColumn("distance", F.lit(None).cast("double"))
@@ -132,7 +158,7 @@ def relevance_gate(spark, sf_dir):
 
 
 @query(f"""{_LISTS_SQL}, c AS (SELECT f.*, k.text FROM fused f JOIN chunks k USING (chunk_id) WHERE f.document_id IN (SELECT document_id FROM top)),
-b AS (SELECT document_id, max(rrf) AS score, max(similarity) AS similarity, arg_min(text, -rrf * 1e9 + chunk_id / 1e9) AS text FROM c GROUP BY document_id),
+b AS (SELECT document_id, max(rrf) AS score, max(similarity) AS similarity, first(text ORDER BY rrf DESC, chunk_id) AS text FROM c GROUP BY document_id),
 s AS (SELECT b.*, d.title, d.created, trim(regexp_replace(b.text, '\\s+', ' ', 'g')) AS line FROM b LEFT JOIN docs d ON d.id = b.document_id)
 SELECT document_id, title, created, CASE WHEN length(line) <= 280 THEN line ELSE rtrim(substr(line, 1, 280)) || '…' END AS snippet, score, {_TIER.format('similarity')} AS tier FROM s""")
 def best_chunk_sources(spark, sf_dir):
@@ -144,11 +170,11 @@ def best_chunk_sources(spark, sf_dir):
     return fusion.best_sources(c, documents(spark, sf_dir)).drop("judge")
 
 
-@query(f"""{_LISTS_SQL}, a AS (SELECT chunk_id, rrf, 'first' AS origin FROM fused WHERE chunk_id % 3000 <> 0), b AS (SELECT chunk_id, rrf / 2 AS rrf, 'second' AS origin FROM fused WHERE chunk_id % 2000 = 0)
+@query(f"""{_LISTS_SQL}, a AS (SELECT chunk_id, rrf, 'first' AS origin FROM fused WHERE document_id % 3 <> 0), b AS (SELECT chunk_id, rrf / 2 AS rrf, 'second' AS origin FROM fused WHERE document_id % 2 = 0)
 SELECT chunk_id, round(rrf, 9) AS rrf, origin FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY origin) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b)) WHERE n = 1""")
 def merge_chunks(spark, sf_dir):
-    f = fused_chunks(spark, sf_dir).select("chunk_id", F.round("rrf", 9).alias("rrf"))
-    a, b = f.where("chunk_id % 3000 <> 0").withColumn("origin", F.lit("first")), f.where("chunk_id % 2000 = 0").withColumn("rrf", F.col("rrf") / 2).withColumn("origin", F.lit("second"))
+    f = fused_chunks(spark, sf_dir).select("chunk_id", "document_id", F.round("rrf", 9).alias("rrf"))
+    a, b = f.where("document_id % 3 <> 0").withColumn("origin", F.lit("first")), f.where("document_id % 2 = 0").withColumn("rrf", F.col("rrf") / 2).withColumn("origin", F.lit("second"))
     return fusion.merge_chunks(a, b).select("chunk_id", F.round("rrf", 9).alias("rrf"), "origin")
 
 

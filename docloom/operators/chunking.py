@@ -109,9 +109,8 @@ def chunk_documents(docs: DataFrame, size: int = 2000, overlap: int = 256, key:
 
 def hard_cap(docs: DataFrame, most: int = HARD_CAP, key: str = "document_id", text: str = "text") -> DataFrame:
     """document_id, chunk_index, text: plain cuts of `most` characters, without Python."""
-    n = F.ceil(F.length(text) / most).cast("int")
-    at = docs.where(F.length(text) > 0).select(F.col(key).alias("document_id"), F.col(text).alias("_t"), F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk_index"))
-    return at.select("document_id", "chunk_index", F.substr(F.col("_t"), F.col("chunk_index") * most + 1, F.lit(most)).alias("text"))
+    cut = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{most}}}"), F.lit(0))  # in one pass, whatever the length
+    return docs.select(F.col(key).alias("document_id"), F.posexplode(cut).alias("chunk_index", "text"))
 
 
 def chunk_key(document_id: Column, chunk_index: Column) -> Column:

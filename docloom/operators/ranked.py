@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.operators.filters import document_filter
-from docloom.operators.fts import StoredIndex, scores
+from docloom.operators.fts import BlockIndex, StoredIndex, scores, top_chunks
 from docloom.schemas import SearchFilters
 
 
@@ -16,8 +16,10 @@ def _allowed(documents: DataFrame, filters: SearchFilters | None) -> DataFrame |
     return documents.where(document_filter(filters)).select(F.col("id").alias("document_id"))
 
 
-def keyword_search(source: DataFrame | StoredIndex, documents: DataFrame, query: str, k: int, filters: SearchFilters | None = None) -> DataFrame:
-    """The k best chunks of a stored index or of chunks with texts: chunk_id, document_id, bm25."""
+def keyword_search(source: DataFrame | StoredIndex | BlockIndex, documents: DataFrame, query: str, k: int, filters: SearchFilters | None = None) -> DataFrame:
+    """The k best chunks of an index or of chunks with texts: chunk_id, document_id, bm25. A block index skips blocks that can't hold one."""
+    if isinstance(source, BlockIndex):
+        return top_chunks(source, query, k, _allowed(documents, filters))
     return scores(source, query, _allowed(documents, filters)).orderBy(F.round("bm25", 6), "chunk_id").limit(max(0, k))
 
 
@@ -26,13 +28,13 @@ def best_chunk_each(scored: DataFrame) -> DataFrame:
     return scored.groupBy("document_id").agg(F.min(F.struct(F.round("bm25", 6).alias("bm25"), "chunk_id")).alias("b")).select("document_id", F.col("b.chunk_id").alias("chunk_id"), F.col("b.bm25").alias("bm25"))
 
 
-def keyword_documents(source: DataFrame | StoredIndex, documents: DataFrame, query: str, limit: int, offset: int = 0, filters: SearchFilters | None = None) -> DataFrame:
+def keyword_documents(source: DataFrame | StoredIndex | BlockIndex, documents: DataFrame, query: str, limit: int, offset: int = 0, filters: SearchFilters | None = None) -> DataFrame:
     """A page of documents by their best chunk."""
     best = best_chunk_each(scores(source, query, _allowed(documents, filters)))
     return best.orderBy("bm25", "chunk_id").offset(max(0, offset)).limit(max(0, limit))
 
 
-def keyword_document_count(source: DataFrame | StoredIndex, documents: DataFrame, query: str, filters: SearchFilters | None = None) -> DataFrame:
+def keyword_document_count(source: DataFrame | StoredIndex | BlockIndex, documents: DataFrame, query: str, filters: SearchFilters | None = None) -> DataFrame:
     return scores(source, query, _allowed(documents, filters)).agg(F.countDistinct("document_id").alias("total"))
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -13,7 +15,8 @@ def _dot(a: Column, b: Column) -> Column:
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
-    return 1 - _dot(a, b) / (F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)))
+    """Null for null vectors and those without direction."""
+    return 1 - F.try_divide(_dot(a, b), F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)))
 
 
 def vector_literal(values: Sequence[float]) -> Column:
@@ -32,7 +35,83 @@ def vector_search(chunks: DataFrame, documents: DataFrame | None, query: Sequenc
     if documents is not None and where is not None:
         chunks = chunks.join(documents.where(where).select(F.col("id").alias("document_id")), "document_id", "left_semi")
     distance = cosine_distance(F.col("embedding"), vector_literal(query))
-    return chunks.select("chunk_id", "document_id", distance.alias("distance")).orderBy(F.round("distance", 6), "chunk_id").limit(k)
+    return chunks.select("chunk_id", "document_id", distance.alias("distance")).where("distance IS NOT NULL").orderBy(F.round("distance", 6), "chunk_id").limit(k)
+
+
+#: Bytes of query vectors, as doubles, that one pass over the chunks takes; rows of one product.
+QUERY_BYTES, PRODUCT_ROWS = 16 << 20, 1024
+
+
+class _Nearest:
+    """The k nearest chunks so far of each query of a block: distances in millionths, chunk and document ids, nearest first."""
+
+    def __init__(self, queries: np.ndarray, k: int) -> None:
+        self.queries, self.k = queries, k
+        self.held = [np.zeros((3, 0), dtype=np.int64) for _ in queries]
+        self.floor = np.full(len(queries), np.iinfo(np.int64).max)
+
+    def add(self, vectors: np.ndarray, chunk_ids: np.ndarray, document_ids: np.ndarray) -> None:
+        size = np.sqrt((vectors * vectors).sum(axis=1))
+        there = size > 0
+        vectors, chunk_ids, document_ids = vectors[there] / size[there, None], chunk_ids[there], document_ids[there]
+        far = np.rint((1 - self.queries @ vectors.T) * 1e6).astype(np.int64)
+        for q in np.flatnonzero((far <= self.floor[:, None]).any(axis=1)):
+            near = np.flatnonzero(far[q] <= self.floor[q])
+            some = np.concatenate([self.held[q], np.stack([far[q][near], chunk_ids[near], document_ids[near]])], axis=1)
+            self.held[q] = some[:, np.lexsort((some[1], some[0]))[: self.k]]
+            if self.held[q].shape[1] == self.k:
+                self.floor[q] = self.held[q][0, -1]
+
+
+def _pass(chunks: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
+    """query_id, far, chunk_id, document_id: for each task the k nearest of its chunks to each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Nearest(queries, k)
+        for b in batches:
+            for i in range(0, b.num_rows, PRODUCT_ROWS):
+                part = b.slice(i, PRODUCT_ROWS)
+                lists = part.column("embedding")
+                sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+                if (sizes != queries.shape[1]).any():
+                    raise ValueError(f"queries have {queries.shape[1]} dimensions, a chunk has another number")
+                vectors = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, queries.shape[1])
+                best.add(vectors, part.column("chunk_id").to_numpy(), part.column("document_id").to_numpy())
+        count = [h.shape[1] for h in best.held]
+        rows = np.concatenate(best.held, axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, count)), *map(pa.array, rows)], names=["query_id", "far", "chunk_id", "document_id"])
+
+    return chunks.mapInArrow(run, "query_id long, far long, chunk_id long, document_id long")
+
+
+def vector_search_batch(chunks: DataFrame, documents: DataFrame | None, queries: DataFrame, k: int, where: Column | None = None) -> DataFrame:
+    """The k chunks nearest to each of many queries (query_id, embedding): query_id, chunk_id, document_id, distance (to six places), rank.
+
+    Queries go in blocks of at most QUERY_BYTES, one pass over the chunks each. A task multiplies its
+    chunks' vectors, PRODUCT_ROWS at a time, with the block and keeps k rows a query; only those are
+    shuffled and merged. Vectors that are null or without direction have no distance. query_id must be unique."""
+    spark = chunks.sparkSession
+    empty = spark.createDataFrame([], "query_id long, far long, chunk_id long, document_id long")
+    if documents is not None and where is not None:
+        chunks = chunks.join(documents.where(where).select(F.col("id").alias("document_id")), "document_id", "left_semi")
+    rows = chunks.where("embedding IS NOT NULL").select("chunk_id", "document_id", "embedding")
+    found, ids, block = [], [], []
+    for q in queries.where("embedding IS NOT NULL").select("query_id", "embedding").toLocalIterator() if k > 0 else ():
+        v = np.array(q.embedding, dtype=np.float64)
+        if not v.any():
+            continue
+        ids.append(q.query_id)
+        block.append(v / np.sqrt(v @ v))
+        if len(block) * block[0].nbytes >= QUERY_BYTES:
+            found.append(_pass(rows, np.array(ids, dtype=np.int64), np.stack(block), k))
+            ids, block = [], []
+    if block:
+        found.append(_pass(rows, np.array(ids, dtype=np.int64), np.stack(block), k))
+    merged = empty
+    for f in found:
+        merged = merged.unionByName(f)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("far", "chunk_id"))
+    return merged.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "chunk_id", "document_id", (F.col("far") / 1e6).alias("distance"), "rank")
 
 
 def embed(chunks: DataFrame, embedder, batch: int = 96) -> DataFrame:

@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 
 from docloom.operators.browse import browse, browse_page, date_bounds, facet_counts, index_stats
 from docloom.operators.filters import document_filter
-from docloom.operators.fts import StoredIndex
+from docloom.operators.fts import BlockIndex, StoredIndex
 from docloom.operators.fusion import best_sources, capped_chunks, fuse, merge_chunks, merge_verdicts
 from docloom.operators.pages import fetch_documents
 from docloom.operators.ranked import keyword_document_count, keyword_documents, keyword_search, rank_in
-from docloom.operators.vectors import similarity, vector_search
+from docloom.operators.vectors import similarity, vector_search_batch
 from docloom.plans.providers import Embedder, Judge, KeepAllJudge, Planner, QuotingSynthesizer, RawPlanner, Synthesizer
 from docloom.plans.specs import broaden, call_budget, raw_rag_plan, resolve
 from docloom.schemas import RetrievalPlan, RetrievalSpec, SearchFilters, Tiers
@@ -71,7 +71,7 @@ class ResultCache:
 class Search:
     """Tables: documents (with text), chunks, vectors (chunk_id, document_id, embedding) and taxonomy; with a stored full-text index keyword searches read that. A Search reads one state of the tables."""
 
-    def __init__(self, documents: DataFrame, chunks: DataFrame, vectors: DataFrame, taxonomy: DataFrame, embedder: Embedder, planner: Planner | None = None, judge: Judge | None = None, synthesizer: Synthesizer | None = None, settings: SearchSettings = SearchSettings(), index: StoredIndex | None = None) -> None:  # noqa: B008
+    def __init__(self, documents: DataFrame, chunks: DataFrame, vectors: DataFrame, taxonomy: DataFrame, embedder: Embedder, planner: Planner | None = None, judge: Judge | None = None, synthesizer: Synthesizer | None = None, settings: SearchSettings = SearchSettings(), index: StoredIndex | BlockIndex | None = None) -> None:  # noqa: B008
         self.index = index
         self._names: dict[str, list[tuple[int, str]]] | None = None
         self.documents, self.chunks, self.vectors, self.taxonomy = documents, chunks, vectors, taxonomy
@@ -97,14 +97,18 @@ class Search:
         except Exception:  # noqa: BLE001  any provider error: go on by keywords
             vectors = []
         k, lists = self.settings.per_spec_k, []
-        for s, v in zip(semantic, vectors, strict=False):
-            where = None if s.filters.is_empty() else document_filter(s.filters)
-            hits = vector_search(self.vectors, self.documents, v, k, where)
-            lists.append(rank_in(hits, len(lists), F.round("distance", 6), "chunk_id").join(hits.select("chunk_id", "distance"), "chunk_id").withColumn("keyword", F.lit(False)))
+        asked: dict[SearchFilters, list[tuple[int, list[float]]]] = {}
+        for i, (s, v) in enumerate(zip(semantic, vectors, strict=False)):
+            asked.setdefault(s.filters, []).append((i, [float(x) for x in v]))
+        for f, queries in asked.items():  # one pass over the vectors for all that share a filter
+            where = None if f.is_empty() else document_filter(f)
+            table = self.vectors.sparkSession.createDataFrame(queries, "query_id long, embedding array<double>")
+            hits = vector_search_batch(self.vectors, self.documents, table, k, where)
+            lists.append(hits.select("chunk_id", "document_id", F.col("query_id").cast("int").alias("list_no"), F.col("rank").alias("pos"), "distance", F.lit(False).alias("keyword")))
         for s in specs:
             if s.mode == "keyword" and s.keywords:
                 hits = keyword_search(self.index or self.chunks, self.documents, " ".join(s.keywords), k, s.filters)
-                lists.append(rank_in(hits, len(lists), F.round("bm25", 6), "chunk_id").withColumn("distance", F.lit(None).cast("double")).withColumn("keyword", F.lit(True)))
+                lists.append(rank_in(hits, len(vectors) + len(lists), F.round("bm25", 6), "chunk_id").withColumn("distance", F.lit(None).cast("double")).withColumn("keyword", F.lit(True)))
         return lists
 
     def retrieve_specs(self, specs: Sequence[RetrievalSpec]) -> DataFrame | None:

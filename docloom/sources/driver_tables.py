@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom import schemas
-from docloom.operators.chunking import hard_cap
-from docloom.operators.fts import StoredIndex, by_term, postings, token_counts
-from docloom.sources.workspace import new_dir
+from docloom.operators.chunking import chunk_key, hard_cap
+from docloom.operators.fts import BlockIndex, build_blocks
+from docloom.sources.workspace import file_state, new_dir
 
 CHUNK_CHARS = 2000
 TYPES = (("en", 200, "English"), ("de", 201, "German"), ("fr", 202, "French"), ("es", 203, "Spanish"))
@@ -49,23 +48,21 @@ def taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chunk_id, document_id, chunk_index, text."""
-    cut = hard_cap(table(spark, sf_dir, "documents"), CHUNK_CHARS, "doc_id")
-    # ids as in the SQL below: up to 1000 chunks a document, which assert_true checks
-    number = F.when(F.assert_true(F.col("chunk_index") < 1000, "a document of more than 1000 chunks").isNull(), F.col("document_id") * 1000 + F.col("chunk_index"))
-    return cut.select(number.alias("chunk_id"), "document_id", "chunk_index", "text")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    if rows.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:  # a small file is one split: deal its rows out before the texts are worked on
+        rows = rows.repartition(spark.sparkContext.defaultParallelism)
+    cut = hard_cap(rows, CHUNK_CHARS, "doc_id")
+    return cut.select(chunk_key(F.col("document_id"), F.col("chunk_index")).alias("chunk_id"), "document_id", "chunk_index", "text")
 
 
-_served: dict[tuple[str, str], StoredIndex] = {}
+_served: dict[tuple, BlockIndex] = {}
 
 
-def served_index(spark: SparkSession, sf_dir: str) -> StoredIndex:
-    """The full-text index of the chunks: written once a session and folder, as an index store keeps it, and read by every query from then on."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def served_index(spark: SparkSession, sf_dir: str) -> BlockIndex:
+    """The full-text index of the chunks: written once a session and state of the files, as an index server keeps it, and read by every query from then on."""
+    key = (spark.sparkContext.applicationId, sf_dir, file_state(spark, f"{sf_dir}/documents.parquet"))
     if key not in _served:
-        path, c = new_dir(spark, "fts"), chunks(spark, sf_dir)
-        by_term(postings(c)).write.parquet(f"{path}/postings")
-        token_counts(c).write.parquet(f"{path}/lengths")
-        _served[key] = StoredIndex(spark.read.schema(schemas.POSTINGS).parquet(f"{path}/postings"), spark.read.schema(schemas.FTS_STATS).parquet(f"{path}/lengths"))
+        _served[key] = build_blocks(chunks(spark, sf_dir), new_dir(spark, "fts"))
     return _served[key]
 
 
@@ -93,7 +90,7 @@ taxonomy AS (
   UNION ALL VALUES ('document_type', 200, 'English'), ('document_type', 201, 'German'), ('document_type', 202, 'French'), ('document_type', 203, 'Spanish'),
     ('tag', 1, 'good'), ('tag', 2, 'toxic'), ('tag', 3, 'unused'), ('correspondent', 999, 'Unused Ltd')),
 chunks AS (
-  SELECT doc_id * 1000 + i AS chunk_id, doc_id AS document_id, CAST(i AS INTEGER) AS chunk_index, substr(text, CAST(i * {CHUNK_CHARS} + 1 AS BIGINT), {CHUNK_CHARS}) AS text
+  SELECT doc_id * 1048576 + i AS chunk_id, doc_id AS document_id, CAST(i AS INTEGER) AS chunk_index, substr(text, CAST(i * {CHUNK_CHARS} + 1 AS BIGINT), {CHUNK_CHARS}) AS text
   FROM (SELECT doc_id, text, unnest(range(CAST(ceil(length(text) / {CHUNK_CHARS}.0) AS BIGINT))) AS i FROM documents WHERE length(text) > 0)),
 q AS (SELECT embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id = 0),
 vec AS (

@@ -25,5 +25,24 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own[app]}"
 
 
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # noqa: BLE001  the JVM is gone already
+        return
+
+
 def new_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/docloom-{name}-{uuid.uuid4().hex}"
+    """A folder of its own in the shared one, deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/docloom-{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete_at_exit, spark, path)
+    return path
+
+
+def file_state(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """Number, bytes and newest time of the files of a table, by Spark's file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = list(fs.listStatus(at)) if fs.exists(at) else []
+    return len(files), sum(f.getLen() for f in files), max((f.getModificationTime() for f in files), default=0)
