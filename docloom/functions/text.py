@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Iterable, Sequence
 
@@ -123,18 +124,76 @@ def name_tokens(text: Column, without: Sequence[str] = ("of", "the", "and", "for
     return F.array_sort(F.array_distinct(F.filter(parts, lambda w: (w != "") & ~w.isin(*without))))
 
 
-#: Compatibility letters (full-width forms, ligatures of one letter) and what NFKC makes of them.
-_COMPATIBLE = [(chr(c), unicodedata.normalize("NFKC", chr(c))) for c in (*range(0xFF01, 0xFF5F), *range(0x2460, 0x2500)) if len(unicodedata.normalize("NFKC", chr(c))) == 1]
+def _all_chars() -> Iterable[str]:
+    return (chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000)
 
 
-#: Ligatures of several letters.
-_LIGATURES = [(chr(c), unicodedata.normalize("NFKC", chr(c))) for c in range(0xFB00, 0xFB07)]
+def _compatible() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters whose compatibility form has an ASCII letter or digit, or begins with a combining mark, and that form: of one character, and of several."""
+    one, several = {}, {}
+    for c in _all_chars():
+        n = unicodedata.normalize("NFKC", c)
+        if n != c and (any(x.isascii() and x.isalnum() for x in n) or unicodedata.combining(n[0])):
+            (one if len(n) == 1 else several)[c] = n
+    several["\u0130"] = "I\u0307"  # its lower case has an i, unless a mark that follows makes the I another letter
+    return one, several
+
+
+def _ranges(chars: Iterable[str]) -> str:
+    """The inside of a regex class of these characters."""
+    out: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" if a < b else rf"\x{{{a:X}}}" for a, b in out)
+
+
+def _composing() -> str:
+    """A regex of the ASCII letters that marks behind them make letters beyond ASCII.
+
+    A mark composes with the letter unless one of its own class stands between them; marks of other classes
+    may. Marks between are looked for in the blocks of marks for all scripts. The dotted capital I keeps its letter in lower case."""
+    pairs: dict[int, dict[frozenset[str], list[str]]] = {}
+    by_letter: dict[tuple[str, int], set[str]] = {}
+    for c in _all_chars():
+        d = unicodedata.normalize("NFD", c)
+        if len(d) == 2 and d[0].isascii() and d[0].isalpha() and unicodedata.normalize("NFC", d) == c and not any(x.isascii() for x in c.lower()):
+            by_letter.setdefault((d[0], unicodedata.combining(d[1])), set()).add(d[1])
+    for (letter, kind), found in by_letter.items():
+        pairs.setdefault(kind, {}).setdefault(frozenset(found), []).append(letter)
+    blocks = [chr(c) for a, b in ((0x300, 0x36F), (0x1AB0, 0x1AFF), (0x1DC0, 0x1DFF), (0x20D0, 0x20FF), (0xFE20, 0xFE2F)) for c in range(a, b + 1)]
+    some = []
+    for kind, groups in sorted(pairs.items()):
+        between = _ranges(m for m in blocks if unicodedata.combining(m) not in (0, kind))
+        some += [f"[{''.join(letters)}][{between}]*[{_ranges(found)}]" for found, letters in groups.items()]
+    return "|".join(some)
+
+
+_ONE, _SEVERAL = _compatible()
+_COMPOSED = _composing()
+#: Code points of a chunk of the table of longer forms, as a power of two.
+_CHUNK = 7
+
+
+def _longer_forms() -> Column:
+    """Chunk of code points -> character -> form."""
+    chunks: dict[int, dict[str, str]] = {}
+    for c, n in _SEVERAL.items():
+        chunks.setdefault(ord(c) >> _CHUNK, {})[c] = n
+    return F.from_json(F.lit(json.dumps(chunks)), "map<string,map<string,string>>")
 
 
 def fold_compatible(text: Column) -> Column:
-    for a, b in _LIGATURES:
-        text = F.replace(text, F.lit(a), F.lit(b))
-    return F.lower(F.translate(text, "".join(a for a, _ in _COMPATIBLE), "".join(b for _, b in _COMPATIBLE)))
+    """Lower case of the compatibility form, as far as letters a-z and digits go: what has another form by NFKC gets it, one or several characters, and
+    an ASCII letter that a mark makes another letter becomes a letter beyond ASCII. Other characters may keep their form. Plain ASCII costs two tests."""
+    one = F.translate(text, "".join(_ONE), "".join(_ONE.values()))
+    forms = _longer_forms()
+    char_form = lambda c: F.coalesce(forms[F.call_function("shiftright", F.ascii(c), F.lit(_CHUNK)).cast("string")][c], c)
+    several = F.when(one.rlike(f"[{_ranges(_SEVERAL)}]"), F.array_join(F.transform(F.split(one, ""), char_form), "")).otherwise(one)
+    composed = F.when(several.rlike(r"\p{Mn}"), F.regexp_replace(several, _COMPOSED, "\u00e9")).otherwise(several)
+    return F.lower(F.when(text.rlike(r"[^\x00-\x7F]"), composed).otherwise(text))
 
 
 def page_ranges(pages: Column) -> Column:

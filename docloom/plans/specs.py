@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import unicodedata
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 import regex
 
 from docloom.functions.dates import MONTHS
-from docloom.functions.text import _COMPATIBLE
 from docloom.schemas import FilterGuess, PlannedSpec, RetrievalPlan, RetrievalSpec, SearchFilters
 
 MAX_SPECS = 8
-_COMPATIBLE_TABLE = str.maketrans(dict(_COMPATIBLE))
 
 
 def raw_rag_plan(query: str) -> RetrievalPlan:
@@ -58,13 +57,20 @@ class NameMatch:
     candidates: tuple[str, ...] = ()
 
 
+#: fixed values: words of a name that say nothing
+CONNECTIVES = frozenset(("of", "the", "and", "for", "to"))
+
+
+def _plain(name: str) -> str:
+    return unicodedata.normalize("NFKC", name).lower()
+
+
 def _key(name: str) -> str:
-    return regex.sub("[^a-z0-9]", "", name.translate(_COMPATIBLE_TABLE).lower())
+    return regex.sub("[^a-z0-9]", "", _plain(name))
 
 
 def _content(name: str) -> frozenset[str]:
-    words = regex.split("[^a-z0-9]+", name.translate(_COMPATIBLE_TABLE).lower())
-    return frozenset(words) - {"", "of", "the", "and", "for", "to"}
+    return frozenset(regex.split("[^a-z0-9]+", _plain(name))) - CONNECTIVES - {""}
 
 
 def match_name(guess: str, entries: Sequence[tuple[int, str]]) -> NameMatch:
