@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docloom.catalog import query
@@ -102,9 +103,38 @@ def hard_cap_chunks(spark, sf_dir):
     return chunking.hard_cap(table(spark, sf_dir, "documents"), 1500, "doc_id")
 
 
-@query()
+#: Texts are paragraphs of one line or more, without page markers: one that is longer than a chunk is cut at a stride. The tests have the other cases.
+_CHUNKS = """WITH d AS (SELECT doc_id AS document_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM documents),
+n AS (SELECT document_id, t, CASE WHEN length(t) <= {0} THEN 1 ELSE 1 + ceil((length(t) - {0}) / ({0} - {1})::DOUBLE)::BIGINT END AS n FROM d WHERE t <> '')
+SELECT document_id, i::INTEGER AS chunk_index, substr(t, i * ({0} - {1}) + 1, {0}) AS text, NULL::INTEGER AS page_hint FROM (SELECT document_id, t, unnest(range(n)) AS i FROM n)"""
+
+
+@query(_CHUNKS.format(2000, 256))
 def chunk_text_udtf(spark, sf_dir):
-    return chunking.chunk_documents(table(spark, sf_dir, "documents"), 2000, 256, "doc_id")
+    """The table function over a table, an Arrow batch at a time."""
+    chunking.register_chunking(spark)
+    table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text").createOrReplaceTempView("_chunk_rows")
+    return spark.sql("SELECT * FROM chunk_documents(rows => TABLE(_chunk_rows), size => 2000, overlap => 256)")
+
+
+@query(_CHUNKS.format(900, 100))
+def chunk_text_lateral(spark, sf_dir):
+    """The table function of one text, by LATERAL."""
+    chunking.register_chunking(spark)
+    table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text").createOrReplaceTempView("_chunk_texts")
+    return spark.sql("SELECT d.document_id, c.* FROM _chunk_texts d, LATERAL chunk_text(d.text, 900, 100) c")
+
+
+@query("""WITH p AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS page, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS t FROM conversations),
+b AS (SELECT conv_id, string_agg(t, chr(10) || chr(10) ORDER BY page) AS body, min(page)::INTEGER AS page FROM p WHERE t <> '' GROUP BY conv_id)
+SELECT conv_id AS document_id, i::INTEGER AS chunk_index, substr(body, i * 6000 + 1, 6000) AS text, page AS page_hint
+FROM (SELECT *, unnest(range(ceil(length(body) / 6000.0)::BIGINT)) AS i FROM b)""")
+def chunk_pages_partitioned(spark, sf_dir):
+    """Page rows, grouped and ordered by the call of the table function; windows that take whole conversations, so that the cap alone cuts."""
+    chunking.register_chunking(spark)
+    c = table(spark, sf_dir, "conversations").withColumn("page", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")))
+    c.select(F.col("conv_id").alias("document_id"), "page", "text").createOrReplaceTempView("_page_rows")
+    return spark.sql("SELECT * FROM chunk_pages(rows => TABLE(_page_rows) PARTITION BY document_id ORDER BY page, size => 100000, overlap => 0)")
 
 
 @query("""WITH p AS (SELECT conv_id, turn, text, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS page, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
@@ -112,8 +142,6 @@ f AS (SELECT * FROM p WHERE regexp_matches(text, '[^\\s]')),
 b AS (SELECT conv_id AS document_id, string_agg(CASE WHEN n > 1 THEN '--- Page ' || page || ' (' || role || ') ---' || chr(10) || text ELSE text END, chr(10) || chr(10) ORDER BY page) AS body, list_sort(list_distinct(list(role))) AS models FROM f GROUP BY conv_id)
 SELECT document_id, body || chr(10) || chr(10) || 'Transcribed by model: ' || array_to_string(models, ', ') AS text, array_to_string(models, ', ') AS models FROM b""")
 def page_assembly(spark, sf_dir):
-    from pyspark.sql import Window
-
     c = table(spark, sf_dir, "conversations")
     p = c.select(F.col("conv_id").alias("document_id"), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("page"), "text", F.col("role").alias("model"))
     return pages.assemble_pages(p, True).select("document_id", "text", F.array_join("models", ", ").alias("models"))
@@ -130,8 +158,6 @@ def page_ranges(spark, sf_dir):
 
 @query()
 def truncate_pages(spark, sf_dir):
-    from pyspark.sql import Window
-
     c = table(spark, sf_dir, "conversations")
     p = c.select(F.col("conv_id").alias("document_id"), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("page"), "text", F.col("role").alias("model"))
     return pages.truncate_pages(pages.assemble_pages(p), 2, 1, 2000, "document_id").select("document_id", "text", "total", "truncated", "note")

@@ -23,6 +23,17 @@ def normalise_name(spark, sf_dir):
     return c.select("c_custkey", text.normalise_name(F.concat("c_name", ending)).alias("name"))
 
 
+@query("""SELECT doc_id, regexp_replace(lower(t), '[^a-z0-9]', '', 'g') AS key,
+  array_to_string(list_sort(list_distinct(list_filter(string_split_regex(lower(t), '[^a-z0-9]+'), lambda x: x NOT IN ('', 'of', 'the', 'and', 'for', 'to')))), ' ') AS tokens
+FROM (SELECT doc_id, substr(text, 1, 200) || ' ' || source || ' kg 7 IV' AS t FROM documents)""")
+def name_keys(spark, sf_dir):
+    """Keys of titles in which letters, digits and groups of them are written in their compatibility forms; the SQL has the plain ones."""
+    t = F.translate(F.concat(F.substring("text", 1, 200), F.lit(" "), "source"), "aeost0123456789", "ａⅇº𝐬ｔ⁰①₂³４𝟓⑥₇８⁹")
+    for plain, form in (("fi", "ﬁ"), ("ii", "ⅱ"), ("dz", "ǳ"), ("vi", "ⅵ")):
+        t = F.replace(t, F.lit(plain), F.lit(form))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(t, F.lit(" ㎏ 𝟟 Ⅳ")).alias("t")).select("doc_id", text.name_key(F.col("t")).alias("key"), F.array_join(text.name_tokens(F.col("t")), " ").alias("tokens"))
+
+
 _GUESSES = ("English", "ENGLISH", "english-", "Unused Ltd", "ltd unused", "The Unused of Ltd", "src1", "SRC-1", "Frenchish", "src1 src2", "the", "toxic good", "Good")
 
 

@@ -1,4 +1,4 @@
-"""Chunks of document text: paragraphs packed into windows with overlap, as a table function.
+"""Chunks of document text: paragraphs packed into windows with overlap, as a column of frames and as table functions of SQL.
 
 Paragraphs are runs of non-blank lines; page-marker lines end them and set the page. A window takes
 paragraphs, joined by a blank line, while they fit. When one doesn't, the window is a chunk and the
@@ -10,11 +10,12 @@ chunk is longer than HARD_CAP.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: fixed value: the page marker line
@@ -86,9 +87,14 @@ def _windows(parts: list[tuple[int | None, str]], size: int, overlap: int) -> It
 
 def chunk_text(content: str, size: int = 2000, overlap: int = 256, cap: int = HARD_CAP) -> list[tuple[int, str, int | None]]:
     """(chunk_index, text, page_hint) of one text."""
+    return packed(paragraphs(content or ""), size, overlap, cap)
+
+
+def packed(parts: list[tuple[int | None, str]], size: int, overlap: int, cap: int = HARD_CAP) -> list[tuple[int, str, int | None]]:
+    """(chunk_index, text, page_hint) of the paragraphs (page, text) of one document."""
     if not 0 <= overlap < size:
         raise ValueError(f"overlap {overlap} must be at least 0 and less than the size {size}")
-    cut = ((page, text[i : i + cap]) for page, text in _windows(paragraphs(content or ""), size, overlap) for i in range(0, len(text), cap))
+    cut = ((page, text[i : i + cap]) for page, text in _windows(parts, size, overlap) for i in range(0, len(text), cap))
     return [(i, text, page) for i, (page, text) in enumerate(cut)]
 
 
@@ -107,6 +113,57 @@ def chunk_documents(docs: DataFrame, size: int = 2000, overlap: int = 256, key:
     return docs.select(key, text).mapInPandas(run, "document_id long, chunk_index int, text string, page_hint int")
 
 
+CHUNKED = "document_id long, chunk_index int, text string, page_hint int"
+_CHUNKED = pa.schema([("document_id", pa.int64()), ("chunk_index", pa.int32()), ("text", pa.string()), ("page_hint", pa.int32())])
+
+
+def _chunk_table(rows: Iterable[tuple[int | None, int, str, int | None]]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [()] * 4
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _CHUNKED, strict=True)], schema=_CHUNKED)
+
+
+class _Documents:
+    """chunk_documents(rows => TABLE(...), size => n, overlap => n): chunks of rows (document_id, text), a batch at a time."""
+
+    def eval(self, rows: pa.RecordBatch, size: pa.Array, overlap: pa.Array) -> Iterator[pa.Table]:
+        n, over = size[0].as_py(), overlap[0].as_py()
+        yield _chunk_table((k, *c) for k, t in zip(rows.column("document_id").to_pylist(), rows.column("text").to_pylist(), strict=True) for c in chunk_text(t or "", n, over))
+
+
+class _Pages:
+    """chunk_pages(rows => TABLE(...) PARTITION BY document_id ORDER BY page, size => n, overlap => n): chunks of documents that lie as a row
+    (document_id, page, text) for each page. Chunks run over page ends and carry the page on which they begin."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[int | None, str]] = []
+        self.document_id, self.size, self.overlap = None, 0, 0
+
+    def eval(self, rows: pa.RecordBatch, size: pa.Array, overlap: pa.Array) -> Iterator[pa.Table]:
+        self.size, self.overlap = size[0].as_py(), overlap[0].as_py()
+        for k, page, text in zip(*(rows.column(c).to_pylist() for c in ("document_id", "page", "text")), strict=True):
+            self.document_id = k
+            self.parts += [(page, t) for _, t in paragraphs(text or "")]
+        return iter(())
+
+    def terminate(self) -> Iterator[pa.Table]:
+        if self.parts:
+            yield _chunk_table((self.document_id, *c) for c in packed(self.parts, self.size, self.overlap))
+
+
+class _OneText:
+    """chunk_text(text, size, overlap): chunks of one text, for LATERAL, which takes no Arrow functions."""
+
+    def eval(self, text: str | None, size: int, overlap: int) -> Iterator[tuple[int, str, int | None]]:
+        yield from chunk_text(text or "", size, overlap)
+
+
+def register_chunking(spark: SparkSession) -> None:
+    """The table functions chunk_documents, chunk_pages and chunk_text for the session's SQL."""
+    spark.udtf.register("chunk_documents", F.arrow_udtf(_Documents, returnType=CHUNKED))
+    spark.udtf.register("chunk_pages", F.arrow_udtf(_Pages, returnType=CHUNKED))
+    spark.udtf.register("chunk_text", F.udtf(_OneText, returnType="chunk_index int, text string, page_hint int"))
+
+
 def hard_cap(docs: DataFrame, most: int = HARD_CAP, key: str = "document_id", text: str = "text") -> DataFrame:
     """document_id, chunk_index, text: plain cuts of `most` characters, without Python."""
     cut = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{most}}}"), F.lit(0))  # in one pass, whatever the length
