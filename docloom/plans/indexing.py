@@ -11,7 +11,7 @@ from docloom import schemas
 from docloom.functions.dates import normalise_timestamp
 from docloom.operators.chunking import chunk_documents, chunk_key
 from docloom.operators.fts import postings, token_counts
-from docloom.operators.sync import MOST_FAILURES, content_hash, deletion_candidates, index_outcomes, latest_each, light_diff, next_watermark, retry_documents, scan_since, update_failures
+from docloom.operators.sync import content_hash, deletion_candidates, index_outcomes, latest_each, light_diff, next_watermark, retry_documents, scan_since, update_failures
 from docloom.operators.vectors import embed
 from docloom.sources.store import IndexStore, merged_metadata
 
@@ -56,7 +56,7 @@ def run_cycle(store: IndexStore, source: DataFrame, embedder, now: str, error_ta
     older than the index stays out."""
     base, state, failed = store._manifest(), store.index_state(), store.read("failures")
     page = source if stream else scan_since(source, store.meta("watermark"))
-    retried = retry_documents(failed.where(F.col("failures") < MOST_FAILURES), page, source)
+    retried = retry_documents(failed, page, source)
     page = latest_each(page).cache()
     change = light_diff(page.select("id", "modified"), state, stream).cache()
     todo = page.join(change.where("change <> 'unchanged'").select("id"), "id", "left_semi").unionByName(latest_each(retried)).cache()
@@ -84,7 +84,7 @@ def run_cycle(store: IndexStore, source: DataFrame, embedder, now: str, error_ta
     if stream and (known := store.meta("watermark")) and known > watermark:
         watermark = known
     meta = store.read("meta").where("key NOT IN ('watermark', 'last_reconcile_at')").unionByName(store.spark.createDataFrame([("watermark", watermark), ("last_reconcile_at", now)], schemas.META))
-    failures = update_failures(failed.join(gone.select(F.col("id").alias("document_id")), "document_id", "left_anti"), tried).select("document_id", "failures")
+    failures = update_failures(failed.join(gone.select(F.col("id").alias("document_id")), "document_id", "left_anti"), tried).where("NOT given_up").select("document_id", "failures")  # given up: tried again when its content changes, from one
     replaced = {"meta": store.stage("meta", meta), "failures": store.stage("failures", failures)}
     added, dead = {}, {}
     if by.get("indexed") or by.get("metadata_only") or deleted:
