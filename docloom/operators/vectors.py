@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 
 def _dot(a: Column, b: Column) -> Column:
@@ -114,16 +116,52 @@ def vector_search_batch(chunks: DataFrame, documents: DataFrame | None, queries:
     return merged.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "chunk_id", "document_id", (F.col("far") / 1e6).alias("distance"), "rank")
 
 
-def embed(chunks: DataFrame, embedder, batch: int = 96) -> DataFrame:
-    """chunks with embeddings from an injected embedder (texts -> vectors), `batch` texts a call. The texts of a failing batch are tried one by one; those that fail get null vectors."""
+class Breaker:
+    """Stops calls of a provider that keeps failing: after `failures` in a row a task makes no more, and no further wave starts.
 
-    def vectors(texts: list[str]) -> list:
-        try:
-            return [[float(x) for x in v] for v in embedder(texts)]
-        except Exception:  # noqa: BLE001  any provider error: keyword search still works
-            return [None] if len(texts) == 1 else [v for t in texts for v in vectors([t])]
+    Tasks report through accumulators, which the driver reads between waves. It stays open until reset."""
+
+    def __init__(self, spark: SparkSession, failures: int = 3) -> None:
+        if failures < 1:
+            raise ValueError("failures must be at least 1")
+        self.failures = failures
+        self._spark = spark
+        self.reset()
+
+    def reset(self) -> None:
+        self.calls, self.tripped = self._spark.sparkContext.accumulator(0), self._spark.sparkContext.accumulator(0)
+
+    def is_open(self) -> bool:
+        return self.tripped.value > 0
+
+
+class BreakerOpen(RuntimeError):
+    """Calls were stopped; nothing of the work under way counts."""
+
+
+def embed(chunks: DataFrame, embedder, batch: int = 96, breaker: Breaker | None = None) -> DataFrame:
+    """chunks with embeddings from an injected embedder (texts -> vectors), `batch` texts a call. The texts of a failing batch are tried one by one; those that fail get null vectors, and so do those that an open breaker leaves untried."""
+    most, calls, tripped = (breaker.failures, breaker.calls, breaker.tripped) if breaker else (None, None, None)
 
     def run(frames):
+        streak = 0
+
+        def vectors(texts: list[str]) -> list:
+            nonlocal streak
+            if most is not None and streak >= most:
+                return [None] * len(texts)
+            try:
+                if calls is not None:
+                    calls.add(1)
+                found = [[float(x) for x in v] for v in embedder(texts)]
+                streak = 0
+                return found
+            except Exception:  # noqa: BLE001  any provider error: keyword search still works
+                streak += 1
+                if most is not None and streak == most:
+                    tripped.add(1)
+                return [None] if len(texts) == 1 else [v for t in texts for v in vectors([t])]
+
         for pdf in frames:
             out = []
             for i in range(0, len(pdf), batch):
@@ -132,3 +170,30 @@ def embed(chunks: DataFrame, embedder, batch: int = 96) -> DataFrame:
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chunks.schema if f.name != "embedding")
     return chunks.drop("embedding").mapInPandas(run, f"{fields}, embedding array<float>")
+
+
+#: Chunks of the first wave, which one task tries, and the factor by which waves grow.
+FIRST_WAVE, WAVE_GROWTH = 384, 8
+_BUCKETS = 1 << 20
+
+
+def embed_in_waves(chunks: DataFrame, embedder, breaker: Breaker, write: Callable[[DataFrame], None], batch: int = 96) -> None:
+    """Embeds chunks (chunk_id, text) wave by wave, each written before the next starts, and raises BreakerOpen as soon as the breaker opens.
+
+    The first wave is small and one task's, so a provider that is down costs `failures` calls; later waves grow, and one
+    that breaks down within a wave costs at most so many calls a task."""
+    chunks = chunks.persist(StorageLevel.DISK_ONLY)
+    try:
+        bucket, n = F.pmod(F.xxhash64("chunk_id"), F.lit(_BUCKETS)), chunks.count()
+        low, size = 0, FIRST_WAVE
+        while low < _BUCKETS:
+            if breaker.is_open():
+                raise BreakerOpen("the embedding provider keeps failing")
+            high = min(_BUCKETS, low + max(1, math.ceil(_BUCKETS * size / max(n, 1))))
+            wave = chunks.where((bucket >= low) & (bucket < high))
+            write(embed(wave.coalesce(1) if low == 0 else wave, embedder, batch, breaker))
+            low, size = high, size * WAVE_GROWTH
+        if breaker.is_open():
+            raise BreakerOpen("the embedding provider keeps failing")
+    finally:
+        chunks.unpersist()

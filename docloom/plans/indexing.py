@@ -12,7 +12,7 @@ from docloom.functions.dates import normalise_timestamp
 from docloom.operators.chunking import chunk_documents, chunk_key
 from docloom.operators.fts import postings, token_counts
 from docloom.operators.sync import content_hash, deletion_candidates, index_outcomes, latest_each, light_diff, next_watermark, retry_documents, scan_since, update_failures
-from docloom.operators.vectors import embed
+from docloom.operators.vectors import Breaker, embed, embed_in_waves
 from docloom.sources.store import IndexStore, merged_metadata
 
 
@@ -31,10 +31,15 @@ class Report:
 MOST_SEGMENTS = 24
 
 
+def plain_chunk_rows(source: DataFrame, size: int = 2000, overlap: int = 256) -> DataFrame:
+    """Chunk rows, without vectors, of source documents (id, text)."""
+    chunks = chunk_documents(source, size, overlap, "id").withColumn("chunk_id", chunk_key(F.col("document_id"), F.col("chunk_index")))
+    return chunks.select("chunk_id", "document_id", "chunk_index", "text", "page_hint")
+
+
 def chunk_rows(source: DataFrame, embedder, size: int = 2000, overlap: int = 256) -> DataFrame:
     """Chunk rows, with vectors, of source documents (id, text)."""
-    chunks = chunk_documents(source, size, overlap, "id").withColumn("chunk_id", chunk_key(F.col("document_id"), F.col("chunk_index")))
-    return embed(chunks.select("chunk_id", "document_id", "chunk_index", "text", "page_hint"), embedder)
+    return embed(plain_chunk_rows(source, size, overlap), embedder)
 
 
 def document_rows(source: DataFrame, chunks: DataFrame, now: str) -> DataFrame:
@@ -43,7 +48,7 @@ def document_rows(source: DataFrame, chunks: DataFrame, now: str) -> DataFrame:
     return source.join(counts, "id", "left").select("id", "title", "correspondent_id", "document_type_id", "tag_ids", "created", normalise_timestamp(F.col("modified")).alias("modified"), content_hash(F.col("text")).alias("content_hash"), "page_count", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.lit(now).alias("indexed_at"))
 
 
-def run_cycle(store: IndexStore, source: DataFrame, embedder, now: str, error_tag: int | None = None, sweep: bool = True, expected: int | None = None, stream: bool = False, most_segments: int = MOST_SEGMENTS) -> Report:
+def run_cycle(store: IndexStore, source: DataFrame, embedder, now: str, error_tag: int | None = None, sweep: bool = True, expected: int | None = None, stream: bool = False, most_segments: int = MOST_SEGMENTS, breaker: Breaker | None = None) -> Report:
     """source: id, title, correspondent_id, document_type_id, tag_ids, created, modified, text.
 
     Rows since the watermark less its overlap are read again; those unchanged are left out, so a
@@ -52,6 +57,10 @@ def run_cycle(store: IndexStore, source: DataFrame, embedder, now: str, error_ta
     fails alone: it isn't written, and keeps what the index has of it. All changes of a cycle are one
     generation, which adds the changed rows; the store is compacted at most_segments.
 
+    breaker: if embedding calls keep failing the cycle stops with BreakerOpen and changes nothing, so no document counts as failed.
+
+    A document that the source no longer lists is looked up once more before it is deleted.
+
     stream: the rows come in any order and are all there is, so no watermark leaves any out, and what is
     older than the index stays out."""
     base, state, failed = store._manifest(), store.index_state(), store.read("failures")
@@ -64,7 +73,11 @@ def run_cycle(store: IndexStore, source: DataFrame, embedder, now: str, error_ta
     unchanged = change.where("change = 'unchanged'").count()
 
     fresh = todo.join(outcomes.where("outcome = 'indexed'").select("id"), "id", "left_semi")
-    folder = store.stage("chunks", chunk_rows(fresh, embedder))
+    if breaker is None:
+        folder = store.stage("chunks", chunk_rows(fresh, embedder))
+    else:
+        folder = store.new_folder("chunks")
+        embed_in_waves(plain_chunk_rows(fresh), embedder, breaker, lambda wave: store.stage("chunks", wave, folder))
     chunks = store.staged("chunks", folder)
     lost = chunks.where("embedding IS NULL").select(F.col("document_id").alias("id")).distinct().cache()
     if not lost.isEmpty():
@@ -77,7 +90,10 @@ def run_cycle(store: IndexStore, source: DataFrame, embedder, now: str, error_ta
     moved = todo.join(tried.where("outcome = 'metadata_only'").select("id"), "id", "left_semi").withColumn("indexed_at", F.lit(now)).withColumn("modified", normalise_timestamp(F.col("modified")))
     gone = tried.where("outcome = 'pruned'").select("id")
     if sweep:
-        gone = gone.unionByName(deletion_candidates(store.document_ids(), source, expected)).distinct()
+        missed = deletion_candidates(store.document_ids(), source, expected).cache()
+        if not missed.isEmpty():  # a second look at the source, for these alone
+            there = source.join(missed, "id", "left_semi").select("id")
+            gone = gone.unionByName(missed.join(there, "id", "left_anti")).distinct()
     gone = gone.cache()
     deleted = gone.count()
     watermark = next_watermark(page.select("modified"), store.meta("watermark")).first().watermark

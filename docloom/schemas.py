@@ -23,6 +23,7 @@ POSTINGS = StructType([
 FTS_STATS = StructType([StructField("chunk_id", LongType(), False), StructField("document_id", LongType(), False), StructField("dl", IntegerType(), False)])
 META = StructType([StructField("key", StringType(), False), StructField("value", StringType())])
 FAILED = StructType([StructField("document_id", LongType(), False), StructField("failures", IntegerType(), False)])
+DOOMED = StructType([StructField("id", LongType(), False), StructField("generation", LongType(), False)])
 PRICES = StructType([StructField("model", StringType(), False), StructField("input_per_mtok", DoubleType(), False), StructField("output_per_mtok", DoubleType(), False)])
 VERDICTS = StructType([StructField("document_id", LongType(), False), StructField("keep", BooleanType()), StructField("reason", StringType()), StructField("score", DoubleType())])
 

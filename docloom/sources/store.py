@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from docloom import schemas
 from docloom.operators.fts import StoredIndex, by_term, postings, token_counts
 
-TABLES = {"documents": schemas.DOCUMENTS, "chunks": schemas.CHUNKS, "taxonomy": schemas.TAXONOMY, "meta": schemas.META, "postings": schemas.POSTINGS, "fts_stats": schemas.FTS_STATS, "failures": schemas.FAILED}
+TABLES = {"documents": schemas.DOCUMENTS, "chunks": schemas.CHUNKS, "taxonomy": schemas.TAXONOMY, "meta": schemas.META, "postings": schemas.POSTINGS, "fts_stats": schemas.FTS_STATS, "failures": schemas.FAILED, "doomed": schemas.DOOMED}
 #: The key by which rows are replaced; other tables are replaced whole.
 KEYS = {"documents": "id", "chunks": "document_id", "postings": "document_id", "fts_stats": "document_id"}
 SCHEMA_VERSION = 2
@@ -82,11 +82,15 @@ class IndexStore:
             parts.append(rows.join(dead, (F.col(key) == F.col("key")) & (F.col("_n") < F.col("_m")), "left_anti").drop("_n"))
         return reduce(DataFrame.unionByName, parts)
 
-    def stage(self, table: str, df: DataFrame) -> str:
-        """Write rows of a table to a folder that no generation names yet."""
-        folder = f"{table}/{uuid.uuid4().hex}"
+    @staticmethod
+    def new_folder(table: str) -> str:
+        return f"{table}/{uuid.uuid4().hex}"
+
+    def stage(self, table: str, df: DataFrame, folder: str | None = None) -> str:
+        """Write rows of a table to a folder that no generation names yet, or add them to one of these."""
+        folder = folder or self.new_folder(table)
         rows = df.select(*[F.col(f.name).cast(f.dataType.simpleString()) for f in TABLES[table].fields])
-        (by_term(rows) if table == "postings" else rows).write.parquet(f"{self.path}/{folder}")
+        (by_term(rows) if table == "postings" else rows).write.mode("append").parquet(f"{self.path}/{folder}")
         return folder
 
     def staged(self, table: str, folder: str) -> DataFrame:
