@@ -63,13 +63,13 @@ def throttle_lockouts(spark, sf_dir):
 _NOW = "(SELECT max(ts) FROM events)"
 
 
-@query(f"""WITH k(name) AS (VALUES {', '.join(f"('{d}')" for d in a.DAEMONS)}), b AS (SELECT ['ocr', 'classifier', 'indexer'][1 + (event_id % 3)::INTEGER] AS name, ts, event_id, CASE WHEN event_id % 2 = 0 THEN 'idle' ELSE 'working' END AS detail FROM events WHERE event_id % 3 < 2 OR ts < {_NOW} - INTERVAL 1 DAY),
+@query(f"""WITH k(name) AS (VALUES {', '.join(f"('{d}')" for d in a.DAEMONS)}), b AS (SELECT ['ocr', 'classifier', 'indexer'][1 + (event_id % 3)::INTEGER] AS name, ts - INTERVAL 1 DAY * CASE WHEN event_id % 3 = 2 THEN 1 ELSE 0 END AS ts, event_id, CASE WHEN event_id % 2 = 0 THEN 'idle' ELSE 'working' END AS detail FROM events),
 l AS (SELECT name, max(ts) AS last, arg_max(detail, ts) AS detail, count(*) AS n FROM b GROUP BY name)
 SELECT k.name, CASE WHEN last IS NULL OR epoch(date_trunc('second', {_NOW}))::BIGINT - epoch(date_trunc('second', last))::BIGINT > 90 THEN 'stopped' WHEN detail = 'idle' THEN 'idle' ELSE 'running' END AS state, coalesce(detail, 'no heartbeat recorded') AS detail, coalesce(n, 0)::BIGINT AS processed_count FROM k LEFT JOIN l USING (name)""")
 def heartbeat_states(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     now = e.agg(F.max("ts").alias("now")).first().now
-    beats = e.where((F.col("event_id") % 3 < 2) | (F.col("ts") < F.lit(now).cast("timestamp_ntz") - F.expr("INTERVAL 1 DAY")))
+    beats = e.withColumn("ts", F.when(F.col("event_id") % 3 == 2, F.col("ts") - F.expr("INTERVAL 1 DAY")).otherwise(F.col("ts")))
     beats = beats.select(F.element_at(F.array(*[F.lit(d) for d in a.DAEMONS[:3]]), (F.col("event_id") % 3 + 1).cast("int")).alias("name"), "ts", F.when(F.col("event_id") % 2 == 0, "idle").otherwise("working").alias("detail"), F.lit(1).alias("processed"))
     known = spark.createDataFrame([(d,) for d in a.DAEMONS], "name string")
     return a.daemon_states(known, beats, F.lit(now).cast("timestamp_ntz"))
@@ -92,6 +92,14 @@ def api_keys(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), identity.hash_key(key).alias("hash"), identity.display_prefix(key).alias("prefix"), identity.write_scopes(identity.parse_scopes(said)).alias("scopes"))
 
 
+@query("SELECT c_custkey AS id, prefix FROM (SELECT c_custkey, substr('sk-doc-' || c_name, 1, 12) AS prefix, c_name FROM customer) WHERE c_name IN ('Customer#000000007', 'Customer#000000011')")
+def api_key_by_hash(spark, sf_dir):
+    key = F.concat(F.lit("sk-doc-"), "c_name")
+    keys = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), identity.hash_key(key).alias("hash"), identity.display_prefix(key).alias("prefix"))
+    found = [a.key_by_hash(keys, f"sk-doc-{n}") for n in ("Customer#000000007", "Customer#000000011", "customer#000000011", "")]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3]).select("id", "prefix")
+
+
 @query("SELECT s_suppkey AS id FROM supplier WHERE s_suppkey % 4 = 0 AND s_suppkey % 5 <> 0 AND s_nationkey % 2 = 0")
 def live_keys(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")

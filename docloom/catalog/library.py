@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docloom.catalog import query
 from docloom.operators import browse as b
 from docloom.operators import pages
-from docloom.operators.filters import document_filter, pipeline_filter
+from docloom.operators.filters import document_filter, pipeline_filter, stale_tags
 from docloom.schemas import SearchFilters
 from docloom.sources import readers
 from docloom.sources.driver_tables import MODEL_SQL, chunks, documents, served_index, table, taxonomy
@@ -96,13 +96,28 @@ def fetch_truncate(spark, sf_dir):
     return pages.fetch_documents(ids, documents(spark, sf_dir), 500)
 
 
-@query(f"WITH {MODEL_SQL} SELECT 'x' AS problem, 0::BIGINT AS n WHERE 1 = 0")
+@query(f"""WITH {MODEL_SQL}, c AS (SELECT * FROM chunks WHERE NOT (document_id % 19 = 4 AND chunk_index = 0)),
+d AS (SELECT id, ceil(length(text) / 2000.0)::BIGINT + CASE WHEN id % 13 = 5 THEN 1 ELSE 0 END AS chunk_count FROM docs WHERE id % 17 <> 3),
+n AS (SELECT document_id, count(*) AS n FROM c GROUP BY document_id),
+w AS (SELECT DISTINCT chunk_id FROM chunks WHERE regexp_matches(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}\\p{{M}}]')),
+p AS (SELECT 'orphan chunks' AS problem, count(*) AS n FROM c WHERE document_id NOT IN (SELECT id FROM d)
+  UNION ALL SELECT 'chunk counts', count(*) FROM d LEFT JOIN n ON n.document_id = d.id WHERE coalesce(n.n, 0) <> coalesce(chunk_count, 0)
+  UNION ALL SELECT 'orphan postings', count(*) FROM w WHERE chunk_id NOT IN (SELECT chunk_id FROM c))
+SELECT problem, n FROM p WHERE n > 0""")
 def integrity_check(spark, sf_dir):
-    c = chunks(spark, sf_dir)
-    d = documents(spark, sf_dir).join(c.groupBy(F.col("document_id").alias("id")).agg(F.count(F.lit(1)).alias("chunk_count")), "id", "left")
+    """Planted faults: documents that are gone, counts that are wrong, chunks that the index still has."""
+    c = chunks(spark, sf_dir).where("NOT (document_id % 19 = 4 AND chunk_index = 0)")
+    count = F.ceil(F.length("text") / 2000) + F.when(F.col("id") % 13 == 5, 1).otherwise(0)
+    d = documents(spark, sf_dir).where("id % 17 <> 3").withColumn("chunk_count", count)
     return b.integrity(d, c, served_index(spark, sf_dir).postings())
 
 
+@query(f"WITH {MODEL_SQL} SELECT id, array_to_string(list_filter(tag_ids, lambda x: x <> 1), ',') AS tags FROM docs WHERE list_contains(tag_ids, 1) AND list_contains(tag_ids, 2)")
+def stale_tag_repair(spark, sf_dir):
+    s = stale_tags(documents(spark, sf_dir), 1, 2, 3)
+    return s.select("id", F.array_join(F.transform("tag_ids", lambda x: x.cast("string")), ",").alias("tags"))
+
+
 @query(rf"""WITH {MODEL_SQL}, t AS (SELECT chunk_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}\p{{M}}]+')) AS term FROM chunks)
 SELECT term, count(DISTINCT chunk_id) AS chunks, count(*) AS tf FROM t GROUP BY term""")
 def postings_terms(spark, sf_dir):
@@ -110,8 +125,8 @@ def postings_terms(spark, sf_dir):
     return p.groupBy("term").agg(F.count(F.lit(1)).alias("chunks"), F.sum("tf").alias("tf"))
 
 
-@query("SELECT o_orderstatus, c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderdate >= TIMESTAMP '1995-01-01' GROUP BY ALL")
+@query("SELECT o_orderstatus, c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL")
 def dimension_join(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderdate >= TIMESTAMP_NTZ '1995-01-01'")
+    o = table(spark, sf_dir, "orders")
     j = o.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return j.groupBy("o_orderstatus", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))

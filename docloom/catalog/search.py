@@ -188,14 +188,19 @@ def judge_verdict_merge(spark, sf_dir):
 
 @query(f"{_LISTS_SQL} SELECT chunk_id, round(similarity, 6) AS similarity, row_number() OVER (ORDER BY similarity DESC NULLS LAST, chunk_id) AS pos FROM fused")
 def trace_order(spark, sf_dir):
-    from pyspark.sql import Window
-
     f = ranked_lists(spark, sf_dir).groupBy("chunk_id").agg((1 / (1 + F.min("distance"))).alias("similarity"))
-    n = F.row_number().over(Window.orderBy(F.col("similarity").desc_nulls_last(), "chunk_id")).cast("long")
-    return f.select("chunk_id", F.round("similarity", 6).alias("similarity"), n.alias("pos"))
+    shown = fusion.trace_order(f).collect()  # two short lists
+    return spark.createDataFrame([(r.chunk_id, None if r.similarity is None else round(r.similarity, 6), i + 1) for i, r in enumerate(shown)], "chunk_id long, similarity double, pos long")
+
 
+_CITED = "SELECT '{0}' AS reply, document_id FROM top WHERE document_id IN (SELECT document_id FROM {0}) OR NOT EXISTS (SELECT 1 FROM {0} JOIN top USING (document_id))"
 
-@query(f"{_LISTS_SQL}, cited AS (SELECT document_id FROM top WHERE document_id < 0) SELECT document_id FROM top WHERE document_id IN (SELECT document_id FROM cited) OR NOT EXISTS (SELECT 1 FROM cited)")
+
+@query(f"""{_LISTS_SQL}, nothing AS (SELECT document_id FROM top WHERE document_id < 0), strangers AS (SELECT document_id - 1000000 AS document_id FROM top), even AS (SELECT document_id FROM top WHERE document_id % 2 = 0),
+best AS (SELECT document_id FROM top WHERE best = (SELECT max(best) FROM top)) {' UNION ALL '.join(_CITED.format(x) for x in ('nothing', 'strangers', 'even', 'best'))}""")
 def cited_or_all(spark, sf_dir):
-    top = fusion.top_documents(fused_chunks(spark, sf_dir), 10).select("document_id")
-    return fusion.kept_or_all(top, top.where("document_id < 0"))
+    """Replies that cite nothing, only documents that weren't asked about, some, and the best."""
+    held = fusion.top_documents(fused_chunks(spark, sf_dir), 10)
+    top, most = held.select("document_id"), held.agg(F.max("best").alias("best"))
+    cited = {"nothing": top.where("document_id < 0"), "strangers": top.select((F.col("document_id") - 1_000_000).alias("document_id")), "even": top.where("document_id % 2 = 0"), "best": held.join(F.broadcast(most), "best").select("document_id")}
+    return reduce(DataFrame.unionByName, [fusion.kept_or_all(top, c).select(F.lit(k).alias("reply"), "document_id") for k, c in cited.items()])

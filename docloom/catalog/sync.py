@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.catalog import query
 from docloom.operators import chunking, pages, sync
+from docloom.operators.chunking import chunk_key
 from docloom.sources.driver_tables import MODEL_SQL, documents, table
-from docloom.sources.store import merged_metadata
+from docloom.sources.store import IndexStore, merged_metadata
+from docloom.sources.workspace import new_dir
 
 _STATE = """state AS (
   SELECT CASE WHEN id % 13 = 0 THEN id + 10000000 ELSE id END AS id, CASE WHEN id % 7 = 0 THEN '2019-01-01T00:00:00+00:00' ELSE modified END AS modified,
@@ -69,6 +70,13 @@ def failed_update(spark, sf_dir):
     return sync.update_failures(failed, outcomes)
 
 
+@query(f"WITH {MODEL_SQL} SELECT f.document_id, d.title, f.failures FROM (SELECT CASE WHEN id % 6 = 0 THEN -id - 1 ELSE id END AS document_id, (id % 4 + 1)::INTEGER AS failures FROM docs WHERE id % 3 = 0) f LEFT JOIN docs d ON d.id = f.document_id")
+def failed_with_titles(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    failed = d.where("id % 3 = 0").select(F.when(F.col("id") % 6 == 0, -F.col("id") - 1).otherwise(F.col("id")).alias("document_id"), (F.col("id") % 4 + 1).cast("int").alias("failures"))
+    return sync.failed_titles(failed, d)
+
+
 @query(f"WITH {MODEL_SQL} SELECT id FROM docs WHERE id % 3 = 0 AND id % 2 <> 0")
 def failed_retry(spark, sf_dir):
     d = documents(spark, sf_dir).select("id")
@@ -76,12 +84,26 @@ def failed_retry(spark, sf_dir):
     return sync.retry_documents(failed, d.where("id % 2 = 0"), d)
 
 
-@query(f"""WITH {MODEL_SQL}, old AS (SELECT id, title, 'old' AS origin FROM docs WHERE id % 3 <> 0), new AS (SELECT id, '* ' || title AS title, 'new' AS origin FROM docs WHERE id % 2 = 0)
-SELECT * FROM old WHERE id NOT IN (SELECT id FROM new) UNION ALL SELECT * FROM new""")
+@query(f"""WITH {MODEL_SQL}, m AS (SELECT id, id % 2 = 0 AS new, text FROM docs WHERE id % 3 <> 0 OR id % 2 = 0),
+k AS (SELECT id, new, CASE WHEN new THEN '* ' || text ELSE text END AS text FROM m)
+SELECT id, CASE WHEN new THEN 'new' ELSE 'old' END AS origin, ceil(length(text) / 2000.0)::BIGINT AS chunks, coalesce(length(text), 0)::BIGINT AS chars,
+  len(regexp_extract_all(strip_accents(lower(text)), '(^|[^\\p{{L}}\\p{{N}}\\p{{M}}])the([^\\p{{L}}\\p{{N}}\\p{{M}}]|$)')) > 0 AS has_the FROM k""")
 def upsert_merge(spark, sf_dir):
-    d = documents(spark, sf_dir).select("id", "title")
-    old, new = d.where("id % 3 <> 0").withColumn("origin", F.lit("old")), d.where("id % 2 = 0").select("id", F.concat(F.lit("* "), "title").alias("title"), F.lit("new").alias("origin"))
-    return old.join(new.select("id"), "id", "left_anti").unionByName(new)
+    """A store that gets two thirds of the documents and then every second one anew: each has the chunks and postings of its last version alone."""
+    store = IndexStore(spark, new_dir(spark, "upserts"))
+    d = documents(spark, sf_dir)
+
+    def put(rows, origin):
+        now = F.lit("2026-01-01T00:00:00+00:00")
+        cut = chunking.hard_cap(rows, 2000, "id").select(chunk_key(F.col("document_id"), F.col("chunk_index")).alias("chunk_id"), "document_id", "chunk_index", "text", F.lit(None).cast("int").alias("page_hint"), F.lit(None).cast("array<float>").alias("embedding"))
+        meta = rows.select("id", F.lit(origin).alias("title"), "correspondent_id", "document_type_id", "tag_ids", "created", "modified", sync.content_hash(F.col("text")).alias("content_hash"), "page_count", F.lit(None).cast("int").alias("chunk_count"), now.alias("indexed_at"))
+        store.upsert(meta, cut)
+
+    put(d.where("id % 3 <> 0"), "old")
+    put(d.where("id % 2 = 0").withColumn("text", F.concat(F.lit("* "), "text")), "new")
+    held = store.read("chunks").groupBy(F.col("document_id").alias("id")).agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text")).alias("chars"))
+    the = store.read("postings").where("term = 'the'").select(F.col("document_id").alias("id"), F.lit(True).alias("_the")).distinct()
+    return store.read("documents").join(held, "id", "left").join(the, "id", "left").select("id", F.col("title").alias("origin"), F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("chars", F.lit(0)).alias("chars"), F.coalesce("_the", F.lit(False)).alias("has_the"))
 
 
 @query(f"""WITH {MODEL_SQL} SELECT id, CASE WHEN id % 5 = 0 THEN 'renamed' ELSE title END AS title, CASE WHEN id % 5 = 0 THEN NULL ELSE correspondent_id END AS correspondent_id,

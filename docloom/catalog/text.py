@@ -92,7 +92,8 @@ def tag_filters(spark, sf_dir):
 
 
 @query("""WITH d AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'I''m sorry, I can''t assist with that. ' || text WHEN 1 THEN text || ' [name Redacted here]' WHEN 2 THEN 'CHATGPT REFUSED TO TRANSCRIBE' ELSE text END AS t FROM documents)
-SELECT doc_id, regexp_matches(lower(t), '\\[[^\\]]*redacted[^\\]]*\\]') AS redacted, doc_id % 4 = 2 OR (doc_id % 4 = 0 AND length(t) < 200) AS refusal, doc_id % 4 < 3 AS error FROM d""")
+SELECT doc_id, regexp_matches(lower(t), '\\[[^\\]]*redacted[^\\]]*\\]') AS redacted, contains(lower(t), 'chatgpt refused to transcribe') OR (length(t) < 200 AND says) AS refusal, regexp_matches(lower(t), '\\[[^\\]]*redacted[^\\]]*\\]') OR says AS error
+FROM (SELECT *, contains(lower(t), 'assist with that') OR contains(lower(t), 'i cannot assist') OR contains(lower(t), 'help with transcrib') OR contains(lower(t), 'chatgpt refused to transcribe') AS says FROM d)""")
 def quality_gate(spark, sf_dir):
     k = F.col("doc_id") % 4
     t = F.when(k == 0, F.concat(F.lit("I'm sorry, I can't assist with that. "), "text")).when(k == 1, F.concat("text", F.lit(" [name Redacted here]"))).when(k == 2, "CHATGPT REFUSED TO TRANSCRIBE").otherwise(F.col("text"))
@@ -100,7 +101,8 @@ def quality_gate(spark, sf_dir):
     return d.select("doc_id", text.contains_redacted(F.col("t")).alias("redacted"), text.is_model_refusal(F.col("t")).alias("refusal"), text.is_error_content(F.col("t")).alias("error"))
 
 
-@query("SELECT p_partkey, lower(p_type) IN ('document', 'other') OR p_type = '' AS generic FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Document' WHEN 1 THEN '' WHEN 2 THEN 'OTHER' ELSE p_type END AS p_type FROM part)")
+@query("""SELECT p_partkey, t IS NULL OR trim(lower(t)) IN ('', 'document', 'documents', 'general', 'misc', 'miscellaneous', 'n/a', 'na', 'none', 'other', 'unknown', 'unspecified') AS generic
+FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN ' Document ' WHEN 1 THEN '' WHEN 2 THEN 'OTHER' ELSE p_type END AS t FROM part)""")
 def generic_types(spark, sf_dir):
     k = F.col("p_partkey") % 4
     kind = F.when(k == 0, " Document ").when(k == 1, "").when(k == 2, "OTHER").otherwise(F.col("p_type"))
@@ -114,12 +116,17 @@ def top_names(spark, sf_dir):
     return names.top_names(p, 10)
 
 
-@query(f"""WITH q AS (SELECT o_orderkey AS k, CASE o_orderkey % 6 WHEN 0 THEN 'gas bill' WHEN 1 THEN 'gas Bill' WHEN 2 THEN 'last invoice' WHEN 3 THEN 'a b c d' WHEN 4 THEN 'ref #1' ELSE 'Boiler warranty' END AS q FROM orders)
-SELECT k, k % 6 IN (0, 5) AS trivial FROM q""")
+@query("""WITH q AS (SELECT doc_id AS k, CASE doc_id % 4 WHEN 0 THEN source WHEN 1 THEN monthname(DATE '2020-01-01' + doc_id::INTEGER % 1461) || ' ' || lang ELSE array_to_string(string_split(replace(text, chr(10), ' '), ' ')[1:doc_id % 5 + 1], ' ') END AS q FROM documents),
+w AS (SELECT k, q, list_filter(string_split_regex(q, '\\s+'), lambda x: x <> '') AS w FROM q)
+SELECT k, len(w) BETWEEN 1 AND 3 AND NOT regexp_matches(q, '[\\p{Nd}@#/£$€%]') AND len(list_filter(w[2:], lambda x: regexp_matches(x, '^\\p{Lu}'))) = 0
+  AND len(list_intersect(list_transform(w, lambda x: lower(x)), ['last', 'since', 'ago', 'year', 'years', 'month', 'months', 'week', 'weeks', 'day', 'days', 'yesterday', 'today', 'recent', 'past', 'before', 'after', 'during', 'between',
+    'january', 'february', 'march', 'april', 'may', 'june', 'july', 'august', 'september', 'october', 'november', 'december'])) = 0 AS trivial FROM w""")
 def trivial_query(spark, sf_dir):
-    said = F.element_at(F.array(*[F.lit(x) for x in ("gas bill", "gas Bill", "last invoice", "a b c d", "ref #1", "Boiler warranty")]), (F.col("o_orderkey") % 6 + 1).cast("int"))
-    q = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), said.alias("q"))
-    return q.select("k", text.is_trivial_query(F.col("q")).alias("trivial"))
+    k = F.col("doc_id")
+    words = F.array_join(F.slice(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), F.lit(1), (k % 5 + 1).cast("int")), " ")
+    month = F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), k.cast("int") % 1461), "MMMM")
+    said = F.when(k % 4 == 0, F.col("source")).when(k % 4 == 1, F.concat_ws(" ", month, "lang")).otherwise(words)
+    return table(spark, sf_dir, "documents").select(k.alias("k"), text.is_trivial_query(said).alias("trivial"))
 
 
 @query("""WITH l AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS line FROM documents)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docloom.functions.text import casefold
+
 SCOPES = ("api", "mcp", "admin")
 
 
@@ -36,7 +38,7 @@ def should_touch(last_used: Column, now: Column, seconds: int = 60) -> Column:
 
 def attempt_key(client_ip: Column, username: Column) -> Column:
     """struct(client_ip, username) that login attempts are counted by: no address is empty, and case doesn't matter."""
-    return F.struct(F.coalesce(client_ip, F.lit("")).alias("client_ip"), F.replace(F.lower(username), F.lit("ß"), F.lit("ss")).alias("username"))
+    return F.struct(F.coalesce(client_ip, F.lit("")).alias("client_ip"), casefold(username).alias("username"))
 
 
 def valid_username(name: Column) -> Column:

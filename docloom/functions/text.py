@@ -196,6 +196,19 @@ def fold_compatible(text: Column) -> Column:
     return F.lower(F.when(text.rlike(r"[^\x00-\x7F]"), composed).otherwise(text))
 
 
+#: Lower-case characters that folding changes: to one character, and to several.
+_FOLDS = {c: c.casefold() for c in _all_chars() if c.lower() == c != c.casefold()}
+_FOLD_ONE, _FOLD_SEVERAL = {c: f for c, f in _FOLDS.items() if len(f) == 1}, {c: f for c, f in _FOLDS.items() if len(f) > 1}
+
+
+def casefold(text: Column) -> Column:
+    """Case folding, as names are compared; a final sigma folds like any other."""
+    folded = F.translate(F.lower(text), "".join(_FOLD_ONE), "".join(_FOLD_ONE.values()))
+    table = F.from_json(F.lit(json.dumps(_FOLD_SEVERAL)), "map<string,string>")
+    several = F.array_join(F.transform(F.split(folded, ""), lambda c: F.coalesce(table[c], c)), "")
+    return F.when(folded.rlike(f"[{_ranges(_FOLD_SEVERAL)}]"), several).otherwise(folded)
+
+
 def page_ranges(pages: Column) -> Column:
     """A sorted array of distinct page numbers as `1-3, 7`."""
     p = F.array_sort(F.array_distinct(pages))

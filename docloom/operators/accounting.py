@@ -138,6 +138,13 @@ def keys_of(keys: DataFrame, owner_id: int | None = None) -> DataFrame:
     return (keys if owner_id is None else keys.where(F.col("owner_id") == owner_id)).orderBy("id")
 
 
+def key_by_hash(keys: DataFrame, presented: str) -> DataFrame:
+    """The key whose stored hash (column hash) is that of the presented one, whatever its state."""
+    from docloom.functions.identity import hash_key
+
+    return keys.where(F.col("hash") == hash_key(F.lit(presented)))
+
+
 def live_keys(keys: DataFrame, users: DataFrame, now: Column) -> DataFrame:
     """Keys that may be used: not revoked, not expired, of an active owner. keys: id, owner_id, revoked, expires_at; users: id, active."""
     from docloom.functions.identity import is_expired

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.dates import next_day
@@ -44,6 +44,15 @@ def pipeline_filter(pre: int, post: int | None, processing: int | None) -> Colum
     return conjunction([F.array_contains("tag_ids", F.lit(pre).cast("long")), *without])
 
 
+def stale_tags(documents: DataFrame, pre: int, post: int | None, processing: int | None) -> DataFrame:
+    """id, tag_ids for documents that are done but still tagged as waiting: without the tags for waiting and running."""
+    if post is None:
+        return documents.select("id", "tag_ids").limit(0)
+    drop = F.array(*[F.lit(t).cast("long") for t in (pre, processing) if t is not None])
+    has = lambda t: F.array_contains("tag_ids", F.lit(t).cast("long"))
+    return documents.where(has(pre) & has(post)).select("id", F.array_except("tag_ids", drop).alias("tag_ids"))
+
+
 def indexable(content: Column, error_tag: int | None) -> Column:
     """Some text, and no error tag."""
     some = F.coalesce(content.rlike(r"(?U)\S"), F.lit(False))

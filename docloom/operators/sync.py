@@ -76,6 +76,12 @@ def update_failures(failed: DataFrame, outcomes: DataFrame, most: int = MOST_FAI
     return both.where(F.col("_tried").isNull() | F.col("_failed")).select("document_id", count.cast("int").alias("failures"), (F.col("_tried").isNotNull() & (count >= most)).alias("given_up"))
 
 
+def failed_titles(failed: DataFrame, documents: DataFrame) -> DataFrame:
+    """document_id, title, failures of failing documents by id; one that was never indexed has no title."""
+    titles = documents.select(F.col("id").alias("document_id"), "title")
+    return failed.select("document_id", "failures").join(titles, "document_id", "left").select("document_id", "title", "failures").orderBy("document_id")
+
+
 def retry_documents(failed: DataFrame, page: DataFrame, source: DataFrame) -> DataFrame:
     """Source rows of failed documents that the page didn't bring; those gone from the source don't come back."""
     open_ = failed.join(page.select(F.col("id").alias("document_id")), "document_id", "left_anti")

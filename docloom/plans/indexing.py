@@ -64,11 +64,11 @@ def run_cycle(store: IndexStore, source: DataFrame, embedder, now: str, error_ta
     stream: the rows come in any order and are all there is, so no watermark leaves any out, and what is
     older than the index stays out."""
     base, state, failed = store._manifest(), store.index_state(), store.read("failures")
-    page = source if stream else scan_since(source, store.meta("watermark"))
+    rows = source if stream else scan_since(source, store.meta("watermark"))
+    page = latest_each(rows.select("id", "modified")).cache()  # light: texts are read below, of new and changed documents only
     retried = retry_documents(failed, page, source)
-    page = latest_each(page).cache()
-    change = light_diff(page.select("id", "modified"), state, stream).cache()
-    todo = page.join(change.where("change <> 'unchanged'").select("id"), "id", "left_semi").unionByName(latest_each(retried)).cache()
+    change = light_diff(page, state, stream).cache()
+    todo = latest_each(rows.join(change.where("change <> 'unchanged'").select("id"), "id", "left_semi").unionByName(retried)).cache()
     outcomes = index_outcomes(todo.select("id", "text", "tag_ids"), state, error_tag).cache()
     unchanged = change.where("change = 'unchanged'").count()
 

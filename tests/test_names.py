@@ -57,3 +57,14 @@ def test_driver_and_column_forms_of_matching_agree(spark):
     for g in set(guesses):
         want = match_name(g, entries)
         assert (got[g].id, got[g].method) == (want.id, want.method), (g, got[g], want)
+
+
+def test_casefold_of_every_code_point(spark):
+    from docloom.functions.identity import attempt_key
+    from docloom.functions.text import casefold
+
+    texts = [f"A{chr(c)}b" for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000] + ["ΜΆΪΟΣ", "STRASSE ẞß", "ŉ ǰ ΐ ﬁ", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", casefold(F.col("t")).alias("f")).collect()
+    wrong = [(r.t, r.f, r.t.casefold()) for r in rows if r.f != r.t.casefold() and unicodedata.category(r.t[1:2] or "x") != "Cn"]
+    assert not wrong, (len(wrong), wrong[:5])
+    assert spark.createDataFrame([(None, "STRAẞE")], "ip string, u string").select(attempt_key(F.col("ip"), F.col("u")).alias("k")).first().k.asDict() == {"client_ip": "", "username": "strasse"}
