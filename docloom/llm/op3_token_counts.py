@@ -3,7 +3,9 @@
 A leaf holds the text and token count of a run of pieces, a node the sums below it. An edit goes
 down by character sums to the leaves that it touches; these and one leaf of context on either side
 are split and counted anew, the context to the right growing until the new split meets an old
-boundary, and the sums above are updated. The rest of the text is never read again.
+boundary, and the sums above are updated. The rest of the text isn't read. A leaf holds at most twice LEAF_PIECES
+pieces: after an insertion that would overfill it more leaves take its place, and after a deletion that empties many
+fewer do, so that a later edit rereads a few leaves wherever it is. Only the sums are built again then.
 
 The split looks at most one character past a piece and never back, so a piece that ends two or more
 characters before an edit stays as it is, and from a boundary that both splits share they agree.
@@ -39,14 +41,18 @@ class TokenTree:
 
     def __init__(self, leaves: Sequence[tuple[str, int]], count) -> None:
         self.count = count  # pieces -> token counts
-        self.texts = [t for t, _ in leaves] or [""]
-        self.size = 1 << max(0, len(self.texts) - 1).bit_length()
+        self.read = 0
+        self._build([t for t, _ in leaves] or [""], [n for _, n in leaves] or [0])
+
+    def _build(self, texts: list[str], tokens: list[int]) -> None:
+        """The sums over leaves; no text is read."""
+        self.texts = texts
+        self.size = 1 << max(0, len(texts) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
-        for i, (t, n) in enumerate(leaves):
-            self.chars[self.size + i], self.tokens[self.size + i] = len(t), n
+        self.chars[self.size : self.size + len(texts)] = map(len, texts)
+        self.tokens[self.size : self.size + len(texts)] = tokens
         for k in range(self.size - 1, 0, -1):
             self.chars[k], self.tokens[k] = self.chars[2 * k] + self.chars[2 * k + 1], self.tokens[2 * k] + self.tokens[2 * k + 1]
-        self.read = 0
 
     def total(self) -> int:
         return self.tokens[1]
@@ -117,10 +123,18 @@ class TokenTree:
         return lo, hi, pieces
 
     def update(self, lo: int, hi: int, pieces: list[str], counts: Sequence[int]) -> None:
-        """Deal new pieces and their counts to leaves and update the sums above."""
-        share = -(-len(pieces) // (hi - lo + 1)) or 1
-        for j, leaf in enumerate(range(lo, hi + 1)):
-            self._set(leaf, "".join(pieces[j * share : (j + 1) * share]), sum(counts[j * share : (j + 1) * share]))
+        """Deal new pieces and their counts to leaves and update the sums above. Where they would overfill the leaves or leave most of them
+        empty, as many leaves as they need take the place of these, and the sums are built again."""
+        held, need = hi - lo + 1, max(1, -(-len(pieces) // LEAF_PIECES))
+        if len(pieces) <= 2 * LEAF_PIECES * held and held <= 4 * need + 4:
+            share = -(-len(pieces) // held) or 1
+            for j, leaf in enumerate(range(lo, hi + 1)):
+                self._set(leaf, "".join(pieces[j * share : (j + 1) * share]), sum(counts[j * share : (j + 1) * share]))
+            return
+        cuts = range(0, need * LEAF_PIECES, LEAF_PIECES)
+        texts = ["".join(pieces[i : i + LEAF_PIECES]) for i in cuts]
+        tokens = self.tokens[self.size : self.size + len(self.texts)]
+        self._build(self.texts[:lo] + texts + self.texts[hi + 1 :], tokens[:lo] + [sum(counts[i : i + LEAF_PIECES]) for i in cuts] + tokens[hi + 1 :])
 
 
 def piece_counts(pieces: Sequence[str], enc: Encoder) -> list[int]:

@@ -75,6 +75,24 @@ def test_random_edits_keep_text_and_count():
             assert tree.text() == text and tree.total() == len(enc.tokenizer.encode(text, add_special_tokens=False).ids)
 
 
+def test_edits_after_a_large_insertion_reread_a_few_leaves():
+    rng, enc = random.Random(6), encoder(default_path())
+    text = "It's been words and more. " * 400
+    (tree,) = op3.trees([text], enc)
+    large = "".join(rng.choice(["alpha", " beta's", " 12", "\n\n", " x", ", "]) for _ in range(120_000))
+    edits = [(4000, 0, large)] + [(4000 + rng.randrange(len(large)), rng.randrange(6), rng.choice(["", "q", " zz", "'s"])) for _ in range(100)]
+    edits += [(3000, len(large), ""), *[(3000 + rng.randrange(20), 1, "y ") for _ in range(20)], (0, 10**9, ""), (0, 0, large), (5, 2, "end")]
+    for i, e in enumerate(edits):
+        before = tree.read
+        tree.edit(*e)
+        text = text[: e[0]] + e[2] + text[e[0] + e[1] :]
+        if len(e[2]) < 100 and e[1] < 100:
+            assert tree.read - before <= 4 * 2 * op3.LEAF_PIECES * 8, (i, tree.read - before)
+        if i % 20 == 0 or i > 98:
+            assert tree.text() == text and tree.length() == len(text)
+    assert tree.total() == len(enc.tokenizer.encode(text, add_special_tokens=False).ids)
+
+
 # op4
 
 URLS = ["http://com/", "https://WWW.Example.com/en/x?q#f", "https://example.com/en/", "https://a.example.com/de/", "ftp://x.net/fr/a", "http://net/es/", "http://notcom/", "//x.com/a", "", None, "http://x.com?y/", "http://x.net#/es/", "a://b://com/", "http://x.com/"]
