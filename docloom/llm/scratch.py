@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 from operator import add
 
@@ -74,6 +76,18 @@ class Scratch:
                 _delete(self.spark, path)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Rows of an Arrow batch for the jobs that run inside, where rows are large: a task's Python and the JVM beside it each hold a batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 #: A side may be broadcast up to so many rows and, by the sizes of its values, so many bytes.
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 24 << 20
