@@ -2,15 +2,17 @@
 
 Each page is parsed leniently into elements; menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles and reader comments are recognised by tag, role and class words. Words that
-article markup uses as well (header, form, share and the like) count only as whole classes; in
-compounds such as `section-header` the host's pages decide: what holds the same text on all of the
-host's pages that have it, three or more, is no article text.
+article markup uses as well (header, form, share and the like) count only as whole classes; class names that
+tell a layout (`has-sidebar`, `no-comments`, `subscribe-page`) say nothing about the element that has them.
 
-The page's container is the deepest element that holds SHARE of its remaining text outside links,
-and its generalised path (tags with classes, digits removed) is the page's vote. Votes are counted
-per host in Spark; then every page is parsed again and the elements on its host's winning path are
-taken. A page where that path leaves out any text, links aside, gives the deepest element that holds
-all of it.
+A page votes for the generalised path (tags with classes, digits removed) of its container, the deepest element that
+holds SHARE of its remaining text outside links. If class words leave next to nothing of a page, its vote is for the container of what they
+hide. It also reports the text of each part beside the way to its container, of each class inside it, and of each
+element with a doubtful class. Votes and reports are counted per host in Spark, and decide both ways when every page is parsed again:
+
+* The winning path of AGREE pages or more is article text, whatever its class words say.
+* A part that has the same text on all of the host's pages that have it, AGREE or more and not all copies of one, is none, whatever its words don't say.
+* Parts beside the winning path that are mostly links go; other text stays there unless it is such a part: an article may lie in several containers.
 
 Blocks are what block elements delimit; character references are decoded, white space inside a
 block becomes one space, and blocks are joined by a newline in page order.
@@ -40,8 +42,10 @@ from docloom.llm.scratch import Scratch, broadcast_if_small
 
 SHARE = 0.85
 DEPTH = 512
-#: Pages of a host that must agree on a doubtful element.
+#: Pages of a host that must agree.
 AGREE = 3
+#: Share of a page's text that class words must leave; below it they are in doubt.
+LEFT = 0.1
 _REST = r"<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*(?:>|\Z)|"
 _TAG = re.compile(_REST + r"""(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|(\Z))|(/?)([a-zA-Z][^\s/>]*)([^<>]*)>)""", re.S)
 _SIMPLE_TAG = re.compile(_REST + r"(/?)([a-zA-Z][^\s/>]*)([^<>]*)>)", re.S)
@@ -59,6 +63,9 @@ _SKIPPED_WORDS = frozenset("nav navbar navigation menu footer sidebar ad ads adv
 _DOUBTFUL_WORDS = frozenset("header aside banner promo notice notices alert overlay related recommended share sharing social respond reply replies search form widget toolbar skip".split())
 #: Parts that leave the meaning of a doubtful word as it is.
 _PLACE_WORDS = frozenset("site page top bottom left right bar box block area main global wrap wrapper container inner outer post posts list links buttons button contact search email widget notice social share form system".split())
+#: Parts that make a class name a statement on the layout, and kinds of pages as its last part.
+_STATE_WORDS = frozenset("has have no not with without is enable enabled enables disable disabled show shows hide hides open closed allow allows support supports".split())
+_PAGE_WORDS = frozenset("page template layout theme".split())
 _SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 _KEPT_TAGS = frozenset(("html", "body", "article", "main"))
 #: A start tag ends open elements of these kinds, up to the nearest of the stops.
@@ -70,33 +77,55 @@ _STOPS_P = frozenset("html body div article section main td th li table form asi
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
+def _worded(value: str) -> tuple[bool, bool]:
+    """Whether class words make an element no article text, and whether they leave it to the host."""
+    doubt = False
+    for name in value.split():
+        parts = _WORD.findall(name)
+        words = set(parts)
+        if len(parts) > 1 and (words & _STATE_WORDS or parts[-1] in _PAGE_WORDS):
+            continue
+        if words & _SKIPPED_WORDS or words & _DOUBTFUL_WORDS and words <= _DOUBTFUL_WORDS | _PLACE_WORDS:
+            return True, False
+        doubt = doubt or bool(words & _DOUBTFUL_WORDS)
+    return False, doubt
+
+
+#: How an element is left out: not at all, by its class words or those of one around it, by tag, role or attribute.
+_STAYS, _BY_WORDS, _GOES = 0, 1, 2
+
+
 class Page:
-    """Elements in page order: parent, tag, generalised label, whether skipped and whether in a link; those that the host's pages decide on; and text chunks: element, block, raw text."""
+    """Elements in page order: parent, tag, generalised label, how they are left out by themselves (own) and with what is around them (state), and whether in a link; those that
+    the host's pages decide on; and text chunks: element, block, raw text."""
 
     def __init__(self, html: str) -> None:
-        self.parent, self.tag, self.label, self.skip, self.link = [-1], ["#"], [""], [False], [False]
+        self.parent, self.tag, self.label, self.link = [-1], ["#"], [""], [False]
+        self.own, self.state, self.within = [_STAYS], [_STAYS], [False]
         self.doubtful: list[int] = []
         self.chunks: list[tuple[int, int, str]] = []
         self._parse(html)
+        self.skip = [x > 0 for x in self.state]
 
     def _open(self, parent: int, tag: str, attributes: str) -> int:
-        skip, label, doubt = self.skip[parent] or tag in _SKIPPED, tag, False
+        within = self.within[parent]
+        heading = tag == "header" and within  # of the article, not of the page
+        own, label, doubt = _GOES if tag in _SKIPPED and not heading else _STAYS, tag, heading
+        above = self.state[parent]
         if attributes and not attributes.isspace():
             classes: list[str] = []
             for m in _CLASS.finditer(attributes):
                 name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
                 if name == "hidden" or name == "aria-hidden" and value == "true":
-                    skip = True
+                    own = _GOES
                 elif name == "role":
-                    skip = skip or value in _SKIPPED_ROLES
+                    own = _GOES if value in _SKIPPED_ROLES else own
                 elif name != "aria-hidden":
-                    if tag not in _KEPT_TAGS and not skip:
-                        words = _WORD.findall(value)
-                        skip = not _SKIPPED_WORDS.isdisjoint(words)
-                        if not skip and not _DOUBTFUL_WORDS.isdisjoint(words):
-                            parts = [set(_WORD.findall(c)) for c in value.split()]
-                            skip = any(x & _DOUBTFUL_WORDS and x <= _DOUBTFUL_WORDS | _PLACE_WORDS for x in parts)
-                            doubt = not skip
+                    if tag not in _KEPT_TAGS and max(own, above) < _GOES:
+                        gone, unsure = _worded(value)
+                        if gone and heading and "header" in _WORD.findall(value) and _SKIPPED_WORDS.isdisjoint(_WORD.findall(value)):
+                            gone, unsure = False, True
+                        own, doubt = max(own, _BY_WORDS if gone else _STAYS), doubt or unsure
                     if name == "class":
                         classes += value.split()
             if classes:
@@ -104,9 +133,11 @@ class Page:
         self.parent.append(parent)
         self.tag.append(tag)
         self.label.append(label)
-        self.skip.append(skip)
+        self.own.append(own)
+        self.state.append(max(own, above))
+        self.within.append(within or tag in ("article", "main"))
         self.link.append(self.link[parent] or tag == "a")
-        if doubt and not skip:
+        if doubt and not self.state[-1]:
             self.doubtful.append(len(self.tag) - 1)
         return len(self.tag) - 1
 
@@ -179,11 +210,11 @@ class Page:
             if rest:
                 self.chunks.append((stack[-1], block, rest))
 
-    def sizes(self) -> list[int]:
-        """Characters of counted text in each element; marks between links don't count."""
+    def sizes(self, most: int = _STAYS, links: bool = False) -> list[int]:
+        """Characters of counted text in each element that isn't left out by more than `most`; text in links and marks between them don't count, or with `links` text in links alone."""
         size = [0] * len(self.tag)
         for node, _, text in self.chunks:
-            if not self.skip[node] and not self.link[node] and _LETTER.search(unescape(text) if "&" in text else text):
+            if self.state[node] <= most and self.link[node] == links and _LETTER.search(unescape(text) if "&" in text else text):
                 size[node] += len(text.strip())
         for i in range(len(size) - 1, 0, -1):
             size[self.parent[i]] += size[i]
@@ -198,6 +229,29 @@ class Page:
                     best = i
         return best
 
+    def vote(self) -> tuple[int, int]:
+        """The element that the page votes for, and its counted text."""
+        size, all_ = self.sizes(), self.sizes(_BY_WORDS)
+        if size[0] < LEFT * all_[0]:
+            size = all_
+        node = self.container(size)
+        return node, size[node]
+
+    def parts(self, container: int) -> dict[str, list[int]]:
+        """Elements that the host's pages judge, by path: beside the way to the container, children of it that have a class, and doubtful ones."""
+        way, node = set(), container
+        while node >= 0:
+            way.add(node)
+            node = self.parent[node]
+        found: dict[str, list[int]] = {}
+        doubtful = set(self.doubtful)
+        for i in range(1, len(self.tag)):
+            if i in way or self.skip[i]:
+                continue
+            if i in doubtful or self.parent[i] in way and (self.parent[i] != container or "." in self.label[i]):
+                found.setdefault(self.path(i), []).append(i)
+        return found
+
     def path(self, node: int) -> str:
         labels = []
         while node > 0:
@@ -206,16 +260,38 @@ class Page:
         return "/".join(reversed(labels))
 
     def drop(self, paths: Sequence[int]) -> None:
-        """Skip the doubtful elements whose path has one of these hashes."""
-        if not self.doubtful or not paths:
-            return
-        gone, held = {i for i in self.doubtful if path_hash(self.path(i)) in paths}, self.skip
-        for i in range(1, len(held)):
-            held[i] = held[i] or i in gone or held[self.parent[i]]
+        """Leave out the elements whose path has one of these hashes."""
+        if paths:
+            hashes, gone = [0] * len(self.tag), set(paths)
+            for i in range(1, len(self.tag)):
+                hashes[i] = step(hashes[self.parent[i]], self.label[i])
+                self.skip[i] = self.skip[i] or hashes[i] in gone or self.skip[self.parent[i]]
+
+    def keep(self, path: str) -> None:
+        """The elements on this path and around it aren't left out by their class words; those inside are by theirs."""
+        hashes, on, h = [0] * len(self.tag), set(), 0
+        for label in path.split("/"):
+            h = step(h, label)
+            on.add(h)
+        for i in range(1, len(self.tag)):
+            hashes[i] = step(hashes[self.parent[i]], self.label[i])
+            own = _STAYS if self.own[i] == _BY_WORDS and hashes[i] in on else self.own[i]
+            self.state[i] = max(own, self.state[self.parent[i]])
+            self.skip[i] = self.state[i] > 0
 
-    def doubts(self) -> list[tuple[str, int]]:
-        """Path and hash of the text of each doubtful element."""
-        return [(self.path(i), xxhash.xxh64_intdigest(self.text([i])) >> 1) for i in self.doubtful]
+    def links_beside(self, nodes: Sequence[int]) -> None:
+        """Leave out the largest elements outside of these, and not around them, that are mostly links."""
+        near = set(nodes)
+        for n in nodes:
+            while n >= 0:
+                near.add(n)
+                n = self.parent[n]
+        inside, text, links = set(nodes), self.sizes(), self.sizes(links=True)
+        for i in range(1, len(self.tag)):
+            if self.parent[i] in inside:
+                inside.add(i)
+            elif i not in near:
+                self.skip[i] = self.skip[i] or self.skip[self.parent[i]] or links[i] > text[i]
 
     def on_path(self, path: int) -> list[int]:
         """Elements whose path has this hash, outermost first."""
@@ -260,30 +336,38 @@ def path_hash(path: str) -> int:
 def extract(html: str, winning: str | None = None, dropped: Sequence[int] = ()) -> str:
     """The main text of one page, given its host's winning path and the hashes of its paths that hold no article text."""
     page = Page(html)
+    if winning:
+        page.keep(winning)
     page.drop(dropped)
+    nodes = page.on_path(path_hash(winning)) if winning else []
+    if nodes:
+        page.links_beside(nodes)
+    for i, gone in enumerate(page.skip):
+        page.state[i] = max(page.state[i], _GOES) if gone else page.state[i]
     size = page.sizes()
-    if winning:
-        nodes = page.on_path(path_hash(winning))
-        if nodes and sum(size[n] for n in nodes) == size[0]:
-            return page.text(nodes)
+    if nodes and sum(size[n] for n in nodes) == size[0]:
+        return page.text(nodes)
     return page.text([page.container(size, 1)])
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, html -> a row for the page's container (no text) and one for each doubtful element (with its text's hash)."""
+    """host, html -> a row for the page's container (no text) and one for each path of its parts (with their text's hash)."""
     for b in batches:
         rows: list[tuple] = []
         for host, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             if html:
                 page = Page(html)
-                size = page.sizes()
-                node = page.container(size)
+                node, chars = page.vote()
                 if node:
-                    rows.append((host, page.path(node), size[node], None, None))
-                rows += [(host, path, 0, path_hash(path) - (1 << 63), text) for path, text in page.doubts()]
-        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-        columns = zip(*rows, strict=True) if rows else [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["host", "path", "chars", "doubt", "text"])
+                    rows.append((host, page.path(node), chars, None, None, None))
+                parts = page.parts(node)
+                whole = xxhash.xxh64_intdigest(page.text([0])) >> 1 if parts else 0
+                for path, nodes in parts.items():
+                    if text := page.text(nodes):
+                        rows.append((host, path, 0, path_hash(path) - (1 << 63), xxhash.xxh64_intdigest(text) >> 1, whole))
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        columns = zip(*rows, strict=True) if rows else [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["host", "path", "chars", "part", "text", "whole"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,18 +382,18 @@ def _host(url: Column) -> Column:
 
 
 def winning_paths(pages: DataFrame) -> DataFrame:
-    """host, path, pages that voted for it, and dropped: hashes of doubtful paths with one text on AGREE pages or more. Votes are summed before they move, so a host of any size is a few rows a task."""
+    """host, path, pages that voted for it, and dropped: hashes of the paths of parts with one text on AGREE pages or more. Votes are summed before they move, so a host of any size is a few rows a task."""
     named = pages.select(_host(F.col("url")).alias("host"), "html").where("host <> ''")
-    votes = Scratch(pages.sparkSession).keep(named.mapInArrow(trimmed(_votes), "host string, path string, chars long, doubt long, text long").groupBy("host", "path", "doubt").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.min("text").alias("low"), F.max("text").alias("high")))
-    by = votes.where("doubt IS NULL").groupBy("host").agg(F.min(F.struct((-F.col("n")).alias("n"), (-F.col("chars")).alias("chars"), "path")).alias("w"))
-    same = votes.where(F.col("doubt").isNotNull() & (F.col("n") >= AGREE) & (F.col("low") == F.col("high"))).groupBy("host").agg(F.sort_array(F.collect_set("doubt")).alias("dropped"))
+    votes = Scratch(pages.sparkSession).keep(named.mapInArrow(trimmed(_votes), "host string, path string, chars long, part long, text long, whole long").groupBy("host", "path", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.min("text").alias("low"), F.max("text").alias("high"), (F.min("whole") != F.max("whole")).alias("differ")))
+    by = votes.where("part IS NULL").groupBy("host").agg(F.min(F.struct((-F.col("n")).alias("n"), (-F.col("chars")).alias("chars"), "path")).alias("w"))
+    same = votes.where(F.col("part").isNotNull() & (F.col("n") >= AGREE) & (F.col("low") == F.col("high")) & F.col("differ")).groupBy("host").agg(F.sort_array(F.collect_set("part")).alias("dropped"))
     return by.join(same, "host", "full").select("host", F.col("w.path").alias("path"), (-F.col("w.n")).alias("votes"), "dropped")
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page; pages: page_id, url, html."""
     winners = Scratch(pages.sparkSession).keep(winning_paths(pages))
-    held = broadcast_if_small(winners.select(F.col("host").alias("_host"), "path", "dropped"), 100_000)
+    held = broadcast_if_small(winners.select(F.col("host").alias("_host"), F.when(F.col("votes") >= AGREE, F.col("path")).alias("path"), "dropped"), 100_000)
     rows = pages.select("page_id", "url", "html").join(held, _host(F.col("url")) == F.col("_host"), "left").select("page_id", "url", "html", "path", "dropped")
     return rows.mapInArrow(trimmed(_texts), "page_id long, url string, text string, n_chars long")
 

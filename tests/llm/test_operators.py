@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -300,6 +300,83 @@ def test_pages_made_of_known_parts(spark):
     assert got == texts
 
 
+@pytest.mark.parametrize("box", ["main has-sidebar", "entry no-comments", "post subscribe-page", "with-ads layout", "comments-open"])
+def test_layout_classes_say_nothing(box):
+    page = f"<html><body><nav>menu</nav><div class='{box}'><p>The words of the article.</p><div class='comment-list'>mine!</div><div class='sidebar-left'>s</div></div></body></html>"
+    assert op6.extract(page) == "The words of the article."
+
+
+def test_heading_of_the_article_and_of_the_page():
+    page = "<body><header>Site</header><article><header><h1>Title</h1><p class=lead>Lead</p></header><p>Body</p><footer>by me</footer></article></body>"
+    assert op6.extract(page) == "Title\nLead\nBody"
+
+
+def voted_pages(n=4):
+    """Hosts whose pages need their votes, and what is article text with and without them."""
+    say = lambda h, i, k=12: " ".join(f"{h}{i}w{j}" for j in range(k))
+    rows, want, alone = [], {}, {}
+
+    def add(host, i, html, text, without):
+        rows.append((len(rows), f"https://{host}/{i}", html))
+        want[len(rows) - 1], alone[len(rows) - 1] = text, without
+
+    for i in range(n):
+        t = say("a", i)
+        add("listed.org", i, f"<body><div class=article-body><p>{t}</p></div><div class=most-read><p>Ten stories you missed yesterday</p></div></body>", t, f"{t}\nTen stories you missed yesterday")
+        t = say("n", i)
+        add("letters.org", i, f"<body><div class=newsletter><p>{t}</p><div class=sidebar>{say('s', i, 3)}</div></div></body>", t, "")
+        t, u = say("p", i), say("q", i, 5)
+        add("two.org", i, f"<body><div class=text><p>{t}</p></div><div class=more><p>{u}</p></div></body>", f"{t}\n{u}", f"{t}\n{u}")
+        t = say("l", i, 40)
+        links = "".join(f"<a href=/{j}>{say('x', i, 2)}</a> und so " for j in range(5))
+        add("links.org", i, f"<body><div class=text><p>{t}</p></div><div class=teaser>{links}</div></body>", t, None)
+        t = say("c", 0)  # copies of one page prove nothing
+        add("copies.org", i, f"<body><div class=text><p class=intro>{t}</p><p>x y z</p></div></body>", f"{t}\nx y z", f"{t}\nx y z")
+    t = say("z", 0)
+    add("small.org", 0, f"<body><div class=article-body><p>{t}</p></div><div class=most-read><p>Ten stories you missed yesterday</p></div></body>", f"{t}\nTen stories you missed yesterday", f"{t}\nTen stories you missed yesterday")
+    return rows, want, alone
+
+
+def test_votes_decide_both_ways(spark):
+    rows, want, alone = voted_pages()
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in op6.extract_main_text(pages).collect()}
+    assert got == want
+    ignored = {i: op6.extract(html) for i, _, html in rows}
+    assert ignored != want and all(ignored[i] == x for i, x in alone.items() if x is not None)
+
+
+def test_votes_are_those_of_a_plain_count(spark):
+    rng = random.Random(3)
+    rows = voted_pages(5)[0]
+    for h in range(3):
+        for i in range(7):
+            rows.append((1000 + 100 * h + i, f"http://h{h}.net/{i}", made_page(rng, h, i)[0]))
+    votes, chars, parts = defaultdict(Counter), Counter(), defaultdict(lambda: defaultdict(list))
+    for _, url, html in rows:
+        host, page = url.split("/")[2], op6.Page(html)
+        node, n = page.vote()
+        votes[host][page.path(node)] += 1
+        chars[host, page.path(node)] += n
+        for path, nodes in page.parts(node).items():
+            if text := page.text(nodes):
+                parts[host][path].append((text, page.text([0])))
+    got = {r.host: r for r in op6.winning_paths(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()}
+    assert got.keys() == votes.keys()
+    for host, r in got.items():
+        assert (r.path, r.votes) == min(((p, n) for p, n in votes[host].items()), key=lambda x: (-x[1], -chars[host, x[0]], x[0]))
+        fixed = {op6.path_hash(p) - (1 << 63) for p, seen in parts[host].items() if len(seen) >= op6.AGREE and len({t for t, _ in seen}) == 1 and len({w for _, w in seen}) > 1}
+        assert set(r.dropped or ()) == fixed
+
+
+def test_ties_of_votes(spark):
+    rows = [(i, f"http://t.org/{i}", f"<body><div class={c}><p>{'word ' * n}</p></div></body>") for i, (c, n) in enumerate([("b", 5), ("a", 5), ("c", 9)])]
+    (w,) = op6.winning_paths(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert (w.path, w.votes) == ("body/div.c", 1)
+    (w,) = op6.winning_paths(spark.createDataFrame(rows[:2], "page_id long, url string, html string")).collect()
+    assert w.path == "body/div.a"
+
+
 @pytest.mark.parametrize("part", ["<a ", '<a "', '<a =">" ', "<b>", "</i>", "<b><h1></h1>", "<!", "<a href='", "<li>", "<p title='", "&", "<div>"])
 def test_broken_markup_takes_time_in_proportion(part):
     import time
