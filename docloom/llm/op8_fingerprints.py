@@ -13,6 +13,7 @@ come last; an empty table gives an empty result; other columns of the input aren
 from __future__ import annotations
 
 import hashlib
+import math
 import unicodedata
 from collections.abc import Iterator
 
@@ -28,6 +29,8 @@ from docloom.llm.scratch import Scratch, broadcast_if_small
 
 #: Documents of one bucket that are compared in one part.
 PART = 256
+#: Text of one range, about.
+RANGE_BYTES = 1 << 27
 
 
 def canonical(text: str) -> str:
@@ -118,15 +121,20 @@ def fingerprint_documents(docs: DataFrame, partitions: int | None = None) -> Dat
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next; docs: doc_id, text."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] if partitions is None else 0
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / RANGE_BYTES))
     order = F.col("doc_id").asc_nulls_last()
     scratch = Scratch(spark)
     ranged = docs.repartitionByRange(n, order).sortWithinPartitions(order, "text")
     found = scratch.keep(ranged.mapInArrow(trimmed(_in_order), f"{_SCHEMA}, part int, first string, last string"))
     ends = found.where(F.col("part").isNotNull())  # a row for each range
+    # the numbers of the ranges that have rows are put in order by themselves; texts move to their neighbours by a join
     w = Window.orderBy("part")
-    following = F.coalesce(F.lead("first").over(w), F.first("first").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    closed = ends.select("doc_id", F.col("last").alias("text"), following.alias("following")).mapInArrow(trimmed(_ends), _SCHEMA)
+    first_of_all = F.first("part").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    neighbours = scratch.keep(ends.select("part", F.coalesce(F.lead("part").over(w), first_of_all).alias("next")))
+    firsts = ends.select(F.col("part").alias("next"), F.col("first").alias("following"))
+    pairs = ends.select("part", "doc_id", F.col("last").alias("text")).join(neighbours, "part").join(firsts, "next")
+    closed = pairs.select("doc_id", "text", "following").mapInArrow(trimmed(_ends), _SCHEMA)
     out = scratch.keep(found.where(F.col("part").isNull()).select(*_COLUMNS).unionByName(closed))
     scratch.drop(found)
     other = broadcast_if_small(collisions(docs, out.select("doc_id", "fingerprint")))
