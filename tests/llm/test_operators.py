@@ -130,6 +130,33 @@ def test_cascade_is_exact_and_has_levels(spark):
     assert wrong.count() == 0
 
 
+@pytest.mark.parametrize(("plan", "level", "shards"), [(1 << 16, 1 << 10, 32), (64, 1 << 11, 32), (64, 1 << 20, 32)])
+def test_long_lists_are_cut_into_shards(spark, monkeypatch, plan, level, shards):
+    monkeypatch.setattr(op4, "PLAN_BYTES", plan)
+    monkeypatch.setattr(op4, "MAX_LEVEL_BYTES", level)
+    monkeypatch.setattr(op4, "MAX_SHARDS", shards)
+    listed = spark.range(6000).select(F.concat(F.lit("k"), "id").alias("key"))
+    universe = spark.range(40_000).select(F.concat(F.lit("k"), "id").alias("key"))
+    c = op4.build_cascade(listed, universe)
+    assert (len(c.shards) > 1) == (level < 1 << 20) and bool(c.rows) == (plan == 64)
+    wrong = c.attach(universe).withColumn("i", F.substring("key", 2, 9).cast("int")).where(c.test(F.col("key")) != (F.col("i") < 6000))
+    assert wrong.count() == 0
+
+
+@pytest.mark.parametrize("shards", [0, 32])
+def test_rules_beyond_all_filters(spark, monkeypatch, shards):
+    monkeypatch.setattr(op4, "PLAN_BYTES", 8)
+    monkeypatch.setattr(op4, "MAX_LEVEL_BYTES", 64)
+    monkeypatch.setattr(op4, "MAX_SHARDS", shards)
+    rules = [*op4.RULES, *[("block", f"h{i}.org", f"/{i}/") for i in range(300)], *[("allow", f"h{i}.org", f"/{i}/x") for i in range(0, 300, 7)]]
+    urls = URLS + [f"https://a.h{i}.org/{j}/{x}" for i in range(0, 300, 13) for j in (i, i + 1) for x in ("", "x", "y")]
+    pages = spark.createDataFrame([(i, u, "own") for i, u in enumerate(urls)], "page_id long, url string, host string").repartition(3)
+    got = op4.filter_urls(pages, rules).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        assert (r.host, r.path, r.rule, r.verdict) == by_rules(r.url, rules)
+
+
 # op5
 
 
@@ -452,6 +479,14 @@ def test_long_documents_are_preferred(spark):
 # op8
 
 
+def test_next_documents_do_not_depend_on_ranges(spark):
+    rows = [(i * 3 % 101, f"text {i * 3 % 101} " * (1 + i % 5)) for i in range(101)] + [(5, "again"), (None, "without"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = Counter(map(tuple, op8.fingerprint_documents(docs, 1).collect()))
+    for n in (2, 7, 300):  # of 300 ranges many are empty
+        assert Counter(map(tuple, op8.fingerprint_documents(docs, n).collect())) == want
+
+
 def test_fingerprints(spark):
     texts = ["One  Two", "one two", "ONE\ttwo ", "ﬁne", "fine", "é", "e\u0301", "", None, "x" * 99]
     rows = [(3 * i, t, "own") for i, t in enumerate(texts)] + [(None, "last", "own")]
