@@ -19,9 +19,9 @@ blocks as well.
 
 In a leaf, classes are joined by estimates of their similarity to groups of candidates; equal groups
 of several leaves are taken once, with their full sets, and their pairs are compared in order of
-estimates until all are in one component or no pair of different components is left. So no pair is
-dropped, and copies aren't expanded into all pairs. Estimates only pass on pairs: those under an
-estimate of threshold - DEVIATIONS deviations are left out.
+estimates until all are in one component or no pair of different components is left, so copies aren't expanded
+into all pairs. Pairs with an estimate more than DEVIATIONS deviations under the threshold aren't compared: besides
+the chance of missing a pair in all trees that loses one pair at the threshold in about 30,000, and fewer above it.
 
 Defined results: null or empty texts have 0 shingles and no link; fewer than k words are one
 shingle; texts of any length are read whole, in pieces; rows that share a doc_id are one document:

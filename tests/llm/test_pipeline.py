@@ -3,6 +3,7 @@
 import glob
 import os
 import random
+from collections import Counter, defaultdict
 
 import duckdb
 import pytest
@@ -16,7 +17,62 @@ SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def test_stages(spark):
+def plain_mix(docs, tmp_path):
+    """How often each document is taken, by the mix's SQL over these documents."""
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = con.sql(registry.oracle_sql()["op7_source_mix"])
+    at = [found.columns.index(c) for c in ("doc_id", "taken", "size")]
+    return Counter({r[at[0]]: r[at[1]] // r[at[2]] for r in found.fetchall() if r[at[1]]})
+
+
+def sequences(rows):
+    """How many sequences there are, after a look at their order: without gaps, and none too long."""
+    by = defaultdict(list)
+    for _, _, _, length, _, sequence, offset in rows:
+        by[sequence].append((offset, length))
+    for places in by.values():
+        end = 0
+        for offset, length in sorted(places):
+            assert offset == end
+            end += length
+        assert end <= 2048
+    return len(by), sum(r[3] for r in rows)
+
+
+def plain_packing(texts):
+    """Best fit decreasing, looking through all open sequences."""
+    from tokenizers import Tokenizer
+
+    from docloom.llm.tokens import default_path
+
+    plain = Tokenizer.from_file(default_path())
+    pieces, total = [], 0
+    for t in texts:
+        n = len(plain.encode(t or "", add_special_tokens=False).ids) + 1
+        total += n
+        pieces += [2048] * (n // 2048) + [n % 2048] * bool(n % 2048)
+    rooms = []
+    for n in sorted(pieces, reverse=True):
+        fits = [r for r in rooms if r >= n]
+        room = min(fits) if fits else 2048
+        if fits:
+            rooms.remove(room)
+        rooms.append(room - n)
+    return len(rooms), total
+
+
+def test_quality_on_more_documents(spark):
+    """Most documents labelled bad go, and nearly none labelled good."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    kept = {r.doc_id for r in corpus_pipeline.quality(spark, docs, "/root/testdata/sf0.01").select("doc_id").collect()}
+    good, bad = [i for i, q in labels.items() if q == 1], [i for i, q in labels.items() if q == 0]
+    assert sum(i not in kept for i in good) <= 0.01 * len(good) and sum(i not in kept for i in bad) >= 0.7 * len(bad)
+
+
+def test_stages(spark, tmp_path):
     scratch = Scratch(spark)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
@@ -40,9 +96,11 @@ def test_stages(spark):
             assert {r.doc_id for r in after} == before.keys() and len(untouched) >= len(after) - 2 * len(shared) - 5
             assert all(r.n_chars == len(r.text) for r in after)
         elif name == "mix":
-            assert {r.doc_id for r in after} <= before.keys() and all(r.text == before[r.doc_id].text for r in after)
+            assert Counter(r.doc_id for r in after) == plain_mix(spark.createDataFrame(list(before.values()), docs.schema), tmp_path)
+            assert all(r.text == before[r.doc_id].text for r in after)
+            copies = Counter(r.doc_id for r in after)
         else:
-            assert sum(r.length for r in after) > 0 and {r.doc_id for r in after} == before.keys()
+            assert sequences([tuple(r) for r in after]) == plain_packing([before[i].text for i, n in copies.items() for _ in range(n)])
         before = {r.doc_id: r for r in after}
     assert corpus_pipeline.ORACLE_SQL is None
 
