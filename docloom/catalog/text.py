@@ -37,7 +37,8 @@ def name_keys(spark, sf_dir):
 _GUESSES = ("English", "ENGLISH", "english-", "Unused Ltd", "ltd unused", "The Unused of Ltd", "src1", "SRC-1", "Frenchish", "src1 src2", "the", "toxic good", "Good")
 
 
-@query(f"""WITH {MODEL_SQL}, g(guess) AS (VALUES {', '.join(f"('{g}')" for g in _GUESSES)}),
+@query(f"""WITH {MODEL_SQL}, g AS (SELECT * FROM (VALUES {', '.join(f"('{g}')" for g in _GUESSES)}) v(guess)
+  UNION SELECT CASE doc_id % 5 WHEN 0 THEN upper(source) WHEN 1 THEN 'The ' || source WHEN 2 THEN replace(source, 'src', 'src-') WHEN 3 THEN source || ' ' || lang ELSE substr(text, 1, 12) END FROM documents),
 k AS (SELECT guess, regexp_replace(lower(guess), '[^a-z0-9]', '', 'g') AS key, list_sort(list_distinct(list_filter(string_split_regex(lower(guess), '[^a-z0-9]+'), lambda x: x NOT IN ('', 'of', 'the', 'and', 'for', 'to')))) AS tok FROM g),
 e AS (SELECT id, name, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS key, list_sort(list_distinct(list_filter(string_split_regex(lower(name), '[^a-z0-9]+'), lambda x: x NOT IN ('', 'of', 'the', 'and', 'for', 'to')))) AS tok FROM taxonomy),
 j AS (SELECT k.guess, min(CASE WHEN e.name = k.guess THEN e.id END) AS exact, min(CASE WHEN e.key = k.key THEN e.id END) AS norm, count(*) FILTER (WHERE len(k.tok) > 0 AND e.tok = k.tok) AS n, min(CASE WHEN len(k.tok) > 0 AND e.tok = k.tok THEN e.id END) AS loose,
@@ -47,7 +48,10 @@ near AS (SELECT guess, string_agg(name, '|' ORDER BY n DESC, id) AS near FROM (S
 m AS (SELECT j.*, near.near, CASE WHEN exact IS NOT NULL THEN 'exact' WHEN norm IS NOT NULL THEN 'normalised' WHEN n = 1 THEN 'loose' WHEN n > 1 THEN 'ambiguous' WHEN near.near IS NOT NULL THEN 'near_miss' ELSE 'none' END AS method FROM j LEFT JOIN near USING (guess))
 SELECT guess, coalesce(exact, norm, CASE WHEN n = 1 THEN loose END) AS id, method, CASE method WHEN 'ambiguous' THEN equal WHEN 'near_miss' THEN near ELSE '' END AS candidates FROM m""")
 def name_match(spark, sf_dir):
-    g = spark.createDataFrame([(x,) for x in _GUESSES], "guess string")
+    """Fixed guesses, and guesses made of the documents' sources and texts."""
+    k = F.col("doc_id") % 5
+    said = F.when(k == 0, F.upper("source")).when(k == 1, F.concat(F.lit("The "), "source")).when(k == 2, F.replace("source", F.lit("src"), F.lit("src-"))).when(k == 3, F.concat_ws(" ", "source", "lang")).otherwise(F.substring("text", 1, 12))
+    g = table(spark, sf_dir, "documents").select(said.alias("guess")).unionByName(spark.createDataFrame([(x,) for x in _GUESSES], "guess string"))
     return names.match_names(g, taxonomy(spark, sf_dir)).select("guess", "id", "method", F.array_join("candidates", "|").alias("candidates"))
 
 
