@@ -24,5 +24,5 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    for name in ("search", "library", "sync", "text", "accounts"):
+    for name in ("search", "library", "sync", "text", "accounts", "operations"):
         import_module(f"docloom.catalog.{name}")
