@@ -12,6 +12,7 @@ Spark can write.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 import uuid
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom import schemas
-from docloom.operators.fts import StoredIndex, by_term, postings, token_counts
+from docloom.operators.fts import BlockIndex, StoredIndex, build_blocks, by_term, postings, stored_blocks, token_counts
 
 TABLES = {"documents": schemas.DOCUMENTS, "chunks": schemas.CHUNKS, "taxonomy": schemas.TAXONOMY, "meta": schemas.META, "postings": schemas.POSTINGS, "fts_stats": schemas.FTS_STATS, "failures": schemas.FAILED, "doomed": schemas.DOOMED}
 #: The key by which rows are replaced; other tables are replaced whole.
@@ -156,6 +157,22 @@ class IndexStore:
         """The full-text index."""
         return StoredIndex(self.read("postings"), self.read("fts_stats"))
 
+    def _blocks_of(self, manifest: dict) -> str:
+        """The folder of the block index over the manifest's chunks, whatever else has changed."""
+        state = json.dumps(manifest["tables"].get("chunks", {}), sort_keys=True)
+        return f"blocks/{hashlib.sha256(state.encode()).hexdigest()[:32]}"
+
+    def search_index(self) -> BlockIndex:
+        """The full-text index in blocks, for many searches over one state: built by the first that asks after chunks have changed, and published by a rename."""
+        manifest = self._manifest()
+        folder = self._blocks_of(manifest)
+        if not self._fs.exists(self._at(folder)):
+            part = f"{folder}.{uuid.uuid4().hex}"
+            build_blocks(self.read("chunks").select("chunk_id", "document_id", "text"), f"{self.path}/{part}")
+            if self._fs.exists(self._at(folder)) or not self._fs.rename(self._at(part), self._at(folder)):
+                self._fs.delete(self._at(part), True)  # another was faster
+        return stored_blocks(self.spark, f"{self.path}/{folder}")
+
     # writes
 
     def write_meta(self, **values: str | None) -> int:
@@ -223,9 +240,10 @@ class IndexStore:
 
     def vacuum(self, older_than: float = DAY) -> None:
         """Delete folders that the current generation doesn't name, but for those of the last `older_than` seconds: a writer or reader may be at work on them."""
-        tables = self._manifest()["tables"].values()
-        keep = {f for t in tables for parts in (t["segments"], t["dead"]) for f, _ in parts}
-        for table in (*TABLES, "dead"):
+        manifest = self._manifest()
+        tables = manifest["tables"].values()
+        keep = {f for t in tables for parts in (t["segments"], t["dead"]) for f, _ in parts} | {self._blocks_of(manifest)}
+        for table in (*TABLES, "dead", "blocks"):
             if self._fs.exists(self._at(table)):
                 for s in self._fs.listStatus(self._at(table)):
                     if f"{table}/{s.getPath().getName()}" not in keep and time.time() - s.getModificationTime() / 1000 >= older_than:

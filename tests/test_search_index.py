@@ -133,3 +133,27 @@ def test_batch_never_crosses_tables(spark):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
     with pytest.raises(Exception, match="dimensions"):
         vectors.vector_search_batch(chunks, None, spark.createDataFrame([(1, [1.0])], "query_id long, embedding array<float>"), 3).collect()
+
+
+def test_store_builds_its_block_index_once_a_state(spark, tmp_path):
+    from docloom.plans.indexing import run_cycle
+    from docloom.sources.store import IndexStore
+
+    source = "id long, title string, correspondent_id long, document_type_id long, tag_ids array<long>, created string, modified string, text string"
+    rows = [(i, f"t{i}", 1, 2, [3], "2024-01-01", f"2024-02-{i + 1:02d}T00:00:00+00:00", f"alpha word{i} " + "beta " * i) for i in range(9)]
+    vectors_of = lambda texts: [[1.0] for _ in texts]
+    store = IndexStore(spark, f"file://{tmp_path}/store")
+    run_cycle(store, spark.createDataFrame(rows[:6], source), vectors_of, "now", sweep=False)
+    folders = lambda: sorted(p.name for p in (tmp_path / "store" / "blocks").iterdir())
+    assert best(fts.top_chunks(store.search_index(), "beta", 3), 3) == best(fts.posting_scores(store.index().postings, store.index().lengths, "beta"), 3)
+    first = folders()
+    store.write_meta(other="value")
+    store.search_index()
+    assert folders() == first and len(first) == 1
+    run_cycle(store, spark.createDataFrame(rows, source), vectors_of, "now", sweep=False)
+    store.delete(spark.createDataFrame([(8,)], "id long"))
+    got = best(fts.top_chunks(store.search_index(), "beta", 20), 20)
+    assert got == best(fts.scores(store.index(), "beta"), 20) and len(got) == 7
+    assert len(folders()) == 2
+    store.vacuum(older_than=0)
+    assert len(folders()) == 1 and best(fts.top_chunks(store.search_index(), "beta", 20), 20) == got
