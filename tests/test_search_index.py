@@ -33,7 +33,7 @@ def best(frame, k):
 
 
 @pytest.mark.parametrize("query", ["w0", "w0 w1", "w399", "w0 w0", "w5 w7 w11", "w1-w2", "nowhere", "w0 nowhere", "", "...", "W0"])
-@pytest.mark.parametrize("k", [1, 10, 300])
+@pytest.mark.parametrize("k", [1, 50])
 def test_pruned_top_is_the_whole_ranking_cut(corpus, query, k):
     chunks, index = corpus
     want = best(fts.keyword_scores(chunks.fillna("", "text"), query), k)
