@@ -1,10 +1,9 @@
-"""License scans, source audit and spelling variants against plain computations."""
+"""License scans, source audit and spelling variants against plain computations; test_pipeline.py holds the queries against their SQL."""
 
 import re
 import zlib
 from collections import Counter, defaultdict
 
-import duckdb
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -14,25 +13,6 @@ from docloom.llm import op12_source_audit as op12
 from docloom.llm import op13_spelling_variants as op13
 from docloom.llm.license_rules import BASE, CONFIDENCE, Rule, rules, spaced
 
-SF = "/root/testdata/sf0.001"
-
-
-def against_sql(spark, query, sql, names=("documents",)):
-    con = duckdb.connect()
-    for n in names:
-        con.sql(f"CREATE VIEW {n} AS SELECT * FROM '{SF}/{n}.parquet'")
-    got = query(spark, SF)
-    want = con.sql(sql)
-    assert sorted(want.columns) == sorted(got.columns)
-    order = sorted(got.columns)
-    at = [want.columns.index(c) for c in order]
-    assert Counter(tuple(r[c] for c in order) for r in got.collect()) == Counter(tuple(r[i] for i in at) for r in want.fetchall())
-
-
-@pytest.mark.parametrize("m, name", [(op11, "op11_license_scan"), (op12, "op12_source_audit"), (op13, "op13_spelling_variants")])
-def test_sql(spark, m, name):
-    against_sql(spark, getattr(m, name), m.SQL)
-
 
 # --- op11
 
