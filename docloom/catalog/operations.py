@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom.catalog import query
 from docloom.functions import dates, identity, tags
 from docloom.operators import accounting, sync, vectors
+from docloom.operators.classify import PipelineTags, screen, settle
 from docloom.plans.sweep import run_sweep
 from docloom.sources import readers
 from docloom.sources.driver_tables import MODEL_SQL, chunks, documents, table, taxonomy
@@ -145,3 +146,20 @@ def failure_events(spark, sf_dir):
     """Every event is a try at its user's document, which succeeds for purchases: the keyed state's events, replayed."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("document_id"), F.col("event_id").cast("double").alias("ts"), F.when(F.col("event_type") == "purchase", "indexed").alias("outcome"))
     return failures.failure_log(e)
+
+
+@query("""WITH d AS (SELECT doc_id AS id, CASE doc_id % 11 WHEN 0 THEN '  ' WHEN 1 THEN 'I''m sorry, I can''t assist with that.' ELSE text END AS text,
+    list_filter([1, 50, CASE WHEN doc_id % 3 = 0 THEN 2 END, CASE WHEN doc_id % 7 = 0 THEN 3 END, CASE WHEN doc_id % 13 = 0 THEN 9 END], lambda x: x IS NOT NULL) AS tags, doc_id % 5 AS k FROM documents),
+s AS (SELECT *, CASE WHEN list_contains(tags, 9) THEN 'errored' WHEN list_contains(tags, 3) THEN 'claimed' WHEN trim(text) = '' THEN 'requeued' WHEN contains(text, 'can''t assist') THEN 'refused'
+    WHEN k = 0 THEN 'empty' WHEN k = 1 THEN 'empty' WHEN k = 2 THEN 'generic' WHEN k = 3 THEN 'generic' ELSE 'classified' END AS state FROM d)
+SELECT id, state, array_to_string(CASE state WHEN 'claimed' THEN tags WHEN 'requeued' THEN [50, 5] WHEN 'classified' THEN [50, 4, 60 + id % 3] ELSE [50, 9] END, ',') AS tags FROM s""")
+def classification_states(spark, sf_dir):
+    """Documents in every state, with replies that are missing, empty, vague and good. Tags: 1 waiting, 3 running, 4 done, 5 and 2 waiting for and done with transcription, 9 error."""
+    n, t = F.col("doc_id"), PipelineTags(ocr_waiting=5, waiting=1, done=4, running=3, ocr_done=2, error=9)
+    held = F.array_compact(F.array(F.lit(1), F.lit(50), F.when(n % 3 == 0, 2), F.when(n % 7 == 0, 3), F.when(n % 13 == 0, 9)).cast("array<bigint>"))
+    text = F.when(n % 11 == 0, "  ").when(n % 11 == 1, "I'm sorry, I can't assist with that.").otherwise(F.col("text"))
+    d = table(spark, sf_dir, "documents")
+    said = F.when(n % 5 == 1, '{"title": " ", "tags": []}').when(n % 5 == 2, '{"title": "x", "document_type": "Document"}').when(n % 5 == 3, '{"title": "x"}').when(n % 5 == 4, 'Here: {"title": "x", "document_type": "Invoice"}')
+    replies = d.where("doc_id % 5 > 0").select(n.alias("id"), said.alias("reply"), F.array((60 + n % 3).cast("long")).alias("tag_ids"))
+    done = settle(screen(d.select(n.alias("id"), text.alias("text"), held.alias("tag_ids")), t), replies, t)
+    return done.select("id", "state", F.array_join(F.col("tag_ids").cast("array<string>"), ",").alias("tags"))

@@ -25,6 +25,7 @@ class Report:
     deleted: int
     watermark: str | None
     failed: int = 0
+    given_up: int = 0
 
 
 #: Segments of a table at which a cycle compacts the store.
@@ -100,7 +101,9 @@ def run_cycle(store: IndexStore, source: DataFrame, embedder, now: str, error_ta
     if stream and (known := store.meta("watermark")) and known > watermark:
         watermark = known
     meta = store.read("meta").where("key NOT IN ('watermark', 'last_reconcile_at')").unionByName(store.spark.createDataFrame([("watermark", watermark), ("last_reconcile_at", now)], schemas.META))
-    failures = update_failures(failed.join(gone.select(F.col("id").alias("document_id")), "document_id", "left_anti"), tried).where("NOT given_up").select("document_id", "failures")  # given up: tried again when its content changes, from one
+    counted = update_failures(failed.join(gone.select(F.col("id").alias("document_id")), "document_id", "left_anti"), tried).cache()
+    given_up = counted.where("given_up").count()  # tried again when their content changes, and counted from one
+    failures = counted.where("NOT given_up").select("document_id", "failures")
     replaced = {"meta": store.stage("meta", meta), "failures": store.stage("failures", failures)}
     added, dead = {}, {}
     if by.get("indexed") or by.get("metadata_only") or deleted:
@@ -112,8 +115,8 @@ def run_cycle(store: IndexStore, source: DataFrame, embedder, now: str, error_ta
     if by.get("indexed"):
         added |= {"chunks": folder, "postings": store.stage("postings", postings(chunks)), "fts_stats": store.stage("fts_stats", token_counts(chunks))}
     store.publish(base, replaced, added, dead)
-    for held in (page, change, todo, outcomes, lost, tried, gone):
+    for held in (page, change, todo, outcomes, lost, tried, gone, counted):
         held.unpersist()
     if store.segments() > most_segments:
         store.compact()
-    return Report(by.get("indexed", 0), by.get("metadata_only", 0), by.get("skipped", 0) + by.get("pruned", 0), unchanged, deleted, watermark, by.get(None, 0))
+    return Report(by.get("indexed", 0), by.get("metadata_only", 0), by.get("skipped", 0) + by.get("pruned", 0), unchanged, deleted, watermark, by.get(None, 0), given_up)

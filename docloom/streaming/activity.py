@@ -54,7 +54,7 @@ class ActivityLog:
 
     def record_sync(self, report, started_at: str, name: str = "indexer") -> None:  # noqa: ANN001
         """A cycle of the index from its report: documents that fail are counted, the cycle itself is well."""
-        summary = {k: getattr(report, k) for k in ("indexed", "metadata_only", "skipped", "failed", "deleted")}
+        summary = {k: getattr(report, k) for k in ("indexed", "metadata_only", "skipped", "failed", "given_up", "deleted")}
         detail = f"indexed {report.indexed}, {report.failed} failed" if report.failed else f"indexed {report.indexed} document(s)"
         self.record("sync", started_at, self.clock(), True, summary, detail)
         self.beat(name, detail, report.indexed)

@@ -401,7 +401,7 @@ def test_failed_documents_are_tried_again_and_given_up(spark, tmp_path):
     left = lambda: {r.document_id: r.failures for r in store.read("failures").collect()}
     for n in range(1, sync.MOST_FAILURES + 1):
         report = run_cycle(store, source, failing, "now")
-        assert report.failed == 1 and left() == ({2: n} if n < sync.MOST_FAILURES else {}) and sorted(ids(store.document_ids(), "id")) == [1, 3]
+        assert report.failed == 1 and report.given_up == (n == sync.MOST_FAILURES) and left() == ({2: n} if n < sync.MOST_FAILURES else {}) and sorted(ids(store.document_ids(), "id")) == [1, 3]
     assert run_cycle(store, source, failing, "now").failed == 0 and left() == {}  # given up, until its text changes
     again = spark.createDataFrame([rows[0], source_row(2, "2024-06-20T18:00:00+00:00", "poison again"), rows[2]], SOURCE)
     assert run_cycle(store, again, failing, "now").failed == 1 and left() == {2: 1}  # counted from one
