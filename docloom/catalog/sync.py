@@ -178,7 +178,14 @@ def page_ranges(spark, sf_dir):
     return o.select("customer", shown(F.col("p")).alias("pages"))
 
 
-@query()
+@query("""WITH p AS (SELECT conv_id AS document_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS page, count(*) OVER (PARTITION BY conv_id) AS n, text, role FROM conversations),
+s AS (SELECT document_id, n, page, role, CASE WHEN n > 1 THEN '--- Page ' || page || ' ---' || chr(10) || text ELSE text END AS section FROM p),
+b AS (SELECT document_id, max(n) AS n, string_agg(section, chr(10) || chr(10) ORDER BY page) AS body, string_agg(section, chr(10) || chr(10) ORDER BY page) FILTER (WHERE page <= 2 OR page = n) AS kept,
+  chr(10) || chr(10) || 'Transcribed by model: ' || array_to_string(list_sort(list_distinct(list(role))), ', ') AS footer FROM s GROUP BY document_id),
+t AS (SELECT *, CASE WHEN n > 1 THEN n ELSE 0 END AS total, CASE WHEN n > 1 THEN n > 3 ELSE length(body || footer) > 2000 END AS truncated FROM b)
+SELECT document_id, CASE WHEN NOT truncated THEN body || footer WHEN n > 1 THEN kept || footer ELSE substr(body, 1, greatest(0, 2000 - length(footer))) || footer END AS text, total::INTEGER AS total, truncated,
+  CASE WHEN truncated AND n > 1 THEN 'NOTE: The document transcription below was truncated to reduce cost. Included pages (from OCR headers): 1-2, ' || n || '. Total pages with OCR headers: ' || n || '.'
+    WHEN truncated THEN 'NOTE: The document transcription below was truncated because page headers were not found. Included the first 2000 characters.' END AS note FROM t""")
 def truncate_pages(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     p = c.select(F.col("conv_id").alias("document_id"), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).alias("page"), "text", F.col("role").alias("model"))
