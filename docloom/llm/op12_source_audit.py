@@ -44,7 +44,7 @@ TOP_TERMS = 50
 #: Entries of a task's tally before it is sent on.
 TALLY = 300_000
 #: Terms of a slice, about; groups of a block.
-SLICE = 1 << 15
+SLICE = 1 << 13
 BLOCK = 4
 #: Bytes of a text that are split at a time.
 PIECE = 1 << 22
