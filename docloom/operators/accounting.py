@@ -87,7 +87,9 @@ def recent_searches(searches: DataFrame, most: int = 20) -> DataFrame:
 
 
 def lockouts(failures: DataFrame, key: list[str], threshold: int, seconds: int = 900) -> DataFrame:
-    """Failures at which a key has `threshold` within the last `seconds` (detection; streaming/throttle.py also locks and resets). failures: key columns, ts."""
+    """Failures at which a key has `threshold` within the last `seconds` (detection; streaming/throttle.py also locks and resets). failures: key columns, ts.
+
+    A key's failures are one window's partition, sorted and spilled as a whole; for a key that holds a large part of a log replay it by throttle_batch, which takes a batch's memory."""
     t = F.unix_timestamp(F.col("ts").cast("timestamp"))
     w = Window.partitionBy(*key).orderBy(t).rangeBetween(-(seconds - 1), 0)
     return failures.withColumn("in_window", F.count(F.lit(1)).over(w)).where(F.col("in_window") >= threshold)

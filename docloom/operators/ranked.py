@@ -45,5 +45,5 @@ def page(df: DataFrame, number: int, size: int, most: int = 100) -> DataFrame:
 
 
 def rank_in(df: DataFrame, list_no: int, *order) -> DataFrame:
-    """chunk_id, document_id, list_no and pos of a short ranked list."""
+    """chunk_id, document_id, list_no and pos of a short ranked list: its rows are numbered in one task, so it must be limited already."""
     return df.select("chunk_id", "document_id", F.lit(list_no).alias("list_no"), F.row_number().over(Window.orderBy(*order)).alias("pos"))

@@ -105,7 +105,7 @@ def transition(tags: Column, pre: int, post: int, processing: int, error: int, s
 
 
 def longest_streak(events: DataFrame, key: str, order: str, failed: str) -> DataFrame:
-    """key, streak: the most failures in a row, by islands of a running count of successes (the breaker opens at 3)."""
+    """key, streak: the most failures in a row, by islands of a running count of successes (the breaker opens at 3). A key's events are one window's partition; streaming/failures.py folds a log of any skew as it passes."""
     from pyspark.sql import Window
 
     island = F.sum(F.when(F.col(failed), 0).otherwise(1)).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
