@@ -305,3 +305,29 @@ def test_removal_with_clashing_columns_and_nulls(spark):
     left = {r.n: r for r in op1.remove_passages(docs, op1.shared_passages(docs)).collect()}
     assert [left[i].text for i in range(5)] == [f"a {passage}", "b", passage, None, "b"]
     assert left[0].asDict().keys() == {"doc_id", "text", "n", "__id", "__spans", "__text"} and all((r["__id"], r["__spans"]) == ("x", 5) for r in left.values())
+
+
+def test_a_passage_of_which_many_different_documents_hold_every_part(spark):
+    """Every key of the passage has more than HOLDERS holders, the smallest of which differ from part to part."""
+    rng = random.Random(21)
+    around = lambda w: " ".join(prose(rng, 40, 10**6) + w + prose(rng, 40, 10**6))
+    passage = prose(rng, 60, 10**6)
+    parts = [passage[at : at + 36] for at in range(25)]
+    rows = [(100 * k + i, around(part)) for i, part in enumerate(parts) for k in range(op1.HOLDERS + 1)]
+    rows += [(5000, around(passage)), (5001, around(passage))]
+    found = [r for r in op1.shared_passages(frame(spark, rows)).collect() if r.doc_id == 5001]
+    assert [(r.partner_doc_id, r.start_word, r.end_word) for r in found] == [(5000, 40, 100)]
+
+
+def test_copies_are_members_of_the_first(spark):
+    rng = random.Random(22)
+    text, short = " ".join(prose(rng, 80)), " ".join(prose(rng, 20))
+    got = op1.shared_passages(frame(spark, [(i, text if i % 2 else text.replace(" ", "\n").upper()) for i in range(9, 30)] + [(40, short), (41, short), (50, f"{text} {short}")])).collect()
+    assert sorted((r.doc_id, r.partner_doc_id, r.start_word, r.end_word) for r in got) == [(i, 9, 0, 80) for i in range(10, 30)] + [(50, 9, 0, 80)]
+
+
+def test_parts_that_are_still_open():
+    s = lambda lo, hi, hot=True: {"lo": lo, "hi": hi, "hot": hot}
+    assert op1.open_parts([s(0, 60)], []) == [(0, 60)] and op1.open_parts([s(0, 49)], []) == []
+    assert op1.open_parts([s(0, 60)], [{"start": 0, "end": 60}]) == [] and op1.open_parts([s(0, 60, False)], []) == []
+    assert op1.open_parts([s(0, 200)], [{"start": 60, "end": 130}]) == [(0, 60), (130, 200)]
