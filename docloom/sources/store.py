@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom import schemas
+from docloom.sources.workspace import dealt
 from docloom.operators.fts import BlockIndex, StoredIndex, build_blocks, by_term, postings, stored_blocks, token_counts
 
 TABLES = {"documents": schemas.DOCUMENTS, "chunks": schemas.CHUNKS, "taxonomy": schemas.TAXONOMY, "meta": schemas.META, "postings": schemas.POSTINGS, "fts_stats": schemas.FTS_STATS, "failures": schemas.FAILED, "doomed": schemas.DOOMED}
@@ -183,7 +184,7 @@ class IndexStore:
         """Replace the given documents with all their chunks and index entries, together."""
         base = self._manifest()
         added = {"documents": self.stage("documents", documents), "chunks": self.stage("chunks", chunks)}
-        held = self.staged("chunks", added["chunks"])
+        held = dealt(self.staged("chunks", added["chunks"]), f"{self.path}/{added['chunks']}", "chunk_id")
         added |= {"postings": self.stage("postings", postings(held)), "fts_stats": self.stage("fts_stats", token_counts(held))}
         gone = self.staged("documents", added["documents"]).select(F.col("id").alias("key"))
         return self.publish(base, added=added, dead=dict.fromkeys(KEYS, gone))

@@ -157,3 +157,26 @@ def test_store_builds_its_block_index_once_a_state(spark, tmp_path):
     assert len(folders()) == 2
     store.vacuum(older_than=0)
     assert len(folders()) == 1 and best(fts.top_chunks(store.search_index(), "beta", 20), 20) == got
+
+
+def test_postings_of_token_lists_by_a_plain_count():
+    """Terms in order of their first place, chunks and places in order; the best of a block by brute force."""
+    import numpy as np
+    import pyarrow as pa
+
+    lists = [["a", "b", "a"], [], ["b", "c", "b", "b"]]
+    terms, code, chunk, tf, at = fts._occurrences(pa.array(lists, pa.list_(pa.string())))
+    ends = np.cumsum(tf)
+    got = [(terms[c].as_py(), int(k), at[e - n : e].tolist()) for c, k, n, e in zip(code.tolist(), chunk, tf, ends, strict=True)]
+    assert got == [("a", 0, [0, 2]), ("b", 0, [1]), ("b", 2, [0, 2, 3]), ("c", 2, [1])]
+    group, f, d = (np.array(x) for x in ([0, 0, 0, 1, 1], [3, 2, 2, 1, 1], [9, 5, 9, 4, 4]))
+    best = fts._skyline(group, f, d)
+    assert [(int(group[i]), int(f[i]), int(d[i])) for i in best] == [(0, 3, 9), (0, 2, 5), (1, 1, 4)]
+
+
+def test_a_table_of_one_row_group_is_dealt_out(spark, tmp_path):
+    from docloom.sources.driver_tables import chunks
+
+    spark.createDataFrame([(i, "x " * 50) for i in range(64)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    cut = chunks(spark, f"file://{tmp_path}")
+    assert cut.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and cut.count() == 64
