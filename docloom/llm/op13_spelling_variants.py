@@ -144,7 +144,8 @@ def near_words(words: DataFrame) -> DataFrame:
     """word, n_near and best, the struct (-n, word) of its most frequent near word, for words that have near words."""
     keyed = words.select("word", "n").mapInArrow(trimmed(_keyed), "key long, word string, n long")
     a, b = keyed.select("key", F.col("word").alias("a"), F.col("n").alias("na")), keyed.select("key", F.col("word").alias("b"), F.col("n").alias("nb"))
-    pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.levenshtein("a", "b", 1) == 1))
+    # a broadcast, which Spark picks by compressed sizes, would gather a side in the driver
+    pairs = a.join(b.hint("merge"), "key").where((F.col("a") < F.col("b")) & (F.levenshtein("a", "b", 1) == 1))
     both = pairs.select(F.inline(F.array(F.struct(F.col("a").alias("word"), (-F.col("nb")).alias("minus"), F.col("b").alias("near")), F.struct(F.col("b").alias("word"), (-F.col("na")).alias("minus"), F.col("a").alias("near")))))
     return both.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct("minus", "near")).alias("best"))
 
@@ -154,7 +155,7 @@ def follow(links: DataFrame, scratch: Scratch, rounds: int = 64) -> DataFrame:
     links = scratch.keep(links.select("word", F.col("form").alias("root"), F.lit(True).alias("moved")))
     for _ in range(rounds):
         on = links.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        after = scratch.keep(links.join(on, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        after = scratch.keep(links.join(on.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
         scratch.drop(links)
         links = after
         if links.where("moved").isEmpty():
@@ -166,11 +167,11 @@ def spelling_variants(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """word, form, root, n, n_near, form_n of every word."""
     scratch = Scratch(docs.sparkSession)
     words = scratch.keep(word_counts(docs, doc_id, text, slips))
-    near = words.join(near_words(words), "word", "left")
+    near = words.join(near_words(words).hint("merge"), "word", "left")
     fits = -F.col("best.minus") >= 2 * F.col("n")
     formed = scratch.keep(near.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(fits, F.col("best.near")).alias("form"), F.when(fits, -F.col("best.minus")).alias("form_n")))
     roots = follow(formed.where("form IS NOT NULL"), scratch)
-    result = scratch.keep(formed.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"))
+    result = scratch.keep(formed.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"))
     scratch.only(result)
     return result
 

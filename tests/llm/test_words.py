@@ -59,3 +59,11 @@ def test_ids_are_those_of_the_tokenizer(texts):
     enc = tokens.encoder(tokens.default_path())
     want = [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert [x.tolist() for x in enc.encode(texts)] == want
+
+
+def test_keys_of_near_words_do_not_pass_through_the_driver(spark):
+    from docloom.llm.op13_spelling_variants import near_words
+
+    near = near_words(spark.createDataFrame([("vogels", 9), ("vogel", 3)], "word string, n long"))
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+    assert {(r.word, r.n_near, r.best.near) for r in near.collect()} == {("vogels", 1, "vogel"), ("vogel", 1, "vogels")}
