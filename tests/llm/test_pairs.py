@@ -331,3 +331,44 @@ def test_parts_that_are_still_open():
     assert op1.open_parts([s(0, 60)], []) == [(0, 60)] and op1.open_parts([s(0, 49)], []) == []
     assert op1.open_parts([s(0, 60)], [{"start": 0, "end": 60}]) == [] and op1.open_parts([s(0, 60, False)], []) == []
     assert op1.open_parts([s(0, 200)], [{"start": 60, "end": 130}]) == [(0, 60), (130, 200)]
+
+
+def chance_runs(frequent):
+    """A document of 200 words that shares five words with each of eight others, 20 words apart, and 35 words with a ninth."""
+    places = np.append(np.arange(0, 160, 20), np.arange(160, 191))
+    d, a = np.full(len(places), 100), np.append(np.arange(8), np.full(31, 50))
+    return op1._regions(d, a, places, places, places + 7, np.full(len(places), op1.K), np.full(len(places), frequent))
+
+
+def test_windows_that_cannot_hold_a_passage_are_not_cut_out():
+    assert {row[1] for row in chance_runs(False)} == {50}
+    # what lies between may be equal too if other documents hold its keys
+    everywhere = np.append(np.arange(40, 75), 90)
+    d, a, frequent = np.full(36, 100), np.append(np.zeros(35, np.int64), 60), np.append(np.ones(35, dtype=bool), False)
+    row = (100, 60, 26, 159, 26, 159, False, None)
+    assert op1._may_align([row], d, a, everywhere, everywhere + op1.K, frequent) == [row]
+    assert op1._may_align([row], d, a, everywhere, everywhere + op1.K, ~frequent) == []
+
+
+def test_words_of_windows_in_intervals():
+    rng = np.random.default_rng(3)
+    key, lo = rng.integers(0, 4, 60), rng.integers(0, 300, 60)
+    hi, of, start = lo + rng.integers(1, 20, 60), rng.integers(0, 5, 40), rng.integers(0, 300, 40)
+    end = start + rng.integers(1, 80, 40)
+    places = [{x for k, u, v in zip(key, lo, hi, strict=True) if k == o for x in range(u, v)} for o in of]
+    expected = [len(p & set(range(u, v))) for p, u, v in zip(places, start, end, strict=True)]
+    assert op1._words_in(key, lo, hi, of, start, end).tolist() == expected
+    none = np.zeros(0, np.int64)
+    assert op1._words_in(none, none, none, of, start, end).tolist() == [0] * 40
+
+
+def test_slices_keep_equal_values_together(monkeypatch):
+    monkeypatch.setattr(op1, "SORTED", 50)
+    rng = np.random.default_rng(4)
+    parts = [[np.sort(rng.integers(0, 40, n)), rng.integers(0, 9, n)] for n in (0, 70, 200, 1)]
+    found = list(op1._slices(parts))
+    assert len(found) > 3
+    assert sum(len(x[0]) for x in found) == 271
+    assert all(p[0].max() < q[0].min() for p, q in zip(found, found[1:], strict=False))
+    both = np.concatenate([np.stack(x) for x in found], axis=1)
+    assert sorted(map(tuple, both.T.tolist())) == sorted((int(k), int(v)) for x in parts for k, v in zip(*x, strict=True))
