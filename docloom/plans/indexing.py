@@ -113,7 +113,8 @@ def run_cycle(store: IndexStore, source: DataFrame, embedder, now: str, error_ta
         keys = documents.select("id").unionByName(gone).select(F.col("id").alias("key"))
         dead = dict.fromkeys(("chunks", "postings", "fts_stats"), keys) | {"documents": written.select(F.col("id").alias("key")).unionByName(gone.select(F.col("id").alias("key")))}
     if by.get("indexed"):
-        added |= {"chunks": folder, "postings": store.stage("postings", postings(chunks)), "fts_stats": store.stage("fts_stats", token_counts(chunks))}
+        added |= {"chunks": folder, "postings": store.stage("postings", postings(chunks))}
+        added["fts_stats"] = store.stage("fts_stats", token_counts(chunks, store.staged("postings", added["postings"])))
     store.publish(base, replaced, added, dead)
     for held in (page, change, todo, outcomes, lost, tried, gone, counted):
         held.unpersist()

@@ -185,7 +185,8 @@ class IndexStore:
         base = self._manifest()
         added = {"documents": self.stage("documents", documents), "chunks": self.stage("chunks", chunks)}
         held = dealt(self.staged("chunks", added["chunks"]), f"{self.path}/{added['chunks']}", "chunk_id")
-        added |= {"postings": self.stage("postings", postings(held)), "fts_stats": self.stage("fts_stats", token_counts(held))}
+        added["postings"] = self.stage("postings", postings(held))
+        added["fts_stats"] = self.stage("fts_stats", token_counts(self.staged("chunks", added["chunks"]), self.staged("postings", added["postings"])))
         gone = self.staged("documents", added["documents"]).select(F.col("id").alias("key"))
         return self.publish(base, added=added, dead=dict.fromkeys(KEYS, gone))
 

@@ -180,3 +180,35 @@ def test_a_table_of_one_row_group_is_dealt_out(spark, tmp_path):
     spark.createDataFrame([(i, "x " * 50) for i in range(64)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     cut = chunks(spark, f"file://{tmp_path}")
     assert cut.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and cut.count() == 64
+
+
+def test_tokens_of_blocks_are_those_of_spark_and_places_lie_flat(spark, tmp_path):
+    """Texts that begin and end with separators, marks, other scripts, repeats; lengths follow from the postings, 0 included."""
+    texts = ["--Über  den ẞ, Ça va?", "", "  ... ", "a", "Σίσυφος №5 x² été İstanbul 𝒳y", "of the of the, the of", None, "日本語 テスト　ok\x00z", "'t Is"]
+    chunks = spark.createDataFrame([(i * 3, i, t) for i, t in enumerate(texts)], "chunk_id long, document_id long, text string").repartition(2)
+    want = {r.chunk_id: r.w for r in chunks.fillna("", "text").select("chunk_id", fts.tokens(F.col("text")).alias("w")).collect()}
+    index = fts.build_blocks(chunks, f"file://{tmp_path}/i")
+    assert dict(index.blocks.dtypes)["positions"] == "array<int>"
+    got = {i: [None] * len(w) for i, w in want.items()}
+    for r in fts._block_rows(index.blocks.where("term <> ''"), False).collect():
+        for at in r.held:
+            got[r.chunk_id][at] = r.term
+    assert got == want
+    held = fts.postings(chunks)
+    assert {r.chunk_id: r.dl for r in fts.token_counts(chunks, held).collect()} == {i: len(w) for i, w in want.items()}
+    assert sorted(fts.token_counts(chunks, held).columns) == sorted(fts.token_counts(chunks).columns)
+    assert [r.chunk_id for r in fts.block_scores(index, "of-the").collect()] == [15]
+
+
+def test_the_sorted_index_has_more_partitions_for_more_rows(spark, tmp_path):
+    """A task's share stays at the advisory size, also if every chunk has the same terms."""
+    chunks = spark.range(0, 6000, 1, 6).select(F.col("id").alias("chunk_id"), F.col("id").alias("document_id"), F.lit("same words again and again").alias("text"))
+    saved = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16k")
+    try:
+        fts.by_term(fts.postings(chunks)).write.parquet(f"{tmp_path}/p")
+        found = spark.read.parquet(f"{tmp_path}/p")
+        files = found.where("term = 'again'").select(F.input_file_name().alias("f"), "term", "chunk_id").groupBy("f").agg(F.count(F.lit(1)).alias("n")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", saved)
+    assert sum(r.n for r in files) == 6000 and len(files) > 1
