@@ -372,3 +372,22 @@ def test_slices_keep_equal_values_together(monkeypatch):
     assert all(p[0].max() < q[0].min() for p, q in zip(found, found[1:], strict=False))
     both = np.concatenate([np.stack(x) for x in found], axis=1)
     assert sorted(map(tuple, both.T.tolist())) == sorted((int(k), int(v)) for x in parts for k, v in zip(*x, strict=True))
+
+
+def test_a_bucket_is_tied_in_little_memory():
+    """600,000 keys of one bucket, each held twice: what is held besides the bucket itself stays under 64 bytes a key."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n = 600_000
+    key = np.sort(np.random.default_rng(1).integers(1 << 40, 1 << 62, n // 2).astype(np.uint64))
+    blob = lambda doc: op1._squeezed(op1._packed_keys(key) + op1._planes(np.full(n // 2, doc, np.int64), np.arange(n // 2, dtype=np.uint32), np.zeros(n // 2, np.uint32)))
+    batch = op1._packed_rows(np.zeros(2, np.int64), None, 2, [blob(1), blob(2)])
+    tracemalloc.start()
+    try:
+        made = sum(len(d) for b in op1._bucket_matches(1)(iter([batch])) for d, *_ in op1._matches(b.column("blob")))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert made == n // 2 and peak < n * (24 + 64), peak
