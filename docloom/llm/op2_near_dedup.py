@@ -11,10 +11,11 @@ all of them.
 
 Groups of near copies aren't split by coordinates, so they leave the trees before these branch: in
 the first PEELS levels each large node gets a pivot, the class most like a bounded sample of it, and
-all of the node are compared with the pivot on full sets. Those linked with it branch no further.
-What else could be linked with one of them has, by the triangle inequality of Jaccard distances, a
-similarity of 2 * threshold - 1 or more with the pivot: these few are compared with all that are
-linked with the pivot, in blocks and on full sets. Nodes that are still large at MAX_DEPTH are compared in
+all of the node are compared with the pivot on full sets. Pivots that a class links are one family: what is
+linked with one of them leaves all nodes of the family, and what stays is compared with all of them.
+What else could be linked with one of those that left has, by the triangle inequality of Jaccard distances, a
+similarity of 2 * threshold - 1 or more with its pivot: of these few, those that no other link has brought into the
+pivot's component are compared with all that left for the pivot, in blocks and on full sets. Nodes that are still large at MAX_DEPTH are compared in
 blocks as well.
 
 In a leaf, classes are joined by estimates of their similarity to groups of candidates; equal groups
@@ -343,19 +344,38 @@ class _Search:
     def _by(self, d: DataFrame, key: str) -> DataFrame:
         return d.repartition(self.parts, key).sortWithinPartitions(key, "id")
 
+    def _near_pivots(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (id, pivot) of classes that may be near, compared on full sets: id, pivot, i, u."""
+        keep, join = self.scratch.keep, broadcast_if_small
+        of_pivots = keep(self.reps.join(join(pairs.select(F.col("pivot").alias("id")).distinct()), "id", "left_semi").select(F.col("id").alias("pivot"), F.col("sig").alias("pivot_sig")))
+        signed = pairs.join(self.reps, "id").join(join(of_pivots), "pivot").select("id", "pivot", "sig", "pivot_sig")
+        alike = keep(signed.mapInArrow(trimmed(_alike(max(0.0, self._less(2 * self.threshold - 1)))), "id long, pivot long"))
+        return _compared(self.docs, alike.select(F.col("pivot").alias("a"), F.col("id").alias("b")), self.k, self.scratch).select(F.col("b").alias("id"), F.col("a").alias("pivot"), "i", "u")
+
+    def _linked(self) -> Column:
+        return self.den * F.col("i") >= self.num * F.col("u")
+
     def peel(self, large: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """large (node, id) without the classes linked with their node's pivot, and all pairs compared: id, pivot, i, u."""
+        """large (node, id) without the classes linked with a pivot of their node's family, and all pairs compared: family, id, pivot, i, u.
+
+        Pivots that share a class that is linked with both are one family. What is linked with one of them leaves all nodes of the family, as
+        what stays in these is compared with all of them."""
         keep, join = self.scratch.keep, broadcast_if_small
         sample = large.groupBy("node", F.pmod(F.xxhash64("id"), F.lit(SAMPLE)).alias("_s")).agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("x")).select("node", "x.id")
         pivots = keep(self._by(sample.join(self.reps, "id"), "node").mapInArrow(trimmed(_medoids(self.threshold)), "node long, pivot long"))
         held = keep(large.join(join(pivots), "node"))
-        of_pivots = keep(self.reps.join(join(pivots.select(F.col("pivot").alias("id")).distinct()), "id", "left_semi").select(F.col("id").alias("pivot"), F.col("sig").alias("pivot_sig")))
-        pairs = held.where("id <> pivot").select("id", "pivot").distinct()
-        signed = pairs.join(self.reps, "id").join(join(of_pivots), "pivot").select("id", "pivot", "sig", "pivot_sig")
-        alike = keep(signed.mapInArrow(trimmed(_alike(max(0.0, self._less(2 * self.threshold - 1)))), "id long, pivot long"))
-        found = _compared(self.docs, alike.select(F.col("pivot").alias("a"), F.col("id").alias("b")), self.k, self.scratch).select(F.col("b").alias("id"), F.col("a").alias("pivot"), "i", "u")
-        gone = found.where(self.den * F.col("i") >= self.num * F.col("u")).select("id", "pivot")
-        return keep(held.where("id <> pivot").join(join(gone), ["id", "pivot"], "left_anti").select("node", "id")), found
+        pairs = keep(held.where("id <> pivot").select("id", "pivot").distinct())
+        first = self._near_pivots(pairs)
+        every = pivots.select("pivot").distinct()
+        star = keep(first.where(self._linked()).select("id", "pivot").unionByName(every.select(F.col("pivot").alias("id"), "pivot")))
+        families = keep(star.join(star.groupBy("id").agg(F.min("pivot").alias("least")), "id").groupBy("pivot").agg(F.min("least").alias("family")))
+        of = join(families)
+        gone = star.join(of, "pivot").select("family", "id").distinct()
+        left = keep(held.join(of, "pivot").select("node", "family", "id").join(gone, ["family", "id"], "left_anti"))
+        more = self._near_pivots(keep(left.select("family", "id").distinct().join(of, "family").select("id", "pivot").join(pairs, ["id", "pivot"], "left_anti")))
+        found = keep(first.unionByName(more).join(of, "pivot").select("family", "id", "pivot", "i", "u"))
+        gone = found.where(self._linked()).select("family", "id").distinct()
+        return keep(left.join(gone, ["family", "id"], "left_anti").select("node", "id")), found
 
     def leaf_links(self, small: DataFrame) -> DataFrame:
         """Links within leaves; small: node, id."""
@@ -389,15 +409,16 @@ class _Search:
         self.scratch.drop(sets)
         return out
 
-    def fringe_links(self, found: DataFrame) -> DataFrame:
-        """Links of classes near a pivot with those linked with it. found: pairs id, pivot, i, u."""
-        linked = self.den * F.col("i") >= self.num * F.col("u")
-        star = self.scratch.keep(found.where(linked).select(F.col("pivot").alias("group"), "id", F.col("pivot").alias("component")))
-        # what one link joins with a pivot's component isn't compared again; a class stands for the least pivot that it is linked with
-        own = star.groupBy("id").agg(F.min("component").alias("component"))
-        close = found.where(~linked & (self.den * F.col("i") >= (2 * self.num - self.den) * F.col("u"))).select(F.col("pivot").alias("group"), "id")
-        lone = self.scratch.keep(close.join(own, "id", "left").withColumn("component", F.coalesce("component", "id")))
-        return self.blocks(lone, star)
+    def fringe_links(self, found: DataFrame, known: DataFrame) -> DataFrame:
+        """Links of classes near a pivot with those linked with it. found: pairs family, id, pivot, i, u; known: id and component by all other links.
+
+        Of a family's pivots a class stands for the one most like it, and what is in a pivot's component by other links isn't compared again."""
+        own = F.min(F.struct((-F.col("i") / F.col("u")).alias("unlike"), "pivot"))["pivot"]
+        of_pivot = broadcast_if_small(self.scratch.keep(found.select("pivot").distinct().join(known.withColumnsRenamed({"id": "pivot", "component": "of"}), "pivot", "left").select("pivot", F.coalesce("of", "pivot").alias("of"))))
+        star = found.where(self._linked()).groupBy("family", "id").agg(own.alias("pivot")).join(of_pivot, "pivot").select(F.col("pivot").alias("group"), "id", F.col("of").alias("component"))
+        close = found.where(~self._linked() & (self.den * F.col("i") >= (2 * self.num - self.den) * F.col("u"))).select("pivot", "id").distinct()
+        lone = close.join(known, "id", "left").join(of_pivot, "pivot").select(F.col("pivot").alias("group"), "id", F.coalesce("component", "id").alias("component"), "of")
+        return self.blocks(self.scratch.keep(lone.where("component <> of").drop("of")), self.scratch.keep(star.distinct()))
 
     def run(self, shared: DataFrame) -> DataFrame:
         """id and component of the classes with links. shared: a, b of classes that one doc_id links."""
@@ -422,10 +443,14 @@ class _Search:
                 break
             level = large.join(self.reps, "id").select("node", "id", "sig").mapInArrow(trimmed(_branch(self.threshold)), "node long, id long")
         if compared:
-            found = reduce(DataFrame.unionByName, compared).distinct()
-            links += [found.where(self.den * F.col("i") >= self.num * F.col("u")).select(*_ordered("id", "pivot")), self.fringe_links(found)]
+            found = self.scratch.keep(reduce(DataFrame.unionByName, compared).distinct())
+            links.append(found.where(self._linked()).select(*_ordered("id", "pivot")))
         links.append(self.leaf_links(reduce(DataFrame.unionByName, small)))
-        return components(reduce(DataFrame.unionByName, links), self.scratch)
+        known = components(reduce(DataFrame.unionByName, links), self.scratch)
+        if not compared:
+            return known
+        more = self.fringe_links(found, known)
+        return known if more.isEmpty() else components(known.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more), self.scratch)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -96,6 +96,24 @@ def test_a_large_group_of_near_copies(spark, k, num, depth, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+def test_a_near_copy_is_compared_for_one_pivot_of_its_group(spark, monkeypatch):
+    """The trees choose several pivots of one group; a class that more than one of them links was compared with what is near each of them."""
+    monkeypatch.setattr(op2, "BLOCK", 16)
+    monkeypatch.setattr(op2, "LEAF", 24)
+    seen = []
+    blocks = op2._Search.blocks
+    monkeypatch.setattr(op2._Search, "blocks", lambda self, lone, rest: (seen.append((lone.collect(), rest.collect())), blocks(self, lone, rest))[1])
+    rng = random.Random(11)
+    base = prose(rng, 150)
+    rows = [(i, " ".join(near(rng, base, rng.randrange(1, 12)))) for i in range(150)]
+    got = op2.near_duplicates(frame(spark, rows), 5, 80, 100).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == linked(rows, 5, 80, 100)
+    held = [r.id for _, rest in seen for r in rest]
+    assert seen and len(held) == len(set(held))
+    pivot_of = {r.group: r.component for _, rest in seen for r in rest}
+    assert not [r for lone, _ in seen for r in lone if r.component == pivot_of.get(r.group)]
+
+
 def test_as_many_trees_as_the_recall_needs():
     rng = random.Random(3)
 
