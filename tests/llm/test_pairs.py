@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.llm import op1_substring_dedup as op1
 from docloom.llm import op2_near_dedup as op2
@@ -409,3 +410,77 @@ def test_a_bucket_is_tied_in_little_memory():
     finally:
         tracemalloc.stop()
     assert made == n // 2 and peak < n * (24 + 64), peak
+
+
+def test_slices_of_keys_windows_and_open_runs_change_nothing(spark, monkeypatch):
+    """Keys in four slices, windows aligned in parts, runs looked up with a map each for slices of them."""
+    rng = random.Random(21)
+    around = lambda w: " ".join(prose(rng, 40, 10**6) + w + prose(rng, 40, 10**6))
+    passage = prose(rng, 60, 10**6)
+    parts = [passage[at : at + 36] for at in range(25)]
+    rows = [(10000 + 100 * k + i, around(part)) for i, part in enumerate(parts) for k in range(op1.HOLDERS + 1)]
+    docs = frame(spark, [*shared(), *rows, (15000, around(passage)), (15001, around(passage))])
+    want = sorted(map(tuple, op1.shared_passages(docs).collect()))
+    made = {"_seed_rows": [], "_align_part": [], "_holders": []}
+    for name, calls in made.items():
+        monkeypatch.setattr(op1, name, lambda *a, f=getattr(op1, name), calls=calls: (calls.append(a), f(*a))[1])
+    monkeypatch.setattr(op1, "SLICE_BYTES", 1000)
+    monkeypatch.setattr(op1, "WINDOWS_SHARE", 0.1)
+    monkeypatch.setattr(op1, "REST_BITS", (15, 15))
+    monkeypatch.setattr(op1, "KEY_BITS", 3000)
+    assert sorted(map(tuple, op1.shared_passages(docs).collect())) == want and any(r[0] == 15001 and r[3] == 15000 for r in want)
+    assert len(made["_seed_rows"]) == op1.PASSES and len(made["_align_part"]) > 2 and len(made["_holders"]) > 1
+
+
+def test_slices_hold_all_keys_once():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array([" ".join(prose(rng, 200, 10**6)) for _ in range(50)])], ["doc_id", "text"])
+
+    def held(*slices):
+        rows = [r for b in op1._seed_rows(8, 8, *slices)(iter([batch])) for r in b.to_pylist() if r["to"] is None]
+        return sorted((r["bucket"] // 8, int(k), int(d), int(p)) for r in rows for k, d, p, _ in zip(*op1._unpacked(op1._whole(r["blob"])), strict=True))
+
+    parts = [held(i, 4) for i in range(4)]
+    assert sorted(sum(parts, [])) == held()
+    assert all(max(k for level, k, *_ in p if level == 0) < min(k for level, k, *_ in q if level == 0) for p, q in zip(parts, parts[1:], strict=False))
+    assert [any(level for level, *_ in p) for p in parts] == [False, False, False, True]
+
+
+def test_runs_that_few_look_for_are_few_rows(spark):
+    """Keys at a sixteenth of the map's bits: all of them are found, and of a hundred others one or two."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    texts = [" ".join(prose(rng, 20_049, 10**6)) for _ in range(2)]
+    keys = [op1.keys_of(*op1.words([t.encode()]), op1.MIN_WORDS, 1)[0] for t in texts]
+    bits = op1._key_map(spark.createDataFrame([(int(k),) for k in keys[0].view(np.int64)[:2048]], "key long"), 15)
+    found = [{r["key"] for b in op1._holders(bits, 15)(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([t])], ["doc_id", "text"])])) for r in b.to_pylist()} for t in texts]
+    assert set(keys[0].view(np.int64)[:2048].tolist()) <= found[0] and len(found[1]) < 0.03 * len(keys[1])
+
+
+@pytest.mark.parametrize(("spans", "ids"), [(100_000, 3_000_000), (3, 3_000_000), (3, 3)])
+def test_spans_of_any_number_are_joined(spark, monkeypatch, spans, ids):
+    monkeypatch.setattr(op1, "SPANS_ROWS", spans)
+    monkeypatch.setattr(op1, "IDS_ROWS", ids)
+    docs = spark.createDataFrame([(i if i < 30 else None, f"a{i} b c d") for i in range(33)], "doc_id long, text string")
+    found = spark.createDataFrame([(i, 1, 3) for i in range(0, 30, 3)], "doc_id long, start_word long, end_word long")
+    left = op1.remove_passages(docs, found)
+    assert sorted(left.collect(), key=lambda r: int(r.text.split()[0][1:])) == [(i if i < 30 else None, f"a{i} d" if i < 30 and i % 3 == 0 else f"a{i} b c d") for i in range(33)]
+    assert "SortMergeJoin" not in left._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    import time
+
+    from docloom.llm.scratch import Scratch
+
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before, rows = files(), spark.range(100_000).repartition(7, "id").groupBy(F.col("id") % 10).count()
+    kept = Scratch(spark).keep(rows)
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
+    assert kept.count() == 10 and rows.count() == 10
