@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom import schemas
-from docloom.sources.workspace import dealt
-from docloom.operators.fts import BlockIndex, StoredIndex, build_blocks, by_term, postings, stored_blocks, token_counts
+from docloom.sources.workspace import DEAL_BYTES, SHUFFLES_DROPPED, dealt, largest_file, settings
+from docloom.operators.fts import BlockIndex, StoredIndex, build_blocks, by_term, packed_shuffle, sorted_blocks, stored_blocks, token_counts
 
 TABLES = {"documents": schemas.DOCUMENTS, "chunks": schemas.CHUNKS, "taxonomy": schemas.TAXONOMY, "meta": schemas.META, "postings": schemas.POSTINGS, "fts_stats": schemas.FTS_STATS, "failures": schemas.FAILED, "doomed": schemas.DOOMED}
 #: The key by which rows are replaced; other tables are replaced whole.
@@ -88,11 +88,12 @@ class IndexStore:
     def new_folder(table: str) -> str:
         return f"{table}/{uuid.uuid4().hex}"
 
-    def stage(self, table: str, df: DataFrame, folder: str | None = None) -> str:
-        """Write rows of a table to a folder that no generation names yet, or add them to one of these."""
+    def stage(self, table: str, df: DataFrame, folder: str | None = None, in_order: bool = False) -> str:
+        """Write rows of a table to a folder that no generation names yet, or add them to one of these. in_order: postings are sorted as they are stored."""
         folder = folder or self.new_folder(table)
         rows = df.select(*[F.col(f.name).cast(f.dataType.simpleString()) for f in TABLES[table].fields])
-        (by_term(rows) if table == "postings" else rows).write.mode("append").parquet(f"{self.path}/{folder}")
+        with settings(self.spark, SHUFFLES_DROPPED):
+            (by_term(rows) if table == "postings" and not in_order else rows).write.mode("append").option("compression", "zstd").parquet(f"{self.path}/{folder}")
         return folder
 
     def staged(self, table: str, folder: str) -> DataFrame:
@@ -184,8 +185,11 @@ class IndexStore:
         """Replace the given documents with all their chunks and index entries, together."""
         base = self._manifest()
         added = {"documents": self.stage("documents", documents), "chunks": self.stage("chunks", chunks)}
-        held = dealt(self.staged("chunks", added["chunks"]), f"{self.path}/{added['chunks']}", "chunk_id")
-        added["postings"] = self.stage("postings", postings(held))
+        held, path = self.staged("chunks", added["chunks"]), f"{self.path}/{added['chunks']}"
+        if largest_file(self.spark, path) > 2 * DEAL_BYTES:  # smaller ones are dealt out as they lie
+            held = dealt(held, path, "chunk_id")
+        with packed_shuffle(self.spark):
+            added["postings"] = self.stage("postings", sorted_blocks(held, rows=True), in_order=True)
         added["fts_stats"] = self.stage("fts_stats", token_counts(self.staged("chunks", added["chunks"]), self.staged("postings", added["postings"])))
         gone = self.staged("documents", added["documents"]).select(F.col("id").alias("key"))
         return self.publish(base, added=added, dead=dict.fromkeys(KEYS, gone))

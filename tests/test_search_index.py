@@ -212,3 +212,53 @@ def test_the_sorted_index_has_more_partitions_for_more_rows(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", saved)
     assert sum(r.n for r in files) == 6000 and len(files) > 1
+
+
+def test_packed_blocks_are_the_plain_postings_in_a_fraction_of_the_bytes(spark, monkeypatch):
+    """Documents that don't follow from their chunks, negative ids, several slots and runs; bests by brute force."""
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    words = [f"w{int(rng.paretovariate(0.6))}é"[:9] for _ in range(120_000)]
+    rows = [(rng.randrange(-(1 << 40), 1 << 40), rng.randrange(-5, 1 << 33), " ".join(words[i : i + rng.randrange(200)])) for i in range(0, 120_000, 200)] + [(1, 1, ""), (2, 2, None)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, document_id long, text string").repartition(3)
+    plain, packed = fts.postings(chunks), fts.sorted_blocks(chunks, rows=True)
+    assert plain.exceptAll(packed).isEmpty() and packed.exceptAll(plain).isEmpty()
+    for r in fts.sorted_blocks(chunks).collect():
+        pairs = set(zip(r.tfs, r.dls, strict=True))
+        best = {(f, d) for f, d in pairs if not any((g >= f and e <= d) and (g, e) != (f, d) for g, e in pairs)}
+        assert set(zip(r.best_tfs, r.best_dls, strict=True)) == best and r.n == len(r.tfs) and sum(r.tfs) == len(r.positions)
+    cut = pa.RecordBatch.from_pylist([{"chunk_id": c, "document_id": d, "folded": t or "", "number": i} for i, (c, d, t) in enumerate(rows)])
+    blocks = list(fts._blocks(iter([cut])))
+    blobs = [b for x in fts._pack(iter(blocks)) for b in x.column("blob").to_pylist()]
+    assert sum(map(len, blobs)) < 0.5 * sum(b.nbytes for b in blocks)  # ids are random here
+    monkeypatch.setattr(fts, "SORTED_BYTES", 1 << 16)
+    monkeypatch.setattr(fts, "ROWS", 100)
+    made = list(fts._sorted_blocks(iter([pa.RecordBatch.from_pydict({"blob": blobs})])))
+    assert len(made) > 5 and max(b.num_rows for b in made) <= 100
+    flat = lambda bs: sorted((r["term"], r["range"], *r["chunk_ids"], *r["document_ids"], *r["tfs"], *r["dls"], *r["positions"]) for b in bs for r in b.to_pylist())
+    assert flat(made) == flat(blocks)
+
+
+def test_the_index_leaves_no_shuffle_files(spark, tmp_path):
+    import time
+
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    chunks, before = spark.createDataFrame([(i, i, f"some words of {i % 7}") for i in range(900)], "chunk_id long, document_id long, text string"), files()
+    index = fts.build_blocks(chunks.repartition(3, "chunk_id"), f"file://{tmp_path}/i")
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and index.totals.first().n == 900
+
+
+def test_wanted_texts_alone_are_cut(spark, tmp_path):
+    from docloom.sources.driver_tables import chunks
+
+    spark.createDataFrame([(i, f"text {i}") for i in range(64)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    of = spark.createDataFrame([(3,), (5,), (900,)], "document_id long")
+    cut = chunks(spark, f"file://{tmp_path}", of)
+    assert sorted((r.document_id, r.text) for r in cut.collect()) == [(3, "text 3"), (5, "text 5")]
+    assert "hashpartitioning" not in cut._jdf.queryExecution().executedPlan().toString()
